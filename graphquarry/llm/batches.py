@@ -11,6 +11,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,13 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def ensure_checkpoint_dir(spark) -> None:
+    """The shared folder of the cluster, from spark.checkpoint.dir; a local one only where that is unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphquarry-checkpoints"))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
@@ -247,13 +255,13 @@ class Values:
     def __init__(self, dtype):
         self.flat, self.start, self.size = np.zeros(1 << 16, dtype), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def put(self, n: int, made: list[np.ndarray]) -> None:
+    def put(self, n: int, made: list) -> None:
         """Runs for the numbers n, n + 1, ...; runs that stood there before are replaced."""
         size = np.fromiter(map(len, made), np.int64, len(made))
         used, total = int(self.start[n - 1] + self.size[n - 1]) if n else 0, int(size.sum())
         self.flat, self.start, self.size = grown(self.flat, used + total), grown(self.start, n + len(made)), grown(self.size, n + len(made))
         if total:
-            self.flat[used : used + total] = np.concatenate(made)
+            self.flat[used : used + total] = np.fromiter(chain.from_iterable(made), self.flat.dtype, total)
         self.start[n : n + len(made)], self.size[n : n + len(made)] = used + np.cumsum(size) - size, size
 
     def get(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

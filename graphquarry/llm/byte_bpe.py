@@ -97,9 +97,9 @@ class ByteBPE:
     def forget(self) -> None:
         self.kept, self.ids = B.Interner(MOST_KEPT), B.Values(np.int32)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece. Buckets have lengths of one power of two, split where padding would exceed half."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+        out: list[list[int]] = [[]] * len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         for i in np.flatnonzero(lengths > LONG_PIECE):
             out[i] = self.by_heap(pieces[i])
@@ -116,22 +116,23 @@ class ByteBPE:
             at = end
         return out
 
-    def merge(self, pieces: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+    def merge(self, pieces: list[bytes], lengths: np.ndarray) -> list[list[int]]:
         n, width = len(pieces), int(lengths.max())
         ids = np.full((n, width), -1, np.int32)
         ids[np.arange(width) < lengths[:, None]] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         rank = np.full((n, width), NONE, np.int32)
         both = ids[:, 1:] >= 0
         rank[:, :-1][both] = self.table.find(ids[:, :-1][both], ids[:, 1:][both])
-        row, done = np.arange(n), [np.zeros(0, np.int32)] * n
+        row, done = np.arange(n), [[]] * n
         left = lengths.copy()
         while len(row):
             at = rank.argmin(1)
             least = rank[np.arange(len(row)), at]
             stuck = least == NONE
             if stuck.any():
-                for r in np.flatnonzero(stuck):
-                    done[row[r]] = ids[r, : left[r]].copy()
+                over = np.flatnonzero(stuck)
+                for to, n, ended in zip(row[over].tolist(), left[over].tolist(), ids[over].tolist(), strict=True):
+                    done[to] = ended[:n]
                 going = ~stuck
                 row, ids, rank, left, at, least = row[going], ids[going], rank[going], left[going], at[going], least[going]
                 if not len(row):
@@ -151,7 +152,7 @@ class ByteBPE:
             rank[end, at[end]] = NONE
         return done
 
-    def by_heap(self, piece: bytes) -> np.ndarray:
+    def by_heap(self, piece: bytes) -> list[int]:
         ids = [int(x) for x in self.of_byte[np.frombuffer(piece, np.uint8)]]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -179,7 +180,7 @@ class ByteBPE:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return np.array([x for x, a in zip(ids, alive, strict=True) if a], np.int32)
+        return [x for x, a in zip(ids, alive, strict=True) if a]
 
     def parts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of parts that can be encoded apart, and the first part of each text.
@@ -201,7 +202,7 @@ class ByteBPE:
             cut = [[m.encode() for m in self.pattern.findall(x.decode())] for x in B.strings(data, starts[new], ends[new])]
             pieces = list(dict.fromkeys(p for c in cut for p in c))
             of = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
-            self.ids.put(len(self.kept), [of[c[0]] if len(c) == 1 else np.concatenate([of[p] for p in c]) for c in cut])
+            self.ids.put(len(self.kept), [of[c[0]] if len(c) == 1 else [x for p in c for x in of[p]] for c in cut])
         ids, sizes = self.ids.get(index)
         self.kept.commit(new)
         return ids, B.sums(sizes, first)
