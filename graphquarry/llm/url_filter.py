@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,7 +120,7 @@ def canonical(url: Column) -> tuple[Column, Column]:
 def filter_urls(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns `keep`, host, path, rule (of the longest fitting one, else null) and verdict."""
     host, path = canonical(F.col(url).cast("string"))
-    source = pages.select(*keep, host.alias("host"), path.alias("path"))
+    source = pages.select(*keep, host.alias("host"), path.alias("path"), F.concat(host, path).alias("__joined"))
     automaton = ShiftAnd(tuple(g for r in rules for g in r.globs) + tuple(blocked))
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), rules[i].name))
     names = np.array([rules[i].name for i in order] + [None], object)
@@ -129,17 +128,15 @@ def filter_urls(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, blocked:
 
     def run(parts):
         for part in parts:
-            hosts, paths = part.column(len(keep)), part.column(len(keep) + 1)
-            joined = pa.compute.binary_join_element_wise(hosts.cast(pa.large_binary()), paths.cast(pa.large_binary()), b"")
-            hit = automaton.matches(*B.buffers(joined))
+            hit = automaton.matches(*B.buffers(part.column(part.num_columns - 1)))
             fits = hit[:, : 2 * len(rules)].reshape(len(hit), len(rules), 2).any(2)[:, order]
             best = np.where(fits.any(1), fits.argmax(1), len(rules)) if len(rules) else np.zeros(len(hit), np.int64)
             verdict = np.where(hit[:, 2 * len(rules) :].any(1), "block", "allow").astype(object)
             ruled = best < len(rules)
             verdict[ruled] = verdicts[best[ruled]]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(verdict, pa.string())], columns)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names[best], pa.string()), pa.array(verdict, pa.string())], columns)
 
-    schema = T.StructType([*source.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     columns = schema.names
     return B.ship(source).mapInArrow(run, schema)
 
