@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphquarry.llm import byte_bpe, packing, rules, token_counts, url_filter
+from graphquarry.llm import byte_bpe, media, packing, rules, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False, digests=True)
 
 
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.telephony(table(spark, sf_dir, "documents"), F.encode("text", "utf-8"), files=False)
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -34,6 +39,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_telephony": op2_telephony,
     "op4_rules": op4_rules,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
