@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import byte_bpe, media, packing, rules, token_counts, url_filter
+from graphquarry.llm import byte_bpe, line_dedup, media, packing, rules, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_telephony": op2_telephony,
@@ -44,6 +48,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {"op4_rules": rules.oracle(), "op8_url_filter": url_filter.oracle()}
+ORACLE: dict[str, str] = {"op4_rules": rules.oracle(), "op8_url_filter": url_filter.oracle(), "op10_line_dedup": line_dedup.oracle()}
