@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import byte_bpe, line_dedup, media, packing, rules, token_counts, url_filter
+from graphquarry.llm import byte_bpe, line_dedup, media, packing, rules, substring_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,10 +49,11 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_telephony": op2_telephony,
     "op4_rules": op4_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {"op4_rules": rules.oracle(), "op8_url_filter": url_filter.oracle(), "op10_line_dedup": line_dedup.oracle()}
+ORACLE: dict[str, str] = {"op4_rules": rules.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op8_url_filter": url_filter.oracle(), "op10_line_dedup": line_dedup.oracle()}
