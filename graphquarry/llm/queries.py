@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import byte_bpe, line_dedup, media, packing, rules, substring_dedup, token_counts, url_filter
+from graphquarry.llm import byte_bpe, line_dedup, media, ngram_join, packing, rules, substring_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_telephony": op2_telephony,
     "op4_rules": op4_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
