@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import byte_bpe, line_dedup, media, ngram_join, packing, rules, substring_dedup, token_counts, url_filter
+from graphquarry.llm import byte_bpe, classifier, line_dedup, media, ngram_join, packing, rules, substring_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.telephony(table(spark, sf_dir, "documents"), F.encode("text", "utf-8"), files=False)
 
 
+def op3_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~classifier.learnable()).alias("held_out"), "score", "predicted")
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -52,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_telephony": op2_telephony,
+    "op3_classifier": op3_classifier,
     "op4_rules": op4_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_join": op6_ngram_join,
