@@ -41,13 +41,6 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    """The shared folder of the cluster, from spark.checkpoint.dir; a local one only where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphquarry-checkpoints"))
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 

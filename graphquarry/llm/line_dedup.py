@@ -8,7 +8,8 @@ recurs; its lines are dropped from all these documents but the first (least doc_
 that no text is lost altogether. Lines of fewer than `least_words` words are never dropped.
 
 A first pass counts documents by hashed leaf, a few bytes for each line; only lines of leaves that
-recur take part in the rest. All counts are summed in two steps, first by document, so a line in a
+recur take part in the rest, in a second pass. A sieve of at most 2**20 slots (recurring leaves by
+hash) is broadcast so that most other lines go before the shuffle; the exact join follows. All counts are summed in two steps, first by document, so a line in a
 third of all documents is no group in one task; joins on leaves and templates are equi-joins that
 adaptive execution splits where a key is hot.
 
@@ -22,8 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.operators.components import ensure_checkpoint_dir
+
 SPACE = " \t\n\x0b\x0c\r"
 WILD = "<*>"
+#: Slots of the sieve, at most so many longs to broadcast.
+SIEVE = 1 << 20
 DEPTH, SIMILAR, LEAST_DOCS, LEAST_WORDS = 3, 0.7, 10, 3
 #: A word with a digit, an @ or ://, from its first character on.
 VARIABLE = f"(?<![^{SPACE}])[^{SPACE}0-9@:]*+(?::(?!//)[^{SPACE}0-9@:]*+)*+(?:[0-9@]|://)[^{SPACE}]*+"
@@ -40,9 +45,10 @@ LEAF = ["__l1", "__l2"]
 
 def parsed(docs: DataFrame, depth: int, least_words: int) -> DataFrame:
     """A row for each line of `least_words` words or more: document, position, template and leaf."""
-    words = F.filter(F.split(F.regexp_replace("__line", VARIABLE, WILD), f"[{SPACE}]+"), lambda w: w != "")
-    lines = docs.select("__id", *key(), F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line"))
-    lines = lines.withColumn("__words", words).where(F.size("__words") >= least_words)
+    plain = F.when(F.col("__line").rlike("[0-9@]|://"), F.regexp_replace("__line", VARIABLE, WILD)).otherwise(F.col("__line"))
+    words = F.split(plain, f"[{SPACE}]+")
+    lines = docs.select("__id", *key(), F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line")).withColumn("__line", F.btrim("__line", F.lit(SPACE)))
+    lines = lines.where(F.col("__line") != "").withColumn("__words", words).where(F.size("__words") >= least_words)
     head = F.array_join(F.slice("__words", 1, depth), " ")
     return lines.select("__id", *KEY, "__pos", F.array_join("__words", " ").alias("__template"), *(F.xxhash64(F.lit(i), F.size("__words"), head).alias(f"__l{i}") for i in (1, 2)))
 
@@ -67,10 +73,12 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, le
 
     The columns of the input keep their places; n_lines and n_dropped replace columns of that name.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     plain = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     lines = parsed(plain, depth, least_words)
-    leaves = lines.select(*LEAF, *KEY).distinct().groupBy(*LEAF).agg(F.count("*").alias("__n")).where(F.col("__n") >= least_docs).select(*LEAF)
-    lines = lines.join(leaves, LEAF)
+    leaves = lines.select(*LEAF, *KEY).distinct().groupBy(*LEAF).agg(F.count("*").alias("__n")).where(F.col("__n") >= least_docs).select(*LEAF).checkpoint()
+    sieve = leaves.select(F.pmod("__l1", F.lit(SIEVE)).alias("__slot")).distinct()
+    lines = lines.join(F.broadcast(sieve), F.pmod("__l1", F.lit(SIEVE)) == F.col("__slot"), "left_semi").join(leaves, LEAF, "left_semi").checkpoint()
     gone = lines.join(recurring(lines, similar, least_docs), [*LEAF, "__template"]).where((F.col("__k1") != F.col("__f1")) | (F.col("__k2") != F.col("__f2")))
     gone = gone.groupBy(*KEY).agg(F.collect_set("__pos").alias("__gone"))
     own = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__id", F.col("doc_id"))

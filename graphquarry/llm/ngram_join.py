@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
-from graphquarry.operators.components import connected_components
+from graphquarry.operators.components import connected_components, ensure_checkpoint_dir
 
 WIDTH, THRESHOLD = 5, Fraction(4, 5)
 BANDS, ROWS, TOLERANCE, STEP = 40, 5, 1e-9, 20
@@ -266,7 +266,7 @@ def groups(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD,
     class_id: the least doc_id of the documents connected by links; n_links: how many others are linked
     with it, copies included; is_first: this row (or one equal to it) is the first of its class.
     """
-    B.ensure_checkpoint_dir(docs.sparkSession)
+    ensure_checkpoint_dir(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     plain = plain.select("__id", *document_key(), "__text")
     rows = class_rows(plain, width).checkpoint()

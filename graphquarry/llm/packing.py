@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
+from graphquarry.operators.components import ensure_checkpoint_dir
 
 MOST_KEPT = 700_000
 #: 0: white space, 1: a to z, 2: A to Z, 3: ASCII punctuation but the apostrophe, 7: all else.
@@ -208,7 +209,7 @@ def pack_documents(docs: DataFrame, path: str, limit: int = 4096, closing: int =
     A document is its ids followed by `closing`; one of over `limit` ids is cut into pieces of `limit`.
     Sequences are numbered from 0 and have no gaps between pieces.
     """
-    B.ensure_checkpoint_dir(docs.sparkSession)
+    ensure_checkpoint_dir(docs.sparkSession)
     made = pieces(docs, path, limit, closing, text).checkpoint()
     per_task = made.groupBy("length", "__task").agg(F.count("*").alias("n"))
     count = np.zeros(limit + 1, np.int64)

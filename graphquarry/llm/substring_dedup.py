@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
+from graphquarry.operators.components import ensure_checkpoint_dir
 
 WIDTH, GRAM = 50, 8
 KEY = ["__k1", "__k2"]
@@ -142,7 +143,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", dige
     with n_words, n_removed and removed (array of intervals of word positions, end exclusive). With
     digests: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by a space.
     """
-    B.ensure_checkpoint_dir(docs.sparkSession)
+    ensure_checkpoint_dir(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     plain = plain.select("__id", *document_key(), "__text")
     spans = removed(plain, width)
