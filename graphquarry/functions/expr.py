@@ -159,7 +159,7 @@ def module_name(path: Column) -> Column:
 
 
 def clean_tags(tags: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def mint_sei(where: Column, run: Column, prefix: str = "sei:") -> Column:

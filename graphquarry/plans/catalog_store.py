@@ -1,0 +1,401 @@
+"""Registered queries of identities, upserts, sweeps, scalar functions, search, secrets and runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphquarry.functions import expr as X
+from graphquarry.operators import graph as G
+from graphquarry.operators import identity as I
+from graphquarry.operators import lifecycle as C
+from graphquarry.operators import lookup as L
+from graphquarry.operators import search as S
+from graphquarry.operators import secrets as K
+from graphquarry.operators import traverse as V
+from graphquarry.plans.catalog import BLOCK, LATEST, query
+
+# --- upserts -----------------------------------------------------------------------------------------
+
+
+@query("snk01_upsert_entities", "SELECT id, CASE WHEN plugin_id = 'lib' AND id LIKE '%7' THEN 'new' ELSE content_hash END AS content_hash, summary FROM {entities} UNION ALL SELECT 'lib:function:fresh', 'new', NULL")
+def _(t):
+    old = t.entities.select("id", "content_hash", "summary")
+    new = old.where("id like 'lib:function:p%7'").select("id", F.lit("new").alias("content_hash"), F.lit("x").alias("summary"), F.lit(1).alias("seq"))
+    new = new.unionByName(new.withColumn("content_hash", F.lit("older")).withColumn("seq", F.lit(0))).unionByName(t.spark.createDataFrame([("lib:function:fresh", "new", None, 1)], "id string, content_hash string, summary string, seq int"))
+    out = C.upsert(old, new.withColumn("summary", F.lit(None).cast("string")), ["id"], ("summary",), "seq")
+    return out.select("id", "content_hash", "summary")
+
+
+@query("snk02_upsert_edges", "SELECT kind, from_id, to_id, CASE WHEN kind = 'imports' THEN 'ambiguous' ELSE confidence END AS confidence FROM {edges} WHERE kind IN ('imports', 'decorates')")
+def _(t):
+    old = t.edges.where("kind in ('imports', 'decorates')").select("kind", "from_id", "to_id", "confidence")
+    return C.upsert(old, old.where("kind = 'imports'").withColumn("confidence", F.lit("ambiguous")), ["kind", "from_id", "to_id"])
+
+
+@query("snk03_upsert_findings", "SELECT id, 'run9' AS run_id, status, issue_id, created_at FROM {findings}")
+def _(t):
+    old = t.findings.select("id", "run_id", "status", "issue_id", "created_at")
+    return C.upsert_findings(old, old.select("id", F.lit("run9").alias("run_id"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("issue_id"), F.lit("2030").alias("created_at"))).select(*old.columns[:3], F.col("issue_id"), "created_at")
+
+
+@query("snk04_replace_file_edges", "SELECT kind, from_id, to_id FROM {edges} WHERE NOT (kind IN ('calls', 'references', 'decorates') AND from_id LIKE 'lib:%') UNION ALL SELECT 'calls', 'lib:function:p1', 'lib:function:p2'")
+def _(t):
+    path = F.when(F.col("from_id").startswith("lib:"), "lib/parts.rs").otherwise("other")
+    old = t.edges.select("kind", "from_id", "to_id", path.alias("source_file_id"))
+    new = t.spark.createDataFrame([("calls", "lib:function:p1", "lib:function:p2", "lib/parts.rs")], "kind string, from_id string, to_id string, source_file_id string")
+    return C.replace_anchored_edges(old, new, new.select("source_file_id")).drop("source_file_id")
+
+
+@query("snk05_replace_sites", "SELECT site_key FROM {sites} WHERE caller_entity_id NOT IN (SELECT entity_id FROM {tags} WHERE tag = 'test')")
+def _(t):
+    touched = t.tags.where("tag = 'test'").select(F.col("entity_id").alias("caller_entity_id"))
+    return C.replace_for(t.sites, t.sites.limit(0), "caller_entity_id", touched).select("site_key")
+
+
+@query("snk06_reconcile_blocks", f"SELECT id, {BLOCK} AS reason FROM (SELECT id, CASE WHEN source_file_path = 'lib/parts.rs' THEN '{{{{\"briefing_blocked\":\"secret_present\"}}}}' ELSE properties END AS properties FROM {{entities}})")
+def _(t):
+    verdict = t.spark.createDataFrame([("lib/parts.rs", "secret_present")], "source_file_path string, reason string")
+    return C.reconcile_blocks(t.entities, verdict).select("id", X.block_reason(F.col("properties")).alias("reason"))
+
+
+@query("snk07_inferred_edges", "SELECT DISTINCT from_id, to_id FROM {edges} WHERE kind = 'calls' AND confidence <> 'inferred' UNION SELECT DISTINCT from_id, to_id FROM {edges} WHERE kind = 'references'")
+def _(t):
+    calls = t.edges.where("kind = 'calls'")
+    new = t.edges.where("kind = 'references'").withColumn("kind", F.lit("calls")).withColumn("confidence", F.lit("inferred"))
+    again = calls.where("confidence = 'inferred'").select("from_id").distinct().withColumn("to_id", F.lit("none"))
+    stale = again.select(F.lit("calls").alias("kind"), "from_id", "to_id", F.lit("inferred").alias("confidence"), F.lit(None).cast("string").alias("properties"), F.lit(None).cast("long").alias("source_byte_start"))
+    return C.insert_inferred(calls, new.unionByName(stale)).where("to_id <> 'none'").select("from_id", "to_id").distinct()
+
+
+@query("snk08_upsert_taints", "SELECT entity_id, ingest_seq FROM (SELECT entity_id, max(ingest_seq) AS ingest_seq FROM {taints} GROUP BY entity_id)")
+def _(t):
+    return C.latest(t.taints, ["entity_id"], "ingest_seq").select("entity_id", "ingest_seq")
+
+
+@query("snk10_upsert_vectors", "SELECT vec_id, max(label) AS label FROM {embeddings} GROUP BY vec_id")
+def _(t):
+    return C.latest(t.embeddings.select("vec_id", "label", F.col("label").alias("seq")), ["vec_id"], "seq").select("vec_id", "label")
+
+
+@query("snk12_wire_findings", "SELECT f.id, CASE severity WHEN 'CRITICAL' THEN 'critical' WHEN 'ERROR' THEN 'high' WHEN 'WARN' THEN 'medium' ELSE 'info' END AS severity, source_file_path AS path FROM {findings} f JOIN {entities} e ON e.id = f.entity_id")
+def _(t):
+    wire = C.wire_findings(t.findings, t.entities)
+    return wire.select("id", F.get_json_object("wire", "$.severity").alias("severity"), F.get_json_object("wire", "$.path").alias("path"))
+
+
+# --- identities --------------------------------------------------------------------------------------
+
+SEI = "substr(sha256(locator || chr(0) || 'run2'), 1, 32)"
+ALIVE = "alive AS (SELECT 'sei:' || md5(locator) AS sei, locator, body_hash, signature FROM {snap}), now AS (SELECT locator, max((body_hash, signature))[1] AS body_hash, max((body_hash, signature))[2] AS signature FROM {descriptors} GROUP BY locator), gone AS (SELECT * FROM alive WHERE locator NOT IN (SELECT locator FROM now)), uniq AS (SELECT body_hash, signature, min(sei) AS sei FROM gone GROUP BY body_hash, signature HAVING count(*) = 1)"
+CLAIMS = f"WITH {ALIVE}, c AS (SELECT n.locator, CASE WHEN a.sei IS NOT NULL THEN a.sei WHEN g.sei IS NOT NULL AND g.body_hash IS NOT DISTINCT FROM n.body_hash THEN g.sei ELSE u.sei END AS sei, CASE WHEN a.sei IS NOT NULL THEN 'carried' WHEN g.sei IS NOT NULL AND g.body_hash IS NOT DISTINCT FROM n.body_hash THEN 'locator_changed' WHEN u.sei IS NOT NULL THEN 'moved' ELSE 'born' END AS event FROM now n LEFT JOIN alive a ON a.locator = n.locator LEFT JOIN {{renames}} r ON r.new_locator = n.locator LEFT JOIN gone g ON g.locator = r.old_locator LEFT JOIN uniq u ON u.body_hash = n.body_hash AND u.signature = n.signature), f AS (SELECT *, row_number() OVER (PARTITION BY sei ORDER BY event <> 'carried', locator) AS k FROM c), m AS (SELECT locator, CASE WHEN sei IS NOT NULL AND k = 1 THEN sei ELSE 'sei:' || {SEI} END AS sei, CASE WHEN sei IS NOT NULL AND k = 1 THEN event ELSE 'born' END AS event FROM f) "
+
+
+def alive(t):
+    return t.snap.select(F.concat(F.lit("sei:"), F.md5("locator")).alias("sei"), "locator", "body_hash", "signature")
+
+
+@query("sei01_mint", "SELECT locator, 'sei:' || " + SEI + " AS sei FROM {snap}")
+def _(t):
+    return t.snap.select("locator", X.mint_sei(F.col("locator"), F.lit("run2")).alias("sei"))
+
+
+@query("sei02_alive_bindings", "SELECT sei, current_locator FROM {bindings} WHERE status = 'alive'")
+def _(t):
+    return t.bindings.where("status = 'alive'").select("sei", "current_locator")
+
+
+@query("sei03_match", CLAIMS + "SELECT locator, sei, event FROM m")
+def _(t):
+    return I.match_identities(alive(t), t.descriptors, t.renames, "run2")
+
+
+@query("sei04_rename_hints", "SELECT 'geo:' || kind || ':old.' || substr(split_part(id, ':', 3), 4) AS old_locator, id AS new_locator FROM {entities} WHERE plugin_id = 'geo' AND starts_with(split_part(id, ':', 3), 'r1.')")
+def _(t):
+    moved = t.spark.createDataFrame([("old/__init__.py", "r1/__init__.py")], "old_path string, new_path string")
+    rows = I.renamed_locators(t.entities.select(F.col("id").alias("locator")), moved)
+    return rows.where("new_locator like 'geo:%:r1.%'")
+
+
+@query("sei06_orphans", CLAIMS + "SELECT sei, locator FROM alive WHERE sei NOT IN (SELECT sei FROM m)")
+def _(t):
+    return I.orphans(alive(t), I.match_identities(alive(t), t.descriptors, t.renames, "run2")).select("sei", "locator")
+
+
+@query("sei07_resolve", "SELECT current_locator AS ref, sei, status = 'alive' AS alive, content_hash FROM {bindings} JOIN {entities} ON id = current_locator WHERE status = 'alive' AND kind = 'class' UNION ALL SELECT 'nobody', NULL, false, NULL")
+def _(t):
+    asked = t.bindings.where("status = 'alive'").join(t.entities.where("kind = 'class'").select(F.col("id").alias("current_locator")), "current_locator", "left_semi").select(F.col("current_locator").alias("ref"))
+    return I.resolve(t.bindings, t.entities, asked.unionByName(t.spark.createDataFrame([("nobody",)], "ref string"))).select("ref", "sei", "alive", "content_hash")
+
+
+@query("sei08_bindings_after", CLAIMS + "SELECT coalesce(m.sei, a.sei) AS sei, coalesce(m.locator, a.locator) AS current_locator, CASE WHEN m.sei IS NOT NULL THEN 'alive' ELSE 'orphaned' END AS status FROM alive a FULL JOIN m ON m.sei = a.sei")
+def _(t):
+    matched = I.match_identities(alive(t), t.descriptors, t.renames, "run2")
+    old = alive(t).select("sei", F.col("locator").alias("current_locator"), "body_hash", "signature", F.lit("alive").alias("status"), F.lit("run1").alias("born_run_id"))
+    return I.upsert_bindings(old, matched, t.descriptors, "run2").select("sei", "current_locator", "status")
+
+
+@query("sei08_lineage", CLAIMS + "SELECT event, count(*) AS n FROM (SELECT event FROM m WHERE event <> 'carried' UNION ALL SELECT 'orphaned' FROM alive WHERE sei NOT IN (SELECT sei FROM m)) GROUP BY event")
+def _(t):
+    matched = I.match_identities(alive(t), t.descriptors, t.renames, "run2")
+    return I.lineage_of(matched, I.orphans(alive(t), matched), "run2").groupBy("event").agg(F.count("*").alias("n"))
+
+
+# --- lifecycle ---------------------------------------------------------------------------------------
+
+
+@query("lif01_sweep", "SELECT id FROM {findings} WHERE NOT (status = 'open' AND issue_id IS NULL AND run_id <> 'run2')")
+def _(t):
+    return C.sweep_stale(t.findings, "run2").select("id")
+
+
+@query("lif02_sweep_rules", "SELECT id FROM {findings} f WHERE NOT (status = 'open' AND issue_id IS NULL AND run_id <> 'run2' AND rule_id = 'PY-QUALITY' AND entity_id IN (SELECT id FROM {entities} WHERE source_file_path LIKE 'src/r1/%'))")
+def _(t):
+    rules = t.spark.createDataFrame([("PY-QUALITY",)], "rule_id string")
+    files = t.entities.where("source_file_path like 'src/r1/%'").select("source_file_path").distinct()
+    return C.sweep_rules(t.findings, "run2", rules, t.entities, files).select("id")
+
+
+@query("lif04_deletions", "SELECT 'deleted:' || id AS id, id AS entity_id FROM {entities} WHERE source_file_path = 'lib/parts.rs'")
+def _(t):
+    return C.deletion_findings(t.entities, t.spark.createDataFrame([("lib/parts.rs",)], "source_file_path string"), "run2").select("id", "entity_id")
+
+
+@query("lif06_collisions", "SELECT locator AS id, CASE WHEN count(DISTINCT p) > 1 THEN 'cross_file' ELSE 'same_file' END AS shape FROM (SELECT locator, substr(body_hash, 1, 1) AS p FROM {descriptors}) GROUP BY locator HAVING count(*) > 1")
+def _(t):
+    return C.collisions(t.descriptors.select(F.col("locator").alias("id"), F.substring("body_hash", 1, 1).alias("path"))).select("id", "shape")
+
+
+@query("lif07_stale_runs", "SELECT id, CASE WHEN status = 'running' AND (heartbeat_at IS NULL OR heartbeat_at < '2024-01-15T12:00:00.000Z') THEN 'failed' ELSE status END AS status FROM {runs}")
+def _(t):
+    return C.fail_stale_runs(t.runs, "2024-01-15T12:00:00.000Z").select("id", "status")
+
+
+@query("lif08_last_run", "SELECT id, status FROM {runs} WHERE status = 'completed' ORDER BY started_at DESC, id DESC LIMIT 1")
+def _(t):
+    return C.last_run(t.runs, completed=True).select("id", "status")
+
+
+@query("win05_prior_commit", "SELECT id, analyzed_at_commit FROM {runs} WHERE status = 'completed' AND analyzed_at_commit IS NOT NULL AND id <> 'run-2024-01-29' ORDER BY started_at DESC, id DESC LIMIT 1")
+def _(t):
+    return C.last_run(t.runs, True, True, "run-2024-01-29").select("id", "analyzed_at_commit")
+
+
+@query("lif09_incremental", "SELECT doc_id AS path, doc_id % 3 <> 0 AS work FROM {documents} WHERE doc_id < 100")
+def _(t):
+    files = t.documents.where("doc_id < 100").select((F.col("doc_id") % 100).alias("path"), F.md5("text").alias("hash"))
+    prior = files.select("path", F.when(F.col("path") % 3 == 0, F.col("hash")).otherwise("old").alias("hash"))
+    return C.needs_work(files, prior)
+
+
+@query("lif10_freshness", "SELECT id, CASE WHEN status = 'failed' THEN 'never_analyzed' WHEN analyzed_at_commit IS NULL AND heartbeat_at IS NULL THEN 'fresh' WHEN analyzed_at_commit = md5('2024-01-03') OR analyzed_at_commit IS NULL THEN 'fresh' ELSE 'drift' END AS state FROM {runs}")
+def _(t):
+    none = F.lit(None)
+    state = C.freshness(F.when(F.col("status") != "failed", F.col("started_at")), F.col("analyzed_at_commit"), F.md5(F.lit("2024-01-03")), none.cast("string"), none.cast("int"), none.cast("int"), none.cast("boolean"), F.lit(True))
+    return t.runs.select("id", state.alias("state"))
+
+
+@query("lif12_repair", "SELECT id, CASE WHEN parent_id IN (SELECT id FROM {entities} WHERE source_file_path NOT LIKE 'src/r1/%') THEN parent_id END AS parent_id FROM {entities} WHERE source_file_path NOT LIKE 'src/r1/%'")
+def _(t):
+    files = t.entities.where("source_file_path not like 'src/r1/%'").select("source_file_path").distinct()
+    return C.repair(t.entities, files).select("id", "parent_id")
+
+
+@query("lif13_collapse_imports", "SELECT 'geo:module:r' || CAST(n_regionkey AS VARCHAR) || '.n' || CAST(n_nationkey AS VARCHAR) AS to_id, 'm' AS from_id FROM {nation} WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'geo:module:r' || CAST(n_regionkey AS VARCHAR), 'm' FROM {nation} WHERE n_nationkey % 2 = 1")
+def _(t):
+    name = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))).otherwise("Thing")
+    imports = t.nation.select(F.lit("m").alias("from_id"), F.concat(F.lit("geo:module:r"), F.col("n_regionkey").cast("string")).alias("to_id"), name.alias("imported_name"), F.lit(0).alias("level"))
+    outside = t.spark.createDataFrame([("m", "ext:module:os", "path", 0)], "from_id string, to_id string, imported_name string, level int")
+    return C.collapse_imports(imports.unionByName(outside), t.entities.where("kind = 'module'").select("id")).select("to_id", "from_id")
+
+
+@query("lif14_ready_edges", "SELECT kind, from_id, to_id FROM {edges} WHERE from_id IN (SELECT id FROM {entities}) AND to_id IN (SELECT id FROM {entities})")
+def _(t):
+    return C.ready_edges(t.edges, t.entities).select("kind", "from_id", "to_id")
+
+
+@query("lif14_waiting_edges", "SELECT kind, from_id, to_id FROM {edges} WHERE NOT (from_id IN (SELECT id FROM {entities}) AND to_id IN (SELECT id FROM {entities}))")
+def _(t):
+    return C.ready_edges(t.edges, t.entities, False).select("kind", "from_id", "to_id")
+
+
+@query("lif_edge_contract", "SELECT kind, from_id, to_id, 'inferred_at_scan' AS reason FROM {edges} WHERE kind NOT IN ('contains', 'in_subsystem') AND confidence = 'inferred'")
+def _(t):
+    return C.edge_violations(t.edges)
+
+
+@query("jon21_baseline", "SELECT doc_id % 50 AS line, count(*) AS n, count(*) FILTER (WHERE doc_id % 7 = 0) AS allowed FROM {documents} GROUP BY 1")
+def _(t):
+    hits = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.lit("R").alias("rule_id"), (F.col("doc_id") % 50).alias("line"), F.lit("h").alias("secret_hash"))
+    base = t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("path"), F.lit("R").alias("rule_id"), (F.col("doc_id") % 50).alias("line"), F.lit("h").alias("secret_hash"), F.lit(False).alias("is_secret"))
+    return K.suppressed(hits, base).groupBy("line").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"))
+
+
+@query("jon22_issues", "SELECT issue_id, entity_id, CASE WHEN CAST(substr(f.id, 2) AS BIGINT) % 2 = 1 AND e.id IS NOT NULL THEN 'drifted' END AS state FROM {findings} f JOIN {entities} e ON e.id = f.entity_id WHERE issue_id IS NOT NULL")
+def _(t):
+    rows = t.findings.where("issue_id is not null").select("issue_id", "entity_id", F.lit("other").alias("content_hash"), F.substring("id", 2, 20).cast("long").alias("seq"))
+    return C.issues(rows, t.entities, 1 << 30)
+
+
+# --- sets and windows --------------------------------------------------------------------------------
+
+
+@query("set03_both_ends", "SELECT from_id, to_id FROM {edges} WHERE kind = 'imports' AND from_id LIKE 'geo:module:r1%' AND to_id LIKE 'geo:module:r1%'")
+def _(t):
+    inside = t.entities.where("id like 'geo:module:r1%'").select("id")
+    rows = t.edges.where("kind = 'imports'").select("from_id", "to_id")
+    for end in ("from_id", "to_id"):
+        rows = rows.join(inside.withColumnRenamed("id", end), end, "left_semi")
+    return rows.select("from_id", "to_id")
+
+
+@query("set05_retained", "SELECT locator FROM {snap} UNION SELECT locator FROM {descriptors}")
+def _(t):
+    return t.snap.select("locator").unionByName(t.descriptors.select("locator")).distinct()
+
+
+@query("win04_bucket_limit", "SELECT kind, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY from_id, to_id) AS k FROM {edges}) WHERE k <= 10")
+def _(t):
+    return L.ranked(t.edges.select("kind", "from_id", "to_id"), "kind", [F.col("from_id"), F.col("to_id")], 10)
+
+
+# --- scalar functions --------------------------------------------------------------------------------
+
+
+@query("sca04_callee_leaf", "SELECT site_key, regexp_extract(callee_expr, '([^.:]*)$', 1) AS leaf FROM {sites}")
+def _(t):
+    return t.sites.select("site_key", X.callee_leaf(F.col("callee_expr")).alias("leaf"))
+
+
+@query("sca06_qualname", "SELECT id, split_part(id, ':', 3) AS qualname FROM {entities}")
+def _(t):
+    return t.entities.select("id", X.qualname(F.col("id")).alias("qualname"))
+
+
+@query("sca07_candidates", "SELECT kind, from_id, to_id, array_to_string(list_sort(list_distinct(CAST(json_extract(properties, '$.candidates') AS VARCHAR[]))), ',') AS candidates FROM {edges} WHERE confidence = 'ambiguous'")
+def _(t):
+    return t.edges.where("confidence = 'ambiguous'").select("kind", "from_id", "to_id", F.array_join(X.candidates(F.col("properties")), ",").alias("candidates"))
+
+
+@query("sca10_entropy", "WITH c AS (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS c FROM {part}), n AS (SELECT p_partkey, c, count(*) / length(any_value(p_name)) AS p FROM c GROUP BY p_partkey, c) SELECT p_partkey, round(-sum(p * log2(p)), 6) AS bits FROM n GROUP BY p_partkey")
+def _(t):
+    return t.part.select("p_partkey", F.round(X.entropy(F.col("p_name")), 6).alias("bits"))
+
+
+@query("sca11_secretlike", "SELECT id FROM {entities} WHERE false")
+def _(t):
+    return t.entities.where(X.looks_secret(F.col("name"))).select("id")
+
+
+@query("sca12_cosine", "WITH q AS (SELECT embedding AS q FROM {embeddings} WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM {embeddings}, q")
+def _(t):
+    q = F.broadcast(t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    return t.embeddings.crossJoin(q).select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+
+
+@query("sca13_hashes", "SELECT id, sha256(name) AS body, substr(sha256(id), 1, 12) AS cluster FROM {entities}")
+def _(t):
+    return t.entities.select("id", F.sha2("name", 256).alias("body"), X.cluster_hash(F.array("id")).alias("cluster"))
+
+
+@query("sca14_unix_seconds", "SELECT id, CAST(epoch(CAST(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS BIGINT) AS s FROM {runs}")
+def _(t):
+    return t.runs.select("id", X.unix_seconds(F.col("started_at")).alias("s"))
+
+
+@query("sca16_drift", "SELECT l_orderkey, l_linenumber, abs(l_quantity - l_linenumber) * 2 > abs(l_linenumber) AS drifted FROM {lineitem}")
+def _(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.drifted(F.col("l_quantity"), F.col("l_linenumber")).alias("drifted"))
+
+
+@query("sca20_token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM {documents}")
+def _(t):
+    return t.documents.select("doc_id", X.estimated_tokens(F.length("text")).alias("tokens"))
+
+
+@query("sca21_slug", "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM {customer}")
+def _(t):
+    return t.customer.select("c_custkey", X.slug(F.col("c_name")).alias("slug"))
+
+
+@query("sca22_module_name", "SELECT DISTINCT source_file_path, replace(regexp_replace(regexp_replace(regexp_replace(source_file_path, '^src/', ''), '[.]pyi?$', ''), '/__init__$', ''), '/', '.') AS module FROM {entities}")
+def _(t):
+    return t.entities.select("source_file_path", X.module_name(F.col("source_file_path")).alias("module")).distinct()
+
+
+@query("sca24_clean_tags", "SELECT doc_id, array_to_string(list_sort(list_distinct([lang, source])), ',') AS tags FROM {documents}")
+def _(t):
+    return t.documents.select("doc_id", F.array_join(X.clean_tags(F.array("lang", "source", F.lit("  "), F.concat(F.lit(" "), "lang"))), ",").alias("tags"))
+
+
+# --- search ------------------------------------------------------------------------------------------
+
+FIND = "(contains(lower(id), '{0}') OR contains(lower(name), '{0}') OR contains(lower(short_name), '{0}') OR contains(lower(coalesce(summary, '')), '{0}') OR (" + BLOCK + " IS NULL AND contains(lower(coalesce(json_extract_string(CASE WHEN json_valid(properties) THEN properties END, '$.docstring'), '')), '{0}')))"
+
+
+@query("sch02_containing", "SELECT id FROM {entities} WHERE " + FIND.replace("{0}", "handles o1"))
+def _(t):
+    return S.containing(t.entities, "Handles O1")
+
+
+@query("sch03_find", "SELECT id, kind, name FROM {entities} WHERE kind = 'class' AND " + FIND.replace("{0}", "customer") + " ORDER BY id LIMIT 20")
+def _(t):
+    return S.find(t.entities, None, "customer", "class", 20)
+
+
+@query("sch01_bm25")
+def _(t):
+    return S.bm25(S.inverted_index(t.entities.where("summary is not null")), "summaries o7")
+
+
+@query("sch04_semantic", "WITH q AS (SELECT embedding AS q FROM {embeddings} WHERE vec_id = 0), s AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM {embeddings}, q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20")
+def _(t):
+    vectors = t.embeddings.select(F.col("vec_id").cast("string").alias("entity_id"), F.lit("h").alias("content_hash"), F.lit("m1").alias("model_id"), F.col("embedding").alias("vec"))
+    return S.semantic(vectors, vectors.where("entity_id = '0'"), "m1").select("id", F.round("score", 6).alias("score"))
+
+
+@query("sch05_embedding_candidates", f"SELECT id, content_hash FROM {{entities}} WHERE {BLOCK} IS NULL AND NOT (plugin_id = 'lib')")
+def _(t):
+    have = t.entities.where("plugin_id = 'lib'").select(F.col("id").alias("entity_id"), "content_hash", F.lit("m1").alias("model_id"))
+    return S.embedding_candidates(t.entities, have, "m1").select("id", "content_hash")
+
+
+@query("sch12_taint_facts", "SELECT entity_id, fact_json, updated_at FROM (" + LATEST.format(key="entity_id") + ")")
+def _(t):
+    return L.latest_facts(t.taints, "entity_id").select("entity_id", "fact_json", "updated_at")
+
+
+@query("sch15_callees", "SELECT from_id AS id, count(DISTINCT to_id) AS callees FROM {edges} WHERE kind = 'calls' AND confidence = 'resolved' GROUP BY from_id")
+def _(t):
+    return G.callees(t.edges, t.entities, "resolved").groupBy(F.col("from_id").alias("id")).agg(F.count_distinct("to_id").alias("callees"))
+
+
+@query("sec01_pattern_counts", "SELECT CAST(doc_id AS VARCHAR) AS path, 'ContextualCredential' AS rule_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9_-])(?:password|passwd|secret[_-]?token|secret|token|api[_-]?key)\\s*(?:=|:=|:)\\s*[\"'']([^\"''\\s]{{8,}})[\"'']')) AS n FROM {documents}) WHERE n > 0")
+def _(t):
+    return K.pattern_counts(t.documents, "doc_id", "text").where("rule_id = 'ContextualCredential'")
+
+
+@query("sec02_scan")
+def _(t):
+    return K.scan(t.documents, "doc_id", "text")
+
+
+@query("mis03_any_tag", "SELECT DISTINCT entity_id FROM {tags} WHERE tag IN ('todo', 'reflection')")
+def _(t):
+    return t.tags.where(F.col("tag").isin("todo", "reflection")).select("entity_id").distinct()
+
+
+@query("mis04_function_plugins", "SELECT DISTINCT plugin_id FROM {entities} WHERE kind = 'function'")
+def _(t):
+    return t.entities.where("kind = 'function'").select("plugin_id").distinct()
+
+
+@query("mis09_extensions", "SELECT DISTINCT regexp_extract(source_file_path, '([.][^./]+)$', 1) AS extension FROM {entities}")
+def _(t):
+    return t.entities.select(F.regexp_extract("source_file_path", r"(\.[^./]+)$", 1).alias("extension")).distinct()
+
+
+@query("agg12_dead_summary")
+def _(t):
+    start = V.roots_of(t.tags).select(F.col("entity_id").alias("id"))
+    dead = V.dead_code(t.entities, t.edges, t.tags, G.targeted_by_sites(t.sites, t.entities))
+    return V.dead_summary(dead, V.reachable(V.live_links(t.edges), start))
