@@ -5,18 +5,21 @@ Spark. To keep the shuffle small, windows travel as runs. Every window has a key
 the `GRAM`-word grams in it, which depends on its words alone; consecutive windows with one key form
 a run (about 22 windows), and equal windows always have equal keys. So
 
-1. each run is one row: key, hash of the whole run, document, start, length;
+1. keys that occur in several documents are counted, and set as bits of a sieve of fixed size
+   (`SIEVE_BITS`, 4 MB) that is broadcast. Only runs whose key passes are written, a row each: key,
+   hash of the whole run, document, start, length. Others that pass by chance change nothing;
 2. a run whose (key, run hash) also occurs in a document with a smaller doc_id is removed whole;
-3. of each (key, run hash) the rows of the first document remain. Where a key has several run hashes,
-   their windows are told apart one by one: only then are window hashes sent, counted by (key, hash),
-   and compared with the least doc_id of each.
+3. of each (key, run hash) the first document remains. Where a key has several run hashes, their
+   windows are told apart one by one: only of these runs (found again by a second sieve of that size)
+   are window hashes sent, counted by (key, hash), and compared with the least doc_id of each.
 
 As the first document stands for all with the same run, the least doc_id of every window is exact.
 Removed windows merge into maximal intervals by a difference array over the document's words.
 
 Every group is aggregated before its shuffle and joined back by an equi-join that adaptive execution
 splits, so a passage in a third of all documents is in no single task. Equality is by two 64-bit
-hashes (key and run, key and window). Runs are written to the checkpoint folder once.
+hashes (key and run, key and window). Texts are read three times and shuffled once, for the result. Runs and
+windows are written to the checkpoint folder.
 
 Null texts have no words. Rows without doc_id are never smaller than any, and keep their words unless
 another row removes them. Rows with equal doc_id and text are treated alike. Texts of fewer than
@@ -29,20 +32,41 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
-from graphquarry.operators.components import ensure_checkpoint_dir
+from graphquarry.operators.components import written
 
 WIDTH, GRAM = 50, 8
-KEY = ["__k1", "__k2"]
+SIEVE_BITS = 25
+KEY = ["__id", "__k1"]
 LAST = (1 << 63) - 1
 
 
-def document_key() -> list[Column]:
-    return [F.xxhash64(F.lit(i), F.col("__id"), F.col("__text")).alias(f"__k{i}") for i in (1, 2)]
+def known(docs: DataFrame, text: str, *columns: str) -> DataFrame:
+    """__id, __k1 and __text: rows without doc_id get the last number; __k1 tells rows of one doc_id apart by text."""
+    out = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    return out.select(*columns, "__id", F.xxhash64("__text").alias("__k1"), "__text")
+
+
+class Sieve:
+    """A broadcast bit for each slot of 64-bit values."""
+
+    def __init__(self, values: DataFrame, column: str):
+        slot = F.pmod(column, F.lit(1 << SIEVE_BITS))
+        bits = values.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        found, words = bits.toArrow(), np.zeros(1 << (SIEVE_BITS - 6), np.uint64)  # a row for each word at most
+        words[np.asarray(found["w"], np.int64)] = np.asarray(found["b"], np.int64).view(np.uint64)
+        self.words = values.sparkSession.sparkContext.broadcast(words)
+
+    def __getstate__(self):
+        return {"words": self.words}
+
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        slot = values & np.uint64((1 << SIEVE_BITS) - 1)
+        return ((self.words.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def least_in(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,59 +102,76 @@ def long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64, copy=False))
 
 
-RUNS = "__key long, __run long, __id long, __k1 long, __k2 long, __at int, __n int"
-WINDOWS = "__key long, __hash long, __id long, __k1 long, __k2 long, __at int"
+RUNS = "__key long, __run long, __id long, __k1 long, __at int, __n int"
+WINDOWS = "__key long, __hash long, __id long, __k1 long, __at int"
 _names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
 
-def run_rows(docs: DataFrame, width: int) -> DataFrame:
+def run_hashes(hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One hash of each run's windows, in which their order counts."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    place = (np.arange(len(hashes)) - np.repeat(start, n)).astype(np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * (np.uint64(2) * place + np.uint64(B.BASE)), dtype=np.uint64)])
+    return B.mixed(total[start + n] - total[start] + n.astype(np.uint64))
+
+
+def key_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(__key, __id), once for each run."""
+
     def go(parts):
         for part in parts:
-            meta = [np.asarray(part.column(i).fill_null(LAST)) for i in range(3)]
-            for a, z, data, off in B.chunks(*B.buffers(part.column(3))):
+            ids = np.asarray(part.column(0), np.int64)
+            for a, _, data, off in B.chunks(*B.buffers(part.column(1))):
+                doc, _, keys, *_ = windows(data, off, width)
+                start, _ = runs_of(doc, keys)
+                yield pa.RecordBatch.from_arrays([long(keys[start]), long(ids[a + doc[start]])], ["__key", "__id"])
+
+    return B.ship(docs.select("__id", "__text")).mapInArrow(go, "__key long, __id long")
+
+
+def run_rows(docs: DataFrame, width: int, shared: Sieve) -> DataFrame:
+    def go(parts):
+        for part in parts:
+            meta = [np.asarray(part.column(i), np.int64) for i in range(2)]
+            for a, _, data, off in B.chunks(*B.buffers(part.column(2))):
                 doc, at, keys, hashes, *_ = windows(data, off, width)
                 start, n = runs_of(doc, keys)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * (2 * (np.arange(len(hashes)) - np.repeat(start, n)).astype(np.uint64) + np.uint64(B.BASE)), dtype=np.uint64)])
-                whole = B.mixed(total[start + n] - total[start] + n.astype(np.uint64)) if len(start) else hashes
-                d = a + doc[start]
-                yield pa.RecordBatch.from_arrays([long(keys[start]), long(whole), *(long(m[d]) for m in meta), pa.array(at[start].astype(np.int32)), pa.array(n.astype(np.int32))], _names(RUNS))
+                whole = run_hashes(hashes, start, n)
+                k = shared.passes(keys[start])
+                start, n, whole = start[k], n[k], whole[k]
+                yield pa.RecordBatch.from_arrays([long(keys[start]), long(whole), *(long(m[a + doc[start]]) for m in meta), pa.array(at[start].astype(np.int32)), pa.array(n.astype(np.int32))], _names(RUNS))
 
-    return B.ship(docs.select("__id", *KEY, "__text")).mapInArrow(go, RUNS)
+    return docs.select(*KEY, "__text").mapInArrow(go, RUNS)
 
 
-def window_rows(docs: DataFrame, width: int) -> DataFrame:
-    """Windows of the runs that start at the positions in `__wanted`."""
+def window_rows(docs: DataFrame, width: int, unsure: Sieve) -> DataFrame:
+    """Windows of the runs that pass, by key, run hash and document."""
 
     def go(parts):
         for part in parts:
-            meta = [np.asarray(part.column(i).fill_null(LAST)) for i in range(3)]
-            wanted = part.column(4)
-            bounds, values = np.asarray(wanted.offsets, np.int64), np.asarray(wanted.flatten(), np.int64)
-            bounds = bounds - bounds[0]
-            for a, z, data, off in B.chunks(*B.buffers(part.column(3))):
+            meta = [np.asarray(part.column(i), np.int64) for i in range(2)]
+            for a, _, data, off in B.chunks(*B.buffers(part.column(2))):
                 doc, at, keys, hashes, *_ = windows(data, off, width)
                 start, n = runs_of(doc, keys)
-                owner = np.repeat(np.arange(z - a), np.diff(bounds[a : z + 1]))
-                ask = (owner << 32) | values[bounds[a] : bounds[z]]
-                k = np.isin((doc[start] << 32) | at[start], ask)
+                k = unsure.passes(keys[start] ^ run_hashes(hashes, start, n) ^ meta[0][a + doc[start]].view(np.uint64))
                 rows = B.ragged(start[k], n[k])
-                d = a + doc[rows]
-                yield pa.RecordBatch.from_arrays([long(keys[rows]), long(hashes[rows]), *(long(m[d]) for m in meta), pa.array(at[rows].astype(np.int32))], _names(WINDOWS))
+                yield pa.RecordBatch.from_arrays([long(keys[rows]), long(hashes[rows]), *(long(m[a + doc[rows]]) for m in meta), pa.array(at[rows].astype(np.int32))], _names(WINDOWS))
 
-    return B.ship(docs.select("__id", *KEY, "__text", "__wanted")).mapInArrow(go, WINDOWS)
+    return docs.select(*KEY, "__text").mapInArrow(go, WINDOWS)
 
 
 def removed(docs: DataFrame, width: int) -> DataFrame:
-    """For documents with repeats: key and `__spans`, an array of (first window, number of windows)."""
-    runs = run_rows(docs, width).checkpoint()
+    """For documents with repeats: __id, __k1 and `__spans`, an array of (first window, number of windows)."""
+    several_docs = key_rows(docs, width).groupBy("__key").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b")
+    runs = written(run_rows(docs, width, Sieve(several_docs, "__key")))
     pair = ["__key", "__run"]
     first = runs.groupBy(*pair).agg(F.min("__id").alias("__first"))
-    several = first.groupBy("__key").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__key")
     marked = runs.join(first, pair)
     whole = marked.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
-    unsure = marked.where(F.col("__id") == F.col("__first")).join(several, "__key", "left_semi")
-    wanted = unsure.groupBy(*KEY).agg(F.collect_set("__at").alias("__wanted"))
-    single = window_rows(docs.join(wanted.hint("shuffle_hash"), KEY), width).checkpoint()
+    several_runs = first.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
+    unsure = first.join(several_runs, "__key", "left_semi").select(F.col("__key").bitwiseXOR(F.col("__run")).bitwiseXOR(F.col("__first")).alias("__slot"))
+    single = written(window_rows(docs, width, Sieve(unsure, "__slot")))
     least = single.groupBy("__key", "__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__most")).where(F.col("__first") < F.col("__most"))
     single = single.join(least, ["__key", "__hash"]).where(F.col("__id") > F.col("__first")).select(*KEY, "__at", F.lit(1).alias("__n"))
     return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("__at", "__n")).alias("__spans"))
@@ -143,19 +184,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", dige
     with n_words, n_removed and removed (array of intervals of word positions, end exclusive). With
     digests: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by a space.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    plain = plain.select("__id", *document_key(), "__text")
-    spans = removed(plain, width)
+    spans = removed(known(docs, text), width)
     if digests:
-        source = plain.join(spans.hint("shuffle_hash"), KEY, "left").select("__id", "__text", "__spans")
-        keep, types = ["__id"], [T.StructField("doc_id", T.LongType())]
+        source = known(docs, text).join(spans.hint("shuffle_hash"), KEY, "left").select("__id", "__text", "__spans")
+        source = source.withColumn("__id", F.when(F.col("__id") != LAST, F.col("__id")))
+        types = [T.StructField("doc_id", T.LongType())]
     else:
         keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "removed")]
         types = [docs.schema[c] for c in keep]
-        own = docs.select(*keep, F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-        own = own.select("*", *document_key())
-        source = own.join(spans.hint("shuffle_hash"), KEY, "left").select(*keep, "__text", "__spans")
+        source = known(docs, text, *keep).join(spans.hint("shuffle_hash"), KEY, "left").select(*keep, "__text", "__spans")
     tail = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     tail += [T.StructField("kept_sha256", T.StringType())] if digests else [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(text, T.StringType())]
     schema = T.StructType(types + tail)
