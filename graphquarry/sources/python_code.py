@@ -28,12 +28,16 @@ def module_of(path: str) -> str:
 
 
 def dotted(node: ast.AST) -> str | None:
+    """A name with its attributes. On anything else an attribute is `().name`, which means no entity."""
     if isinstance(node, ast.Name):
         return node.id
     if isinstance(node, ast.Attribute):
-        head = dotted(node.value)
-        return f"{head}.{node.attr}" if head else None
-    return dotted(node.func) if isinstance(node, ast.Call) else None
+        return f"{dotted(node.value) or '()'}.{node.attr}"
+    return None
+
+
+def decorator(node: ast.AST) -> str:
+    return dotted(node.func if isinstance(node, ast.Call) else node) or ""
 
 
 def type_checking(test: ast.AST) -> bool:
@@ -128,8 +132,8 @@ class Extractor:
             if isinstance(node, ast.ClassDef):
                 self.declare(node, "class", scope, parent, top, owner)
             elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                overload = any((dotted(d) or "").split(".")[-1] == "overload" for d in node.decorator_list)
-                if not overload and node is seen[node.name][-1] or overload and all(any((dotted(d) or "").split(".")[-1] == "overload" for d in n.decorator_list) for n in seen[node.name]) and node is seen[node.name][-1]:
+                overload = any(decorator(d).split(".")[-1] == "overload" for d in node.decorator_list)
+                if not overload and node is seen[node.name][-1] or overload and all(any(decorator(d).split(".")[-1] == "overload" for d in n.decorator_list) for n in seen[node.name]) and node is seen[node.name][-1]:
                     self.declare(node, "function", scope, parent, top, owner)
             elif isinstance(node, ast.If | ast.Try | ast.With | ast.For | ast.While):
                 for field in ("body", "orelse", "finalbody"):
@@ -145,9 +149,9 @@ class Extractor:
         doc = ast.get_docstring(node)
         signature = f"({ast.unparse(node.args)})" if kind == "function" else f"({', '.join(map(ast.unparse, node.bases))})"
         where = self.entity(kind, name, parent, node, signature=signature, properties=json.dumps({"docstring": doc} if doc else {}))
-        marks = [dotted(d) or "" for d in node.decorator_list]
+        marks = [decorator(d) for d in node.decorator_list]
         for d in node.decorator_list:
-            self.add("site", kind="decorates", from_id=where, text=dotted(d) or "", start=self.at(d), scope=scope)
+            self.add("site", kind="decorates", from_id=where, text=decorator(d), start=self.at(d), scope=scope)
         if kind == "class":
             for b in node.bases:
                 self.add("site", kind="inherits_from", from_id=where, text=dotted(b) or "", start=self.at(b), scope=scope)
