@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,15 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Only in local mode a folder of ours stands in where that is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphquarry-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "graphquarry-checkpoints")
+        sc.setCheckpointDir(folder)
 
 
 def written(rows: DataFrame) -> DataFrame:
