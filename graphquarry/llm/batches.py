@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (1 << 20) - 1
 #: A word is a maximal run of bytes other than 0x20 and 0x09 to 0x0D, in UTF-8.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -41,6 +41,17 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+_held: list = [None, None]
+
+
+def held(key, make):
+    """What `make` made for the key, kept for a worker's next task. One thing is kept at a time, so that workers stay small."""
+    if _held[0] != key:
+        _held[:] = None, None
+        _held[:] = key, make()
+    return _held[1]
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
@@ -117,8 +128,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """Rabin-Karp hashes of words, from one prefix sum over all bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = powers(len(data))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[data] * p, dtype=np.uint64)])
+    p, q = powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[data] * p[:-1], dtype=np.uint64)])
     return mixed((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 

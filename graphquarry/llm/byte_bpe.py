@@ -215,14 +215,9 @@ class ByteBPE:
         return data, np.diff(ends)
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
-
-
 def tokenizer(path: str, pattern: str) -> ByteBPE:
-    """One per worker; the vocabulary file has to be on every machine."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBPE.load(path, pattern)
-    return _loaded[path, pattern]
+    """The vocabulary file has to be on every machine."""
+    return B.held((path, pattern), lambda: ByteBPE.load(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, digests: bool = False) -> DataFrame:

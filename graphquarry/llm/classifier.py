@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
 
-BUCKETS, DIMENSIONS, SAMPLE = 1 << 17, 16, 3000
+BUCKETS, DIMENSIONS, SAMPLE = 1 << 17, 16, 2500
 GRAMS = (3, 4, 5)
 EPOCHS, RATE, SEED = 8, 0.5, 7
 THRESHOLD = 0.3
-MOST_KEPT = 500_000
+MOST_KEPT = 300_000
 END, SAME = (int(x % BUCKETS) for x in B.mixed(np.array([0xE05, 0x5A3E], np.uint64)))
 
 

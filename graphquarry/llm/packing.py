@@ -104,13 +104,8 @@ class WordTokenizer:
         return ids, B.sums(sizes, first)
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    return B.held(("words", path), lambda: WordTokenizer(path))
 
 
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("__task", T.IntegerType()), T.StructField("__rank", T.LongType())])

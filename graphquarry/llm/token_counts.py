@@ -110,13 +110,8 @@ def word_pieces(path: str) -> tuple[list[str], list[str]]:
     return [p[1:] for p in usable if p.startswith("▁") and len(p) > 1], [p for p in usable if not p.startswith("▁")]
 
 
-_loaded: dict[str, tuple[Automaton, B.Interner, B.Values]] = {}
-
-
 def loaded(path: str) -> tuple[Automaton, B.Interner, B.Values]:
-    if path not in _loaded:
-        _loaded[path] = Automaton(*word_pieces(path)), B.Interner(MOST_KEPT), B.Values(np.int64)
-    return _loaded[path]
+    return B.held(("pieces", path), lambda: (Automaton(*word_pieces(path)), B.Interner(MOST_KEPT), B.Values(np.int64)))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
