@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
+from graphquarry.shipping import ship
 
 MOST_OFFSET = 100_000
 
@@ -95,7 +96,7 @@ def stemmed(words: DataFrame) -> DataFrame:
         for part in parts:
             yield pd.DataFrame({"word": part["word"], "term": [stem(w) for w in part["word"]]})
 
-    return words.select("word").distinct().mapInPandas(run, "word string, term string")
+    return ship(words.select("word").distinct()).mapInPandas(run, "word string, term string")
 
 
 def inverted_index(entities: DataFrame) -> DataFrame:

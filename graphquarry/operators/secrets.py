@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.shipping import ship
+
 # Detector names, the expressions that the formats need, and the group that is the secret.
 DETECTORS = (
     ("AwsAccessKeyId", rb"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0),
@@ -72,7 +74,7 @@ def scan(files: DataFrame, path: str = "path", content: str = "content") -> Data
             yield pd.DataFrame(rows, columns=["path", "rule_id", "byte_offset", "length", "line", "secret_hash"])
 
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).where(F.col("content").rlike(SIEVE))
-    return rows.mapInPandas(run, SCHEMA)
+    return ship(rows).mapInPandas(run, SCHEMA)
 
 
 def pattern_counts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.shipping import ship
+
 PLUGIN = "python"
 ROWS = "what string, path string, data string"
 MOST_NODES = 200_000
@@ -207,7 +209,7 @@ def extract(files: DataFrame) -> DataFrame:
                     rows.append((what, path, json.dumps(fields)))
             yield pd.DataFrame(rows, columns=["what", "path", "data"])
 
-    return files.select("path", "content").mapInPandas(go, ROWS)
+    return ship(files.select("path", "content")).mapInPandas(go, ROWS)
 
 
 def entities(rows: DataFrame) -> DataFrame:
