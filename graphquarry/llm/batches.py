@@ -7,40 +7,21 @@ about `CHUNK_BYTES`, so that memory follows the longest single document and not
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.shipping import ship  # noqa: F401  operators take it from here
+
 CHUNK_BYTES = (1 << 20) - 1
 #: A word is a maximal run of bytes other than 0x20 and 0x09 to 0x0D, in UTF-8.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def ship(df: DataFrame) -> DataFrame:
-    """Let executors import this package when their Python path does not have it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        sc = df.sparkSession.sparkContext
-        name = f"graphquarry-{os.getpid()}.zip"
-        if not any(x.endswith(name) for x in sc._python_includes):
-            at = os.path.join(tempfile.mkdtemp(), name)
-            with zipfile.ZipFile(at, "w") as z:
-                for d, _, names in os.walk(os.path.join(root, "graphquarry")):
-                    for x in names:
-                        if x.endswith(".py"):
-                            z.write(os.path.join(d, x), os.path.relpath(os.path.join(d, x), root))
-            sc.addPyFile(at)
-    return df
-
-
 _held: list = [None, None]
 
 
