@@ -9,11 +9,13 @@ a run (about 22 windows), and equal windows always have equal keys. So
    (`SIEVE_BITS`, 4 MB) that is broadcast. Only runs whose key passes are written, a row each: key,
    hash of the whole run, document, start, length. Others that pass by chance change nothing;
 2. a run whose (key, run hash) also occurs in a document with a smaller doc_id is removed whole;
-3. of each (key, run hash) the first document remains. Where a key has several run hashes, their
-   windows are told apart one by one: only of these runs (found again by a second sieve of that size)
-   are window hashes sent, counted by (key, hash), and compared with the least doc_id of each.
+3. of each (key, run hash) the first document remains. Where a key has several run hashes, its runs
+   (found again by a second sieve of that size) are cut into blocks of about `CUT` windows where the
+   windows' own hashes say so, and blocks are compared like runs;
+4. of each block the first document remains, and only of these blocks are windows told apart one by
+   one: counted by (key, hash), and compared with the least doc_id of each.
 
-As the first document stands for all with the same run, the least doc_id of every window is exact.
+As the first document stands for all with the same run or block, the least doc_id of every window is exact.
 Removed windows merge into maximal intervals by a difference array over the document's words.
 
 Every group is aggregated before its shuffle and joined back by an equi-join that adaptive execution
@@ -39,7 +41,7 @@ from pyspark.sql import types as T
 from graphquarry.llm import batches as B
 from graphquarry.operators.components import written
 
-WIDTH, GRAM = 50, 8
+WIDTH, GRAM, CUT = 50, 8, 8
 SIEVE_BITS = 25
 KEY = ["__id", "__k1"]
 LAST = (1 << 63) - 1
@@ -103,7 +105,7 @@ def long(x: np.ndarray) -> pa.Array:
 
 
 RUNS = "__key long, __run long, __id long, __k1 long, __at int, __n int"
-WINDOWS = "__key long, __hash long, __id long, __k1 long, __at int"
+BLOCKS = "__key long, __run long, __id long, __k1 long, __at int, __n int, __windows array<long>"
 _names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
 
@@ -145,8 +147,8 @@ def run_rows(docs: DataFrame, width: int, shared: Sieve) -> DataFrame:
     return docs.select(*KEY, "__text").mapInArrow(go, RUNS)
 
 
-def window_rows(docs: DataFrame, width: int, unsure: Sieve) -> DataFrame:
-    """Windows of the runs that pass, by key, run hash and document."""
+def block_rows(docs: DataFrame, width: int, unsure: Sieve) -> DataFrame:
+    """Blocks of the runs that pass, by key, run hash and document: a run is cut before windows whose hash is a multiple of CUT."""
 
     def go(parts):
         for part in parts:
@@ -156,9 +158,16 @@ def window_rows(docs: DataFrame, width: int, unsure: Sieve) -> DataFrame:
                 start, n = runs_of(doc, keys)
                 k = unsure.passes(keys[start] ^ run_hashes(hashes, start, n) ^ meta[0][a + doc[start]].view(np.uint64))
                 rows = B.ragged(start[k], n[k])
-                yield pa.RecordBatch.from_arrays([long(keys[rows]), long(hashes[rows]), *(long(m[a + doc[rows]]) for m in meta), pa.array(at[rows].astype(np.int32))], _names(WINDOWS))
+                cut = hashes[rows] % np.uint64(CUT) == 0
+                cut[np.cumsum(n[k]) - n[k]] = True
+                first = np.flatnonzero(cut)
+                size = np.diff(np.append(first, len(rows)))
+                own = hashes[rows]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), long(own))
+                rows = rows[first]
+                yield pa.RecordBatch.from_arrays([long(keys[rows]), long(run_hashes(own, first, size)), *(long(m[a + doc[rows]]) for m in meta), pa.array(at[rows].astype(np.int32)), pa.array(size.astype(np.int32)), lists], _names(BLOCKS))
 
-    return docs.select(*KEY, "__text").mapInArrow(go, WINDOWS)
+    return docs.select(*KEY, "__text").mapInArrow(go, BLOCKS)
 
 
 def removed(docs: DataFrame, width: int) -> DataFrame:
@@ -166,15 +175,19 @@ def removed(docs: DataFrame, width: int) -> DataFrame:
     several_docs = key_rows(docs, width).groupBy("__key").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b")
     runs = written(run_rows(docs, width, Sieve(several_docs, "__key")))
     pair = ["__key", "__run"]
-    first = runs.groupBy(*pair).agg(F.min("__id").alias("__first"))
+    first = written(runs.groupBy(*pair).agg(F.min("__id").alias("__first")))  # written, so that the join deals both sides anew and can split hot keys
     marked = runs.join(first, pair)
     whole = marked.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
     several_runs = first.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
     unsure = first.join(several_runs, "__key", "left_semi").select(F.col("__key").bitwiseXOR(F.col("__run")).bitwiseXOR(F.col("__first")).alias("__slot"))
-    single = written(window_rows(docs, width, Sieve(unsure, "__slot")))
+    blocks = written(block_rows(docs, width, Sieve(unsure, "__slot")))
+    mine = blocks.join(written(blocks.groupBy(*pair).agg(F.min("__id").alias("__first"))), pair)
+    again = mine.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
+    single = mine.where(F.col("__id") == F.col("__first")).select("__key", *KEY, F.posexplode("__windows").alias("i", "__hash"), "__at").select("__key", "__hash", *KEY, (F.col("__at") + F.col("i")).alias("__at"))
+    single = written(single)
     least = single.groupBy("__key", "__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__most")).where(F.col("__first") < F.col("__most"))
-    single = single.join(least, ["__key", "__hash"]).where(F.col("__id") > F.col("__first")).select(*KEY, "__at", F.lit(1).alias("__n"))
-    return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("__at", "__n")).alias("__spans"))
+    single = single.join(written(least), ["__key", "__hash"]).where(F.col("__id") > F.col("__first")).select(*KEY, "__at", F.lit(1).alias("__n"))
+    return whole.unionByName(again).unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("__at", "__n")).alias("__spans"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", digests: bool = False) -> DataFrame:
