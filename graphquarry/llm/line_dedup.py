@@ -3,7 +3,10 @@
 A line's fields that vary are generalised: a word with a digit, or an `@`, or `://`, becomes `<*>`.
 The tree's leaf of a line is its number of words and its first `depth` generalised words. Within a
 leaf the template that most documents have leads (ties: the greater text), and templates that agree
-with it in `similar` of their words join its group. A group found in `least_docs` documents or more
+with it in `similar` of their words join its group. Of the templates that no group has taken, again the
+one that most documents have leads, and so on, until fewer than `least_docs` documents of the leaf have
+any that are left. Each round gives a group to all leaves at once, so there are as many rounds as the
+leaf with most groups needs. A group found in `least_docs` documents or more
 recurs; its lines are dropped from all these documents but the first (least doc_id, nulls last), so
 that no text is lost altogether. Lines of fewer than `least_words` words are never dropped.
 
@@ -20,6 +23,8 @@ texts have one empty line. Other columns are passed on, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,19 +58,37 @@ def parsed(docs: DataFrame, depth: int, least_words: int) -> DataFrame:
     return lines.select("__id", *KEY, "__pos", F.array_join("__words", " ").alias("__template"), *(F.xxhash64(F.lit(i), F.size("__words"), head).alias(f"__l{i}") for i in (1, 2)))
 
 
+def groups(by_doc: DataFrame, similar: float, least_docs: int) -> DataFrame:
+    """Leaf, template and group (its leading template). Templates of a leaf's last few documents have none."""
+    rest = by_doc.groupBy(*LEAF, "__template").agg(F.count("*").alias("__n"))
+    mine, theirs = F.split("__template", " "), F.split("__lead", " ")
+    equal = F.aggregate(F.zip_with(mine, theirs, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    joins = (F.col("__template") == F.col("__lead")) | ((F.size(mine) == F.size(theirs)) & (equal >= similar * F.size(mine)))
+    found = []
+    while True:
+        lead = rest.groupBy(*LEAF).agg(F.max_by("__template", F.struct("__n", "__template")).alias("__lead"))
+        tried = rest.join(lead, LEAF).withColumn("__joins", joins).checkpoint()
+        found.append(tried.where("__joins").select(*LEAF, "__template", F.col("__lead").alias("__group")))
+        rest = tried.where(~F.col("__joins")).select(*LEAF, "__template", "__n")
+        many = rest.groupBy(*LEAF).agg(F.sum("__n").alias("__sum")).where(F.col("__sum") >= least_docs).select(*LEAF)  # documents at most
+        rest = rest.join(many, LEAF, "left_semi").checkpoint()
+        if rest.isEmpty():
+            break
+        docs = by_doc.join(rest, [*LEAF, "__template"], "left_semi").select(*LEAF, *KEY).distinct().groupBy(*LEAF).agg(F.count("*").alias("__docs"))
+        rest = rest.join(docs.where(F.col("__docs") >= least_docs).select(*LEAF), LEAF, "left_semi").checkpoint()
+        if rest.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
 def recurring(lines: DataFrame, similar: float, least_docs: int) -> DataFrame:
     """The templates to drop, with the document of their group that keeps them: leaf, template, and key."""
     by_doc = lines.select(*LEAF, "__template", "__id", *KEY).distinct()
-    counts = by_doc.groupBy(*LEAF, "__template").agg(F.count("*").alias("__n"))
-    lead = counts.groupBy(*LEAF).agg(F.max_by("__template", F.struct("__n", "__template")).alias("__lead"))
-    mine, theirs = F.split("__template", " "), F.split("__lead", " ")
-    equal = F.aggregate(F.zip_with(mine, theirs, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    group = F.when((F.size(mine) == F.size(theirs)) & (equal >= similar * F.size(mine)), F.col("__lead")).otherwise(F.col("__template"))
-    grouped = counts.join(lead, LEAF).select(*LEAF, "__template", group.alias("__group"))
+    grouped = groups(by_doc, similar, least_docs)
     in_docs = by_doc.join(grouped, [*LEAF, "__template"]).select(*LEAF, "__group", "__id", *KEY).distinct()
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), *KEY)).alias("__first")
-    groups = in_docs.groupBy(*LEAF, "__group").agg(F.count("*").alias("__docs"), first).where(F.col("__docs") >= least_docs)
-    return grouped.join(groups, [*LEAF, "__group"]).select(*LEAF, "__template", F.col("__first.__k1").alias("__f1"), F.col("__first.__k2").alias("__f2"))
+    counted = in_docs.groupBy(*LEAF, "__group").agg(F.count("*").alias("__docs"), first).where(F.col("__docs") >= least_docs)
+    return grouped.join(counted, [*LEAF, "__group"]).select(*LEAF, "__template", F.col("__first.__k1").alias("__f1"), F.col("__first.__k2").alias("__f2"))
 
 
 def drop_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, least_docs: int = LEAST_DOCS, least_words: int = LEAST_WORDS, text: str = "text") -> DataFrame:

@@ -379,6 +379,39 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.drop_lines(empty).collect() == []
 
 
+def groups_reference(rows, least=10):
+    """Dropped (doc_id, line) where each leaf leads again and again among the templates left."""
+    lines = {(d, x) for d, t in rows for x in t.split("\n") if len(x.split()) >= 3}
+    where, gone = defaultdict(set), set()
+    for d, x in lines:
+        where[tuple("<*>" if re.search("[0-9@]|://", y) else y for y in x.split())].add(d)
+    for leaf in {(len(w), w[:3]) for w in where}:
+        left = [w for w in where if (len(w), w[:3]) == leaf]
+        while left:
+            lead = max(left, key=lambda w: (len(where[w]), " ".join(w)))
+            group = [w for w in left if sum(a == b for a, b in zip(w, lead, strict=True)) >= 0.7 * len(w)]
+            left = [w for w in left if w not in group]
+            docs = set().union(*(where[w] for w in group))
+            if len(docs) >= least:
+                gone |= {(d, " ".join(w)) for w in group for d in where[w] if d != min(docs)}
+    return gone
+
+
+def test_line_dedup_several_groups_in_a_leaf(spark):
+    """Unrelated lines of a leaf must not keep a family of it; families that follow the second one are found too."""
+    names = [f"{a}{b}" for a in "abcde" for b in "vwxyz"]
+    family = {0: "posted by our own staff today in town", 1: "posted by our {} friends went home early", 2: "posted by our {} rivals came back late", 3: "posted by our {} cousins sang with them"}
+    rows = [(i, family[0]) for i in range(100)]
+    rows += [(1000 * k + i, family[k].format(names[i])) for k, n in ((1, 20), (2, 12), (3, 9)) for i in range(n)]
+    want = groups_reference(rows)
+    assert Counter(d // 1000 for d, _ in want) == {0: 99, 1: 19, 2: 11}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {(r.doc_id, dict(rows)[r.doc_id]) for r in line_dedup.drop_lines(docs).collect() if r.n_dropped} == want
+    fewer = [r for r in rows if r[0] >= 100]
+    got = line_dedup.drop_lines(spark.createDataFrame(fewer, SCHEMA)).where("n_dropped > 0").collect()
+    assert {r.doc_id for r in got} == {d for d, _ in want if d >= 100}
+
+
 def test_variable_words():
     java = re.compile(line_dedup.VARIABLE)
     for line in ("a b2 c", "x@y z", "see http://q.r now", "a:b c::d e:/f", "1", "no fields", "::// x", "é9 ü"):
