@@ -187,6 +187,13 @@ def _(t):
     return C.needs_work(files, prior)
 
 
+@query("lif09_incremental_all", "SELECT doc_id AS path, doc_id % 3 <> 0 AS work FROM {documents}")
+def _(t):
+    files = t.documents.select(F.col("doc_id").alias("path"), F.md5("text").alias("hash"))
+    prior = files.select("path", F.when(F.col("path") % 3 == 0, F.col("hash")).otherwise("old").alias("hash"))
+    return C.needs_work(files, prior)
+
+
 @query("lif10_freshness", "SELECT id, CASE WHEN status = 'failed' THEN 'never_analyzed' WHEN analyzed_at_commit IS NULL AND heartbeat_at IS NULL THEN 'fresh' WHEN analyzed_at_commit = md5('2024-01-03') OR analyzed_at_commit IS NULL THEN 'fresh' ELSE 'drift' END AS state FROM {runs}")
 def _(t):
     none = F.lit(None)
