@@ -138,11 +138,24 @@ def latest_facts(taints: DataFrame, key: str) -> DataFrame:
     return best.select("__best.*")
 
 
+def meeting(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked (source_file_path, line) with the entities that share a bucket of lines with them, before the exact test.
+
+    A span of n lines lies in buckets of 16 lines, or 16 times as many as often as needed for n: two at most (16 for
+    spans over 2^60). An asked line looks in its bucket of each of the 15 sizes, where spans are about as long as it.
+    """
+    spans = entities.where(F.col("source_line_start") <= F.col("source_line_end")).select("source_file_path", "id", "kind", *(F.col(c).cast("long").alias(c) for c in ("source_line_start", "source_line_end")))
+    spans = spans.withColumn("__size", F.expr("least(15, int((length(bin(source_line_end - source_line_start)) + 3) div 4))"))
+    spans = spans.withColumn("__bucket", F.explode(F.expr("sequence(shiftright(source_line_start, 4 * __size), shiftright(source_line_end, 4 * __size))")))
+    lines = asked.select("source_file_path", F.col("line").cast("long").alias("__line"), "line", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("__size"))
+    lines = lines.withColumn("__bucket", F.expr("shiftright(__line, 4 * __size)")).drop("__line")
+    return lines.join(spans, ["source_file_path", "__size", "__bucket"])
+
+
 def at_line(entities: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (source_file_path, line) the innermost entity: least span, then kind, then id."""
     rank = F.when(F.col("kind") == "function", 0).when(F.col("kind") == "class", 1).when(F.col("kind") == "module", 2).otherwise(3)
-    spans = entities.where(F.col("source_line_start").isNotNull() & F.col("source_line_end").isNotNull())
-    hit = asked.join(spans, "source_file_path").where(F.col("line").between(F.col("source_line_start"), F.col("source_line_end")))
+    hit = meeting(entities, asked).where(F.col("line").between(F.col("source_line_start"), F.col("source_line_end")))
     key = F.struct((F.col("source_line_end") - F.col("source_line_start")).alias("span"), rank.alias("rank"), F.col("id").alias("id"))
     return hit.groupBy("source_file_path", "line").agg(F.min(key).alias("__best")).select("source_file_path", "line", "__best.id", "__best.span")
 

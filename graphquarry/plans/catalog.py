@@ -230,6 +230,12 @@ def _(t):
     return L.at_line(t.entities, asked)
 
 
+@query("jon12_entity_at_every_line")  # no SQL: a range join of whole files; a test has it against brute force
+def _(t):
+    asked = t.entities.where("kind = 'function'").select("source_file_path", (F.col("source_line_start") + 3).alias("line")).distinct()
+    return L.at_line(t.entities, asked)
+
+
 @query("jon13_latest_taint_by_sei", "SELECT sei, entity_id, fact_json, updated_at, ingest_seq FROM (" + LATEST.format(key="sei") + ")")
 def _(t):
     return L.latest_facts(t.taints, "sei").select("sei", "entity_id", "fact_json", "updated_at", "ingest_seq")

@@ -87,6 +87,33 @@ def test_entity_at_line_prefers_innermost(spark):
     assert rows(lookup.at_line(e, asked).select("line", "id")) == [(6, "f"), (20, "m")]
 
 
+def test_entity_at_line_meets_few(spark):
+    """Nested spans of all lengths, and a hot file: a line meets a few entities of it, not all."""
+    spans = [("hot.py", 3 * i, 3 * i + 1) for i in range(3000)] + [("hot.py", -5, 10**9), ("hot.py", 0, 2**62), ("hot.py", 15, 16), ("hot.py", 9, 8)] + [("n.py", 1000 - k, 1000 + k * k) for k in range(40)]
+    e = entities(spark, *((f"e{i}", {"source_file_path": p, "source_line_start": a, "source_line_end": z}) for i, (p, a, z) in enumerate(spans)))
+    asked = [("hot.py", x) for x in range(-7, 9010)] + [("n.py", x) for x in range(900, 3000, 7)]
+    want = []
+    for p, x in asked:
+        inside = [(z - a, f"e{i}") for i, (q, a, z) in enumerate(spans) if q == p and a <= x <= z]
+        want += [(p, x, min(inside)[1], min(inside)[0])] if inside else []
+    lines = spark.createDataFrame(asked, "source_file_path string, line int")
+    assert rows(lookup.at_line(e, lines)) == sorted(want)
+    assert lookup.meeting(e, lines).where("source_file_path = 'hot.py'").count() < 10 * len(asked)
+
+
+def test_entity_at_every_line(spark, data):
+    from graphquarry.sources.fixtures import Tables
+
+    every, want = Tables(spark, data).entities.collect(), []
+    files = {}
+    for r in every:
+        files.setdefault(r.source_file_path, []).append(r)
+    for p, x in {(r.source_file_path, r.source_line_start + 3) for r in every if r.kind == "function"}:
+        inside = [(r.source_line_end - r.source_line_start, {"function": 0, "class": 1, "module": 2}.get(r.kind, 3), r.id) for r in files[p] if r.source_line_start <= x <= r.source_line_end]
+        want += [(p, x, min(inside)[2], min(inside)[0])] if inside else []
+    assert rows(entry.queries()["jon12_entity_at_every_line"](spark, data)) == sorted(want)
+
+
 def test_identities(spark):
     alive = spark.createDataFrame([("s1", "a", "h1", "g1"), ("s2", "b", "h2", "g2"), ("s3", "c", None, None), ("s4", "d", "h4", "g4"), ("s5", "e", "h4", "g4")], "sei string, locator string, body_hash string, signature string")
     now = spark.createDataFrame([("a", "x", "y"), ("b2", "h2", "g2"), ("c2", None, None), ("d2", "h4", "g4")], "locator string, body_hash string, signature string")
