@@ -381,6 +381,16 @@ def _(t):
     return G.callees(t.edges, t.entities.where(F.col("id").startswith(ORDER)), "ambiguous")
 
 
+@query("grf01_callers_all", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT to_id, from_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE to_id IN (SELECT id FROM {{entities}}) GROUP BY to_id, from_id, source_byte_start")
+def _(t):
+    return G.callers(t.edges, t.entities, "ambiguous")
+
+
+@query("grf02_callees_all", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT from_id, to_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE from_id IN (SELECT id FROM {{entities}}) GROUP BY from_id, to_id, source_byte_start")
+def _(t):
+    return G.callees(t.edges, t.entities, "ambiguous")
+
+
 @query("grf03_neighbours", "SELECT to_id AS id, from_id AS neighbour, source_byte_start, confidence FROM {edges} WHERE kind = 'references'")
 def _(t):
     return G.neighbours(t.edges, "references", "in")

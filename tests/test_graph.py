@@ -185,6 +185,17 @@ def test_incremental_takes_all_documents(spark, data):
     assert equals_duckdb(spark, data, "lif09_incremental_all").count() == spark.read.parquet(f"{data}/documents.parquet").count()
 
 
+@pytest.mark.parametrize("name, end", [("grf01_callers_all", "to_id"), ("grf02_callees_all", "from_id")])
+def test_calls_of_all_entities(spark, data, name, end):
+    from graphquarry.sources.fixtures import Tables
+
+    got = {r[end] for r in equals_duckdb(spark, data, name).select(end).distinct().collect()}
+    t = Tables(spark, data)
+    ids = {r.id for r in t.entities.select("id").collect()}
+    calls = {r[end] for r in t.edges.where("kind = 'calls' and confidence in ('resolved', 'ambiguous')").select(end).collect()}
+    assert calls & ids <= got <= ids
+
+
 @pytest.mark.parametrize("name", SMALL)
 def test_catalogue_equals_duckdb(spark, data, name):
     con = duckdb.connect()
