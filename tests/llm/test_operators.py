@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import re
 import struct
 import zlib
@@ -141,6 +142,10 @@ def test_classifier_holds_out(spark):
     assert len(scored) > 30 and sum(r.predicted == r.quality for r in scored) >= 0.9 * len(scored)
 
 
+def test_classifier_bound_is_not_lowered():
+    assert inspect.signature(classifier.train).parameters["sample"].default == classifier.SAMPLE == 3000
+
+
 def rules_reference(text):
     w = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
