@@ -154,13 +154,14 @@ def site_candidates(sites: DataFrame, entities: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def call_sites(edges: DataFrame, entities: DataFrame, subject: str, role: str = "caller", kinds: tuple[str, ...] = ("calls", "references"), scope: str = "all", cap: int = 200) -> DataFrame:
-    """Resolved sites where the subject calls or is called: (kind, from_id, to_id, source_byte_start, path)."""
+def call_sites(edges: DataFrame, entities: DataFrame, subject: str, role: str = "caller", kinds: tuple[str, ...] = ("calls", "references"), scope: str = "all", cap: int | None = 200) -> DataFrame:
+    """Resolved sites where the subject calls or is called: (kind, from_id, to_id, source_byte_start, path). Without a cap all of them."""
     end = "from_id" if role == "caller" else "to_id"
     rows = edges.where(F.col("kind").isin(*kinds) & (F.col(end) == subject) & (F.col("confidence") == "resolved"))
     at = entities.select(F.col("id").alias("from_id"), F.col("source_file_path").alias("path"))
     rows = rows.join(at, "from_id", "left").where(X.admits(F.col("path"), scope))
-    return rows.select("kind", "from_id", "to_id", "source_byte_start", "path").orderBy("source_byte_start", "from_id", "to_id").limit(cap)
+    out = rows.select("kind", "from_id", "to_id", "source_byte_start", "path").orderBy("source_byte_start", "from_id", "to_id")
+    return out if cap is None else out.limit(cap)
 
 
 def byte_positions(sites: DataFrame, files: DataFrame) -> DataFrame:

@@ -469,7 +469,7 @@ def _(t):
 
 @query("grf16_call_sites", "SELECT e.kind, from_id, to_id, source_byte_start, source_file_path AS path FROM {edges} e LEFT JOIN {entities} x ON x.id = from_id WHERE e.kind IN ('calls', 'references') AND to_id = 'lib:function:p5' AND confidence = 'resolved' AND source_file_path NOT LIKE '%/test_%'")
 def _(t):
-    return G.call_sites(t.edges, t.entities, "lib:function:p5", "callee", scope="production", cap=10_000)
+    return G.call_sites(t.edges, t.entities, "lib:function:p5", "callee", scope="production", cap=None)
 
 
 @query("grf18_circular_imports", f"WITH RECURSIVE e AS (SELECT DISTINCT from_id, to_id FROM {{edges}} WHERE kind = 'imports' AND {RUNTIME}), r(a, b) AS (SELECT from_id, to_id FROM e UNION SELECT a, to_id FROM r JOIN e ON from_id = b), s AS (SELECT x.a, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT component, count(*) AS size, array_to_string(list_sort(list(a)), ',') AS members FROM s GROUP BY component")

@@ -124,6 +124,23 @@ def test_identities(spark):
     assert {r.sei for r in identity.orphans(alive, identity.match_identities(alive, now, renames, "r")).collect()} == {"s4", "s5"}
 
 
+def test_call_sites_have_no_cap(spark, data):
+    from types import SimpleNamespace
+
+    from graphquarry.plans import catalog
+
+    ns = spark.range(10_050).selectExpr("'calls' kind", "concat('c', id) from_id", "'lib:function:p5' to_id", "'resolved' confidence", "cast(null as string) properties", "id source_byte_start")
+    callers = spark.range(10_050).selectExpr("concat('c', id) id", "'a.py' source_file_path")
+    assert graph.call_sites(ns, callers, "lib:function:p5", "callee", cap=None).count() == 10_050
+    assert graph.call_sites(ns, callers, "lib:function:p5", "callee").count() == 200
+    made = SimpleNamespace(edges=ns, entities=callers)
+    original, catalog.Tables = catalog.Tables, lambda *_: made
+    try:
+        assert catalog.QUERIES["grf16_call_sites"](spark, data).count() == 10_050
+    finally:
+        catalog.Tables = original
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([("f1", "open", "old"), ("f2", "acknowledged", "old")], "id string, status string, message string")
     new = spark.createDataFrame([("f2", "open", "new"), ("f3", "open", "new")], "id string, status string, message string")
