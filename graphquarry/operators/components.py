@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,30 @@ def written(rows: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
     rows.write.parquet(path)
+    _folders.append(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+_folders: list[str] = []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders where they are, which need not be this machine."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What `written` leaves within goes at the end. For work whose results are stored by then: lazy ones could not be read any more."""
+    before = len(_folders)
+    yield
+    remove(spark, *_folders[before:])
+    del _folders[before:]
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every end of an undirected edge; a component is named by its least node.
 

@@ -9,8 +9,16 @@ import zipfile
 from pyspark.sql import DataFrame
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(df: DataFrame) -> DataFrame:
-    """Let executors import this package when their Python path does not have it."""
+    """Let executors import this package when their Python path does not have it, and bound Arrow batches by bytes.
+
+    Rows alone bound nothing where texts are long. A session that sets the bound itself keeps its own.
+    """
+    if BATCH_BYTES not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_BYTES, str(4 << 20))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         sc = df.sparkSession.sparkContext
