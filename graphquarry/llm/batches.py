@@ -1,6 +1,6 @@
 """Whole texts of an Arrow column as UTF-8 bytes, and numpy kernels over many texts at once.
 
-A null text counts as an empty one everywhere. Work is done in chunks of consecutive documents of
+A null text counts as an empty one everywhere, and bytes that are not UTF-8 as U+FFFD. Work is done in chunks of consecutive documents of
 about `CHUNK_BYTES`, so that memory follows the longest single document and not the batch.
 """
 
@@ -12,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphquarry.shipping import ship  # noqa: F401  operators take it from here
@@ -33,8 +34,27 @@ def held(key, make):
     return _held[1]
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_or_empty(name: str = "text") -> Column:
+    """The text as valid UTF-8: null becomes empty, and each maximal invalid sequence of bytes U+FFFD."""
+    return F.make_valid_utf8(F.coalesce(F.col(quoted(name)).cast("string"), F.lit("")))
+
+
+#: The one column in which operators carry a caller's columns, whatever these are called, beside their own.
+ROW = "row"
+
+
+def packed(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    return F.struct(*([F.col(quoted(c)) for c in (docs.columns if columns is None else columns)] or [F.lit(0).alias("none")])).alias(ROW)
+
+
+def unpacked(rows: DataFrame, columns: list[str], made: dict[str, str] | None = None) -> DataFrame:
+    """The columns by name: those in `made` from the column of `rows` given there, the others from ROW."""
+    made = made or {}
+    return rows.select(*((rows[quoted(made[c])] if c in made else rows[ROW].getField(c)).alias(c) for c in columns))
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:

@@ -10,15 +10,17 @@ leaf with most groups needs. A group found in `least_docs` documents or more
 recurs; its lines are dropped from all these documents but the first (least doc_id, nulls last), so
 that no text is lost altogether. Lines of fewer than `least_words` words are never dropped.
 
-A first pass counts documents by hashed leaf, a few bytes for each line; only lines of leaves that
-recur take part in the rest, in a second pass. A sieve of at most 2**20 slots (recurring leaves by
-hash) is broadcast so that most other lines go before the shuffle; the exact join follows. All counts are summed in two steps, first by document, so a line in a
-third of all documents is no group in one task; joins on leaves and templates are equi-joins that
-adaptive execution splits where a key is hot.
+A first pass counts lines by hashed leaf, from the number of words and the first few of them alone; only
+lines of leaves that recur take part in the rest, in a second pass, and only theirs are generalised
+whole. A sieve of at most 2**20 slots (recurring leaves by hash) is broadcast so that most other lines
+go before the shuffle; the exact join follows. Documents are counted in two steps, first by document, so a
+line in a third of all documents is no group in one task; joins on leaves and templates are equi-joins
+that adaptive execution splits where a key is hot.
 
 Words are runs of characters other than space and U+0009 to U+000D; lines end at U+000A. Null texts
 become empty ones. Rows with equal doc_id and text are one document and are treated alike; empty
-texts have one empty line. Other columns are passed on, whatever their names.
+texts have one empty line. Long texts are taken whole, an empty table gives no rows. Other columns are
+passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.operators.components import ensure_checkpoint_dir
+from graphquarry.llm import batches as B
+from graphquarry.operators.components import ensure_checkpoint_dir, written
 
 SPACE = " \t\n\x0b\x0c\r"
 WILD = "<*>"
@@ -39,23 +42,30 @@ DEPTH, SIMILAR, LEAST_DOCS, LEAST_WORDS = 3, 0.7, 10, 3
 VARIABLE = f"(?<![^{SPACE}])[^{SPACE}0-9@:]*+(?::(?!//)[^{SPACE}0-9@:]*+)*+(?:[0-9@]|://)[^{SPACE}]*+"
 
 
-def key() -> list[Column]:
+KEY = ["__k1", "__k2"]
+LEAF = ["__l1", "__l2"]
+
+
+def key(doc_id: Column, text: Column) -> list[Column]:
     """What tells documents apart: two hashes of doc_id and text, because doc_id may be null or repeat."""
-    return [F.xxhash64(F.lit(i), F.col("__id"), F.col("__text")).alias(f"__k{i}") for i in (1, 2)]
+    return [F.xxhash64(F.lit(i), doc_id, text).alias(name) for i, name in enumerate(KEY, 1)]
 
 
-KEY = ["__k1", "__k2"]
-LEAF = ["__l1", "__l2"]
+def generalised(words: Column) -> Column:
+    """Words in one string, those that vary as WILD."""
+    line = F.array_join(words, " ")
+    return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, WILD)).otherwise(line)
 
 
 def parsed(docs: DataFrame, depth: int, least_words: int) -> DataFrame:
-    """A row for each line of `least_words` words or more: document, position, template and leaf."""
-    plain = F.when(F.col("__line").rlike("[0-9@]|://"), F.regexp_replace("__line", VARIABLE, WILD)).otherwise(F.col("__line"))
-    words = F.split(plain, f"[{SPACE}]+")
-    lines = docs.select("__id", *key(), F.posexplode(F.split("__text", "\n", -1)).alias("__pos", "__line")).withColumn("__line", F.btrim("__line", F.lit(SPACE)))
-    lines = lines.where(F.col("__line") != "").withColumn("__words", words).where(F.size("__words") >= least_words)
-    head = F.array_join(F.slice("__words", 1, depth), " ")
-    return lines.select("__id", *KEY, "__pos", F.array_join("__words", " ").alias("__template"), *(F.xxhash64(F.lit(i), F.size("__words"), head).alias(f"__l{i}") for i in (1, 2)))
+    """A row for each line of `least_words` words or more: document, position, words and leaf."""
+    text = F.col("__text")
+    for space in SPACE.replace("\n", "").replace(" ", ""):
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    lines = F.transform(F.split(text, "\n", -1), lambda line: F.array_remove(F.split(line, " "), ""))
+    lines = docs.select(*(c for c in docs.columns if c != "__text"), F.posexplode(lines).alias("__pos", "__words")).where(F.size("__words") >= least_words)
+    lines = lines.withColumn("__head", generalised(F.slice("__words", 1, depth)))
+    return lines.withColumns({name: F.xxhash64(F.lit(i), F.size("__words"), "__head") for i, name in enumerate(LEAF, 1)}).drop("__head")
 
 
 def groups(by_doc: DataFrame, similar: float, least_docs: int) -> DataFrame:
@@ -83,7 +93,7 @@ def groups(by_doc: DataFrame, similar: float, least_docs: int) -> DataFrame:
 
 def recurring(lines: DataFrame, similar: float, least_docs: int) -> DataFrame:
     """The templates to drop, with the document of their group that keeps them: leaf, template, and key."""
-    by_doc = lines.select(*LEAF, "__template", "__id", *KEY).distinct()
+    by_doc = written(lines.select(*LEAF, "__template", "__id", *KEY).distinct())
     grouped = groups(by_doc, similar, least_docs)
     in_docs = by_doc.join(grouped, [*LEAF, "__template"]).select(*LEAF, "__group", "__id", *KEY).distinct()
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), *KEY)).alias("__first")
@@ -97,19 +107,22 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, le
     The columns of the input keep their places; n_lines and n_dropped replace columns of that name.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    lines = parsed(plain, depth, least_words)
-    leaves = lines.select(*LEAF, *KEY).distinct().groupBy(*LEAF).agg(F.count("*").alias("__n")).where(F.col("__n") >= least_docs).select(*LEAF).checkpoint()
-    sieve = leaves.select(F.pmod("__l1", F.lit(SIEVE)).alias("__slot")).distinct()
-    lines = lines.join(F.broadcast(sieve), F.pmod("__l1", F.lit(SIEVE)) == F.col("__slot"), "left_semi").join(leaves, LEAF, "left_semi").checkpoint()
+    content = B.text_or_empty(text)
+    plain = docs.select(F.col("doc_id").alias("__id"), *key(F.col("doc_id"), content), content.alias("__text"))
+    leaves = parsed(plain.select("__text"), depth, least_words).groupBy(*LEAF).agg(F.count("*").alias("__n")).where(F.col("__n") >= least_docs).select(*LEAF).checkpoint()
+    slot = F.pmod("__l1", F.lit(SIEVE))
+    lines = parsed(plain, depth, least_words).join(F.broadcast(leaves.select(slot.alias("__slot")).distinct()), slot == F.col("__slot"), "left_semi")
+    lines = written(lines.withColumn("__template", generalised(F.col("__words"))).drop("__words").join(leaves, LEAF, "left_semi"))
     gone = lines.join(recurring(lines, similar, least_docs), [*LEAF, "__template"]).where((F.col("__k1") != F.col("__f1")) | (F.col("__k2") != F.col("__f2")))
     gone = gone.groupBy(*KEY).agg(F.collect_set("__pos").alias("__gone"))
-    own = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__id", F.col("doc_id"))
-    own = own.select(*own.columns, *key())
-    out = own.join(gone, KEY, "left").withColumn("__lines", F.split("__text", "\n", -1))
+    out = docs.select(B.packed(docs), *key(F.col("doc_id"), content)).join(gone, KEY, "left")
+    content = F.make_valid_utf8(F.coalesce(F.col(B.ROW).getField(text).cast("string"), F.lit("")))
+    out = out.select(B.ROW, "__gone", content.alias("__text"), F.split(content, "\n", -1).alias("__lines"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"), lambda i: F.get("__lines", i))
-    out = out.withColumns({text: F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n")), "n_lines": F.size("__lines").cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    return out.select(*dict.fromkeys([*docs.columns, "n_lines", "n_dropped"]))
+    kept = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
+    out = out.select(B.ROW, kept.alias("__kept"), F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    made = {text: "__kept", "n_lines": "n_lines", "n_dropped": "n_dropped"}
+    return B.unpacked(out, list(dict.fromkeys([*docs.columns, *made])), made)
 
 
 def oracle() -> str:
