@@ -1,21 +1,29 @@
 """Similarity join of documents on word n-grams, by MinHash candidates and Bayesian pruning.
 
-Documents with one set of n-grams are a class, and one of them stands for it. Candidates are classes
-whose MinHash signatures agree in one of `BANDS` bands of `ROWS` values; a pair of similarity 0.8 is
-missed with a probability of about 1e-7. A bucket, however large, gives only links to its least
-class, and the candidate components of these links hold every pair that shares a bucket.
-
-Within a component all pairs are compared in blocks: classes of about equal set size (for a Jaccard
-similarity of 0.8, sizes differ by a factor of 1.25 at most, so only a size range and the next) are
-dealt by hash into blocks of bounded total size, and a task gets two blocks. There MinHash values
-are compared some at a time; a pair is dropped when the posterior probability that its similarity
-reaches the threshold, for a uniform prior, falls below `TOLERANCE`. The pairs left are verified
-exactly on their n-grams. A task returns a row for each linked class: its number of linked documents,
-and the least class that it is connected with. So links are counted without a row for each.
+Documents with one set of n-grams are a class, and one of them stands for it. Classes whose MinHash
+signatures agree in one of `BANDS` bands of `ROWS` values share a bucket; a pair of similarity 0.8 is
+missed with a probability of about 1e-7. Buckets of equal members are one bucket.
+
+1. Within a bucket, pairs are pruned on sketches: `SKETCH` MinHash values of a byte each. A pair goes
+   when the posterior probability that its similarity reaches the threshold, for a uniform prior,
+   falls below `TOLERANCE` (equal bytes by chance only keep more). A class that a pair is left of is
+   tied to the least class that it is so connected with in the bucket. Pairs of a middling similarity,
+   which bands let through in numbers, thus tie nothing together.
+2. The components of these ties hold every pair that is left. In a component, classes of about equal
+   set size (for a Jaccard similarity of 0.8, sizes differ by a factor of 1.25 at most, so only a size
+   range and the next) are dealt by hash into blocks of bounded total size, and a task gets two blocks.
+   There whole signatures are compared some values at a time and pairs dropped by the same posterior;
+   the pairs left are verified exactly on their n-grams.
+3. A task returns a row for each linked class: its number of linked documents, and the least class that
+   it is connected with. So links are counted without a row for each.
+
+Buckets are dealt into blocks of `SKETCH_BLOCK` classes, so that none is one task, however large.
 
 N-grams are of `width` words (maximal runs other than space and U+0009 to U+000D); a text of fewer
 words has one n-gram, all its words. Null and empty texts have none; they are copies of each other and
-of nothing else. Rows without doc_id take part and are last in the order; repeated rows are copies.
+of nothing else. Rows without doc_id take part and are last in the order; repeated rows are copies, and
+`keep_first` keeps one of them. An empty table gives no rows. Long texts are taken whole. Columns other
+than doc_id and the text are not read by `groups` and passed on by `keep_first`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,25 +33,26 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
-from graphquarry.operators.components import connected_components, ensure_checkpoint_dir
+from graphquarry.operators.components import connected_components, ensure_checkpoint_dir, written
 
 WIDTH, THRESHOLD = 5, Fraction(4, 5)
 BANDS, ROWS, TOLERANCE, STEP = 40, 5, 1e-9, 20
 #: Most classes of a block, and most n-grams of one.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
+#: Values of a sketch, and most classes that stand against each other by their sketches in one task.
+SKETCH, SKETCH_BLOCK, TILE = 128, 4096, 256
 KEY = ["__k1", "__k2"]
 _random = np.random.default_rng(20240229)
 SCALE = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 SHIFT = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
-def document_key() -> list[Column]:
-    return [F.xxhash64(F.lit(i), F.col("__id"), F.col("__text")).alias(f"__k{i}") for i in (1, 2)]
+def document_key(doc_id, text) -> list[Column]:
+    return [F.xxhash64(F.lit(i), doc_id, text).alias(f"__k{i}") for i in (1, 2)]
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,16 +108,16 @@ def listed(values: np.ndarray, size: int, kind: pa.DataType) -> pa.Array:
 
 
 def class_rows(docs: DataFrame, width: int) -> DataFrame:
-    """For each document its class, number of n-grams and band keys."""
-    schema = "__id long, __k1 long, __k2 long, __class binary, __size long, __bands array<long>"
+    """For each document its class, number of n-grams, band keys and sketch."""
+    schema = "__id long, __k1 long, __k2 long, __class binary, __size long, __bands array<long>, __sketch binary"
 
     def go(parts):
         for part in parts:
             for a, z, data, off in B.chunks(*B.buffers(part.column(3))):
                 grams, bounds = gram_sets(data, off, width)
-                size = np.diff(bounds)
-                keys = band_keys(signatures(grams, bounds))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).slice(a, z - a) for i in range(3)), pa.array(set_names(grams, bounds), pa.binary()), pa.array(size), listed(keys, BANDS, pa.int64())], ["__id", *KEY, "__class", "__size", "__bands"])
+                size, sig = np.diff(bounds), signatures(grams, bounds)
+                sketches = pa.array([x.tobytes() for x in sig[:, :SKETCH].astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(i).slice(a, z - a) for i in range(3)), pa.array(set_names(grams, bounds), pa.binary()), pa.array(size), listed(band_keys(sig), BANDS, pa.int64()), sketches], ["__id", *KEY, "__class", "__size", "__bands", "__sketch"])
 
     return B.ship(docs.select("__id", *KEY, "__text")).mapInArrow(go, schema)
 
@@ -180,16 +189,82 @@ def linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: Frac
     return threshold.denominator * both >= threshold.numerator * (size[i] + size[j] - both)
 
 
-def members(edges: DataFrame, classes: DataFrame) -> DataFrame:
+def least_connected(n: int, tiles) -> np.ndarray:
+    """For each of n things the least that it is connected with by pairs; tiles: arrays (i, j), one after another."""
+    label = np.arange(n)
+    for i, j in tiles:
+        while len(i):
+            x, y = label[i], label[j]
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            np.minimum.at(label, high, low)
+            while (label != (up := label[label])).any():
+                label = up
+    return label
+
+
+def two_sides(table: pa.Table, column: str) -> tuple[list[int], list[bytes], np.ndarray, np.ndarray]:
+    """Of a task over two blocks: its rows by name, each once, their names, and those of the left and the right block."""
+    names, right = table.column(column).to_pylist(), np.asarray(table.column("right").to_numpy(zero_copy_only=False), bool)
+    one = table.column("a")[0].as_py() == table.column("b")[0].as_py() and not ("next" in table.column_names and table.column("next")[0].as_py())
+    rows = sorted({(n, s): k for k, (n, s) in enumerate(zip(names, right.tolist(), strict=True))}.values(), key=names.__getitem__)
+    names, right = [names[k] for k in rows], right[rows]
+    every = np.arange(len(rows))
+    return rows, names, every if one else every[~right], every if one else every[right]
+
+
+def tied(rows: DataFrame, threshold: Fraction, tolerance: float) -> DataFrame:
+    """(__class, __to): ties between classes that share a bucket and have a pair of which the sketch leaves hope."""
+    bands = rows.select("__class", F.explode("__bands").alias("__band"))
+    names = [F.bit_xor(F.xxhash64(F.lit(i), "__class")).alias(f"__f{i}") for i in (1, 2)]
+    buckets = bands.groupBy("__band").agg(F.count("*").alias("__n"), *names).where("__n > 1")
+    buckets = buckets.groupBy("__n", "__f1", "__f2").agg(F.min("__band").alias("__band")).select("__band", F.ceil(F.col("__n") / SKETCH_BLOCK).cast("int").alias("__blocks"))
+    shared = bands.join(buckets, "__band").groupBy("__class").agg(F.collect_list(F.struct("__band", "__blocks")).alias("__in"))  # a bucket of each band at most
+    dealt = rows.select("__class", "__sketch").join(shared, "__class").select("__class", "__sketch", F.explode("__in").alias("i")).select("__class", "__sketch", "i.*")
+    own = F.pmod(F.xxhash64("__class"), F.col("__blocks")).cast("int")
+    dealt = dealt.select("__class", "__sketch", "__band", own.alias("__b"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("k"))
+    dealt = dealt.select("__class", "__sketch", "__band", F.least("__b", "k").alias("a"), F.greatest("__b", "k").alias("b"), (F.col("__b") > F.col("k")).alias("right"))
+    least = int(least_matches(threshold, tolerance, SKETCH)[SKETCH])
+
+    def go(table: pa.Table) -> pa.Table:
+        rows, names, left, right = two_sides(table, "__class")
+        sketch = np.frombuffer(b"".join(table.column("__sketch").take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), SKETCH)
+        facing = np.ascontiguousarray(sketch[right].T)
+
+        def pairs():
+            for at in range(0, len(left), TILE):
+                hits = np.zeros((len(left[at : at + TILE]), len(right)), np.uint8)
+                for own, other in zip(sketch[left[at : at + TILE]].T, facing, strict=True):
+                    hits += own[:, None] == other[None, :]
+                i, j = np.nonzero(hits >= least)
+                i, j = left[at + i], right[j]
+                yield i[i != j], j[i != j]
+
+        label = least_connected(len(rows), pairs())
+        out = np.flatnonzero(label != np.arange(len(rows))).tolist()
+        return pa.table({"__class": pa.array([names[k] for k in out], pa.binary()), "__to": pa.array([names[label[k]] for k in out], pa.binary())})
+
+    return dealt.groupBy("__band", "a", "b").applyInArrow(go, "__class binary, __to binary")
+
+
+def starred(ties: DataFrame) -> DataFrame:
+    """Ties of the same components: of each class only that to its least one, and between that and the others, each once."""
+    of_class = ties.groupBy("__class").agg(F.min("__to").alias("u"), F.collect_set("__to").alias("others"))  # one for each task of the class at most
+    between = of_class.select("u", F.explode("others").alias("v")).where("u <> v")
+    return of_class.select("u", F.col("__class").alias("v")).unionByName(between).distinct()
+
+
+def members(ties: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes with candidates, their component, size range and block, and the tasks that they take part in."""
-    found = connected_components(edges, "__lead", "__class").select(F.col("node").alias("__class"), F.col("component").alias("__comp"))
+    found = connected_components(starred(ties), "u", "v").select(F.col("node").alias("__class"), F.col("component").alias("__comp"))
     own = found.join(classes.select("__class", "__size", "__copies", F.col("__rep.k1").alias("__k1"), F.col("__rep.k2").alias("__k2")), "__class")
-    own = own.withColumn("__z", F.floor(F.log("__size") / F.log(F.lit(1.25))).cast("int"))
+    own = own.withColumn("__z", F.floor(F.log("__size") / F.log(F.lit(1.25))).cast("int")).checkpoint()
     limit = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(float(BLOCK_GRAMS)) / F.pow(F.lit(1.25), F.col("__z") + 1))))
-    ranges = own.groupBy("__comp", "__z").agg(F.count("*").alias("__n")).select("__comp", "__z", "__n", F.ceil(F.col("__n") / limit).cast("int").alias("__blocks")).checkpoint()
-    next_ = ranges.select("__comp", (F.col("__z") - 1).alias("__z"), F.col("__blocks").alias("__above"))
-    before = ranges.select("__comp", (F.col("__z") + 1).alias("__z"), F.col("__blocks").alias("__below"))
-    ranges = ranges.join(next_, ["__comp", "__z"], "left").join(before, ["__comp", "__z"], "left")
+    ranges = own.groupBy("__comp", "__z").agg(F.count("*").alias("__n")).select("__comp", "__z", "__n", F.ceil(F.col("__n") / limit).cast("int").alias("__blocks"))
+    order = Window.partitionBy("__comp").orderBy("__z")  # a row for each size range of a component: some dozens
+    near = lambda f, by: F.when(f("__z").over(order) == F.col("__z") + by, f("__blocks").over(order))
+    ranges = ranges.withColumn("__above", near(F.lead, 1)).withColumn("__below", near(F.lag, -1)).checkpoint()
     own = own.join(ranges, ["__comp", "__z"]).withColumn("__b", F.pmod(F.xxhash64("__class"), F.col("__blocks")).cast("int"))
 
     def tasks(n: Column, make) -> Column:
@@ -227,35 +302,19 @@ def compared(sets: DataFrame, threshold: Fraction, tolerance: float) -> DataFram
     rows = sets.select("__class", "__comp", "__copies", "__grams", "__sig", F.explode("__tasks").alias("t")).select("*", "t.*").drop("t", "__tasks")
 
     def go(table: pa.Table) -> pa.Table:
-        names, sides = table.column("__class").to_pylist(), np.asarray(table.column("right").to_numpy(zero_copy_only=False), bool)
-        first = list({(n, s): k for k, (n, s) in enumerate(zip(names, sides.tolist(), strict=True))}.values())  # repeated rows stand once
-        names, sides = [names[k] for k in first], sides[first]
-        grams, sigs = table.column("__grams").take(pa.array(first)).to_pylist(), table.column("__sig").take(pa.array(first)).to_pylist()
-        sets = [np.frombuffer(g, np.uint64) for g in grams]
-        sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(names), -1)
-        copies = np.asarray(table.column("__copies").take(pa.array(first)), np.int64)
-        inner = not table.column("next")[0].as_py() and table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        left = np.arange(len(names)) if inner else np.flatnonzero(~sides)
-        right = left if inner else np.flatnonzero(sides)
-        i, j = candidates(sig[left], sig[right], inner, least)
+        rows, names, left, right = two_sides(table, "__class")
+        taken = table.take(pa.array(rows))
+        sets = [np.frombuffer(g, np.uint64) for g in taken.column("__grams").to_pylist()]
+        sig = np.frombuffer(b"".join(taken.column("__sig").to_pylist()), np.uint32).reshape(len(names), -1)
+        copies = np.asarray(taken.column("__copies"), np.int64)
+        i, j = candidates(sig[left], sig[right], left is right, least)
         i, j = left[i], right[j]
         ok = linked(sets, i, j, threshold)
         i, j = i[ok], j[ok]
         links = np.bincount(i, copies[j], len(names)) + np.bincount(j, copies[i], len(names))
-        root = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y, key=names.__getitem__)] = min(x, y, key=names.__getitem__)
+        label = least_connected(len(names), [(i, j)])
         out = np.flatnonzero(links).tolist()
-        return pa.table({"__class": pa.array([names[k] for k in out], pa.binary()), "__links": pa.array(links[out].astype(np.int64)), "__to": pa.array([names[find(k)] for k in out], pa.binary())})
+        return pa.table({"__class": pa.array([names[k] for k in out], pa.binary()), "__links": pa.array(links[out].astype(np.int64)), "__to": pa.array([names[label[k]] for k in out], pa.binary())})
 
     return rows.groupBy("__comp", "z", "next", "a", "b").applyInArrow(go, "__class binary, __links long, __to binary")
 
@@ -267,18 +326,16 @@ def groups(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD,
     with it, copies included; is_first: this row (or one equal to it) is the first of its class.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    plain = plain.select("__id", *document_key(), "__text")
-    rows = class_rows(plain, width).checkpoint()
+    plain = docs.select(F.col("doc_id").cast("long").alias("__id"), B.text_or_empty(text).alias("__text"))
+    plain = plain.select("__id", *document_key("__id", "__text"), "__text")
+    rows = written(class_rows(plain, width))
     rep = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2")))
     classes = rows.groupBy("__class").agg(rep.alias("__rep"), F.count("*").alias("__copies"), F.max("__size").alias("__size"))
     first = rows.join(classes.where(F.col("__size") > 0).select("__class", F.col("__rep.k1").alias("__k1"), F.col("__rep.k2").alias("__k2")), ["__class", *KEY], "left_semi")
-    bands = first.select("__class", F.explode("__bands").alias("__band"))
-    leads = bands.groupBy("__band").agg(F.min("__class").alias("__lead"), F.max("__class").alias("__other")).where(F.col("__lead") != F.col("__other")).select("__band", "__lead")
-    edges = bands.join(leads, "__band").where(F.col("__class") != F.col("__lead")).select("__lead", "__class").distinct().checkpoint()
-    found = compared(with_sets(plain, members(edges, classes), width), threshold, tolerance).checkpoint()
+    ties = written(tied(first, threshold, tolerance))
+    found = written(compared(with_sets(plain, members(ties, classes), width), threshold, tolerance))
     links = found.groupBy("__class").agg(F.sum("__links").alias("__links"))
-    joined = connected_components(found.where(F.col("__class") != F.col("__to")), "__class", "__to").select(F.col("node").alias("__class"), F.col("component").alias("__comp"))
+    joined = connected_components(starred(found.where(F.col("__class") != F.col("__to"))), "u", "v").select(F.col("node").alias("__class"), F.col("component").alias("__comp"))
     of_class = classes.join(joined, "__class", "left").join(links, "__class", "left").select("__class", "__rep", "__copies", F.coalesce("__comp", "__class").alias("__comp"), F.coalesce("__links", F.lit(0)).alias("__links"))
     heads = of_class.groupBy("__comp").agg(F.min("__rep").alias("__head"))
     of_class = of_class.join(heads, "__comp").select("__class", "__head", (F.col("__links") + F.col("__copies") - 1).alias("n_links"))
@@ -290,6 +347,5 @@ def groups(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD,
 def keep_first(docs: DataFrame, width: int = WIDTH, threshold: Fraction = THRESHOLD, text: str = "text") -> DataFrame:
     """One document of each class: the first one, once. All columns stay as they are."""
     firsts = groups(docs, width, threshold, text=text).where("is_first").select(*KEY).distinct()
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    own = own.select(*own.columns, *document_key()).drop("__id", "__text").join(firsts, KEY, "left_semi")
-    return own.dropDuplicates(KEY).select(*docs.columns)
+    own = docs.select(B.packed(docs), *document_key(F.col("doc_id").cast("long"), B.text_or_empty(text)))
+    return B.unpacked(own.join(firsts, KEY, "left_semi").groupBy(*KEY).agg(F.first(B.ROW).alias(B.ROW)), docs.columns)
