@@ -14,7 +14,11 @@ the checkpoint folder, because ranks have to come from one run.
 
 Nulls: a null text is empty, and has the closing id only. A null doc_id is passed on. Repeated rows
 are packed each for itself; equal lengths (ties) take places in the order of their ranks. An empty
-table gives no rows. Columns of the input other than doc_id and the text are not read.
+table gives no rows. Columns of the input other than doc_id and the text are not read, so their names do
+not matter. Long texts are taken whole.
+
+Ids are the library's, with its defaults: a literal of an added token in a text (`<|endoftext|>`) is that
+token. Texts with one go to the library whole; others in parts, each distinct part once.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +70,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.literals = [x.content.encode() for x in self.inner.get_added_tokens_decoder().values()]
         self.model, self.shown = self.inner.model, byte_characters()
         self.kept, self.ids = B.Interner(MOST_KEPT), B.Values(np.int32)
 
@@ -91,7 +96,29 @@ class WordTokenizer:
         starts = np.flatnonzero(begin)
         return data, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
+    def with_literals(self, data: np.ndarray, off: np.ndarray) -> list[int]:
+        """Texts that hold a literal of an added token, which the library finds before it cuts a text up."""
+        raw = data.tobytes()
+        if not any(x in raw for x in self.literals):
+            return []
+        return [i for i, (a, z) in enumerate(zip(off.tolist(), off[1:].tolist(), strict=False)) if any(raw.find(x, a, z) >= 0 for x in self.literals)]
+
     def encode_batch(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of ids of each text: those of the library with its defaults and no special tokens added."""
+        whole = self.with_literals(data, off)
+        if not whole:
+            return self.by_parts(data, off)
+        found = [x.ids for x in self.inner.encode_batch_fast([data[off[i] : off[i + 1]].tobytes().decode() for i in whole], add_special_tokens=False)]
+        data = data.copy()
+        for i in whole:
+            data[off[i] : off[i + 1]] = 0x20
+        ids, counts = self.by_parts(data, off)
+        sizes = np.array([len(x) for x in found], np.int64)
+        place = np.repeat((np.cumsum(counts) - counts)[whole], sizes)
+        counts[whole] = sizes
+        return np.insert(ids, place, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))), counts
+
+    def by_parts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data, starts, ends, first = self.parts(data, off)
         index, new = self.kept.index(data, starts, ends)
         if len(new):

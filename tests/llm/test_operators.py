@@ -308,10 +308,11 @@ def test_packing(odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    rows = packing.pack_documents(odd, WORDS, limit=512).collect()
+    literals = ["a <|endoftext|> b", "x<|endoftext|>y<|startoftext|>", "<|endoftext|>", "A<|ENDOFTEXT|>b", "<|endoftext|><|endoftext|> it's <|endoftext", "plain text", "end <|startoftext|>", ""]
+    every = [*ODD, *((100 + k, x) for k, x in enumerate(literals))]
+    rows = packing.pack_documents(odd.select("doc_id", "text").unionByName(odd.sparkSession.createDataFrame(every[len(ODD) :], SCHEMA)), WORDS, limit=512).collect()
     want = Counter()
-    for d, text in texts(ODD):
+    for d, text in texts(every):
         ids = [*t.encode(text, add_special_tokens=False).ids, 1]
         for k in range(0, len(ids), 512):
             part = ids[k : k + 512]
