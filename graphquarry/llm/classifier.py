@@ -1,24 +1,29 @@
 """Quality classifier on supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-A document's features are its words, its pairs of neighbouring words (one feature
-for all pairs of a word with itself), the 3- to 5-character n-grams
-of every word (with marks for its ends) and one mark for the text's end, all hashed to `BUCKETS`
-learned vectors. The vectors are averaged, and a softmax over two classes gives the score.
-
-Training takes at most `SAMPLE` labelled documents (the bound; those with the least hashes of their
-doc_id, so the choice does not follow the order of rows), of whole texts, as sparse feature counts.
-As the average and the output layer are linear, the trained model folds into one number for each
-bucket, half a megabyte that is broadcast; scoring adds up numbers, and keeps the sum of a word by its
-bytes in a bounded table, because words recur.
-
-Words are runs of bytes other than 0x20 and 0x09 to 0x0D. Null and empty texts have the end mark only.
-Labels: null ones are left out; of several for a document the majority counts, a tie as 1. Without
-labels every score is 0.5. Repeated rows have equal scores. Columns of the input stay, and the result's
-replace those of the same name.
+A document's features are its words, its pairs of neighbouring words (one feature for all pairs of a word
+with itself, so that repetition is learned of words never seen too) and the 3- to 5-character n-grams of
+every word (with marks for its ends), all hashed to `BUCKETS` learned vectors. The vectors are averaged,
+and a softmax over two classes gives the score. The descent follows the plain gradient, a document a step,
+at a rate that falls to 0; the bias has a rate of its own.
+
+Training takes at most `SAMPLE` labelled documents of at most `SAMPLE_BYTES` of text together (the
+bound; those with the least hashes of their doc_id, so the choice does not follow the order of rows), of
+whole texts. One task reads them and runs the descent; it returns the folded model to the driver: as the
+average and the output layer are linear, one number for each bucket, half a megabyte that is broadcast.
+Scoring adds up numbers, and keeps the sum of a word by its bytes in a bounded table, because words recur.
+
+Words are runs of bytes other than 0x20 and 0x09 to 0x0D. Null and empty texts have no features and the
+score of the bias alone; long ones are taken whole. Labels: null ones are left out; of several for a
+document the majority counts, a tie as 1. Rows without doc_id have no label and count as held out. Where
+doc_id repeats, the least text is learned from, once. Without labels every score is 0.5. Repeated rows
+have equal scores; an empty table has none. Columns of the input stay, whatever their names, and the
+result's replace those of the same name.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,12 +32,12 @@ from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
 
-BUCKETS, DIMENSIONS, SAMPLE = 1 << 17, 16, 3000
+BUCKETS, DIMENSIONS, SAMPLE, SAMPLE_BYTES = 1 << 17, 16, 3000, 1 << 25
 GRAMS = (3, 4, 5)
-EPOCHS, RATE, SEED = 8, 0.5, 7
+EPOCHS, RATE, BIAS_RATE, SEED = 8, 5.0, 0.1, 7
 THRESHOLD = 0.3
 MOST_KEPT = 300_000
-END, SAME = (int(x % BUCKETS) for x in B.mixed(np.array([0xE05, 0x5A3E], np.uint64)))
+SAME = int(B.mixed(np.array([0x5A3E], np.uint64))[0] % BUCKETS)
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -74,9 +79,9 @@ def feature_counts(data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray,
     cut, pair_cut = np.concatenate([[0], np.cumsum(size)])[first], np.concatenate([[0], np.cumsum(many)])
     out = []
     for i in range(len(off) - 1):
-        every = np.concatenate([own[cut[i] : cut[i + 1]], pairs[pair_cut[i] : pair_cut[i + 1]], [END]])
+        every = np.concatenate([own[cut[i] : cut[i + 1]], pairs[pair_cut[i] : pair_cut[i + 1]]])
         where, count = np.unique(every, return_counts=True)
-        out.append((where.astype(np.int32), (count / len(every)).astype(np.float32)))
+        out.append((where.astype(np.int32), (count / max(1, len(every))).astype(np.float32)))
     return out
 
 
@@ -99,7 +104,8 @@ class Model:
         for _ in range(EPOCHS):
             for k in random.permutation(len(examples)):
                 where, part, y = examples[k]
-                rate = np.float32(RATE * (1 - done / steps))
+                fall = np.float32(1 - done / steps)
+                rate = np.float32(RATE) * fall
                 hidden = part @ vectors[where]
                 z = output @ hidden + bias
                 z = np.exp(z - z.max())
@@ -107,34 +113,39 @@ class Model:
                 error[y] += 1
                 back = rate * (error @ output)
                 output += rate * np.outer(error, hidden)
-                bias += rate * np.float32(0.1) * error
-                # the plain gradient has a factor of 1 / n for each feature; n makes rates alike for all lengths
-                vectors[where] += np.minimum(part * len(where), 4)[:, None] * back
+                bias += np.float32(BIAS_RATE) * fall * error
+                vectors[where] += part[:, None] * back
                 done += 1
         return cls((vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def learnable() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    """Whether a label may be learned: doc_id is there, and its crc32 no multiple of 5."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, text: str = "text") -> Model:
     """A model of `labels.quality`, from rows whose crc32 of doc_id is not a multiple of 5."""
-    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learnable()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("__y"))
+    marks = labels.where(F.col("quality").isNotNull() & learnable()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     known = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", B.text_or_empty(text).alias("__text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    rows = docs.select("doc_id", B.text_or_empty(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    one = rows.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("id"), "y", "text").repartition(1).sortWithinPartitions("h", "id").select("y", "text")
 
-    def go(parts):
+    def fit(parts):
+        examples, left = [], sample_bytes
         for part in parts:
-            for a, z, data, off in B.chunks(*B.buffers(part.column(1))):
-                made = feature_counts(data, off)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, z - a), part.column(2).slice(a, z - a), pa.array([w.tobytes() for w, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], ["doc_id", "__y", "__where", "__share"])
+            y = part.column(0).to_pylist()
+            for a, _, data, off in B.chunks(*B.buffers(part.column(1))):
+                fits = int(np.searchsorted(off, left, "right")) - 1 if left >= 0 else 0
+                examples += [(*x, y[a + i]) for i, x in enumerate(feature_counts(data[: off[fits]], off[: fits + 1]))]
+                left = left - int(off[-1]) if fits == len(off) - 1 else -1
+        model = Model.trained(examples)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("__y", T.IntegerType()), T.StructField("__where", T.BinaryType()), T.StructField("__share", T.BinaryType())])
-    found = B.ship(rows).mapInArrow(go, schema).toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (found["doc_id"][i].as_py(), found["__where"][i].as_py(), found["__share"][i].as_py()))
-    return Model.trained([(np.frombuffer(found["__where"][i].as_py(), np.int32), np.frombuffer(found["__share"][i].as_py(), np.float32), found["__y"][i].as_py()) for i in order])
+    found = B.ship(one).mapInArrow(fit, "weights binary, bias double").first()
+    return Model(np.frombuffer(bytes(found.weights), np.float32), found.bias) if found else Model.trained([])
 
 
 class Scorer:
@@ -153,23 +164,23 @@ class Scorer:
         values = self.sums.get(index)[0].reshape(-1, 2)
         self.kept.commit(new)
         pairs, many = pair_buckets(hashes, first)
-        total = B.sums(values[:, 0], first) + B.sums(weights[pairs], np.concatenate([[0], np.cumsum(many)])) + weights[END]
-        margin = total / (B.sums(values[:, 1], first) + many + 1) + self.model.bias
+        total = B.sums(values[:, 0], first) + B.sums(weights[pairs], np.concatenate([[0], np.cumsum(many)]))
+        margin = total / np.maximum(B.sums(values[:, 1], first) + many, 1) + self.model.bias
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with score (0 to 1, higher: quality 1 likelier) and predicted (1 if at least THRESHOLD)."""
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    source = docs.select(*columns, B.text_or_empty(text).alias("__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one number for each bucket
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The documents (of them the columns `keep`, by default all) with score (0 to 1, higher: quality 1 likelier) and predicted (1 if at least THRESHOLD)."""
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    source = docs.select(B.packed(docs, columns), B.text_or_empty(text).alias("text"))
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # one number for each bucket
+    schema = T.StructType([source.schema[B.ROW], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def go(parts):
-        scorer = Scorer(shared.value)
+        scorer = B.held(("scorer", name), lambda: Scorer(shared.value))
         for part in parts:
-            for a, z, data, off in B.chunks(*B.buffers(part.column(len(columns)))):
+            for a, z, data, off in B.chunks(*B.buffers(part.column(1))):
                 p = scorer.scores(data, off)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).slice(a, z - a) for i in range(len(columns))), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, z - a), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], schema.names)
 
-    return B.ship(source).mapInArrow(go, schema)
+    return B.unpacked(B.ship(source).mapInArrow(go, schema), [*columns, "score", "predicted"], {"score": "score", "predicted": "predicted"})
