@@ -10,7 +10,7 @@ The matrix costs the square of a piece's length. Pieces over `LONG_PIECE` bytes
 script without a space, say) take the same merges from a heap, in n log n.
 
 Nulls: a null text is an empty one: no ids, no bytes. Repeated rows give equal results. Columns of
-the input are passed on unless the result has a column of that name, in which case the result's wins.
+the input are passed on if they are named in `keep`, unless they are called like a result, which then wins.
 """
 
 from __future__ import annotations
@@ -226,8 +226,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
     digests: ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256 (the bytes
     got back by decoding the ids). Empty and null texts have no ids; an empty table gives no rows.
     """
-    fields = [docs.schema[c] for c in keep]
-    source = docs.select(*keep, B.text_or_empty(text).alias("__text"))
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    source = docs.select(B.packed(docs, keep), B.text_or_empty(text).alias("text"))
 
     def run(parts):
         bpe = tokenizer(path, pattern)
@@ -235,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
             column = part.column(part.num_columns - 1)
             for a, z, data, off in B.chunks(*B.buffers(column)):
                 ids, counts = bpe.encode_batch(data, off)
-                out = [*(part.column(i).slice(a, z - a) for i in range(len(keep))), pa.array(counts, pa.int64())]
+                out = [part.column(0).slice(a, z - a), pa.array(counts, pa.int64())]
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
@@ -245,15 +245,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
                     out += [B.sha256s(little, ends), B.sha256s(data, np.concatenate([[0], np.cumsum(sizes)]))]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    fields = [*fields, T.StructField("n_tokens", T.LongType())] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] * digests
+    fields = [source.schema[B.ROW], T.StructField("n_tokens", T.LongType())] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] * digests
     names = [f.name for f in fields]
-    return B.ship(source).mapInArrow(run, T.StructType(fields))
+    return B.unpacked(B.ship(source).mapInArrow(run, T.StructType(fields)), [*keep, *names[1:]], {c: c for c in names[1:]})
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The inverse: the columns `keep` and decoded (binary). Null ids give empty bytes."""
-    source = encoded.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("__ids"))
-    fields = [*(encoded.schema[c] for c in keep), T.StructField("decoded", T.BinaryType())]
+    keep = tuple(c for c in keep if c != "decoded")
+    source = encoded.select(B.packed(encoded, keep), F.coalesce(F.col(B.quoted(ids)), F.array().cast("array<int>")).alias("ids"))
+    fields = [source.schema[B.ROW], T.StructField("decoded", T.BinaryType())]
 
     def run(parts):
         bpe = tokenizer(path, pattern)
@@ -262,6 +263,6 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokeni
             off = np.asarray(column.offsets, np.int64)
             data, sizes = bpe.decode_batch(np.asarray(column.flatten(), np.int32), np.diff(off))
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array([data[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], [f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], [f.name for f in fields])
 
-    return B.ship(source).mapInArrow(run, T.StructType(fields))
+    return B.unpacked(B.ship(source).mapInArrow(run, T.StructType(fields)), [*keep, "decoded"], {"decoded": "decoded"})

@@ -6,7 +6,9 @@ at a time. PCM is resampled from 8 to 16 kHz by a short half-band filter and can
 
 A payload is stored losslessly as the data of a WAV file of 8-bit mu-law samples (format 7, mono,
 8 kHz): every byte is a code, and the stored codes are the payload. A null payload counts as empty.
-Payloads are padded with zero bytes to a positive multiple of 64. Equal payloads give equal rows.
+Payloads are padded with zero bytes to a positive multiple of 64. Equal payloads give equal rows. Long
+payloads are taken whole; an empty table gives no rows. Columns of the input are passed on if they are
+named in `keep`, unless they are called like a result, which then wins.
 """
 
 from __future__ import annotations
@@ -153,10 +155,12 @@ def telephony(docs: DataFrame, payload, keep: tuple[str, ...] = ("doc_id",), kin
     if kind not in (MU_LAW, A_LAW, IMA_ADPCM):
         raise ValueError("8-bit codes or ADPCM blocks only")
     align = UNIT if kind == IMA_ADPCM else 1
-    source = docs.select(*keep, F.coalesce(payload, F.lit(b"")).alias("__payload"))
+    own = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "pcm")
+    keep = tuple(c for c in keep if c not in own)
+    source = docs.select(B.packed(docs, keep), F.coalesce(payload, F.lit(b"")).alias("payload"))
     string, long, binary = T.StringType(), T.LongType(), T.BinaryType()
     made = [("n_bytes", long), ("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("feature", string)] + [("media", binary), ("pcm", binary)] * files
-    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in made)])
+    schema = T.StructType([source.schema[B.ROW], *(T.StructField(n, t) for n, t in made)])
     names = schema.names
 
     def rows(payloads: list[bytes]):
@@ -176,8 +180,8 @@ def telephony(docs: DataFrame, payload, keep: tuple[str, ...] = ("doc_id",), kin
 
     def run(parts):
         for part in parts:
-            for a, z, data, off in B.chunks(*B.buffers(part.column(len(keep)))):
+            for a, z, data, off in B.chunks(*B.buffers(part.column(1))):
                 columns = zip(*rows([data[i:j].tobytes() for i, j in zip(off.tolist(), off[1:].tolist(), strict=False)]), strict=True)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).slice(a, z - a) for i in range(len(keep))), *(pa.array(x, t) for x, t in zip(columns, [pa.binary() if n in ("media", "pcm") else pa.int64() if t is long else pa.string() for n, t in made], strict=True))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, z - a), *(pa.array(x, t) for x, t in zip(columns, [pa.binary() if n in ("media", "pcm") else pa.int64() if t is long else pa.string() for n, t in made], strict=True))], names)
 
-    return B.ship(source).mapInArrow(run, schema)
+    return B.unpacked(B.ship(source).mapInArrow(run, schema), [*keep, *(n for n, _ in made)], {n: n for n, _ in made})

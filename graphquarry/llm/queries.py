@@ -18,12 +18,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.telephony(table(spark, sf_dir, "documents"), F.encode("text", "utf-8"), files=False)
+    return media.telephony(table(spark, sf_dir, "documents"), F.encode("text", "utf-8")).drop("media", "pcm")
 
 
 def op3_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents")
+    scored = classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", (~classifier.learnable()).alias("held_out"), "score", "predicted")
 
 

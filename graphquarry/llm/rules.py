@@ -5,8 +5,9 @@ Every rule compares a numerator with a share of a denominator in whole numbers:
 expressions, so Catalyst evaluates a document in one pass and no row leaves the JVM or its partition.
 
 Words are runs of characters other than space and U+0009 to U+000D. Null texts have no words, fail
-the base rules and are not kept; so do empty ones. Repeated rows are judged each for itself. Other
-columns are passed on unchanged, except those named like a statistic, which are replaced.
+the base rules and are not kept; so do empty ones. Long texts are taken whole. Repeated rows are judged
+each for itself; an empty table gives no rows. Other columns are passed on unchanged, whatever their
+names, except those named like a statistic or a verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphquarry.llm import batches as B
+
 SPACE = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
-#: Frequent function words of English, German, French and Spanish.
+#: A choice of ours: frequent function words of English, German, French and Spanish.
 STOP_WORDS = ("the", "and", "of", "to", "in", "that", "is", "was", "der", "die", "und", "den", "das", "le", "la", "les", "et", "des", "el", "los", "que", "en", "de", "una")
 
 
@@ -92,24 +95,23 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = B.text_or_empty(text)
     words = F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE, "") != "")
     stop = F.array(*(F.lit(x) for x in stop_words))
-    out = docs.withColumn("__words", words).withColumn("__lines", lines)
-    count = lambda c: c.cast("long")
-    return out.withColumns(
-        {
-            "n_words": count(F.size("__words")),
-            "word_chars": count(F.length(F.translate(t, SPACE, ""))),
-            "n_symbols": count(F.length(t) - F.length(F.translate(t, SYMBOLS, ""))),
-            "n_lines": count(F.size("__lines")),
-            "n_dup_lines": count(F.size("__lines") - F.size(F.array_distinct("__lines"))),
-            "n_repeat_words": count(repeated_words(F.col("__words"))),
-            "n_stop_words": count(F.size(F.filter("__words", lambda w: F.array_contains(stop, F.lower(w))))),
-            "n_letter_words": count(F.size(F.filter("__words", lambda w: w.rlike("\\p{L}")))),
-        }
-    ).drop("__words", "__lines")
+    out = docs.select(B.packed(docs), t.alias("t"), words.alias("words"), lines.alias("lines"))
+    made = {
+        "n_words": F.size("words"),
+        "word_chars": F.length(F.translate("t", SPACE, "")),
+        "n_symbols": F.length("t") - F.length(F.translate("t", SYMBOLS, "")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": repeated_words(F.col("words")),
+        "n_stop_words": F.size(F.filter("words", lambda w: F.array_contains(stop, F.lower(w)))),
+        "n_letter_words": F.size(F.filter("words", lambda w: w.rlike("\\p{L}"))),
+    }
+    out = out.select(B.ROW, *(c.cast("long").alias(n) for n, c in made.items()))
+    return B.unpacked(out, [*(c for c in docs.columns if c not in made), *made], dict(zip(made, made, strict=True)))
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

@@ -24,8 +24,10 @@ hashes (key and run, key and window). Texts are read three times and shuffled on
 windows are written to the checkpoint folder.
 
 Null texts have no words. Rows without doc_id are never smaller than any, and keep their words unless
-another row removes them. Rows with equal doc_id and text are treated alike. Texts of fewer than
-`width` words keep all. Columns of the input are passed on by `remove_repeats`, whatever their names.
+another row removes them. Rows with equal doc_id and text are treated alike, and each further one costs
+as much as the first. Texts of fewer than `width` words keep all; long ones are taken whole. An empty table
+gives no rows. Columns of the input are passed on by `remove_repeats`, whatever their names; its own
+(n_words, n_removed, removed) replace those of the same name.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +49,10 @@ KEY = ["__id", "__k1"]
 LAST = (1 << 63) - 1
 
 
-def known(docs: DataFrame, text: str, *columns: str) -> DataFrame:
+def known(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
     """__id, __k1 and __text: rows without doc_id get the last number; __k1 tells rows of one doc_id apart by text."""
-    out = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    return out.select(*columns, "__id", F.xxhash64("__text").alias("__k1"), "__text")
+    content = B.text_or_empty(text)
+    return docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(content).alias("__k1"), content.alias("__text"))
 
 
 class Sieve:
@@ -63,6 +65,10 @@ class Sieve:
         words[np.asarray(found["w"], np.int64)] = np.asarray(found["b"], np.int64).view(np.uint64)
         self.words = values.sparkSession.sparkContext.broadcast(words)
 
+    def release(self) -> None:
+        """To be called when all that was read through it has been written."""
+        self.words.destroy()
+
     def __getstate__(self):
         return {"words": self.words}
 
@@ -173,21 +179,26 @@ def block_rows(docs: DataFrame, width: int, unsure: Sieve) -> DataFrame:
 def removed(docs: DataFrame, width: int) -> DataFrame:
     """For documents with repeats: __id, __k1 and `__spans`, an array of (first window, number of windows)."""
     several_docs = key_rows(docs, width).groupBy("__key").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b")
-    runs = written(run_rows(docs, width, Sieve(several_docs, "__key")))
+    sieve = Sieve(several_docs, "__key")
+    runs = written(run_rows(docs, width, sieve))
+    sieve.release()
     pair = ["__key", "__run"]
     first = written(runs.groupBy(*pair).agg(F.min("__id").alias("__first")))  # written, so that the join deals both sides anew and can split hot keys
     marked = runs.join(first, pair)
     whole = marked.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
     several_runs = first.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
     unsure = first.join(several_runs, "__key", "left_semi").select(F.col("__key").bitwiseXOR(F.col("__run")).bitwiseXOR(F.col("__first")).alias("__slot"))
-    blocks = written(block_rows(docs, width, Sieve(unsure, "__slot")))
+    sieve = Sieve(unsure, "__slot")
+    blocks = written(block_rows(docs, width, sieve))
+    sieve.release()
     mine = blocks.join(written(blocks.groupBy(*pair).agg(F.min("__id").alias("__first"))), pair)
     again = mine.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
     single = mine.where(F.col("__id") == F.col("__first")).select("__key", *KEY, F.posexplode("__windows").alias("i", "__hash"), "__at").select("__key", "__hash", *KEY, (F.col("__at") + F.col("i")).alias("__at"))
     single = written(single)
     least = single.groupBy("__key", "__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__most")).where(F.col("__first") < F.col("__most"))
     single = single.join(written(least), ["__key", "__hash"]).where(F.col("__id") > F.col("__first")).select(*KEY, "__at", F.lit(1).alias("__n"))
-    return whole.unionByName(again).unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("__at", "__n")).alias("__spans"))
+    spans = whole.unionByName(again).unionByName(single).distinct()  # rows equal in doc_id and text have the same ones
+    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("__at", "__n")).alias("__spans"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", digests: bool = False) -> DataFrame:
@@ -198,16 +209,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", dige
     digests: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by a space.
     """
     spans = removed(known(docs, text), width)
+    keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "removed")]
     if digests:
-        source = known(docs, text).join(spans.hint("shuffle_hash"), KEY, "left").select("__id", "__text", "__spans")
-        source = source.withColumn("__id", F.when(F.col("__id") != LAST, F.col("__id")))
-        types = [T.StructField("doc_id", T.LongType())]
+        source = known(docs, text).join(spans.hint("shuffle_hash"), KEY, "left").select(F.when(F.col("__id") != LAST, F.col("__id")).alias("doc_id"), "__text", "__spans")
     else:
-        keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "removed")]
-        types = [docs.schema[c] for c in keep]
-        source = known(docs, text, *keep).join(spans.hint("shuffle_hash"), KEY, "left").select(*keep, "__text", "__spans")
+        source = known(docs, text, B.packed(docs, keep)).join(spans.hint("shuffle_hash"), KEY, "left").select(B.ROW, "__text", "__spans")
+    types = [source.schema[0]]
     tail = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    tail += [T.StructField("kept_sha256", T.StringType())] if digests else [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(text, T.StringType())]
+    tail += [T.StructField("kept_sha256", T.StringType())] if digests else [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("__text", T.StringType())]
     schema = T.StructType(types + tail)
 
     def go(parts):
@@ -248,7 +257,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", dige
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
     out = B.ship(source).mapInArrow(go, schema)
-    return out if digests else out.select(*dict.fromkeys([*docs.columns, "n_words", "n_removed", "removed"]))
+    if digests:
+        return out
+    made = {"n_words": "n_words", "n_removed": "n_removed", "removed": "removed", text: "__text"}
+    return B.unpacked(out, list(dict.fromkeys([*docs.columns, *made])), made)
 
 
 def oracle(width: int = WIDTH) -> str:

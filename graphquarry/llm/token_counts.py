@@ -10,7 +10,8 @@ their bytes in a bounded table, because words recur.
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D. The first piece of a word comes from the
 vocabulary's initial pieces, all others from its continuing ones; the longest that fits is taken. A
 word that cannot be cut so counts as one (unknown) token. Null and empty texts have none. Repeated
-rows give equal counts; columns of the input are passed on if they are named in `keep`.
+rows give equal counts; an empty table gives no rows; long texts are taken whole. Columns of the input are
+passed on if they are named in `keep`, unless they are called like a result, which then wins.
 """
 
 from __future__ import annotations
@@ -116,20 +117,22 @@ def loaded(path: str) -> tuple[Automaton, B.Interner, B.Values]:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, n_words and n_tokens of each document, by the pieces of a sentencepiece model."""
-    source = docs.select(*keep, B.text_or_empty(text).alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    keep = tuple(c for c in keep if c not in ("n_words", "n_tokens"))
+    source = docs.select(B.packed(docs, keep), B.text_or_empty(text).alias("text"))
+    schema = T.StructType([source.schema[B.ROW], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
     names = schema.names
 
     def run(parts):
         automaton, kept, values = loaded(path)
         for part in parts:
-            for a, z, data, off in B.chunks(*B.buffers(part.column(len(keep)))):
+            for a, z, data, off in B.chunks(*B.buffers(part.column(1))):
                 starts, ends, first = B.word_bounds(data, off)
                 index, new = kept.index(data, starts, ends)
                 if len(new):
                     values.put(len(kept), automaton.counts([x.decode() for x in B.strings(data, starts[new], ends[new])])[:, None].tolist())
                 tokens = values.get(index)[0]
                 kept.commit(new)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).slice(a, z - a) for i in range(len(keep))), pa.array(np.diff(first)), pa.array(B.sums(tokens, first))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, z - a), pa.array(np.diff(first)), pa.array(B.sums(tokens, first))], names)
 
-    return B.ship(source).mapInArrow(run, schema)
+    made = ["n_words", "n_tokens"]
+    return B.unpacked(B.ship(source).mapInArrow(run, schema), [*keep, *made], {c: c for c in made})

@@ -12,7 +12,8 @@ with the run kept within the host.
 
 Canonical: host after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; path from
 there up to `?`, `#` or the end. A null URL, or one without `://`, has neither. Repeated rows are
-judged each for itself; an empty table gives no rows.
+judged each for itself; an empty table gives no rows. Columns of the input are passed on if they are named
+in `keep`, unless they are called like a result, which then wins.
 """
 
 from __future__ import annotations
@@ -119,8 +120,9 @@ def canonical(url: Column) -> tuple[Column, Column]:
 
 def filter_urls(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns `keep`, host, path, rule (of the longest fitting one, else null) and verdict."""
-    host, path = canonical(F.col(url).cast("string"))
-    source = pages.select(*keep, host.alias("host"), path.alias("path"), F.concat(host, path).alias("__joined"))
+    host, path = canonical(F.make_valid_utf8(F.col(B.quoted(url)).cast("string")))
+    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict"))
+    source = pages.select(B.packed(pages, keep), host.alias("host"), path.alias("path"), F.concat(host, path).alias("joined"))
     automaton = ShiftAnd(tuple(g for r in rules for g in r.globs) + tuple(blocked))
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), rules[i].name))
     names = np.array([rules[i].name for i in order] + [None], object)
@@ -138,7 +140,8 @@ def filter_urls(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, blocked:
 
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
     columns = schema.names
-    return B.ship(source).mapInArrow(run, schema)
+    made = ["host", "path", "rule", "verdict"]
+    return B.unpacked(B.ship(source).mapInArrow(run, schema), [*keep, *made], {c: c for c in made})
 
 
 def pattern(glob: str) -> str:
