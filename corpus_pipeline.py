@@ -21,26 +21,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphquarry.llm import batches as B
 from graphquarry.llm import classifier, line_dedup, ngram_join, packing, substring_dedup
-from graphquarry.operators.components import ensure_checkpoint_dir
+from graphquarry.operators.components import ensure_checkpoint_dir, remove, scratch
 
 #: Neither the classifier nor the packing of tokens can be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def like(docs: DataFrame, out: DataFrame) -> DataFrame:
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all but the text in one column, so that columns called like an operator's result stay as they are."""
+    return docs.select(B.packed(docs, [c for c in docs.columns if c != "text"]), "doc_id", "text")
+
+
+def with_text(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of `docs` with the text that `out` has, and n_chars of it."""
+    size = F.length("text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")
+    return B.unpacked(out.select(B.ROW, "text", size.alias("n_chars")), docs.columns, {"text": "text", "n_chars": "n_chars"})
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+    kept = classifier.score(bare(docs), model, keep=[B.ROW, "text"]).where("predicted = 1")
+    return B.unpacked(kept, docs.columns, {"text": "text"})
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return like(docs, line_dedup.drop_lines(docs))
+    return with_text(docs, line_dedup.drop_lines(bare(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return like(docs, substring_dedup.remove_repeats(docs))
+    return with_text(docs, substring_dedup.remove_repeats(bare(docs)))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +74,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
