@@ -33,6 +33,11 @@ def locator(plugin: Column, kind: Column, name: Column) -> Column:
     return F.when(good, F.concat_ws(":", plugin, kind, name))
 
 
+def folded(text: Column) -> Column:
+    """ASCII letters in lower case, all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
@@ -105,22 +110,27 @@ def matches_glob(path: Column, glob: str) -> Column:
 
 
 def scalar_facet(json: Column, name: str) -> Column:
-    """A string, number or truth value of a JSON object as text; null for objects and arrays."""
-    value = F.get_json_object(json, f"$.{name}")
-    return F.when(~value.rlike(r"^\s*[\[{]"), value)
+    """A string, number or truth value of a JSON object as text; null for objects and arrays. Strings may begin with any character."""
+    value = F.try_variant_get(F.try_parse_json(json), f"$.{name}", "string")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant"))
+    return F.when(~kind.rlike("^(OBJECT|ARRAY)"), value)
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.when(n > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))).otherwise(0.0)
+    """Shannon entropy of the UTF-8 bytes, in bits. One pass counts them; the counts then give the sum."""
+    raw = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit("(..)"), F.lit(1))
+    runs = F.array_sort(raw)
+    n = F.size(raw)
+    # runs of equal bytes in the sorted list: a struct of the sum so far, the byte at hand and its count
+    part = lambda k: F.when(k > 0, k / n * F.log2(k / n)).otherwise(0.0)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit("").alias("c"), F.lit(0).alias("k"))
+    step = lambda a, c: F.when(a["c"] == c, F.struct(a["s"].alias("s"), c.alias("c"), (a["k"] + 1).alias("k"))).otherwise(F.struct((a["s"] - part(a["k"])).alias("s"), c.alias("c"), F.lit(1).alias("k")))
+    return F.when(n > 0, F.aggregate(runs, start, step, lambda a: a["s"] - part(a["k"]))).otherwise(0.0)
 
 
 def looks_secret(name: Column, least: int = 20, bits: float = 4.5) -> Column:
     """Whether a segment of a name is as long and as random as a secret."""
-    return F.exists(F.split(name, "[:.]"), lambda s: (F.length(s) >= least) & (entropy(s) >= bits))
+    return F.exists(F.split(name, "[:.]"), lambda s: (F.octet_length(s) >= least) & (entropy(s) >= bits))
 
 
 def cosine(a: Column, b: Column) -> Column:

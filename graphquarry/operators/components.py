@@ -24,14 +24,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """The rows, written as Parquet below the checkpoint folder and read again: smaller there than a checkpoint."""
+def written(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows, written as Parquet (in a folder for each value of `by`) below the checkpoint folder and read again: smaller there than a checkpoint."""
     spark = rows.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.partitionBy(*by).parquet(path)
     _folders.append(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 _folders: list[str] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
@@ -89,6 +89,12 @@ def linkages(edges: DataFrame, entities: DataFrame, role: str = "callers", ceili
     return calls.join(open_, "neighbour", "left_semi").select("id", "neighbour", "call_site_count", F.get(names, F.col("__rank")).alias("confidence"))
 
 
+def dependency_ends(edges: DataFrame, kinds: tuple[str, ...] = ("calls", "references", "imports")) -> DataFrame:
+    """(id): what edges of these kinds begin or end at, candidates included. Only these need their modules looked up."""
+    rows = edges.where(F.col("kind").isin(*kinds))
+    return rows.select(F.explode(F.array_union(F.array("from_id", "to_id"), X.candidates(F.col("properties")))).alias("id")).distinct()
+
+
 def module_dependencies(edges: DataFrame, ancestors: DataFrame, kinds: tuple[str, ...] = ("calls", "references", "imports")) -> DataFrame:
     """(from_module, to_module, reference_count, kinds): edges carried up to every module above both ends.
 
@@ -145,32 +151,44 @@ def targeted_by_sites(sites: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.join(leaves, "short_name", "left_semi").select("id")
 
 
-def site_candidates(sites: DataFrame, entities: DataFrame) -> DataFrame:
-    """(site_key, id): entities that a site's text may name, by short name, by name, or as `...short`."""
-    live = live_sites(sites, entities).select("site_key", "callee_expr", F.element_at(F.split("callee_expr", "[.]"), -1).alias("__short"))
+def site_candidates(sites: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
+    """(site_key, id): entities that a site's text may name: by short name, by name, or as `...short`, whatever the case of its ASCII letters.
+
+    Texts are looked up once each, not once for each site. limit: so many of each text at most, in order of
+    their ids; None: all.
+    """
+    live = live_sites(sites, entities).select("site_key", "callee_expr")
+    texts = live.select("callee_expr").distinct().withColumn("__short", F.trim(F.element_at(F.split("callee_expr", "[.]"), -1))).where("__short <> ''")
     e = entities.select("id", "name", "short_name")
-    a = live.join(e, live["__short"] == e["short_name"]).select("site_key", "id")
-    b = live.join(e, live["callee_expr"] == e["name"]).select("site_key", "id")
-    return a.unionByName(b).distinct()
+    dotted = e.where(F.col("name").contains(".")).select("id", X.folded(F.element_at(F.split("name", "[.]"), -1)).alias("__leaf"))
+    found = texts.join(e, F.col("__short") == F.col("short_name")).select("callee_expr", "id")
+    found = found.unionByName(texts.join(e, F.col("callee_expr") == F.col("name")).select("callee_expr", "id"))
+    found = found.unionByName(texts.join(dotted, X.folded(F.col("__short")) == F.col("__leaf")).select("callee_expr", "id")).distinct()
+    if limit is not None:
+        found = found.withColumn("__n", F.row_number().over(Window.partitionBy("callee_expr").orderBy("id"))).where(F.col("__n") <= limit).drop("__n")
+    return live.join(found, "callee_expr").select("site_key", "id").distinct()
 
 
-def call_sites(edges: DataFrame, entities: DataFrame, subject: str, role: str = "caller", kinds: tuple[str, ...] = ("calls", "references"), scope: str = "all", cap: int | None = 200) -> DataFrame:
-    """Resolved sites where the subject calls or is called: (kind, from_id, to_id, source_byte_start, path). Without a cap all of them."""
-    end = "from_id" if role == "caller" else "to_id"
-    rows = edges.where(F.col("kind").isin(*kinds) & (F.col(end) == subject) & (F.col("confidence") == "resolved"))
-    at = entities.select(F.col("id").alias("from_id"), F.col("source_file_path").alias("path"))
-    rows = rows.join(at, "from_id", "left").where(X.admits(F.col("path"), scope))
-    out = rows.select("kind", "from_id", "to_id", "source_byte_start", "path").orderBy("source_byte_start", "from_id", "to_id")
-    return out if cap is None else out.limit(cap)
+def line_starts(files: DataFrame) -> DataFrame:
+    """(path, starts, size): the byte offsets at which the lines of a file (path, content) begin, and its size in bytes."""
+    raw = F.decode(F.encode("content", "utf-8"), "iso-8859-1")  # one character for each byte
+    sizes = F.transform(F.split(raw, "\n", -1), lambda line: F.length(line) + 1)
+    lines = files.select("path", F.length(raw).alias("size"), F.posexplode(sizes).alias("line", "n"))
+    starts = lines.withColumn("start", F.sum("n").over(Window.partitionBy("path").orderBy("line")) - F.col("n"))
+    return starts.groupBy("path", "size").agg(F.array_sort(F.collect_list("start")).alias("starts"))
 
 
 def byte_positions(sites: DataFrame, files: DataFrame) -> DataFrame:
-    """Sites with the 1-based line and the 0-based byte column of their offset in files (path, content)."""
-    head = F.substring(F.encode("content", "utf-8"), F.lit(1), F.col("source_byte_start").cast("int"))
-    hexed = F.hex(head)
-    lines = F.size(F.split(F.regexp_replace(hexed, "(..)", "$1 "), "0A ")) - 1
-    tail = F.element_at(F.split(F.regexp_replace(hexed, "(..)", "$1 "), "0A "), -1)
-    return sites.join(files, "path").select(*sites.columns, (lines + 1).cast("long").alias("line"), (F.length(tail) / 3).cast("long").alias("column"))
+    """Sites with the 1-based line and the 0-based byte column of their offset in files (path, content).
+
+    A file's lines are found once; a site then takes the last line that begins at or before it. Offsets
+    beyond the end of the file have neither.
+    """
+    rows = sites.join(line_starts(files), "path")
+    at = F.col("source_byte_start")
+    line = F.size(F.filter("starts", lambda x: x <= at))
+    known = (at >= 0) & (at <= F.col("size"))
+    return rows.select(*sites.columns, F.when(known, line.cast("long")).alias("line"), F.when(known, at - F.element_at("starts", F.greatest(line, F.lit(1)))).cast("long").alias("column"))
 
 
 def test_callers(edges: DataFrame, tags: DataFrame) -> DataFrame:
@@ -179,26 +197,6 @@ def test_callers(edges: DataFrame, tags: DataFrame) -> DataFrame:
     return expanded_calls(edges).select("to_id", "from_id").distinct().join(tests, "from_id", "left_semi").select("to_id", "from_id")
 
 
-def neighbourhood(edges: DataFrame, subject: str, limit: int = 50, ceiling: str = "resolved") -> DataFrame:
-    """(bucket, neighbour) around an entity, at most `limit` of each bucket, by neighbour."""
-    from graphquarry.operators.lookup import ranked
-
-    calls = expanded_calls(edges, ceiling)
-    parts = [
-        calls.where(F.col("to_id") == subject).select(F.lit("callers").alias("bucket"), F.col("from_id").alias("neighbour")),
-        calls.where(F.col("from_id") == subject).select(F.lit("callees").alias("bucket"), F.col("to_id").alias("neighbour")),
-    ]
-    for kind, out, into in (("contains", "contained", "container"), ("references", "references_out", "references_in"), ("imports", "imports_out", "imports_in")):
-        for name, direction in ((out, "out"), (into, "in")):
-            parts.append(neighbours(edges, kind, direction).where(F.col("id") == subject).select(F.lit(name).alias("bucket"), "neighbour"))
-    rel = relations(edges).where(F.col("id") == subject)
-    parts.append(rel.select(F.concat(F.lit("relations_"), "direction").alias("bucket"), "neighbour"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return ranked(every.distinct(), "bucket", [F.col("neighbour")], limit)
-
-
 def subsystem_members(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """(subsystem, id, name) of modules."""
     inside = edges.where(F.col("kind") == "in_subsystem").select(F.col("to_id").alias("subsystem"), F.col("from_id").alias("id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
@@ -61,8 +61,18 @@ def matching(sheets: DataFrame, facts: DataFrame, guides: DataFrame, now: str) -
     return out.groupBy("entity_id", "sheet").agg(F.array_sort(F.collect_set("by")).alias("matched_by"))
 
 
+def order() -> list[Column]:
+    """Broad scopes first, those without one last; then by when they were authored, unknown first; then by id."""
+    return [F.coalesce("scope_rank", F.lit(2147483647)), F.col("authored_at").asc_nulls_first(), F.col("id")]
+
+
 def ordered(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.coalesce("scope_rank", F.lit(2147483647)), F.col("authored_at").asc_nulls_first(), "id")
+    return rows.orderBy(*order())
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """The sheets with their place in order, from 1. Sheets are few: all of them are one window."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order())).cast("long"))
 
 
 def composed(matched: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -50,23 +50,33 @@ def renamed_locators(current: DataFrame, file_renames: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, F.lit(":"), F.col("__old"), rest).alias("old_locator"), F.col("locator").alias("new_locator"))
 
 
+def last_of_locator(descriptors: DataFrame) -> DataFrame:
+    """One descriptor for each locator: the last by seq, or where there is none the greatest."""
+    rest = F.struct("body_hash", "signature")
+    order = F.struct("seq", rest) if "seq" in descriptors.columns else rest
+    return descriptors.groupBy("locator").agg(F.max_by(rest, order).alias("d")).select("locator", "d.*")
+
+
 def match_identities(alive: DataFrame, descriptors: DataFrame, renames: DataFrame, run_id: str) -> DataFrame:
     """(locator, sei, event) for the entities of a run: carried (no event), locator_changed, moved, or born.
 
     alive: (sei, locator, body_hash, signature) of bindings that are alive; descriptors: (locator, body_hash,
-    signature) of this run, the last of several for a locator counts; renames: (old_locator, new_locator).
-    An entity keeps its locator's identity; else takes a renamed locator's, if that vanished with an equal
-    body (null equals null); else the only vanished one with equal body and signature, both known; else
-    gets a new one. An identity claimed twice goes to the first locator; the others get new ones.
+    signature, and seq if it is there) of this run, the last of several for a locator by seq counts (without
+    seq the greatest); renames: (old_locator, new_locator, and seq if it is there).
+    An entity keeps its locator's identity; else takes that of the first renamed locator that vanished with
+    an equal body (null equals null); else the only vanished one with equal body and signature, both known;
+    else gets a new one. An identity claimed twice goes to the first locator; the others get new ones.
     """
-    now = descriptors.groupBy("locator").agg(F.max(F.struct("body_hash", "signature")).alias("d")).select("locator", "d.body_hash", "d.signature")
+    now = last_of_locator(descriptors).select("locator", "body_hash", "signature")
     carried = now.join(alive.select("locator", "sei"), "locator", "left")
     gone = alive.join(now.select("locator"), "locator", "left_anti")
-    hint = renames.groupBy(F.col("new_locator").alias("locator")).agg(F.min("old_locator").alias("__old"))
-    old = gone.select(F.col("locator").alias("__old"), F.col("sei").alias("__renamed"), F.col("body_hash").alias("__body"))
+    order = F.col("seq") if "seq" in renames.columns else F.lit(0)
+    old = gone.select(F.col("locator").alias("old_locator"), F.col("sei").alias("__renamed"), F.col("body_hash").alias("__body"))
+    fits = renames.select("old_locator", F.col("new_locator").alias("locator"), order.alias("__order")).join(old, "old_locator").join(now.select("locator", F.col("body_hash").alias("__own")), "locator").where(F.col("__body").eqNullSafe(F.col("__own")))
+    named = fits.groupBy("locator").agg(F.min_by("__renamed", F.struct("__order", "old_locator")).alias("__renamed"))
     only = gone.where("body_hash is not null and signature is not null").groupBy("body_hash", "signature").agg(F.count("*").alias("__n"), F.min("sei").alias("__moved")).where("__n = 1").drop("__n")
-    rows = carried.join(hint, "locator", "left").join(old, "__old", "left").join(only, ["body_hash", "signature"], "left")
-    by_name = F.when(F.col("__body").eqNullSafe(F.col("body_hash")), F.col("__renamed"))
+    rows = carried.join(named, "locator", "left").join(only, ["body_hash", "signature"], "left")
+    by_name = F.col("__renamed")
     event = F.when(F.col("sei").isNotNull(), "carried").when(by_name.isNotNull(), "locator_changed").when(F.col("__moved").isNotNull(), "moved").otherwise("born")
     claimed = rows.select("locator", F.coalesce("sei", by_name, "__moved").alias("__sei"), event.alias("event"))
     first = claimed.where("__sei is not null").groupBy("__sei").agg(F.min(F.struct((F.col("event") != "carried").alias("later"), "locator")).alias("f")).select("__sei", F.col("f.locator").alias("__first"))
@@ -91,7 +101,7 @@ def resolve(bindings: DataFrame, entities: DataFrame, asked: DataFrame) -> DataF
 
 def upsert_bindings(bindings: DataFrame, matched: DataFrame, descriptors: DataFrame, run_id: str) -> DataFrame:
     """The bindings after a run: matched ones alive at their new locator, the rest of those alive orphaned; born_run_id stays."""
-    new = matched.join(descriptors.dropDuplicates(["locator"]), "locator", "left").select("sei", F.col("locator").alias("__loc"), F.col("body_hash").alias("__body"), F.col("signature").alias("__sig"))
+    new = matched.join(last_of_locator(descriptors), "locator", "left").select("sei", F.col("locator").alias("__loc"), F.col("body_hash").alias("__body"), F.col("signature").alias("__sig"))
     both = bindings.join(new, "sei", "full")
     hit = F.col("__loc").isNotNull()
     return both.select("sei", F.when(hit, F.col("__loc")).otherwise(F.col("current_locator")).alias("current_locator"), F.when(hit, F.col("__body")).otherwise(F.col("body_hash")).alias("body_hash"), F.when(hit, F.col("__sig")).otherwise(F.col("signature")).alias("signature"), F.when(hit, "alive").when(F.col("status") == "alive", "orphaned").otherwise(F.col("status")).alias("status"), F.coalesce("born_run_id", F.lit(run_id)).alias("born_run_id"))

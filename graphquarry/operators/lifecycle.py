@@ -17,7 +17,7 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
-    """New rows replace old ones of their key; columns in `keep` stay as they were where they were known.
+    """New rows replace old ones of their key; columns in `keep` stay as the old row has them, null or not.
 
     order: a column of `new` by which the last of several rows wins.
     """
@@ -26,7 +26,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     columns = old.columns
     a, b = (d.select(*keys, F.struct(*(c for c in columns if c not in keys)).alias(s)) for d, s in ((old, "__o"), (new, "__n")))
     both = a.join(b, keys, "full")
-    value = lambda c: F.coalesce(f"__o.{c}", f"__n.{c}") if c in keep else F.when(F.col("__n").isNotNull(), F.col(f"__n.{c}")).otherwise(F.col(f"__o.{c}"))
+    first = lambda x, y, c: F.when(F.col(x).isNotNull(), F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
+    value = lambda c: first("__o", "__n", c) if c in keep else first("__n", "__o", c)
     return both.select(*(F.col(c) if c in keys else value(c).alias(c) for c in columns))
 
 
@@ -84,6 +85,30 @@ def edge_violations(edges: DataFrame) -> DataFrame:
     return edges.select("kind", "from_id", "to_id", reason.alias("reason")).where("reason is not null")
 
 
+def finding_anchors(entities: DataFrame) -> DataFrame:
+    """(source_file_path, entity_id): what findings of a file are hung on: a module, else what a plugin made, else the core's file; then the least id."""
+    rank = F.when(F.col("kind") == "module", 0).when(F.col("plugin_id") != "core", 1).otherwise(2)
+    rows = entities.where(F.col("source_file_path").isNotNull())
+    return rows.groupBy("source_file_path").agg(F.min_by("id", F.struct(rank, "id")).alias("entity_id"))
+
+
+def last_collision(findings: DataFrame, rule_id: str) -> DataFrame:
+    """(entity_id, paths, shape): of each entity the collision (of this rule) last updated, with its files in order, each once.
+
+    Evidence that cannot be read gives no paths and no shape.
+    """
+    last = findings.where(F.col("rule_id") == rule_id).groupBy("entity_id").agg(F.max_by("evidence", F.struct("updated_at", "id")).alias("e"))
+    field = lambda name: F.get_json_object("e", f"$.metadata.{name}")
+    named = F.filter(F.array(field("first_source_file_path"), field("colliding_source_file_path")), lambda x: x.isNotNull() & (x != ""))
+    return last.select("entity_id", F.array_sort(F.array_distinct(named)).alias("paths"), field("shape").alias("shape"))
+
+
+def prior_snapshot(entities: DataFrame, prior: DataFrame) -> DataFrame:
+    """(path, hash, locators): each file of the run before with its whole hash, where it is known (prior: path, hash), and the ids that it had."""
+    had = entities.where(F.col("source_file_path").isNotNull()).groupBy(F.col("source_file_path").alias("path")).agg(F.array_sort(F.collect_list("id")).alias("locators"))
+    return had.join(prior.select("path", "hash"), "path", "left").select("path", "hash", "locators")
+
+
 def parent_mismatches(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, parent_id, from_id): where an entity's parent and its `contains` edge do not agree."""
     held = edges.where("kind = 'contains'").select(F.col("to_id").alias("id"), "from_id")
@@ -198,9 +223,13 @@ def wire_findings(findings: DataFrame, entities: DataFrame, default_path: str |
     return rows.select("id", wire.alias("wire"))
 
 
-def issues(associations: DataFrame, entities: DataFrame, cap: int = 100) -> DataFrame:
-    """(issue_id, entity_id, state) of associations (issue_id, entity_id, content_hash, seq): not_found, matched, drifted or unknown; the first of each issue."""
+def issues(associations: DataFrame, entities: DataFrame, cap: int | None = None) -> DataFrame:
+    """(issue_id, entity_id, state) of associations (issue_id, entity_id, content_hash, seq): not_found, matched, drifted or unknown; the first of each issue.
+
+    cap: the first so many by seq, as a tool shows; None: all.
+    """
     one = associations.groupBy("issue_id").agg(F.min_by(F.struct("entity_id", "content_hash"), "seq").alias("a"), F.min("seq").alias("seq")).select("issue_id", "a.*", "seq")
     e = entities.select(F.col("id").alias("entity_id"), F.col("content_hash").alias("__now"), F.lit(True).alias("__known"))
     state = F.when(F.col("__known").isNull(), "not_found").when(F.col("__now").isNull(), "unknown").when(F.col("__now").eqNullSafe(F.col("content_hash")), "matched").otherwise("drifted")
-    return one.join(e, "entity_id", "left").orderBy("seq", "issue_id").limit(cap).select("issue_id", "entity_id", state.alias("state"))
+    rows = one.join(e, "entity_id", "left")
+    return (rows if cap is None else rows.orderBy("seq", "issue_id").limit(cap)).select("issue_id", "entity_id", state.alias("state"))

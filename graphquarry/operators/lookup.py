@@ -67,6 +67,21 @@ def with_tag(entities: DataFrame, tags: DataFrame, *names: str) -> DataFrame:
     return entities.join(tags.where(F.col("tag").isin(*names)).select(F.col("entity_id").alias("id")), "id", "left_semi")
 
 
+def with_any_tag(tags: DataFrame, *names: str) -> DataFrame:
+    """(entity_id) that carry any of the tags."""
+    return tags.where(F.col("tag").isin(*names)).select("entity_id").distinct()
+
+
+def plugins(entities: DataFrame) -> DataFrame:
+    """(plugin_id, functions): the plugins that made entities, and whether functions are among them."""
+    return entities.groupBy("plugin_id").agg(F.bool_or(F.col("kind") == "function").alias("functions"))
+
+
+def normal_lines(text: Column) -> Column:
+    """A text as it is hashed: its lines, without carriage returns at their ends, joined by line feeds."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.rtrim(x, F.lit("\r"))), "\n")
+
+
 def by_path(entities: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """For each source path the entity that stands for it: file before module before others, then id."""
     rank = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "module", 1).otherwise(2)
@@ -160,14 +175,6 @@ def at_line(entities: DataFrame, asked: DataFrame) -> DataFrame:
     return hit.groupBy("source_file_path", "line").agg(F.min(key).alias("__best")).select("source_file_path", "line", "__best.id", "__best.span")
 
 
-def match_reason(entities: DataFrame, asked: DataFrame) -> DataFrame:
-    """Why the innermost entity was taken: its declaration line, its body, or because it contains the line."""
-    best = at_line(entities, asked)
-    lines = entities.select("id", "kind", "source_line_start")
-    why = F.when(F.col("line") == F.col("source_line_start"), "declaration").when(F.col("kind").isin("function", "class"), "body").otherwise("containing")
-    return best.join(lines, "id").select("source_file_path", "line", "id", why.alias("reason"))
-
-
 def source_lines(files: DataFrame, entities: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """id, first line and text of each entity with lines around it, from files (source_file_path, content)."""
     lines = F.split("content", "\n", -1)

@@ -14,15 +14,10 @@ from graphquarry.shipping import ship
 MOST_OFFSET = 100_000
 
 
-def fold(c: Column) -> Column:
-    """Case folded for ASCII letters only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def containing(entities: DataFrame, text: str) -> DataFrame:
     """(id): the text is part of the id, a name, the summary, or the docstring of an open entity. No character is a wildcard."""
     part = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    has = lambda c: F.coalesce(F.contains(fold(c), F.lit(part)), F.lit(False))
+    has = lambda c: F.coalesce(F.contains(X.folded(c), F.lit(part)), F.lit(False))
     p = F.col("properties")
     doc = X.block_reason(p).isNull() & has(F.when(X.is_json(p), F.get_json_object(p, "$.docstring")))
     return entities.where(has(F.col("id")) | has(F.col("name")) | has(F.col("short_name")) | has(F.col("summary")) | doc).select("id")
@@ -126,19 +121,29 @@ def bm25(index: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> Data
     return rows.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(terms)).select("id", "score")
 
 
+def is_ranked_text(text: str) -> bool:
+    """Whether a text is words alone, so that the ranked index can take it: letters, digits, underscores and white space."""
+    return all(c.isalnum() or c == "_" or c.isspace() for c in text)
+
+
+def merged(entities: DataFrame, index: DataFrame | None, text: str) -> DataFrame:
+    """(id, src, score): ranked hits (src 0), and those that only contain the text (src 1); each id once."""
+    hits = containing(entities, text).select("id", F.lit(1).alias("src"), F.lit(0.0).alias("score"))
+    if index is not None and is_ranked_text(text):
+        hits = bm25(index, text).select("id", F.lit(0).alias("src"), "score").unionByName(hits)
+    best = hits.groupBy("id").agg(F.min(F.struct("src", (-F.col("score")).alias("s"))).alias("b"))
+    return best.select("id", "b.src", (-F.col("b.s")).alias("score"))
+
+
 def find(entities: DataFrame, index: DataFrame | None, text: str, kind: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """Ranked hits first, then those that only contain the text; each once, in pages."""
     if not text.strip():
         raise ValueError("an empty pattern")
     if offset > MOST_OFFSET:
         raise ValueError("the offset is too large")
-    plain = containing(entities, text).select("id", F.lit(1).alias("src"), F.lit(0.0).alias("score"))
-    if index is not None and all(c.isalnum() or c == "_" or c.isspace() for c in text):
-        plain = bm25(index, text).select("id", F.lit(0).alias("src"), "score").unionByName(plain)
-    best = plain.groupBy("id").agg(F.min(F.struct("src", (-F.col("score")).alias("s"))).alias("b"))
-    rows = best.join(entities.select("id", "kind", "name"), "id")
+    rows = merged(entities, index, text).join(entities.select("id", "kind", "name"), "id")
     rows = rows if kind is None else rows.where(F.col("kind") == kind)
-    return rows.orderBy("b.src", "b.s", "id").offset(offset).limit(limit).select("id", "kind", "name")
+    return rows.orderBy("src", F.col("score").desc(), "id").offset(offset).limit(limit).select("id", "kind", "name")
 
 
 def semantic(vectors: DataFrame, query: DataFrame, model: str | None = None, entities: DataFrame | None = None, limit: int = 20) -> DataFrame:

@@ -28,7 +28,22 @@ DETECTORS = (
     ("ContextualCredential", rb"(?i)(?:^|[^A-Za-z0-9_-])(?:password|passwd|secret[_-]?token|secret|token|api[_-]?key)\s*(?:=|:=|:)\s*[\"']([^\"'\s]{8,})[\"']", 1),
 )
 CONTEXTUAL = "ContextualCredential"
-RANDOM = (("HighEntropyBase64", rb"[A-Za-z0-9+/=]{20,}", 20, 4.5), ("HighEntropyHex", rb"(?<![A-Za-z0-9+/=])[0-9A-Fa-f]{40,}(?![A-Za-z0-9+/=])", 40, 3.0))
+# Strings that may be random (a run of base64 with its padding, which no further such byte touches; a run
+# of hexadecimal digits between word ends), and the bits a byte that make them so.
+RANDOM = (("HighEntropyBase64", rb"[A-Za-z0-9+/]{20,}={0,2}", 4.5), ("HighEntropyHex", rb"\b[a-fA-F0-9]{40,}\b", 3.0))
+BASE64_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=")
+# The kind of secret that each rule finds.
+CATEGORIES = {
+    "AwsAccessKeyId": "CloudCredential", "AwsSecretAccessKey": "CloudCredential", "GitHubPat": "VcsCredential", "GitHubFineGrainedPat": "VcsCredential", "GitHubOAuth": "VcsCredential",
+    "AnthropicApiKey": "AiProviderCredential", "OpenAiApiKey": "AiProviderCredential", "StripeApiKey": "PaymentsCredential", "SlackToken": "MessagingCredential", "JwtToken": "JwtToken",
+    "PrivateKeyHeader": "PrivateKey", "ContextualCredential": "ContextualCredential", "HighEntropyBase64": "HighEntropy", "HighEntropyHex": "HighEntropy",
+}
+# The names by which baseline files call the rules.
+BASELINE_TYPES = {
+    "AWS Access Key": "AwsAccessKeyId", "AWS Secret Access Key": "AwsSecretAccessKey", "GitHub Token": "GitHubPat", "GitHub Fine-Grained Token": "GitHubFineGrainedPat", "GitHub OAuth Token": "GitHubOAuth",
+    "Anthropic API Key": "AnthropicApiKey", "OpenAI API Key": "OpenAiApiKey", "Stripe API Key": "StripeApiKey", "Slack Token": "SlackToken", "JWT Token": "JwtToken", "Private Key": "PrivateKeyHeader",
+    "Keyword Detector": "ContextualCredential", "Base64 High Entropy String": "HighEntropyBase64", "Hex High Entropy String": "HighEntropyHex",
+}
 #: Texts without any of these cannot hold a secret, so they do not leave the JVM.
 SIEVE = r"[A-Za-z0-9+/=]{20,}|xox[baprs]-|ghp_|(?i:password|passwd|secret|token|api[_-]?key)|-----BEGIN |eyJ|sk-|[sprk]k_(?:live|test)_|(?:AKIA|ASIA)"
 SCHEMA = "path string, rule_id string, byte_offset long, length long, line long, secret_hash string"
@@ -49,16 +64,17 @@ def detect(data: bytes) -> list[tuple[str, int, int]]:
                 continue
             found.append((rule, *m.span(group)))
     named = [(a, b) for _, a, b in found]
-    for rule, pattern, least, most in RANDOM_COMPILED:
+    for rule, pattern, least in RANDOM_COMPILED:
         for m in pattern.finditer(data):
             a, b = m.span()
-            if b - a >= least and bits(data[a:b]) >= most and not any(a < y and b > x for x, y in named):
+            touched = rule == "HighEntropyBase64" and any(x in BASE64_BYTES for x in data[max(0, a - 1) : a] + data[b : b + 1])
+            if not touched and bits(data[a:b]) >= least and not any(a < y and b > x for x, y in named):
                 found.append((rule, a, b))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
 COMPILED = [(r, re.compile(p), g) for r, p, g in DETECTORS]
-RANDOM_COMPILED = [(r, re.compile(p), n, e) for r, p, n, e in RANDOM]
+RANDOM_COMPILED = [(r, re.compile(p), e) for r, p, e in RANDOM]
 
 
 def scan(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -83,6 +99,36 @@ def pattern_counts(files: DataFrame, path: str = "path", content: str = "content
     return files.select(F.col(path).cast("string").alias("path"), F.explode(rules).alias("r")).select("path", "r.*").where("n > 0")
 
 
+def categorised(detections: DataFrame) -> DataFrame:
+    """Detections with the category of their rule."""
+    of = F.create_map(*(F.lit(x) for pair in CATEGORIES.items() for x in pair))
+    return detections.withColumn("category", of[F.col("rule_id")])
+
+
+ENTRY = "struct<type:string,hashed_secret:string,line_number:bigint,is_secret:boolean,justification:string>"
+
+
+def baseline(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, secret_hash, line, rule_id, is_secret, justification) of baseline files (column json), and (path, line, problem) of entries that are refused.
+
+    A file's version has to be 1.0. An entry needs a justification, a hash of 40 hexadecimal digits, a
+    detector that is known, and a path that stays in the tree; without is_secret it counts as no secret.
+    """
+    data = F.from_json("json", f"struct<version:string,results:map<string,array<{ENTRY}>>>")
+    rows = files.select(data.alias("d")).select("d.version", F.explode("d.results").alias("path", "list")).select("version", "path", F.explode("list").alias("e")).select("version", "path", "e.*")
+    rule = F.create_map(*(F.lit(x) for pair in BASELINE_TYPES.items() for x in pair))
+    problem = (
+        F.when(~F.col("version").eqNullSafe("1.0"), "version")
+        .when(F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), ".."), "path")
+        .when(F.trim(F.coalesce("justification", F.lit(""))) == "", "justification")
+        .when(~F.coalesce(F.col("hashed_secret").rlike("^[0-9a-fA-F]{40}$"), F.lit(False)), "hash")
+        .when(rule[F.col("type")].isNull(), "type")
+    )
+    rows = rows.withColumn("problem", problem)
+    good = rows.where("problem is null").select(F.regexp_replace("path", "^(\\./)+", "").alias("path"), F.lower("hashed_secret").alias("secret_hash"), F.col("line_number").alias("line"), rule[F.col("type")].alias("rule_id"), F.coalesce("is_secret", F.lit(False)).alias("is_secret"), "justification")
+    return good, rows.where("problem is not null").select("path", F.col("line_number").alias("line"), "problem")
+
+
 def suppressed(detections: DataFrame, baseline: DataFrame) -> DataFrame:
     """Detections with `allowed`: whether the baseline (path, secret_hash, line, rule_id, is_secret) calls them no secret."""
     known = baseline.where(~F.col("is_secret")).select("path", "secret_hash", "line", "rule_id", F.lit(True).alias("__known")).distinct()

@@ -1,34 +1,38 @@
 """Walks over containment, calls and imports: ancestors, descendants, paths, cycles, reachability, dead code, clusters.
 
-Walks are iterated joins. Each round joins the frontier only, and writes it to the checkpoint folder, so
-that plans stay short and a lost executor costs one round; the driver sees whether a frontier is empty.
+Walks are iterated joins. Each round writes what it has found to the checkpoint folder, so that plans stay
+short and a lost executor costs one round; the driver sees whether anything is left to do. Pointers that
+double keep the number of rounds to the logarithm of a chain's or a tree's depth.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
-from graphquarry.operators.components import connected_components, ensure_checkpoint_dir
+from graphquarry.operators.components import connected_components, written
 from graphquarry.operators.graph import runtime_links
-from graphquarry.schema import BARRIER_TAGS, CONTAINER_KINDS, EXCLUDED_TAGS, NON_CODE_KINDS, ROOT_TAG_SUFFIXES, ROOT_TAGS
+from graphquarry.schema import BARRIER_TAGS, CONTAINER_KINDS, EXCLUDED_TAGS, NON_CODE_KINDS, ROOT_TAGS
 
 
 def closure(start: DataFrame, steps: DataFrame, most: int) -> DataFrame:
     """(id, at, depth): every node that is `most` steps or fewer from `at` of a start row; the least depth of each.
 
-    start: (id, at); steps: (at, next), a row for each edge.
+    start: (id, at); steps: (at, next), a row for each edge. For steps with one or few ways from a node, as
+    containment has. Jumps double: after k rounds all within 2**k - 1 steps are found, so there are as many
+    rounds as the logarithm of the depth, and no round looks at what others have found.
     """
-    ensure_checkpoint_dir(start.sparkSession)
-    seen = frontier = start.select("id", "at", F.lit(0).alias("depth")).distinct().checkpoint()
-    for depth in range(1, most + 1):
-        moved = frontier.join(steps, "at").select("id", F.col("next").alias("at"), F.lit(depth).alias("depth")).distinct()
-        frontier = moved.join(seen.select("id", "at"), ["id", "at"], "left_anti").checkpoint()
-        if frontier.isEmpty():
+    found = written(start.select("id", "at", F.lit(0).alias("depth")).distinct())
+    jump, size = written(steps.select("at", "next").distinct()), 1
+    while size <= most:
+        moved = found.join(jump, "at").select("id", F.col("next").alias("at"), (F.col("depth") + size).alias("depth")).where(F.col("depth") <= most)
+        found = written(found.unionByName(moved).groupBy("id", "at").agg(F.min("depth").alias("depth")))
+        jump = written(jump.select(F.col("at").alias("__from"), F.col("next").alias("at")).join(jump, "at").select(F.col("__from").alias("at"), "next").distinct())
+        size *= 2
+        if jump.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return found.select("id", "at", "depth")
 
 
 def parents(edges: DataFrame) -> DataFrame:
@@ -40,10 +44,11 @@ def ancestors(edges: DataFrame, of: DataFrame, most: int = 64) -> DataFrame:
     return closure(of.select("id", F.col("id").alias("at")), parents(edges), most).withColumnRenamed("at", "ancestor")
 
 
-def module_ancestors(edges: DataFrame, entities: DataFrame, most: int = 32) -> DataFrame:
-    """(id, module, depth): all modules that an entity lies in, a module in itself too."""
+def module_ancestors(edges: DataFrame, entities: DataFrame, most: int = 32, of: DataFrame | None = None) -> DataFrame:
+    """(id, module, depth): all modules that an entity (of those in `of`, column id, if given) lies in, a module in itself too."""
     modules = entities.where(F.col("kind") == "module").select(F.col("id").alias("module"))
-    up = ancestors(edges, entities, most).withColumnRenamed("ancestor", "module")
+    asked = entities if of is None else entities.join(of.select("id").distinct(), "id", "left_semi")
+    up = ancestors(edges, asked, most).withColumnRenamed("ancestor", "module")
     return up.join(modules, "module", "left_semi").select("id", "module", "depth")
 
 
@@ -66,16 +71,19 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame
     return closure(roots.select("id", F.col("id").alias("at")), down, most).select(F.col("id").alias("root"), F.col("at").alias("id"), "depth")
 
 
-def execution_paths(calls: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+def execution_paths(calls: DataFrame, roots: DataFrame, depth: int = 3, edge_cap: int | None = None) -> DataFrame:
     """(root, path): all simple call paths from the roots of 1 to `depth` calls, with every prefix.
 
-    calls: (from_id, to_id); depth is kept within 1 and 8.
+    calls: (from_id, to_id); depth is kept within 1 and 8. Each level is written and made from the one before
+    alone. edge_cap: of each node only so many calls are followed, in order of their targets; None: all.
     """
     pairs = calls.select(F.col("from_id").alias("__at"), F.col("to_id").alias("__next")).distinct()
-    level = roots.select(F.col("id").alias("root"), F.array("id").alias("path"))
-    out = None
+    if edge_cap is not None:
+        pairs = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("__at").orderBy("__next"))).where(F.col("__n") <= edge_cap).drop("__n")
+    pairs = written(pairs)
+    level, out = roots.select(F.col("id").alias("root"), F.array("id").alias("path")), None
     for _ in range(max(1, min(depth, 8))):
-        level = level.withColumn("__at", F.element_at("path", -1)).join(pairs, "__at").where(~F.array_contains("path", F.col("__next"))).select("root", F.array_append("path", F.col("__next")).alias("path"))
+        level = written(level.withColumn("__at", F.element_at("path", -1)).join(pairs, "__at").where(~F.array_contains("path", F.col("__next"))).select("root", F.array_append("path", F.col("__next")).alias("path")))
         out = level if out is None else out.unionByName(level)
     return out
 
@@ -85,52 +93,96 @@ def first_paths(paths: DataFrame, cap: int = 200) -> DataFrame:
     return paths.orderBy(F.size("path").desc(), "path").limit(cap)
 
 
+def ends_of_runs(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, head, tail) of nodes with one way in and one way out, and the edges with runs of such nodes replaced.
+
+    rest: (from_id, to_id) without loops. head and tail are the nodes before and after the run of such nodes;
+    both are null on a ring of nothing else, whose least node stands in `ring`. Runs are followed by pointers
+    that double.
+    """
+    out = rest.groupBy(F.col("from_id").alias("node")).agg(F.count("*").alias("o"), F.min("to_id").alias("tail"))
+    into = rest.groupBy(F.col("to_id").alias("node")).agg(F.count("*").alias("i"), F.min("from_id").alias("head"))
+    inner = written(out.join(into, "node").where("o = 1 and i = 1").select("node", "head", "tail"))
+    run, most = inner.withColumn("ring", F.col("node")), inner.count()
+    for _ in range(most.bit_length()):
+        a = run.select(F.col("node").alias("head"), F.col("head").alias("__h"), F.col("ring").alias("__r1"))
+        b = run.select(F.col("node").alias("tail"), F.col("tail").alias("__t"), F.col("ring").alias("__r2"))
+        new = run.join(a, "head", "left").join(b, "tail", "left")
+        least = F.least("ring", F.coalesce("__r1", "ring"), F.coalesce("__r2", "ring"))
+        new = written(new.select("node", F.coalesce("__h", "head").alias("head"), F.coalesce("__t", "tail").alias("tail"), least.alias("ring"), (F.col("__h").isNotNull() | F.col("__t").isNotNull()).alias("moved")))
+        run = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    names = inner.select(F.col("node").alias("head"), F.lit(True).alias("__inner"))
+    run = written(run.join(names, "head", "left").select("node", F.when(F.col("__inner").isNull(), F.col("head")).alias("head"), F.when(F.col("__inner").isNull(), F.col("tail")).alias("tail"), "ring"))
+    bare = rest.join(inner.select(F.col("node").alias("from_id")), "from_id", "left_anti").join(inner.select(F.col("node").alias("to_id")), "to_id", "left_anti").select("from_id", "to_id")
+    return run, written(bare.unionByName(run.where("head is not null").select(F.col("head").alias("from_id"), F.col("tail").alias("to_id"))).distinct())
+
+
+def trimmed(rest: DataFrame) -> DataFrame:
+    """The edges between nodes that have both a way in and a way out."""
+    alive = rest.select(F.col("from_id").alias("id")).intersect(rest.select(F.col("to_id").alias("id")))
+    return written(rest.join(alive.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(alive.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
+
+
 def cycles(pairs: DataFrame) -> DataFrame:
     """(component, id) of strongly connected components with more than one node, or with a self-loop.
 
-    pairs: (from_id, to_id). A component is named by its least node. Colouring: nodes without
-    predecessors or successors are trimmed; least labels spread forward until they are stable, and the
-    nodes that reach their label's node within its colour are a component; then the rest goes on.
+    pairs: (from_id, to_id). A component is named by its least node. Each round trims nodes without
+    predecessors or successors once and replaces runs of nodes with one way in and one way out by one edge, so
+    that chains and trees go in a number of rounds that grows with the logarithm of their size. When neither
+    changes much, least labels spread forward until they are stable (colouring); the nodes that reach their
+    label's node within its colour are a component, and the rest goes on.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
-    every = pairs.select("from_id", "to_id").distinct().checkpoint()
+    every = written(pairs.select("from_id", "to_id").distinct())
     loops = every.where("from_id = to_id").select(F.col("from_id").alias("id"))
-    rest, found = every.where("from_id <> to_id").checkpoint(), []
-    while not rest.isEmpty():
-        while True:  # trim
-            alive = rest.select(F.col("from_id").alias("id")).intersect(rest.select(F.col("to_id").alias("id")))
-            kept = rest.join(alive.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(alive.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id").checkpoint()
-            same, rest = kept.count() == rest.count(), kept
-            if same:
-                break
-        if rest.isEmpty():
+    rest, found, single, runs = every.where("from_id <> to_id"), [], loops, []
+    n = rest.count()
+    while n:
+        less = trimmed(rest)
+        run, less = ends_of_runs(less)
+        runs.append(run)
+        single = single.unionByName(less.where("from_id = to_id").select(F.col("from_id").alias("id")))  # a run that leads back to where it began
+        less = written(less.where("from_id <> to_id"))
+        m = less.count()
+        if m and m > 0.9 * n:
+            comp = written(coloured(less))
+            found.append(comp)
+            gone = comp.select("id")
+            less = written(less.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
+            m = less.count()
+        rest, n = less, m
+    parts = every.select(F.col("from_id").alias("component"), F.col("from_id").alias("id")).limit(0)
+    for x in found:
+        parts = parts.unionByName(x)
+    alone = single.distinct().join(parts.select("id"), "id", "left_anti").select(F.col("id").alias("component"), "id")
+    parts = written(parts.unionByName(alone))
+    for run in reversed(runs):  # a run lies in a component if its two ends do; a ring is one
+        head, tail = (parts.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("head", "tail"))
+        inside = run.where("head is not null").join(head, "head").join(tail, "tail").where("c_head = c_tail").select(F.col("c_head").alias("component"), F.col("node").alias("id"))
+        new = written(inside.unionByName(run.where("head is null").select(F.col("ring").alias("component"), F.col("node").alias("id"))))
+        parts = written(parts.join(new.select("id"), "id", "left_anti").select("component", "id").unionByName(new))
+    loop = loops.select(F.col("id").alias("component"), F.lit(True).alias("loop"))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("least")).join(loop, "component", "left").where("n > 1 or loop")
+    return parts.join(sizes.select("component", "least"), "component").select(F.col("least").alias("component"), "id")
+
+
+def coloured(rest: DataFrame) -> DataFrame:
+    """(component, id): the components of one colouring, those of one node too. At least the least node's is found."""
+    colour = written(rest.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().select("id", F.col("id").alias("c")))
+    while True:
+        into = rest.join(colour.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("c").alias("m"))
+        step = colour.join(into, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        jump = colour.select(F.col("id").alias("c"), F.col("c").alias("__further"))  # what reaches the label's node reaches this one
+        step = written(step.join(jump, "c").select("id", "old", F.least("c", "__further").alias("c")))
+        changed = not step.where("c <> old").isEmpty()
+        colour = step.select("id", "c")
+        if not changed:
             break
-        colour = rest.select(F.col("from_id").alias("id")).distinct().select("id", F.col("id").alias("c")).checkpoint()
-        while True:
-            into = rest.join(colour.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("c").alias("m"))
-            step = colour.join(into, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")).checkpoint()
-            changed = not step.where("c <> old").isEmpty()
-            colour = step.select("id", "c")
-            if not changed:
-                break
-        a, b = (colour.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("from_id", "to_id"))
-        inner = rest.join(a, "from_id").join(b, "to_id").where("c_from_id = c_to_id")
-        back = inner.select(F.col("to_id").alias("at"), F.col("from_id").alias("next")).checkpoint()
-        roots = colour.where("id = c").select("id", F.col("id").alias("at"))
-        comp = closure(roots, back, 1 << 20).select(F.col("id").alias("component"), F.col("at").alias("id")).checkpoint()
-        found.append(comp)
-        gone = comp.select("id")
-        rest = rest.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id").checkpoint()
-    parts = [loops.select(F.col("id").alias("component"), "id")]
-    for comp in found:
-        big = comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-        parts.append(comp.join(big, "component", "left_semi").select("component", "id"))
-    out = parts[-1]
-    for p in parts[1:-1]:
-        out = out.unionByName(p)
-    if len(parts) > 1:
-        out = out.unionByName(parts[0].join(out.select("id"), "id", "left_anti").select("component", "id"))
-    return out
+    a, b = (colour.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("from_id", "to_id"))
+    inner = rest.join(a, "from_id").join(b, "to_id").where("c_from_id = c_to_id").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    back = reachable(inner, colour.where("id = c").select("id"))
+    return colour.join(back, "id", "left_semi").select(F.col("c").alias("component"), "id")
 
 
 def circular_imports(edges: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -142,16 +194,38 @@ def circular_imports(edges: DataFrame, scope: DataFrame | None = None) -> DataFr
     return cycles(rows).groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
 
 
-def reachable(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id): what can be reached from the roots (column id) along (from_id, to_id), the roots too."""
-    steps = pairs.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).distinct()
-    ensure_checkpoint_dir(pairs.sparkSession)
-    seen = frontier = roots.select(F.col("id").alias("at")).distinct().checkpoint()
-    while True:
-        frontier = frontier.join(steps, "at").select(F.col("next").alias("at")).distinct().join(seen, "at", "left_anti").checkpoint()
+def reachable(pairs: DataFrame, roots: DataFrame, rounds: int = 12) -> DataFrame:
+    """(id): what can be reached from the roots (column id) along (from_id, to_id), the roots too.
+
+    Steps are written once; a round joins its frontier alone. Where `rounds` of them have not reached the end,
+    the graph that is left is contracted: a node with one predecessor is reached if that is, so it follows its
+    predecessors by pointers that double to the first one that is reached already or has several; walking
+    then goes on between those alone. Chains and trees thus take as many rounds as the logarithm of their depth.
+    """
+    steps = written(pairs.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).where("from_id <> to_id").distinct())
+    seen = frontier = written(roots.select(F.col("id").alias("at")).distinct())
+    for _ in range(rounds):
+        frontier = written(frontier.join(steps, "at").select(F.col("next").alias("at")).distinct().join(seen, "at", "left_anti"))
         if frontier.isEmpty():
             return seen.withColumnRenamed("at", "id")
-        seen = seen.unionByName(frontier)
+        seen = written(seen.unionByName(frontier))
+    known = seen.select(F.col("at").alias("next"))
+    left = written(steps.join(known, "next", "left_anti").select("at", "next"))
+    single = left.groupBy("next").agg(F.count("*").alias("n"), F.min("at").alias("up")).where("n = 1").select(F.col("next").alias("node"), "up")
+    up = written(single)
+    for _ in range(up.count().bit_length()):
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("__up"))
+        new = written(up.join(further, "up", "left").select("node", F.coalesce("__up", "up").alias("up"), F.col("__up").isNotNull().alias("moved")))
+        up = new.select("node", "up")
+        if new.where("moved").isEmpty():
+            break
+    top = up.join(up.select(F.col("node").alias("up"), F.lit(True).alias("__ring")), "up", "left").where("__ring is null").select("node", "up")  # rings that nothing leads into are never reached
+    top = written(top)
+    several = left.join(up.select(F.col("node").alias("next")), "next", "left_anti")
+    short = several.join(top.select(F.col("node").alias("at"), F.col("up").alias("__up")), "at", "left").select(F.coalesce("__up", "at").alias("from_id"), F.col("next").alias("to_id"))
+    heads = reachable(short, seen.withColumnRenamed("at", "id"), rounds)
+    below = top.join(heads.select(F.col("id").alias("up")), "up", "left_semi").select(F.col("node").alias("id"))
+    return written(heads.unionByName(below).distinct())
 
 
 def live_links(edges: DataFrame) -> DataFrame:
@@ -161,11 +235,7 @@ def live_links(edges: DataFrame) -> DataFrame:
 
 
 def roots_of(tags: DataFrame) -> DataFrame:
-    tag = F.col("tag")
-    ok = tag.isin(*ROOT_TAGS)
-    for suffix in ROOT_TAG_SUFFIXES:
-        ok = ok | tag.endswith(suffix)
-    return tags.where(ok)
+    return tags.where(F.col("tag").isin(*ROOT_TAGS))
 
 
 def dead_code(entities: DataFrame, edges: DataFrame, tags: DataFrame, shielded: DataFrame, explicit: bool = True, app_only: bool = False) -> DataFrame:
@@ -177,7 +247,7 @@ def dead_code(entities: DataFrame, edges: DataFrame, tags: DataFrame, shielded:
     may mean; `blocked` marks withheld ones; the rest is `dead`. Without roots nothing is returned.
     """
     ids = lambda names: tags.where(F.col("tag").isin(*names)).select(F.col("entity_id").alias("id")).distinct()
-    rooted = roots_of(tags)
+    rooted = written(roots_of(tags).select("entity_id"))
     start = rooted.select(F.col("entity_id").alias("id")).unionByName(ids(BARRIER_TAGS)).distinct()
     links = live_links(edges)
     out = entities.where(~F.col("kind").isin(*NON_CODE_KINDS, *CONTAINER_KINDS)).select("id", "plugin_id", X.block_reason(F.col("properties")).alias("__blocked"))
@@ -211,10 +281,16 @@ def weight(count: Column) -> Column:
     return F.least(count.cast("long"), F.lit(4294967295)).cast("double")
 
 
+def average_weight(graph: DataFrame) -> DataFrame:
+    """One row, bar: the average of the positive weights of edges (reference_count), 1 at least."""
+    w = weight(F.col("reference_count"))
+    return graph.agg(F.greatest(F.lit(1.0), F.avg(F.when(w > 0, w))).alias("bar"))
+
+
 def weighted_components(graph: DataFrame, least_size: int = 1) -> DataFrame:
     """(component, size, members) of the undirected graph of edges (from_id, to_id, reference_count) of at least average weight (and at least 1)."""
     rows = graph.where("from_id <> to_id").withColumn("w", weight(F.col("reference_count")))
-    bar = rows.agg(F.greatest(F.lit(1.0), F.avg(F.when(F.col("w") > 0, F.col("w")))).alias("bar"))
+    bar = average_weight(rows)
     strong = rows.join(F.broadcast(bar), F.col("w") >= F.col("bar"))  # one row
     comp = connected_components(strong, "from_id", "to_id")
     return comp.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).where(F.col("size") >= least_size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
@@ -38,7 +38,6 @@ BLOCK = "CASE WHEN properties IS NULL THEN NULL WHEN NOT json_valid(properties)
 RUNTIME = "(properties IS NULL OR NOT json_valid(properties) OR (coalesce(json_extract_string(properties, '$.type_only'), '0') NOT IN ('1', 'true') AND coalesce(json_extract_string(properties, '$.scope'), 'module') = 'module'))"
 CANDIDATES = "coalesce(CASE WHEN json_valid(properties) THEN CAST(json_extract(properties, '$.candidates') AS VARCHAR[]) END, [])"
 ROOTS = "('entry-point', 'http-route', 'test', 'data-model', 'cli-command', 'exported-api', 'public-surface', 'allow-dead-code')"
-ORDER = "geo:function:r0.n0.c"
 ANCESTORS = "anc(id, module, depth) AS (SELECT id, id, 0 FROM {entities} UNION ALL SELECT anc.id, e.from_id, depth + 1 FROM anc JOIN {edges} e ON e.kind = 'contains' AND e.to_id = anc.module WHERE depth < 32)"
 EXPANDED = "SELECT from_id, to_id, confidence, source_byte_start, 0 AS pass FROM {{edges}} WHERE kind = 'calls' AND confidence IN ({0}) UNION ALL SELECT from_id, c, confidence, source_byte_start, 1 FROM (SELECT from_id, to_id, confidence, source_byte_start, unnest(" + CANDIDATES + ") AS c FROM {{edges}} WHERE kind = 'calls' AND confidence = 'ambiguous') WHERE c <> to_id"
 ALL_CALLS = EXPANDED.format("'resolved', 'ambiguous', 'inferred'")
@@ -158,9 +157,9 @@ def _(t):
     return L.project_findings(t.findings, t.entities, kind="fact")
 
 
-@query("flt22_redaction", f"SELECT id, kind, CASE WHEN {BLOCK} IS NULL THEN name END AS name, CASE WHEN {BLOCK} IS NULL THEN short_name END AS short_name, CASE WHEN {BLOCK} IS NULL THEN source_file_path END AS source_file_path, CASE WHEN {BLOCK} IS NULL THEN summary END AS summary, {BLOCK} AS briefing_blocked FROM {{entities}} WHERE kind = 'class'")
+@query("flt22_redaction", f"SELECT id, kind, CASE WHEN {BLOCK} IS NULL THEN name END AS name, CASE WHEN {BLOCK} IS NULL THEN short_name END AS short_name, CASE WHEN {BLOCK} IS NULL THEN source_file_path END AS source_file_path, CASE WHEN {BLOCK} IS NULL THEN summary END AS summary, {BLOCK} AS briefing_blocked FROM {{entities}}")
 def _(t):
-    return L.redacted(t.entities.where("kind = 'class'"))
+    return L.redacted(t.entities)
 
 
 @query("flt23_source_lines", "WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {documents}) SELECT concat('d', CAST(doc_id AS VARCHAR)) AS id, CAST(1 AS BIGINT) AS first_line, array_to_string(lines[1:3], chr(10)) AS text FROM f")
@@ -187,14 +186,14 @@ def _(t):
     return G.live_sites(t.sites, t.entities).select("site_key", "caller_entity_id", "callee_expr", "site_ordinal")
 
 
-@query("jon04_unresolved_callers", "WITH l AS (" + LIVE + "), g AS (SELECT * FROM {entities} WHERE plugin_id = 'lib') SELECT g.id AS to_id, site_key, caller_entity_id, callee_expr, coalesce(caller_path = g.source_file_path, false) AS same_file, CASE WHEN contains(callee_expr, '.') THEN 'attribute-receiver' ELSE 'dynamic' END AS why FROM l JOIN g ON g.short_name = regexp_extract(callee_expr, '([^.:]*)$', 1)")
+@query("jon04_unresolved_callers", "WITH l AS (" + LIVE + ") SELECT g.id AS to_id, site_key, caller_entity_id, callee_expr, coalesce(caller_path = g.source_file_path, false) AS same_file, CASE WHEN contains(callee_expr, '.') THEN 'attribute-receiver' ELSE 'dynamic' END AS why FROM l JOIN {entities} g ON g.short_name = regexp_extract(callee_expr, '([^.:]*)$', 1)")
 def _(t):
-    return G.unresolved_callers(t.sites, t.entities, t.entities.where("plugin_id = 'lib'"))
+    return G.unresolved_callers(t.sites, t.entities, t.entities)
 
 
-@query("jon05_unresolved_counts", "WITH l AS (" + LIVE + ") SELECT g.id AS to_id, count(*) AS n FROM l JOIN {entities} g ON g.plugin_id = 'lib' AND g.short_name = regexp_extract(callee_expr, '([^.:]*)$', 1) GROUP BY g.id")
+@query("jon05_unresolved_counts", "WITH l AS (" + LIVE + ") SELECT g.id AS to_id, count(*) AS n FROM l JOIN {entities} g ON g.short_name = regexp_extract(callee_expr, '([^.:]*)$', 1) GROUP BY g.id")
 def _(t):
-    return G.unresolved_callers(t.sites, t.entities, t.entities.where("plugin_id = 'lib'")).groupBy("to_id").agg(F.count("*").alias("n"))
+    return G.unresolved_callers(t.sites, t.entities, t.entities).groupBy("to_id").agg(F.count("*").alias("n"))
 
 
 @query("jon06_shielded", "WITH l AS (" + LIVE + ") SELECT id FROM {entities} WHERE short_name IN (SELECT regexp_extract(callee_expr, '([^.:]*)$', 1) FROM l)")
@@ -202,7 +201,7 @@ def _(t):
     return G.targeted_by_sites(t.sites, t.entities)
 
 
-@query("jon07_site_candidates", "WITH l AS (" + LIVE + ") SELECT DISTINCT site_key, id FROM l JOIN {entities} e ON e.short_name = split_part(callee_expr, '.', -1) OR e.name = callee_expr")
+@query("jon07_site_candidates", "WITH l AS (" + LIVE + "), x AS (SELECT DISTINCT callee_expr, trim(split_part(callee_expr, '.', -1)) AS short FROM l), c AS (SELECT callee_expr, id FROM x JOIN {entities} e ON e.short_name = short WHERE short <> '' UNION SELECT callee_expr, id FROM x JOIN {entities} e ON e.name = callee_expr WHERE short <> '' UNION SELECT callee_expr, id FROM x JOIN {entities} e ON lower(split_part(e.name, '.', -1)) = lower(short) AND contains(e.name, '.') WHERE short <> '') SELECT DISTINCT site_key, id FROM l JOIN c USING (callee_expr)")
 def _(t):
     return G.site_candidates(t.sites, t.entities)
 
@@ -217,20 +216,15 @@ def _(t):
     return t.bindings.where("status = 'alive'").join(t.entities.select(F.col("id").alias("current_locator"), "content_hash"), "current_locator", "left").select("sei", "current_locator", "content_hash")
 
 
-@query("jon11_parent_mismatch", "SELECT id, parent_id, from_id FROM {entities} LEFT JOIN {edges} c ON c.kind = 'contains' AND c.to_id = id AND c.from_id = parent_id WHERE (parent_id IS NOT NULL AND from_id IS NULL)")
+@query("jon11_parent_mismatch", "WITH e AS (SELECT id, CASE WHEN kind = 'class' AND source_line_start % 3000 = 0 THEN 'geo:module:other' ELSE parent_id END AS parent_id FROM {entities}), c AS (SELECT to_id, from_id FROM {edges} WHERE kind = 'contains' AND to_id NOT LIKE '%.o1_') SELECT coalesce(id, to_id) AS id, parent_id, from_id FROM e FULL JOIN c ON to_id = id WHERE parent_id IS DISTINCT FROM from_id")
 def _(t):
     from graphquarry.operators.lifecycle import parent_mismatches
 
-    return parent_mismatches(t.entities, t.edges).select("id", "parent_id", "from_id")
+    wrong = F.when((F.col("kind") == "class") & (F.col("source_line_start") % 3000 == 0), "geo:module:other").otherwise(F.col("parent_id"))
+    return parent_mismatches(t.entities.withColumn("parent_id", wrong), t.edges.where("kind <> 'contains' or to_id not like '%.o1_'")).select("id", "parent_id", "from_id")
 
 
-@query("jon12_entity_at_line", "WITH a AS (SELECT DISTINCT source_file_path, source_line_start + 3 AS line FROM {entities} WHERE kind = 'function' AND source_line_start % 70 = 0) SELECT source_file_path, line, id, span FROM (SELECT a.source_file_path, line, id, source_line_end - source_line_start AS span, row_number() OVER (PARTITION BY a.source_file_path, line ORDER BY source_line_end - source_line_start, CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 WHEN 'module' THEN 2 ELSE 3 END, id) AS n FROM a JOIN {entities} e ON e.source_file_path = a.source_file_path AND line BETWEEN source_line_start AND source_line_end) WHERE n = 1")
-def _(t):
-    asked = t.entities.where("kind = 'function' and source_line_start % 70 = 0").select("source_file_path", (F.col("source_line_start") + 3).alias("line")).distinct()
-    return L.at_line(t.entities, asked)
-
-
-@query("jon12_entity_at_every_line")  # no SQL: a range join of whole files; a test has it against brute force
+@query("jon12_entity_at_line", "WITH a AS (SELECT DISTINCT source_file_path, source_line_start + 3 AS line FROM {entities} WHERE kind = 'function') SELECT source_file_path, line, id, span FROM (SELECT a.source_file_path, line, id, source_line_end - source_line_start AS span, row_number() OVER (PARTITION BY a.source_file_path, line ORDER BY source_line_end - source_line_start, CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 WHEN 'module' THEN 2 ELSE 3 END, id) AS n FROM a JOIN {entities} e ON e.source_file_path = a.source_file_path AND line BETWEEN source_line_start AND source_line_end) WHERE n = 1")
 def _(t):
     asked = t.entities.where("kind = 'function'").select("source_file_path", (F.col("source_line_start") + 3).alias("line")).distinct()
     return L.at_line(t.entities, asked)
@@ -241,9 +235,12 @@ def _(t):
     return L.latest_facts(t.taints, "sei").select("sei", "entity_id", "fact_json", "updated_at", "ingest_seq")
 
 
-@query("jon14_prior_locators", "SELECT source_file_path, count(*) AS n, min(id) AS first FROM {entities} GROUP BY source_file_path")
+@query("jon14_prior_locators", "WITH f AS (SELECT source_file_path AS path, list_sort(list(id)) AS ids FROM {entities} GROUP BY source_file_path) SELECT path, CASE WHEN path LIKE '%customers.py' THEN md5(path) END AS hash, sha256(array_to_string(ids, ',')) AS locators, CAST(len(ids) AS INTEGER) AS n FROM f")
 def _(t):
-    return t.entities.groupBy("source_file_path").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    from graphquarry.operators.lifecycle import prior_snapshot
+
+    prior = t.entities.where("source_file_path like '%customers.py'").select(F.col("source_file_path").alias("path"), F.md5("source_file_path").alias("hash")).distinct()
+    return prior_snapshot(t.entities, prior).select("path", "hash", F.sha2(F.array_join("locators", ","), 256).alias("locators"), F.size("locators").alias("n"))
 
 
 @query("jon15_resolve_qualnames", "SELECT name AS qualname, CASE count(*) WHEN 1 THEN 'exact' ELSE 'ambiguous' END AS result_kind, array_to_string(list_sort(list(id)), ',') AS entity_ids FROM {entities} WHERE kind NOT IN ('file', 'subsystem') GROUP BY name UNION ALL SELECT 'no.such', 'none', ''")
@@ -260,10 +257,13 @@ def _(t):
     return t.bindings.where("status = 'alive'").join(asked, "current_locator", "left_semi").select("current_locator", "sei")
 
 
-@query("jon18_reconcile_by_qualname", "SELECT e.id, count(*) AS n FROM {findings} f JOIN {entities} e ON split_part(e.id, ':', 3) = split_part(f.entity_id, ':', 3) GROUP BY e.id")
+@query("jon18_reconcile_by_qualname", "WITH f AS (SELECT id, CASE WHEN rule_id <> 'PY-TOXIC' THEN split_part(entity_id, ':', 3) END AS qualname FROM {findings}) SELECT e.id, f.id AS finding FROM f JOIN {entities} e ON split_part(e.id, ':', 3) = f.qualname UNION ALL SELECT NULL, id FROM f WHERE qualname IS NULL")
 def _(t):
-    f = t.findings.select(X.qualname(F.col("entity_id")).alias("q"))
-    return t.entities.select("id", X.qualname(F.col("id")).alias("q")).join(f, "q").groupBy("id").agg(F.count("*").alias("n"))
+    from graphquarry.operators.orientation import reconciled
+
+    external = t.findings.select("id", F.when(F.col("rule_id") != "PY-TOXIC", X.qualname(F.col("entity_id"))).alias("qualname"))
+    matched, nameless = reconciled(t.entities, external)
+    return matched.select("id", "finding").unionByName(nameless.select(F.lit(None).cast("string").alias("id"), F.col("id").alias("finding")))
 
 
 @query("jon19_test_callers", "SELECT DISTINCT to_id, from_id FROM {edges} WHERE kind = 'calls' AND confidence = 'resolved' AND from_id IN (SELECT entity_id FROM {tags} WHERE tag = 'test')")
@@ -271,9 +271,27 @@ def _(t):
     return G.test_callers(t.edges, t.tags)
 
 
-@query("jon20_churn_join", "SELECT id, coalesce(churn_count, 0) AS churn_count FROM {entities} LEFT JOIN {churn} ON entity_id = id WHERE kind = 'class'")
+CHURN = "WITH c AS (SELECT entity_id, churn_count, last_changed_at, row_number() OVER (ORDER BY entity_id) AS seq FROM {churn}), i AS (SELECT CASE WHEN seq % 2 = 0 THEN 'sei:' || md5(entity_id) ELSE entity_id END AS key, churn_count, last_changed_at FROM c), j AS (SELECT e.id, CASE WHEN s.key IS NOT NULL THEN s.churn_count WHEN l.key IS NOT NULL THEN l.churn_count ELSE 0 END AS churn_count, CASE WHEN s.key IS NOT NULL THEN s.last_changed_at ELSE l.last_changed_at END AS last_changed_at FROM {entities} e LEFT JOIN {bindings} b ON b.current_locator = e.id AND b.status = 'alive' LEFT JOIN i s ON s.key = b.sei LEFT JOIN i l ON l.key = e.id) "
+
+
+def churn_items(t):
+    """Churn as a neighbour reports it: half of it by identity, half by locator."""
+    odd = F.pmod(F.row_number().over(Window.orderBy("entity_id")), F.lit(2)) == 1  # a sequence for the test's items
+    return t.churn.select(F.when(odd, None).otherwise(F.concat(F.lit("sei:"), F.md5("entity_id"))).alias("sei"), F.when(odd, F.col("entity_id")).alias("locator"), "churn_count", "last_changed_at", F.lit(0).alias("seq"))
+
+
+@query("jon20_churn_join", CHURN + "SELECT id, churn_count FROM j")
+def _(t):
+    from graphquarry.operators.orientation import with_churn
+
+    return with_churn(t.entities, t.bindings, churn_items(t)).select("id", "churn_count")
+
+
+@query("srt07_stored_churn", CHURN + "SELECT id, last_changed_at FROM j WHERE churn_count >= 1 ORDER BY last_changed_at DESC, id LIMIT 100")
 def _(t):
-    return t.entities.where("kind = 'class'").join(t.churn.withColumnRenamed("entity_id", "id"), "id", "left").select("id", F.coalesce("churn_count", F.lit(0)).alias("churn_count"))
+    from graphquarry.operators.orientation import by_recency, with_churn
+
+    return by_recency(with_churn(t.entities, t.bindings, churn_items(t)), 100).select("id", "last_changed_at")
 
 
 # --- aggregations ------------------------------------------------------------------------------------
@@ -311,7 +329,7 @@ def _(t):
 
 @query("agg05_module_dependencies", "WITH RECURSIVE " + ANCESTORS + ", m AS (SELECT anc.id, module FROM anc JOIN {entities} e ON e.id = module AND e.kind = 'module'), f AS (SELECT kind, from_id, unnest(CASE WHEN kind = 'calls' AND confidence = 'ambiguous' THEN list_distinct(list_concat([to_id], " + CANDIDATES + ")) ELSE [to_id] END) AS to_id FROM {edges} WHERE kind IN ('calls', 'references', 'imports') AND confidence <> 'inferred') SELECT a.module AS from_module, b.module AS to_module, count(*) AS reference_count, array_to_string(list_sort(list(DISTINCT f.kind)), ',') AS kinds FROM f JOIN m a ON a.id = f.from_id JOIN m b ON b.id = f.to_id WHERE a.module <> b.module GROUP BY 1, 2")
 def _(t):
-    up = V.module_ancestors(t.edges, t.entities).select("id", "module")
+    up = V.module_ancestors(t.edges, t.entities, of=G.dependency_ends(t.edges)).select("id", "module")
     return G.module_dependencies(t.edges, up).select("from_module", "to_module", "reference_count", F.array_join("kinds", ",").alias("kinds"))
 
 
@@ -320,11 +338,12 @@ def _(t):
     return G.linkages(t.edges, t.entities)
 
 
-@query("agg07_finding_anchor", "SELECT source_file_path, min(rank || id) AS anchor FROM (SELECT *, CASE kind WHEN 'module' THEN '0' WHEN 'class' THEN '1' ELSE '2' END AS rank FROM {entities}) GROUP BY source_file_path")
+@query("agg07_finding_anchor", "WITH e AS (SELECT source_file_path, id, kind, plugin_id FROM {entities} UNION ALL SELECT DISTINCT source_file_path, 'core:file:' || source_file_path, 'file', 'core' FROM {entities}) SELECT source_file_path, arg_min(id, (CASE WHEN kind = 'module' THEN 0 WHEN plugin_id <> 'core' THEN 1 ELSE 2 END, id)) AS anchor FROM e GROUP BY source_file_path")
 def _(t):
-    rank = F.when(F.col("kind") == "module", "0").when(F.col("kind") == "class", "1").otherwise("2")
-    best = t.entities.groupBy("source_file_path").agg(F.min(F.struct(rank.alias("rank"), "id")).alias("b"))
-    return best.select("source_file_path", F.concat("b.rank", "b.id").alias("anchor"))
+    from graphquarry.operators.lifecycle import finding_anchors
+
+    files = t.entities.select("source_file_path", F.concat(F.lit("core:file:"), "source_file_path").alias("id"), F.lit("file").alias("kind"), F.lit("core").alias("plugin_id")).distinct()
+    return finding_anchors(t.entities.select(*files.columns).unionByName(files)).select("source_file_path", F.col("entity_id").alias("anchor"))
 
 
 @query("agg08_secret_anchor", "SELECT source_file_path, min(entity_id) AS anchor FROM {findings} JOIN {entities} e ON e.id = entity_id WHERE rule_id = 'PY-TOXIC' GROUP BY source_file_path")
@@ -332,10 +351,16 @@ def _(t):
     return t.findings.where("rule_id = 'PY-TOXIC'").join(t.entities.select(F.col("id").alias("entity_id"), "source_file_path"), "entity_id").groupBy("source_file_path").agg(F.min("entity_id").alias("anchor"))
 
 
-@query("agg09_latest_finding", "SELECT entity_id, max(created_at || id) AS latest FROM {findings} GROUP BY entity_id")
+@query("agg09_latest_finding", "WITH c AS (SELECT id, entity_id, created_at, CAST(substr(id, 2) AS BIGINT) AS n FROM {findings} WHERE rule_id = 'PY-QUALITY'), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id DESC) AS k FROM c) WHERE k = 1) SELECT entity_id, CASE WHEN n % 7 = 0 THEN '' WHEN n % 3 = 0 THEN 'same.py' ELSE 'a' || CAST(n % 5 AS VARCHAR) || '.py,b.py' END AS paths, CASE WHEN n % 7 = 0 THEN NULL ELSE 'cross_file' END AS shape FROM l")
 def _(t):
-    best = t.findings.groupBy("entity_id").agg(F.max(F.struct("created_at", "id")).alias("b"))
-    return best.select("entity_id", F.concat("b.created_at", "b.id").alias("latest"))
+    from graphquarry.operators.lifecycle import last_collision
+
+    n = F.substring("id", 2, 20).cast("long")
+    first = F.when(n % 3 == 0, "same.py").otherwise("b.py")
+    other = F.when(n % 3 == 0, "same.py").otherwise(F.concat(F.lit("a"), (n % 5).cast("string"), F.lit(".py")))
+    made = F.to_json(F.struct(F.struct(first.alias("first_source_file_path"), other.alias("colliding_source_file_path"), F.lit("cross_file").alias("shape")).alias("metadata")))
+    rows = t.findings.withColumn("evidence", F.when(n % 7 == 0, "not json").otherwise(made)).withColumn("updated_at", F.col("created_at"))
+    return last_collision(rows, "PY-QUALITY").select("entity_id", F.array_join("paths", ",").alias("paths"), "shape")
 
 
 @query("agg10_tier_consensus", "WITH l AS (" + LATEST.format(key="entity_id") + "), x AS (SELECT split_part(split_part(entity_id, ':', 3), '.', 1) AS subsystem, json_extract_string(CASE WHEN json_valid(fact_json) THEN fact_json END, '$.tier') AS tier FROM l) SELECT subsystem, count(*) AS members, count(DISTINCT tier) AS tiers, CASE WHEN count(*) >= 2 AND count(DISTINCT tier) >= 2 THEN 'mixing' WHEN count(DISTINCT tier) = 1 THEN 'unanimous' END AS verdict FROM x WHERE tier IS NOT NULL GROUP BY subsystem")
@@ -358,35 +383,29 @@ def _(t):
     return t.events.groupBy("event_type").agg(F.expr("coalesce(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 0)").alias("p95"))
 
 
-@query("agg15_average_weight", "SELECT greatest(1.0, avg(CASE WHEN l_quantity > 0 THEN least(l_quantity, 4294967295) END)) AS bar FROM {lineitem}")
+@query("agg15_average_weight", "SELECT greatest(1.0, avg(CASE WHEN n > 0 THEN least(n, 4294967295) END)) AS bar FROM (SELECT CAST(l_orderkey AS BIGINT) * 1000000 * (l_linenumber - 1) AS n FROM {lineitem})")
 def _(t):
-    return t.lineitem.agg(F.greatest(F.lit(1.0), F.avg(F.when(F.col("l_quantity") > 0, F.least(F.col("l_quantity"), F.lit(4294967295.0))))).alias("bar"))
+    return V.average_weight(t.lineitem.select((F.col("l_orderkey").cast("long") * 1000000 * (F.col("l_linenumber") - 1)).alias("reference_count")))
 
 
-@query("agg17_guidance_tags", "SELECT tag, count(*) AS n, min(entity_id) AS first FROM {tags} GROUP BY tag")
+@query("agg17_guidance_tags", "WITH g AS (SELECT id, CAST(CASE WHEN kind = 'class' THEN 5 ELSE 4 END AS INTEGER) AS scope_rank, short_name FROM {entities} WHERE kind IN ('class', 'module')) SELECT g.id, scope_rank, 'On ' || short_name AS content, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM g LEFT JOIN {tags} ON entity_id = g.id GROUP BY ALL")
 def _(t):
-    return t.tags.groupBy("tag").agg(F.count("*").alias("n"), F.min("entity_id").alias("first"))
-
-
-# --- graph -------------------------------------------------------------------------------------------
+    from graphquarry.operators.guidance import sheets
 
+    made = F.to_json(F.struct(F.col("kind").alias("scope_level"), F.concat(F.lit("On "), "short_name").alias("content")))
+    rows = t.entities.where("kind in ('class', 'module')").withColumn("properties", made).withColumn("kind", F.lit("guidance"))
+    return sheets(rows, t.tags).select("id", "scope_rank", "content", F.array_join("tags", ",").alias("tags"))
 
-@query("grf01_callers", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT to_id, from_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE to_id IN (SELECT id FROM {{entities}} WHERE name LIKE 'p1%') GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY to_id, from_id, source_byte_start"))
-def _(t):
-    return G.callers(t.edges, t.entities.where("name like 'p1%'"), "ambiguous")
 
-
-@query("grf02_callees", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT from_id, to_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE from_id LIKE '{ORDER}%' GROUP BY from_id, to_id, source_byte_start")
-def _(t):
-    return G.callees(t.edges, t.entities.where(F.col("id").startswith(ORDER)), "ambiguous")
+# --- graph -------------------------------------------------------------------------------------------
 
 
-@query("grf01_callers_all", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT to_id, from_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE to_id IN (SELECT id FROM {{entities}}) GROUP BY to_id, from_id, source_byte_start")
+@query("grf01_callers", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT to_id, from_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE to_id IN (SELECT id FROM {{entities}}) GROUP BY to_id, from_id, source_byte_start")
 def _(t):
     return G.callers(t.edges, t.entities, "ambiguous")
 
 
-@query("grf02_callees_all", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT from_id, to_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE from_id IN (SELECT id FROM {{entities}}) GROUP BY from_id, to_id, source_byte_start")
+@query("grf02_callees", f"WITH c AS ({AMBIGUOUS_CALLS}) SELECT from_id, to_id, source_byte_start, arg_min(confidence, pass) AS confidence, min(pass) AS pass FROM c WHERE from_id IN (SELECT id FROM {{entities}}) GROUP BY from_id, to_id, source_byte_start")
 def _(t):
     return G.callees(t.edges, t.entities, "ambiguous")
 
@@ -422,9 +441,9 @@ def _(t):
     return G.module_rollup(t.edges, V.descendants(t.edges, ids(t, "geo:module:r1")).select("id"))
 
 
-@query("grf08_ancestors", "WITH RECURSIVE " + ANCESTORS + " SELECT anc.id, module AS ancestor, depth FROM anc JOIN {entities} e ON e.id = anc.id WHERE e.kind = 'class'")
+@query("grf08_ancestors", "WITH RECURSIVE " + ANCESTORS + " SELECT id, module AS ancestor, depth FROM anc")
 def _(t):
-    return V.ancestors(t.edges, t.entities.where("kind = 'class'"))
+    return V.ancestors(t.edges, t.entities)
 
 
 @query("grf09_module_ancestors", "WITH RECURSIVE " + ANCESTORS + " SELECT anc.id, module, depth FROM anc JOIN {entities} e ON e.id = module AND e.kind = 'module'")
@@ -462,16 +481,6 @@ def _(t):
     return V.first_paths(V.execution_paths(G.expanded_calls(t.edges), roots, 4)).select("root", F.array_join("path", " > ").alias("path"))
 
 
-@query("grf15_neighbourhood", "WITH r AS (" + RELATIONS + "), b AS (SELECT 'callers' AS bucket, from_id AS n FROM {edges} WHERE kind = 'calls' AND confidence = 'resolved' AND to_id = 'lib:function:p3' UNION SELECT 'callees', to_id FROM {edges} WHERE kind = 'calls' AND confidence = 'resolved' AND from_id = 'lib:function:p3' UNION SELECT 'references_in', from_id FROM {edges} WHERE kind = 'references' AND to_id = 'lib:function:p3' UNION SELECT 'relations_' || direction, neighbour FROM r WHERE r.id = 'lib:function:p3') SELECT bucket, n AS neighbour FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n) AS k FROM b) WHERE k <= 5")
-def _(t):
-    return G.neighbourhood(t.edges, "lib:function:p3", 5)
-
-
-@query("grf16_call_sites", "SELECT e.kind, from_id, to_id, source_byte_start, source_file_path AS path FROM {edges} e LEFT JOIN {entities} x ON x.id = from_id WHERE e.kind IN ('calls', 'references') AND to_id = 'lib:function:p5' AND confidence = 'resolved' AND source_file_path NOT LIKE '%/test_%'")
-def _(t):
-    return G.call_sites(t.edges, t.entities, "lib:function:p5", "callee", scope="production", cap=None)
-
-
 @query("grf18_circular_imports", f"WITH RECURSIVE e AS (SELECT DISTINCT from_id, to_id FROM {{edges}} WHERE kind = 'imports' AND {RUNTIME}), r(a, b) AS (SELECT from_id, to_id FROM e UNION SELECT a, to_id FROM r JOIN e ON from_id = b), s AS (SELECT x.a, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT component, count(*) AS size, array_to_string(list_sort(list(a)), ',') AS members FROM s GROUP BY component")
 def _(t):
     return V.circular_imports(t.edges).select("component", "size", F.array_join("members", ",").alias("members"))
@@ -514,18 +523,6 @@ def _(t):
     return V.modularity(g, groups).select(F.round("modularity", 9).alias("modularity"))
 
 
-@query("grf23_subsystems", "WITH m AS (SELECT split_part(id, '.', 1) AS p, list_sort(list(id)) AS members FROM {entities} WHERE kind = 'class' GROUP BY 1) SELECT 'core:subsystem:' || substr(sha256(array_to_string(members, '')), 1, 12) AS id, split_part(p, ':', 3) AS name, CAST(len(members) AS INTEGER) AS size FROM m")
-def _(t):
-    groups = t.entities.where("kind = 'class'").groupBy(F.get(F.split("id", "[.]"), F.lit(0)).alias("p")).agg(F.array_sort(F.collect_list("id")).alias("members"))
-    return V.subsystems(groups).select("id", "name", F.size("members").alias("size"))
-
-
-@query("grf25_match_reason", "WITH a AS (SELECT source_file_path, source_line_start AS line, id, kind FROM {entities} WHERE kind = 'function' AND plugin_id = 'lib') SELECT source_file_path, line, id, 'declaration' AS reason FROM a")
-def _(t):
-    asked = t.entities.where("kind = 'function' and plugin_id = 'lib'").select("source_file_path", F.col("source_line_start").alias("line"))
-    return L.match_reason(t.entities, asked)
-
-
 # --- paging and ranking ------------------------------------------------------------------------------
 
 

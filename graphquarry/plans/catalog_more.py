@@ -68,17 +68,17 @@ def _(t):
     return U.composed(matched(t), sheets(t))
 
 
-@query("sch06_summary_state", "WITH c AS (SELECT to_id AS entity_id, count(DISTINCT from_id) AS callers FROM {edges} WHERE kind = 'calls' AND confidence = 'resolved' GROUP BY to_id) SELECT id AS entity_id, CASE WHEN source_line_start % 4 = 0 THEN 'expired' WHEN abs(coalesce(callers, 0) - 20) * 2 > 20 THEN 'stale' ELSE 'fresh' END AS state FROM {entities} LEFT JOIN c ON c.entity_id = id WHERE plugin_id = 'lib'")
+@query("sch06_summary_state", "WITH c AS (SELECT to_id AS entity_id, count(DISTINCT from_id) AS callers FROM {edges} WHERE kind = 'calls' AND confidence = 'resolved' GROUP BY to_id) SELECT id AS entity_id, CASE WHEN source_line_start % 4 = 0 THEN 'expired' WHEN abs(coalesce(callers, 0) - 20) * 2 > 20 THEN 'stale' ELSE 'fresh' END AS state FROM {entities} LEFT JOIN c ON c.entity_id = id")
 def _(t):
     made = F.when(F.col("source_line_start") % 4 == 0, "2023-01-01T00:00:00Z").otherwise("2024-05-30T00:00:00Z")
-    cache = t.entities.where("plugin_id = 'lib'").select(F.col("id").alias("entity_id"), made.alias("created_at"), F.lit(20).alias("caller_count"))
+    cache = t.entities.select(F.col("id").alias("entity_id"), made.alias("created_at"), F.lit(20).alias("caller_count"))
     callers = G.expanded_calls(t.edges).groupBy(F.col("to_id").alias("entity_id")).agg(F.count_distinct("from_id").alias("callers"))
     return S.summary_state(cache, "2024-06-01", 30, callers)
 
 
-@query("mis15_open_anchors", f"SELECT id FROM {{entities}} WHERE {BLOCK} IS NULL AND content_hash = md5(name) AND kind = 'class'")
+@query("mis15_open_anchors", f"SELECT id FROM {{entities}} WHERE {BLOCK} IS NULL AND content_hash = md5(name)")
 def _(t):
-    e = t.entities.where("kind = 'class'")
+    e = t.entities
     return e.where(X.block_reason(F.col("properties")).isNull() & (F.col("content_hash") == F.md5("name"))).select("id")
 
 
@@ -106,34 +106,6 @@ def _(t):
     return U.churned(rows)
 
 
-def sources(t):
-    """One Python file for each nation, with a class for each region's name and calls between nations."""
-    number = F.col("n_nationkey").cast("string")
-    other = ((F.col("n_nationkey") + 1) % 25).cast("string")
-    code = F.concat(F.lit("from pkg.n"), other, F.lit(" import start as other\nimport os\n\nclass Base:\n    pass\n\nclass Model(Base):\n    def run(self):\n        return other(self)\n\ndef start(x):\n    return Model().run(x)\n"))
-    return t.nation.select(F.concat(F.lit("src/pkg/n"), number, F.lit(".py")).alias("path"), code.alias("content"))
-
-
-NATION = "'pkg.n' || CAST(n_nationkey AS VARCHAR)"
-
-
-@query("ext01_entities", f"SELECT kind || ':' || name AS entity FROM (SELECT 'module' AS kind, {NATION} AS name FROM {{nation}} UNION ALL SELECT 'class', {NATION} || '.Base' FROM {{nation}} UNION ALL SELECT 'class', {NATION} || '.Model' FROM {{nation}} UNION ALL SELECT 'function', {NATION} || '.Model.run' FROM {{nation}} UNION ALL SELECT 'function', {NATION} || '.start' FROM {{nation}})")
-def _(t):
-    return P.entities(P.extract(sources(t))).select(F.concat_ws(":", "kind", "name").alias("entity"))
-
-
-@query("ext05_resolved_edges", f"SELECT 'calls' AS kind, 'python:function:' || {NATION} || '.Model.run' AS from_id, 'python:function:pkg.n' || CAST((n_nationkey + 1) % 25 AS VARCHAR) || '.start' AS to_id FROM {{nation}} UNION ALL SELECT 'calls', 'python:function:' || {NATION} || '.start', 'python:class:' || {NATION} || '.Model' FROM {{nation}} UNION ALL SELECT 'inherits_from', 'python:class:' || {NATION} || '.Model', 'python:class:' || {NATION} || '.Base' FROM {{nation}}")
-def _(t):
-    rows = P.extract(sources(t))
-    edges, _ = P.resolve_sites(rows, P.entities(rows))
-    return edges.where("kind in ('calls', 'inherits_from')").select("kind", "from_id", "to_id")
-
-
-@query("ext07_tags", f"SELECT 'python:class:' || {NATION} || '.' || c AS entity_id, 'public-surface' AS tag FROM {{nation}}, (VALUES ('Base'), ('Model')) v(c) UNION ALL SELECT 'python:function:' || {NATION} || '.start', 'public-surface' FROM {{nation}}")
-def _(t):
-    return P.tags(P.extract(sources(t))).select("entity_id", "tag")
-
-
 @query("ext14_validation", "SELECT id, 'UNDECLARED-KIND' AS rule_id FROM {entities} WHERE kind = 'module'")
 def _(t):
     return P.problems(t.entities, ("class", "function"))

@@ -15,9 +15,7 @@ RUN_STATUSES = ("running", "skipped_no_plugins", "completed", "failed")
 IDENTITY_STATUSES = ("alive", "orphaned", "superseded")
 LINEAGE_EVENTS = ("born", "locator_changed", "moved", "orphaned", "superseded")
 SCOPE_RANKS = {"project": 1, "subsystem": 2, "package": 3, "module": 4, "class": 5, "function": 6}
-ROOT_TAGS = ("entry-point", "http-route", "test", "data-model", "cli-command", "exported-api", "public-surface", "allow-dead-code")
-#: Tags of trust boundaries are roots too, whatever tool's prefix they carry.
-ROOT_TAG_SUFFIXES = (":external_boundary", ":trusted")
+ROOT_TAGS = ("entry-point", "http-route", "test", "data-model", "cli-command", "exported-api", "public-surface", "allow-dead-code", "wardline:external_boundary", "wardline:trusted")
 BARRIER_TAGS = ("dynamic-dispatch", "reflection")
 EXCLUDED_TAGS = ("framework-handler", "plugin-hook")
 NON_CODE_KINDS = ("file", "project", "subsystem", "guidance")

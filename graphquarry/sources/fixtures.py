@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphquarry.operators.components import written
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations", "benchmark")
 
 VIEWS = {
@@ -31,7 +33,9 @@ VIEWS = {
     CAST(NULL AS STRING), 'lib/parts.rs', p_partkey, p_partkey * 3, p_partkey * 3 + 1 FROM {part}""",
     "entities": """SELECT id, plugin_id, kind, name, short_name, parent_id, source_file_path, ls AS source_line_start, le AS source_line_end, md5(name) AS content_hash,
     CASE WHEN kind = 'class' AND k % 10 = 0 THEN '{{"briefing_blocked":"secret_present"}}' WHEN kind = 'class' AND k % 97 = 0 THEN 'not json'
-         WHEN kind = 'function' AND k % 5 = 0 THEN concat('{{"docstring":"Handles ', short_name, '"}}') ELSE '{{}}' END AS properties,
+         WHEN kind = 'function' AND k % 5 = 0 THEN concat('{{"docstring":"Handles ', short_name, '"}}')
+         WHEN kind = 'function' AND k % 3 = 1 THEN concat('{{"definition":{{"decorator_line_start":', CAST(ls AS STRING), ',"decl_line":', CAST(ls + 1 AS STRING), ',"body_line_start":', CAST(ls + 2 AS STRING), '}}}}')
+         WHEN kind = 'class' THEN concat('{{"definition":{{"decl_line":', CAST(ls AS STRING), '}}}}') ELSE '{{}}' END AS properties,
     CASE WHEN kind = 'function' AND k % 7 = 0 THEN concat('Summary of ', short_name) END AS summary,
     CASE WHEN kind = 'function' THEN concat('(x', CAST(k % 50 AS STRING), ')') END AS signature FROM {base}""",
     "fo": """SELECT o_orderkey AS ok, concat('geo:function:', nq, '.c', CAST(c_custkey AS STRING), '.o', CAST(o_orderkey AS STRING)) AS oid,
@@ -110,8 +114,17 @@ def duckdb(query: str) -> str:
     return f"WITH {views}, {query[5:]}" if query.startswith("WITH ") else f"WITH {views} {query}"
 
 
+#: Views that are stored once for a session and folder, and what they are partitioned by.
+STORED: dict[str, tuple[str, ...]] = {"entities": (), "edges": ("kind",), "tags": (), "sites": (), "bindings": ()}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
-    """The raw tables of a folder and the views over them, made when first asked for."""
+    """The raw tables of a folder and the views over them, made when first asked for.
+
+    The graph's own tables are written to the checkpoint folder first, as an analysis would leave them, so
+    that operators read Parquet: filters and columns reach the files, and a kind of edge is a folder of its own.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.made = spark, folder, {}
@@ -123,5 +136,12 @@ class Tables:
             raise AttributeError(name)
         if name not in self.made:
             used = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", VIEWS[name]))
-            self.made[name] = self.spark.sql(VIEWS[name], **{x: getattr(self, x) for x in used})
+            rows = self.spark.sql(VIEWS[name], **{x: getattr(self, x) for x in used})
+            self.made[name] = self.stored(name, rows) if name in STORED else rows
         return self.made[name]
+
+    def stored(self, name: str, rows: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _stored:
+            _stored[key] = written(rows, *STORED[name])
+        return _stored[key]

@@ -223,6 +223,15 @@ def tags(rows: DataFrame) -> DataFrame:
     return t.select("d.entity_id", F.lit(PLUGIN).alias("plugin_id"), "d.tag").distinct()
 
 
+def file_stats(rows: DataFrame) -> DataFrame:
+    """(path, entities, tags, sites, finding) of each extracted file; finding: the rule that a file which could not be parsed breaks."""
+    n = lambda what: F.count_if(F.col("what") == what)
+    bad = F.max(F.when(F.col("what") == "entity", F.get_json_object(F.get_json_object("data", "$.properties"), "$.syntax_degraded")))
+    sums = rows.groupBy("path").agg(n("entity").alias("entities"), n("tag").alias("tags"), n("site").alias("sites"), bad.alias("__bad"))
+    rule = F.when(F.col("__bad") == "syntax_error", "PY-SYNTAX-ERROR").when(F.col("__bad").isNotNull(), "PY-TOO-COMPLEX")
+    return sums.select("path", "entities", "tags", "sites", rule.alias("finding"))
+
+
 def resolve_sites(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, unresolved sites) of the extracted rows against known entities.
 

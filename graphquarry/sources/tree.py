@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +46,13 @@ def untracked(paths: DataFrame, entities: DataFrame) -> DataFrame:
 SARIF = "runs array<struct<tool:struct<driver:struct<name:string>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,partialFingerprints:map<string,string>,fingerprints:map<string,string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:bigint,endLine:bigint>>>>>>>>"
 
 
-def sarif(spark: SparkSession, path: str) -> DataFrame:
-    """(tool, rule_id, severity, message, path, line_start, line_end, fingerprint) of the results in SARIF files.
+def sarif_results(logs: DataFrame) -> DataFrame:
+    """(tool, rule_id, severity, message, path, line_start, line_end, fingerprint) of the results in SARIF logs (column json).
 
     Level error is high, warning medium, all else info; the first location counts; of the fingerprints the
-    first by name does, partial ones before full ones.
+    first by name does, partial ones before full ones. Logs that cannot be read have no results.
     """
-    runs = spark.read.schema(SARIF).option("multiLine", True).json(path).select(F.explode("runs").alias("run"))
+    runs = logs.select(F.explode(F.from_json("json", f"struct<{SARIF.replace('runs array', 'runs:array', 1)}>")["runs"]).alias("run"))
     rows = runs.select(F.col("run.tool.driver.name").alias("tool"), F.explode("run.results").alias("r"))
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
     prints = lambda c: F.get(F.transform(F.array_sort(F.map_entries(c)), lambda e: e["value"]), F.lit(0))
@@ -58,16 +60,25 @@ def sarif(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("tool", F.col("r.ruleId").alias("rule_id"), level.alias("severity"), F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line_start"), place["region"]["endLine"].alias("line_end"), F.coalesce(prints("r.partialFingerprints"), prints("r.fingerprints")).alias("fingerprint"))
 
 
+def sarif(spark: SparkSession, path: str) -> DataFrame:
+    """The results in SARIF files, one log each."""
+    return sarif_results(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
+
+
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Tables of a run below root/version; edges by kind. Readers see it once `current` names it."""
+    """Tables of a run below root/version; edges by kind. Readers see it once a line in root/current names it.
+
+    Lines are only ever added, each by one commit, so a reader finds the old version or the new one and
+    never none. Of several the last written counts.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, rows in tables.items():
         writer = rows.write.mode("overwrite")
         (writer.partitionBy("kind") if name == "edges" else writer).parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    spark.createDataFrame([(version, time.time_ns())], "version string, seq long").coalesce(1).write.mode("append").json(f"{root}/current")
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
     if version is None:
-        version = spark.read.schema("version string").json(f"{root}/current").first().version
+        version = spark.read.schema("version string, seq long").json(f"{root}/current").agg(F.max_by("version", "seq")).first()[0]
     return spark.read.parquet(f"{root}/{version}/{name}")
