@@ -40,16 +40,28 @@ def parents(edges: DataFrame) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, of: DataFrame, most: int = 64) -> DataFrame:
-    """(id, ancestor, depth) of the entities in `of` (column id); depth 0 is the entity itself."""
-    return closure(of.select("id", F.col("id").alias("at")), parents(edges), most).withColumnRenamed("at", "ancestor")
+    """(id, ancestor, depth) of the entities in `of` (column id); depth 0 is the entity itself.
+
+    Only containers are walked from; what lies in them directly, nearly all entities, takes theirs with one join.
+    """
+    own = of.select("id").distinct()
+    held = own.join(parents(edges), own["id"] == F.col("at")).select("id", F.col("next").alias("parent"))
+    up = closure(held.select(F.col("parent").alias("id"), F.col("parent").alias("at")), parents(edges), most - 1)
+    above = held.join(up.select(F.col("id").alias("parent"), F.col("at").alias("ancestor"), (F.col("depth") + 1).alias("depth")), "parent").select("id", "ancestor", "depth")
+    every = own.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(above)
+    return every.groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def module_ancestors(edges: DataFrame, entities: DataFrame, most: int = 32, of: DataFrame | None = None) -> DataFrame:
     """(id, module, depth): all modules that an entity (of those in `of`, column id, if given) lies in, a module in itself too."""
     modules = entities.where(F.col("kind") == "module").select(F.col("id").alias("module"))
     asked = entities if of is None else entities.join(of.select("id").distinct(), "id", "left_semi")
-    up = ancestors(edges, asked, most).withColumnRenamed("ancestor", "module")
-    return up.join(modules, "module", "left_semi").select("id", "module", "depth")
+    own = asked.select("id")
+    held = own.join(parents(edges), own["id"] == F.col("at")).select("id", F.col("next").alias("parent"))
+    up = ancestors(edges, held.select(F.col("parent").alias("id")), most - 1).withColumnRenamed("ancestor", "module").join(modules, "module", "left_semi")
+    above = held.join(up.select(F.col("id").alias("parent"), "module", (F.col("depth") + 1).alias("depth")), "parent").select("id", "module", "depth")
+    every = own.join(modules, own["id"] == modules["module"]).select("id", "module", F.lit(0).alias("depth")).unionByName(above)
+    return every.groupBy("id", "module").agg(F.min("depth").alias("depth")).select("id", "module", "depth")
 
 
 def containing_module(edges: DataFrame, entities: DataFrame, most: int = 32) -> DataFrame:

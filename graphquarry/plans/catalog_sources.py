@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.operators.components import ensure_checkpoint_dir
+from graphquarry.operators.components import ensure_checkpoint_dir, written
 from graphquarry.plans.catalog import query
 from graphquarry.sources import python_code as P
 from graphquarry.sources import tree
@@ -86,7 +86,13 @@ def sources(t) -> DataFrame:
     other = ((n + 1) % F.col("__n")).cast("string")
     head = F.concat(F.lit("from typing import TYPE_CHECKING\nfrom pkg.n"), other, F.lit(" import start as other\nimport os\nif TYPE_CHECKING:\n    import heavy\n\n"))
     code = F.concat(head, F.lit("class Base:\n    pass\n\nclass Model(Base):\n    def run(self, a, b=1):\n        import lazy\n        return other(self)\n\ndef start(x):\n    def inner():\n        return x\n    return Model().run(x)\n"))
-    return rows.select(F.concat(F.lit("src/pkg/n"), n.cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
+    made = rows.select(F.concat(F.lit("src/pkg/n"), n.cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
+    return made.repartition(t.spark.sparkContext.defaultParallelism)  # as many files are spread over a store
+
+
+def extracted(t) -> DataFrame:
+    """The sources' rows, parsed once."""
+    return written(P.extract(sources(t)))
 
 
 NAME = "'pkg.n' || CAST(p_partkey AS VARCHAR)"
@@ -97,24 +103,24 @@ DECLARED = "(VALUES ('module', ''), ('class', '.Base'), ('class', '.Model'), ('f
 
 @query("ext01_entities", f"SELECT kind || ':' || m || tail AS entity FROM {EACH}, {DECLARED}")
 def _(t):
-    return P.entities(P.extract(sources(t))).select(F.concat_ws(":", "kind", "name").alias("entity"))
+    return P.entities(extracted(t)).select(F.concat_ws(":", "kind", "name").alias("entity"))
 
 
 @query("ext02_signatures", f"SELECT m || tail AS qualname, CASE tail WHEN '.Model' THEN '(Base)' WHEN '.Base' THEN '()' WHEN '.Model.run' THEN '(self, a, b=1)' WHEN '.start' THEN '(x)' WHEN '' THEN NULL ELSE '()' END AS signature FROM {EACH}, {DECLARED}")
 def _(t):
-    return P.entities(P.extract(sources(t))).select(F.col("name").alias("qualname"), "signature")
+    return P.entities(extracted(t)).select(F.col("name").alias("qualname"), "signature")
 
 
 @query("ext03_contains", f"SELECT 'python:' || a || ':' || m || x AS from_id, 'python:' || b || ':' || m || y AS to_id FROM {EACH}, (VALUES ('module', '', 'class', '.Base'), ('module', '', 'class', '.Model'), ('class', '.Model', 'function', '.Model.run'), ('module', '', 'function', '.start'), ('function', '.start', 'function', '.start.<locals>.inner')) v(a, x, b, y)")
 def _(t):
-    rows = P.extract(sources(t))
+    rows = extracted(t)
     edges, _ = P.resolve_sites(rows, P.entities(rows))
     return edges.where("kind = 'contains'").select("from_id", "to_id")
 
 
 @query("ext04_imports", f"SELECT 'python:module:' || m AS from_id, 'python:module:' || CASE i WHEN 'next' THEN o ELSE i END AS to_id, i = 'heavy' AS type_only, CASE i WHEN 'lazy' THEN 'function' ELSE 'module' END AS scope FROM {EACH}, (VALUES ('next'), ('os'), ('heavy'), ('lazy'), ('typing')) v(i)")
 def _(t):
-    rows = P.extract(sources(t))
+    rows = extracted(t)
     edges, _ = P.resolve_sites(rows, P.entities(rows))
     field = lambda name: F.get_json_object("properties", f"$.{name}")
     return edges.where("kind = 'imports'").select("from_id", "to_id", F.coalesce(field("type_only") == "true", F.lit(False)).alias("type_only"), field("scope").alias("scope"))
@@ -122,20 +128,20 @@ def _(t):
 
 @query("ext05_resolved_edges", f"SELECT 'calls' AS kind, 'python:function:' || m || '.Model.run' AS from_id, 'python:function:' || o || '.start' AS to_id FROM {EACH} UNION ALL SELECT 'calls', 'python:function:' || m || '.start', 'python:class:' || m || '.Model' FROM {EACH} UNION ALL SELECT 'inherits_from', 'python:class:' || m || '.Model', 'python:class:' || m || '.Base' FROM {EACH}")
 def _(t):
-    rows = P.extract(sources(t))
+    rows = extracted(t)
     edges, _ = P.resolve_sites(rows, P.entities(rows))
     return edges.where("kind in ('calls', 'inherits_from')").select("kind", "from_id", "to_id")
 
 
 @query("ext06_unresolved_sites", f"SELECT 'python:function:' || m || '.start' AS caller_entity_id, '().run' AS callee_expr FROM {EACH}")
 def _(t):
-    rows = P.extract(sources(t))
+    rows = extracted(t)
     return P.resolve_sites(rows, P.entities(rows))[1].select("caller_entity_id", "callee_expr")
 
 
 @query("ext07_tags", f"SELECT 'python:' || kind || ':' || m || tail AS entity_id, 'public-surface' AS tag FROM {EACH}, {DECLARED} WHERE tail IN ('.Base', '.Model', '.start')")
 def _(t):
-    return P.tags(P.extract(sources(t))).select("entity_id", "tag")
+    return P.tags(extracted(t)).select("entity_id", "tag")
 
 
 @query("src05_file_stats", f"SELECT 'src/' || replace(m, '.', '/') || '.py' AS path, CASE WHEN m LIKE '%7' THEN 1 ELSE 6 END AS entities, CASE WHEN m LIKE '%7' THEN 0 ELSE 3 END AS tags, CASE WHEN m LIKE '%7' THEN 'PY-SYNTAX-ERROR' END AS finding FROM {EACH}")
