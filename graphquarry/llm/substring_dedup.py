@@ -186,7 +186,7 @@ def removed(docs: DataFrame, width: int) -> DataFrame:
     first = written(runs.groupBy(*pair).agg(F.min("__id").alias("__first")))  # written, so that the join deals both sides anew and can split hot keys
     marked = runs.join(first, pair)
     whole = marked.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
-    several_runs = first.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
+    several_runs = written(first.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"))  # written for the same reason
     unsure = first.join(several_runs, "__key", "left_semi").select(F.col("__key").bitwiseXOR(F.col("__run")).bitwiseXOR(F.col("__first")).alias("__slot"))
     sieve = Sieve(unsure, "__slot")
     blocks = written(block_rows(docs, width, sieve))
