@@ -94,10 +94,11 @@ def groups(by_doc: DataFrame, similar: float, least_docs: int) -> DataFrame:
 def recurring(lines: DataFrame, similar: float, least_docs: int) -> DataFrame:
     """The templates to drop, with the document of their group that keeps them: leaf, template, and key."""
     by_doc = written(lines.select(*LEAF, "__template", "__id", *KEY).distinct())
-    grouped = groups(by_doc, similar, least_docs)
+    grouped = written(groups(by_doc, similar, least_docs))
     in_docs = by_doc.join(grouped, [*LEAF, "__template"]).select(*LEAF, "__group", "__id", *KEY).distinct()
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), *KEY)).alias("__first")
     counted = in_docs.groupBy(*LEAF, "__group").agg(F.count("*").alias("__docs"), first).where(F.col("__docs") >= least_docs)
+    counted = written(counted)  # so that the join deals both sides anew and can split a group of many templates
     return grouped.join(counted, [*LEAF, "__group"]).select(*LEAF, "__template", F.col("__first.__k1").alias("__f1"), F.col("__first.__k2").alias("__f2"))
 
 
