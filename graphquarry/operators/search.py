@@ -126,6 +126,11 @@ def is_ranked_text(text: str) -> bool:
     return all(c.isalnum() or c == "_" or c.isspace() for c in text)
 
 
+def ranked_text(text: Column) -> Column:
+    """The same of a column."""
+    return text.rlike(r"^[\p{L}\p{N}_\s]*$")
+
+
 def merged(entities: DataFrame, index: DataFrame | None, text: str) -> DataFrame:
     """(id, src, score): ranked hits (src 0), and those that only contain the text (src 1); each id once."""
     hits = containing(entities, text).select("id", F.lit(1).alias("src"), F.lit(0.0).alias("score"))

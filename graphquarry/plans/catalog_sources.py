@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphquarry.operators.components import ensure_checkpoint_dir, written
 from graphquarry.plans.catalog import query
 from graphquarry.sources import python_code as P
+from graphquarry.sources import rust_code as R
 from graphquarry.sources import tree
 from graphquarry.streaming import feeds
 
@@ -208,3 +209,79 @@ def _(t):
 
     feeds.upserts(beats, merge, f"{root}-state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(root).groupBy("run_id").agg(F.max("last").alias("last"))
+
+
+@query("str01_batches", "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type")
+def _(t):
+    root = folder_of(t)
+
+    def merge(rows: DataFrame, batch: int) -> None:
+        rows.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+
+    feeds.upserts(feeds.bounded_files(t.spark, f"{t.folder}/event[s].parquet", t.events.schema, 100), merge, f"{root}-state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(root).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("str03_stale_runs", "WITH l AS (SELECT 'run' || CAST(user_id AS VARCHAR) AS run_id, max(CAST(epoch(CAST(ts AS TIMESTAMP)) AS BIGINT)) AS s FROM {events} GROUP BY user_id), m AS (SELECT max(s) AS m FROM l) SELECT run_id, m - s > 30 AS stale_for_status, m - s > 86400 AS stale_for_store FROM l, m")
+def _(t):
+    beats = t.events.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"), F.col("ts").cast("timestamp").alias("ts"))
+    now = beats.agg(F.max("ts").alias("now"))
+    return feeds.stale(beats, now).select("run_id", "stale_for_status", "stale_for_store")
+
+
+# --- Rust --------------------------------------------------------------------------------------------
+
+
+def rust_sources(t) -> DataFrame:
+    """A crate for each supplier: a struct with two impl blocks, a trait, a test, and a call into the next crate."""
+    n = F.col("s_suppkey")
+    last = t.supplier.agg(F.count("*").alias("__n"))  # one row
+    rows = t.supplier.crossJoin(F.broadcast(last))
+    other = ((n + 1) % F.col("__n")).cast("string")
+    code = F.concat(F.lit("use c"), other, F.lit("::start as other;\n\npub trait Marker {}\n\n#[derive(Debug, Marker)]\npub struct Model { x: u32 }\n\nimpl Marker for Model {}\n\nimpl Model {\n    pub fn run(&self) -> u32 { other(); helper(self.x) }\n}\n\npub fn start() { Model::make(); }\n\nfn helper(x: u32) -> u32 { x }\n\n#[test]\nfn works() { start(); }\n"))
+    made = rows.select(F.concat(F.lit("c"), n.cast("string"), F.lit("/src/lib.rs")).alias("path"), code.alias("content"))
+    return made.repartition(t.spark.sparkContext.defaultParallelism)
+
+
+def rust_rows(t) -> DataFrame:
+    return written(R.extract(rust_sources(t)))
+
+
+CRATES = "(SELECT 'c' || CAST(s_suppkey AS VARCHAR) AS c, 'c' || CAST((s_suppkey + 1) % (SELECT count(*) FROM {supplier}) AS VARCHAR) AS o FROM {supplier})"
+RUST = "(VALUES ('module', ''), ('trait', '.Marker'), ('struct', '.Model'), ('impl', '.Model.impl[Marker]'), ('impl', '.Model.impl#<>'), ('function', '.Model.impl#<>.run'), ('function', '.start'), ('function', '.helper'), ('function', '.works')) v(kind, tail)"
+
+
+@query("ext09_rust_entities", f"SELECT 'rust:' || kind || ':' || c || tail AS id, CASE tail WHEN '' THEN 1 WHEN '.Marker' THEN 3 WHEN '.Model' THEN 5 WHEN '.Model.impl[Marker]' THEN 8 WHEN '.Model.impl#<>' THEN 10 WHEN '.Model.impl#<>.run' THEN 11 WHEN '.start' THEN 14 WHEN '.helper' THEN 16 ELSE 18 END AS line, CASE tail WHEN '.helper' THEN 'x: u32' END AS params FROM {CRATES}, {RUST}")
+def _(t):
+    e = R.entities(rust_rows(t))
+    params = F.when(F.col("name").endswith(".helper"), F.get_json_object("signature", "$.params[0]"))
+    return e.select("id", F.col("source_line_start").cast("int").alias("line"), params.alias("params"))
+
+
+@query("ext10_rust_resolution", f"SELECT 'rust:function:' || c || f AS from_id, text, 'rust:function:' || CASE text WHEN 'other' THEN o || '.start' ELSE c || '.' || text END AS to_id FROM {CRATES}, (VALUES ('.Model.impl#<>.run', 'other'), ('.Model.impl#<>.run', 'helper'), ('.works', 'start')) v(f, text)")
+def _(t):
+    rows = rust_rows(t)
+    edges, _ = R.resolve_sites(rows, R.entities(rows))
+    calls = edges.where("kind = 'calls' and confidence = 'resolved'").select("from_id", "to_id")
+    other = F.split("from_id", "[:.]")[2] != F.split("to_id", "[:.]")[2]
+    return calls.select("from_id", F.when(other, "other").otherwise(F.element_at(F.split("to_id", "[.]"), -1)).alias("text"), "to_id")
+
+
+@query("ext11_rust_edges", f"SELECT kind, 'rust:' || a || ':' || c || x AS from_id, 'rust:' || b || ':' || CASE kind WHEN 'imports' THEN o ELSE c END || y AS to_id FROM {CRATES}, (VALUES ('derives', 'struct', '.Model', 'trait', '.Marker'), ('implements', 'impl', '.Model.impl[Marker]', 'trait', '.Marker'), ('imports', 'module', '', 'function', '.start'), ('contains', 'module', '', 'struct', '.Model'), ('contains', 'impl', '.Model.impl#<>', 'function', '.Model.impl#<>.run')) v(kind, a, x, b, y)")
+def _(t):
+    rows = rust_rows(t)
+    edges, _ = R.resolve_sites(rows, R.entities(rows))
+    shown = (F.col("kind") != "contains") & (F.col("kind") != "calls") & (F.col("kind") != "references")
+    held = (F.col("kind") == "contains") & (F.col("to_id").endswith(".Model") | F.col("to_id").endswith(".run"))
+    return edges.where(shown | held).select("kind", "from_id", "to_id")
+
+
+@query("ext11_rust_unresolved", f"SELECT 'rust:function:' || c || '.start' AS caller_entity_id, 'Model::make' AS callee_expr FROM {CRATES}")
+def _(t):
+    rows = rust_rows(t)
+    return R.resolve_sites(rows, R.entities(rows))[1].select("caller_entity_id", "callee_expr")
+
+
+@query("ext12_rust_tags", f"SELECT 'rust:' || kind || ':' || c || tail AS entity_id, tag FROM {CRATES}, (VALUES ('trait', '.Marker', 'exported-api'), ('struct', '.Model', 'exported-api'), ('function', '.Model.impl#<>.run', 'exported-api'), ('function', '.start', 'exported-api'), ('function', '.works', 'test')) v(kind, tail, tag)")
+def _(t):
+    return R.tags(rust_rows(t)).select("entity_id", "tag")

@@ -437,3 +437,87 @@ def _(t):
     groups = t.entities.where("kind = 'class'").groupBy(F.get(F.split("id", "[.]"), F.lit(0)).alias("p")).agg(F.array_sort(F.collect_list("id")).alias("members"))
     return V.subsystems(groups).select("id", "name", F.size("members").alias("size"))
 
+
+
+# --- functions and sets that other queries use in passing ----------------------------------------------
+
+
+@query("jon09_outside_module", "SELECT DISTINCT to_id AS id FROM {edges} WHERE kind = 'references' AND starts_with(split_part(from_id, ':', 3), 'r2.') AND NOT starts_with(split_part(to_id, ':', 3), 'r2.')")
+def _(t):
+    inside = V.descendants(t.edges, t.entities.where("id = 'geo:module:r2'")).select("id")
+    return G.module_rollup(t.edges, inside).select(F.col("outer").alias("id")).distinct()
+
+
+@query("sca01_wildcards_are_text", "SELECT replace(id, '_', '') AS id FROM {entities} WHERE kind = 'class' UNION SELECT id FROM {entities} WHERE kind = 'module'")
+def _(t):
+    empty = [F.lit(None).cast("string").alias(c) for c in ("short_name", "properties")]
+    named = t.entities.select(F.translate("id", "_", "").alias("id"), F.when(F.col("kind") == "class", "a_b").otherwise("ab").alias("name"), F.lit("").alias("summary"), *empty)
+    told = t.entities.select("id", F.lit("").alias("name"), F.when(F.col("kind") == "module", "50% done").otherwise("50 done").alias("summary"), *empty)
+    return S.containing(named, "_").unionByName(S.containing(told, "%")).distinct()
+
+
+@query("sca02_ranked_texts", "SELECT DISTINCT callee_expr, regexp_matches(callee_expr, '^[A-Za-z0-9_\\s]*$') AS ranked FROM {sites}")
+def _(t):
+    return t.sites.select("callee_expr").distinct().select("callee_expr", S.ranked_text(F.col("callee_expr")).alias("ranked"))
+
+
+@query("sca03_terms", "WITH e AS (SELECT id, lower(concat_ws(' ', name, short_name, summary)) AS text FROM {entities}), w AS (SELECT id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM e), t AS (SELECT id, CASE WHEN word = 'summary' THEN 'summari' ELSE word END AS term FROM w) SELECT term, count(DISTINCT id) AS docs, count(*) AS n FROM t WHERE term IN ('summari', 'of') OR regexp_matches(term, '[0-9]') GROUP BY term")
+def _(t):
+    index = S.inverted_index(t.entities).where("term in ('summari', 'of') or term rlike '[0-9]'")
+    return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
+
+
+@query("sca08_scope_ranks", "SELECT id, kind AS scope_level, CAST(CASE kind WHEN 'module' THEN 4 WHEN 'class' THEN 5 WHEN 'function' THEN 6 END AS INTEGER) AS scope_rank, kind = 'class' AS pinned FROM {entities}")
+def _(t):
+    made = F.to_json(F.struct(F.col("kind").alias("scope_level"), (F.col("kind") == "class").alias("pinned")))
+    rows = t.entities.withColumn("properties", made).withColumn("kind", F.lit("guidance"))
+    return U.sheets(rows, t.tags).select("id", "scope_level", "scope_rank", "pinned")
+
+
+@query("sca19_wire_severity", "SELECT id, CASE severity WHEN 'CRITICAL' THEN 'critical' WHEN 'ERROR' THEN 'high' WHEN 'WARN' THEN 'medium' ELSE 'info' END AS severity FROM {findings}")
+def _(t):
+    return t.findings.select("id", X.wire_severity(F.col("severity")).alias("severity"))
+
+
+@query("sei05_contention", "SELECT locator, CASE WHEN n = 1 THEN 'moved' ELSE 'born' END AS event FROM (SELECT 'x' || CAST(k AS VARCHAR) || '.' || v AS locator, row_number() OVER (PARTITION BY k ORDER BY v) AS n FROM (SELECT ok AS k FROM {snap}), (VALUES ('a'), ('b'), ('c')) w(v))")
+def _(t):
+    k = F.col("ok").cast("string")
+    old = t.snap.select(F.concat(F.lit("s"), k).alias("sei"), F.concat(F.lit("old"), k).alias("locator"), k.alias("body_hash"), F.lit("g").alias("signature"))
+    now = t.snap.select(k.alias("k"), F.explode(F.array(*map(F.lit, "cab"))).alias("v")).select(F.concat(F.lit("x"), "k", F.lit("."), "v").alias("locator"), F.col("k").alias("body_hash"), F.lit("g").alias("signature"))
+    return I.match_identities(old, now, t.renames.limit(0), "r").select("locator", "event")
+
+
+@query("set02_recursive_union", "WITH RECURSIVE r(id) AS (SELECT id FROM {entities} WHERE kind = 'module' UNION SELECT to_id FROM r JOIN {edges} e ON e.from_id = r.id WHERE e.kind IN ('contains', 'imports')) SELECT id FROM r")
+def _(t):
+    return V.reachable(t.edges.where("kind in ('contains', 'imports')").select("from_id", "to_id"), t.entities.where("kind = 'module'").select("id"))
+
+
+@query("set06_mismatches", "WITH c AS (SELECT from_id, to_id FROM {edges} WHERE kind = 'contains' AND to_id NOT LIKE '%.o2_') SELECT id, 'no_edge' AS side FROM {entities} WHERE parent_id IS NOT NULL AND id NOT IN (SELECT to_id FROM c) UNION ALL SELECT to_id, 'no_parent' FROM c WHERE to_id IN (SELECT id FROM {entities} WHERE kind = 'class' AND source_line_start % 5000 = 0)")
+def _(t):
+    bare = F.when((F.col("kind") == "class") & (F.col("source_line_start") % 5000 == 0), None).otherwise(F.col("parent_id"))
+    rows = C.parent_mismatches(t.entities.withColumn("parent_id", bare), t.edges.where("kind <> 'contains' or to_id not like '%.o2_'"))
+    return rows.select("id", F.when(F.col("from_id").isNull(), "no_edge").when(F.col("parent_id").isNull(), "no_parent").otherwise("differ").alias("side"))
+
+
+@query("src04_schema", "SELECT 'entities' AS name, 13 AS columns, 1 AS version UNION ALL SELECT 'edges', 8, 1 UNION ALL SELECT 'tags', 3, 1 UNION ALL SELECT 'findings', 13, 1")
+def _(t):
+    from graphquarry import schema as D
+
+    version = T.checked_version(1)
+    made = [(n, len(t.spark.createDataFrame([], ddl).columns), version) for n, ddl in (("entities", D.ENTITIES), ("edges", D.EDGES), ("tags", D.TAGS), ("findings", D.FINDINGS))]
+    return t.spark.createDataFrame(made, "name string, columns int, version int")
+
+
+@query("src08_absent_inputs", "SELECT id, 'unavailable' AS state, CAST(NULL AS BIGINT) AS churn_count FROM {entities} WHERE kind = 'module'")
+def _(t):
+    return O.churn_or_absent(t.entities.where("kind = 'module'"), t.bindings, None)
+
+
+@query("win01_innermost", "SELECT source_file_path, line, id FROM (SELECT a.source_file_path, line, id, row_number() OVER (PARTITION BY a.source_file_path, line ORDER BY source_line_end - source_line_start, CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 WHEN 'module' THEN 2 ELSE 3 END, id) AS n FROM (SELECT DISTINCT source_file_path, source_line_end AS line FROM {entities}) a JOIN {entities} e ON e.source_file_path = a.source_file_path AND line BETWEEN source_line_start AND source_line_end) WHERE n = 1")
+def _(t):
+    return L.at_line(t.entities, t.entities.select("source_file_path", F.col("source_line_end").alias("line")).distinct()).select("source_file_path", "line", "id")
+
+
+@query("win02_latest_fact", "SELECT sei, max(updated_at) AS updated_at, max(ingest_seq) FILTER (WHERE updated_at = m) AS ingest_seq FROM (SELECT *, max(updated_at) OVER (PARTITION BY sei) AS m FROM {taints} WHERE sei IS NOT NULL) GROUP BY sei")
+def _(t):
+    return L.latest_facts(t.taints, "sei").select("sei", "updated_at", "ingest_seq")

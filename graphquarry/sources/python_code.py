@@ -20,7 +20,6 @@ from graphquarry.shipping import ship
 
 PLUGIN = "python"
 ROWS = "what string, path string, data string"
-MOST_NODES = 200_000
 
 
 def module_of(path: str) -> str:
@@ -75,10 +74,10 @@ class Extractor:
         for n in names:
             self.add("tag", entity_id=where, tag=n)
 
-    def run(self, text: str) -> list[tuple[str, dict]]:
+    def run(self, text: str, most_nodes: int | None = None) -> list[tuple[str, dict]]:
         try:
             tree = ast.parse(text)
-            degraded = "too_complex" if sum(1 for _ in ast.walk(tree)) > MOST_NODES else None
+            degraded = "too_complex" if most_nodes is not None and sum(1 for _ in ast.walk(tree)) > most_nodes else None
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             tree, degraded = None, "syntax_error"
         top = self.entity("module", self.module, None, None, properties=json.dumps({"syntax_degraded": degraded} if degraded else {"docstring": ast.get_docstring(tree)} if ast.get_docstring(tree) else {}))
@@ -194,15 +193,18 @@ class Extractor:
         return f"{base}.{rest}" if base and rest else base or text
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """The tagged rows of files (path, content). A file that cannot be parsed gives one module."""
+def extract(files: DataFrame, most_nodes: int | None = None) -> DataFrame:
+    """The tagged rows of files (path, content). A file that cannot be parsed gives one module, and says so.
+
+    most_nodes: so does a file whose syntax tree has more nodes; None: every file is taken whole.
+    """
 
     def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, text in zip(part["path"], part["content"], strict=True):
                 e = Extractor(path, text or "")
-                for what, fields in e.run(text or ""):
+                for what, fields in e.run(text or "", most_nodes):
                     if what == "site":
                         fields["target"] = e.resolved_text(fields["text"])
                         fields["module"] = e.module

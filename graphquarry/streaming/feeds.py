@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,18 @@ def upserts(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoi
 def appended(stream: DataFrame, path: str, checkpoint: str):
     """An append-only Parquet log, such as that of identities."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def bounded_files(spark: SparkSession, path: str, schema, most: int = 100) -> DataFrame:
+    """A stream of files of rows, at most so many files in a batch: what waits between an extractor and its writer is bounded."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", most).parquet(path)
+
+
+def stale(beats: DataFrame, now: DataFrame, status_seconds: int = 30, store_seconds: int = 24 * 3600) -> DataFrame:
+    """(run_id, heartbeat_at, stale_for_status, stale_for_store) of heartbeats (run_id, ts) against a time (now: one row).
+
+    What shows a run's state gives up after half a minute, what fails it after a day.
+    """
+    last = beats.groupBy("run_id").agg(F.max("ts").alias("heartbeat_at")).crossJoin(F.broadcast(now))  # one row
+    age = F.col("now").cast("long") - F.col("heartbeat_at").cast("long")
+    return last.select("run_id", "heartbeat_at", (age > status_seconds).alias("stale_for_status"), (age > store_seconds).alias("stale_for_store"))
