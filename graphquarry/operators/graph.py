@@ -129,20 +129,32 @@ def sites_of(sites: DataFrame, entities: DataFrame, caller: str, limit: int = 10
     return live_sites(sites, entities).where(F.col("caller_entity_id") == caller).orderBy("site_ordinal", "site_key").limit(max(1, min(limit, 500)))
 
 
-def unresolved_callers(sites: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
-    """Live sites that may call a target: their text is its name or short name, or ends in `.leaf` or `::leaf`.
+def texts_of_targets(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(callee_expr, to_id, to_path): call texts (callee_expr) that may mean a target: its name or short name, or what ends in `.leaf` or `::leaf`.
 
-    An equi-join on the last name, then the exact test; (to_id, site_key, caller_entity_id, callee_expr, same_file).
+    An equi-join on the last name, then the exact test. Texts come once each, however many sites have them.
     """
     leaf = F.element_at(F.split("short_name", "[.]"), -1)
     to = targets.select(F.col("id").alias("to_id"), "name", "short_name", leaf.alias("leaf"), F.col("source_file_path").alias("to_path"))
-    keys = F.array_distinct(F.array(F.regexp_extract("leaf", "([^.:]*)$", 1), F.regexp_extract("name", "([^.:]*)$", 1), F.regexp_extract("short_name", "([^.:]*)$", 1)))
-    to = to.withColumn("__key", F.explode(keys))
-    live = live_sites(sites, entities).withColumn("__key", F.regexp_extract("callee_expr", "([^.:]*)$", 1))
+    last = lambda c: F.regexp_extract(c, "([^.:]*)$", 1)
+    to = to.withColumn("__key", F.explode(F.array_distinct(F.array(last("leaf"), last("name"), last("short_name")))))
     text = F.col("callee_expr")
     fits = (text == F.col("short_name")) | (text == F.col("name")) | text.endswith(F.concat(F.lit("."), "leaf")) | text.endswith(F.concat(F.lit("::"), "leaf"))
+    return texts.select("callee_expr", last("callee_expr").alias("__key")).distinct().join(to, "__key").where(fits).select("callee_expr", "to_id", "to_path").distinct()
+
+
+def unresolved_callers(sites: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
+    """(to_id, site_key, caller_entity_id, callee_expr, same_file, why) of live sites that may call a target."""
+    live = live_sites(sites, entities).select("site_key", "caller_entity_id", "callee_expr", "caller_path")
     same = F.coalesce(F.col("caller_path") == F.col("to_path"), F.lit(False))
-    return live.join(to, "__key").where(fits).select("to_id", "site_key", "caller_entity_id", "callee_expr", same.alias("same_file"), X.unresolved_why(text).alias("why")).distinct()
+    rows = live.join(texts_of_targets(live, targets), "callee_expr")
+    return rows.select("to_id", "site_key", "caller_entity_id", "callee_expr", same.alias("same_file"), X.unresolved_why(F.col("callee_expr")).alias("why")).distinct()
+
+
+def unresolved_counts(sites: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
+    """(to_id, n): how many live sites may call each target. Sites are counted by text before they meet targets."""
+    counts = live_sites(sites, entities).select("site_key", "caller_entity_id", "callee_expr").distinct().groupBy("callee_expr").agg(F.count("*").alias("n"))
+    return counts.join(texts_of_targets(counts, targets), "callee_expr").groupBy("to_id").agg(F.sum("n").alias("n"))
 
 
 def targeted_by_sites(sites: DataFrame, entities: DataFrame) -> DataFrame:

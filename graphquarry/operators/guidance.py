@@ -49,12 +49,14 @@ def matching(sheets: DataFrame, facts: DataFrame, guides: DataFrame, now: str) -
         parts.append(left.join(rules.where(F.col("type") == name).select("sheet", F.col(want).alias("__key")), "__key").select("entity_id", "sheet", F.lit(name).alias("by")))
     segment = F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\[\]\\])", r"\\$1"), r"(?<!\*)\*(?!\*)", "[^/]*"), r"\?", "[^/]")
     regex = F.concat(F.lit("^"), F.regexp_replace(F.concat(F.lit("/"), segment), r"/\*\*(?=/|$)", "(?:/[^/]*)*"), F.lit("$"))
-    paths = facts.where("path is not null").select("entity_id", F.concat(F.lit("/"), "path").alias("path"))
+    paths = facts.where("path is not null").select(F.concat(F.lit("/"), "path").alias("path")).distinct()  # a file once, however much is in it
     globs = rules.where("type = 'path'").select("sheet", regex.alias("regex"), F.regexp_extract("pattern", "^([^*?/]*)/", 1).alias("__head"))
     # rules with a literal first folder meet only paths below it; the others, all paths
     headed = paths.withColumn("__head", F.get(F.split("path", "/"), F.lit(1))).join(globs.where("__head <> ''"), "__head")
     free = paths.join(globs.where("__head = ''").drop("__head"), F.expr("rlike(path, regex)"))
-    parts += [x.where(F.expr("rlike(path, regex)")).select("entity_id", "sheet", F.lit("path").alias("by")) for x in (headed, free)]
+    hit = headed.where(F.expr("rlike(path, regex)")).select("path", "sheet").unionByName(free.select("path", "sheet")).distinct()
+    of_path = facts.where("path is not null").select("entity_id", F.concat(F.lit("/"), "path").alias("path"))
+    parts.append(of_path.join(hit, "path").select("entity_id", "sheet", F.lit("path").alias("by")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

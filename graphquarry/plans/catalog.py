@@ -193,7 +193,7 @@ def _(t):
 
 @query("jon05_unresolved_counts", "WITH l AS (" + LIVE + ") SELECT g.id AS to_id, count(*) AS n FROM l JOIN {entities} g ON g.short_name = regexp_extract(callee_expr, '([^.:]*)$', 1) GROUP BY g.id")
 def _(t):
-    return G.unresolved_callers(t.sites, t.entities, t.entities).groupBy("to_id").agg(F.count("*").alias("n"))
+    return G.unresolved_counts(t.sites, t.entities, t.entities)
 
 
 @query("jon06_shielded", "WITH l AS (" + LIVE + ") SELECT id FROM {entities} WHERE short_name IN (SELECT regexp_extract(callee_expr, '([^.:]*)$', 1) FROM l)")

@@ -11,6 +11,7 @@ from graphquarry.operators.components import ensure_checkpoint_dir, written
 from graphquarry.plans.catalog import query
 from graphquarry.sources import python_code as P
 from graphquarry.sources import rust_code as R
+from graphquarry.sources import vocabulary as W
 from graphquarry.sources import tree
 from graphquarry.streaming import feeds
 
@@ -285,3 +286,27 @@ def _(t):
 @query("ext12_rust_tags", f"SELECT 'rust:' || kind || ':' || c || tail AS entity_id, tag FROM {CRATES}, (VALUES ('trait', '.Marker', 'exported-api'), ('struct', '.Model', 'exported-api'), ('function', '.Model.impl#<>.run', 'exported-api'), ('function', '.start', 'exported-api'), ('function', '.works', 'test')) v(kind, tail, tag)")
 def _(t):
     return R.tags(rust_rows(t)).select("entity_id", "tag")
+
+
+# --- vocabularies of decorators ----------------------------------------------------------------------
+
+
+VOCABULARY = '{"version": "2", "entries": [{"canonical_name": "trusted", "group": 1, "attrs": {"tier": "T1"}}, {"canonical_name": "external_boundary", "group": 2}]}'
+
+
+@query("src09_descriptor", "SELECT 'enabled' AS status, '2' AS version, 2 AS entries UNION ALL SELECT 'version_skew', '2', 2 UNION ALL SELECT 'absent', NULL, 0 UNION ALL SELECT 'absent', NULL, 0")
+def _(t):
+    out = None
+    for text, expected in ((VOCABULARY, "2"), (VOCABULARY, "3"), ("{broken", "2"), (None, "2")):
+        entries, state = W.descriptor(t.spark, text, expected)
+        one = state.crossJoin(entries.agg(F.count("*").cast("int").alias("entries"))).select("status", F.col("descriptor_version").alias("version"), "entries")  # two rows
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("ext08_decorated", "SELECT 'python:function:pkg.n' || CAST(p_partkey AS VARCHAR) || '.' || f AS entity_id, tag, line FROM {part}, (VALUES ('taken', 'wardline', 3), ('taken', 'wardline:external_boundary', 3), ('kept', 'wardline', 7), ('kept', 'wardline:trusted', 7)) v(f, tag, line)")
+def _(t):
+    code = F.lit("import guard\n\n@guard.external_boundary(tier=1)\ndef taken(): pass\n\n@other\n@trusted\ndef kept(): pass\n\ndef plain(): pass\n")
+    files = t.part.select(F.concat(F.lit("src/pkg/n"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content")).repartition(t.spark.sparkContext.defaultParallelism)
+    facts, tags = W.decorated(P.extract(files), W.descriptor(t.spark, VOCABULARY, "2")[0])
+    return tags.join(facts, "entity_id").select("entity_id", "tag", F.get("decorators", F.lit(0))["line"].cast("int").alias("line"))

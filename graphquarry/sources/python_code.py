@@ -152,7 +152,7 @@ class Extractor:
         where = self.entity(kind, name, parent, node, signature=signature, properties=json.dumps({"docstring": doc} if doc else {}))
         marks = [decorator(d) for d in node.decorator_list]
         for d in node.decorator_list:
-            self.add("site", kind="decorates", from_id=where, text=decorator(d), start=self.at(d), scope=scope)
+            self.add("site", kind="decorates", from_id=where, text=decorator(d), start=self.at(d), scope=scope, line=d.lineno)
         if kind == "class":
             for b in node.bases:
                 self.add("site", kind="inherits_from", from_id=where, text=dotted(b) or "", start=self.at(b), scope=scope)
