@@ -96,18 +96,22 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 def with_statistics(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     t = B.text_or_empty(text)
-    words = F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(t, f"[{SPACE}]+"), "")
+    bare = F.col("t")
+    for space in SPACE:
+        bare = F.replace(bare, F.lit(space), F.lit(""))
+    longest = max(map(len, stop_words), default=0)  # lower case is never shorter
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACE, "") != "")
     stop = F.array(*(F.lit(x) for x in stop_words))
     out = docs.select(B.packed(docs), t.alias("t"), words.alias("words"), lines.alias("lines"))
     made = {
         "n_words": F.size("words"),
-        "word_chars": F.length(F.translate("t", SPACE, "")),
-        "n_symbols": F.length("t") - F.length(F.translate("t", SYMBOLS, "")),
+        "word_chars": F.length(bare),
+        "n_symbols": F.regexp_count("t", F.lit("[" + SYMBOLS.replace("&", "\\&") + "]")),
         "n_lines": F.size("lines"),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": repeated_words(F.col("words")),
-        "n_stop_words": F.size(F.filter("words", lambda w: F.array_contains(stop, F.lower(w)))),
+        "n_stop_words": F.size(F.filter("words", lambda w: (F.length(w) <= longest) & F.array_contains(stop, F.lower(w)))),
         "n_letter_words": F.size(F.filter("words", lambda w: w.rlike("\\p{L}"))),
     }
     out = out.select(B.ROW, *(c.cast("long").alias(n) for n, c in made.items()))
