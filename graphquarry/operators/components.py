@@ -31,18 +31,25 @@ def written(rows: DataFrame, *by: str) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
     rows.write.partitionBy(*by).parquet(path)
     _folders.append(path)
+    at, files = file_system(spark, path)
+    files.deleteOnExit(at)  # with the session, where nothing deletes it before
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 _folders: list[str] = []
 
 
+def file_system(spark: SparkSession, path: str):
+    """(path, file system) of Hadoop's for a folder, which need not be on this machine."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders where they are, which need not be this machine."""
-    jvm = spark.sparkContext._jvm
+    """Delete folders where they are."""
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = file_system(spark, p)
+        files.delete(at, True)
 
 
 @contextmanager

@@ -125,8 +125,10 @@ def live_sites(sites: DataFrame, entities: DataFrame) -> DataFrame:
     return sites.join(now, ["caller_entity_id", "caller_content_hash"])
 
 
-def sites_of(sites: DataFrame, entities: DataFrame, caller: str, limit: int = 100) -> DataFrame:
-    return live_sites(sites, entities).where(F.col("caller_entity_id") == caller).orderBy("site_ordinal", "site_key").limit(max(1, min(limit, 500)))
+def sites_of(sites: DataFrame, entities: DataFrame, caller: str, limit: int | None = None) -> DataFrame:
+    """A caller's live sites in order; limit: the first so many (1 to 500), as a tool shows; None: all."""
+    rows = live_sites(sites, entities).where(F.col("caller_entity_id") == caller).orderBy("site_ordinal", "site_key")
+    return rows if limit is None else rows.limit(max(1, min(limit, 500)))
 
 
 def texts_of_targets(texts: DataFrame, targets: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def merged(entities: DataFrame, index: DataFrame | None, text: str) -> DataFrame
 
 
 def find(entities: DataFrame, index: DataFrame | None, text: str, kind: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Ranked hits first, then those that only contain the text; each once, in pages."""
+    """Ranked hits first, then those that only contain the text; each once, in pages. Offsets over MOST_OFFSET are refused; `merged` has all hits."""
     if not text.strip():
         raise ValueError("an empty pattern")
     if offset > MOST_OFFSET:

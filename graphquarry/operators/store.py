@@ -102,11 +102,11 @@ def without_entities(cache: DataFrame, gone: DataFrame) -> DataFrame:
     return cache.join(gone.select("entity_id").distinct(), "entity_id", "left_anti").select(*cache.columns)
 
 
-def dispatch_inputs(sites: DataFrame, entities: DataFrame, callers: DataFrame, most_sites: int | None = 100, most_candidates: int | None = 100) -> tuple[DataFrame, DataFrame]:
+def dispatch_inputs(sites: DataFrame, entities: DataFrame, callers: DataFrame, most_sites: int | None = None, most_candidates: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What a provider of inferred calls is asked about callers (column id): their live sites in order, and the entities those may mean.
 
     (caller_entity_id, site_key, site_ordinal, callee_expr) and (caller_entity_id, id); of each caller so many at
-    most, candidates in the order of the sites that name them first. None: all.
+    most (a tool takes 100), candidates in the order of the sites that name them first. None: all.
     """
     live = G.live_sites(sites, entities).join(callers.select(F.col("id").alias("caller_entity_id")), "caller_entity_id", "left_semi")
     live = live.select("caller_entity_id", "caller_content_hash", "site_key", "site_ordinal", "callee_expr", "source_byte_start")
