@@ -6,6 +6,7 @@ about `CHUNK_BYTES`, so that memory follows the longest single document and not
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -78,6 +79,17 @@ def chunks(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.nda
         j = min(j, n)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    trim()
+
+
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back to the machine: workers stay for other stages, and executors count what they hold."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
