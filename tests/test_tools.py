@@ -202,3 +202,24 @@ def test_one_community_falls_back_to_components(spark):
     assert [r.members for r in made.collect()] == [["a", "b", "c"]] and weak.count() == 1
     none = g.limit(0)
     assert cluster.communities(none).count() == 0
+
+
+def test_scratch_goes_when_a_caller_is_done(spark):
+    from graphquarry.operators import components
+
+    outer = components.written(spark.range(3))
+    with components.scratch(spark):
+        inner = components.written(spark.range(4))
+        path = components._folders[-1]
+        assert inner.count() == 4
+    at, files = components.file_system(spark, path)
+    assert not files.exists(at) and outer.count() == 3
+
+
+def test_sites_are_counted_by_text(spark):
+    e = entities(spark, *((f"py:function:m.f{i}", "function", None, 1, 2, "{}") for i in range(3)), ("py:function:m.g", "function", None, 1, 2, "{}"))
+    rows = [("py:function:m.g", "h", f"k{i}", i, text, i) for i, text in enumerate(["f1", "x.f1", "A::f1", "f10", "m.f2", "f1"])] + [("py:function:m.g", "old", "k9", 9, "f1", 9)]
+    sites = spark.createDataFrame(rows, "caller_entity_id string, caller_content_hash string, site_key string, site_ordinal long, callee_expr string, source_byte_start long")
+    assert {r.to_id: r.n for r in graph.unresolved_counts(sites, e, e).collect()} == {"py:function:m.f1": 4, "py:function:m.f2": 1}
+    assert graph.unresolved_callers(sites, e, e).count() == 5
+    assert graph.sites_of(sites, e, "py:function:m.g").count() == 6 and graph.sites_of(sites, e, "py:function:m.g", 2).count() == 2
