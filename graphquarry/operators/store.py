@@ -75,6 +75,16 @@ def run_states(events: DataFrame) -> DataFrame:
     return rows.select("id", F.aggregate("e", start, step).alias("s")).select("id", "s.*").where("status is not null")
 
 
+def job_status(states: DataFrame, now: Column, beat: Column, seconds: int = 30) -> DataFrame:
+    """(id, state) as someone who waits for a run sees it: running, stalled (no heartbeat for so long), cancelled, failed, completed or skipped.
+
+    now, beat: the time and a run's last heartbeat, in seconds.
+    """
+    status = F.col("status")
+    state = F.when((status == "running") & (beat.isNull() | (now - beat > seconds)), "stalled").when((status == "failed") & (F.col("reason") == "cancelled"), "cancelled")
+    return states.select("id", state.when(status == "skipped_no_plugins", "skipped").otherwise(status).alias("state"))
+
+
 def may_sweep(status: str, resumed: bool, skipped_files: int, identities: bool) -> bool:
     """Whether a run may retire findings that it did not see again: a completed one that is no resumption, skipped nothing, and kept identities."""
     return status == "completed" and not resumed and skipped_files == 0 and identities

@@ -154,6 +154,12 @@ def _(t):
     return T.run_states(run_log(t)).select("id", "status", F.coalesce("reason", F.lit("")).alias("reason"), "heartbeat_at")
 
 
+@query("lif15_job_status", STATES.replace("SELECT run_id AS id, arg_max(status, n) AS status, arg_max(coalesce(reason, ''), n) AS reason, arg_max(heartbeat, n) AS heartbeat_at FROM s GROUP BY run_id", "SELECT run_id AS id, CASE WHEN arg_max(status, n) = 'running' AND (SELECT max(event_id) FROM {events}) - CAST(arg_max(heartbeat, n) AS BIGINT) > 30 THEN 'stalled' WHEN arg_max(status, n) = 'failed' AND arg_max(coalesce(reason, ''), n) = 'cancelled' THEN 'cancelled' ELSE arg_max(status, n) END AS state FROM s GROUP BY run_id"))
+def _(t):
+    states = T.run_states(run_log(t)).crossJoin(F.broadcast(t.events.agg(F.max("event_id").alias("now"))))  # one row
+    return T.job_status(states, F.col("now"), F.col("heartbeat_at").cast("long"))
+
+
 @query("mis02_run_by_id", "SELECT id, status, started_at FROM {runs} WHERE id = (SELECT min(id) FROM {runs})")
 def _(t):
     return t.runs.join(t.runs.agg(F.min("id").alias("id")), "id", "left_semi").select("id", "status", "started_at")
