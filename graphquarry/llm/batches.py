@@ -92,9 +92,9 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each document the index of its first word (n + 1 values)."""
-    word = ~SPACE[data]
+    word = ~space[data]
     first, last = word.copy(), word.copy()
     if len(data):
         first[1:] &= ~word[:-1]
@@ -299,3 +299,63 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def sha256s(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     bounds = bounds.tolist()
     return pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)], pa.string())
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values from 0 on as bytes of 7 bits, low ones first, the last of each below 0x80; and the number of bytes of each."""
+    left = values.astype(np.uint64)
+    size = np.ones(len(left), np.int64)
+    for k in range(1, 10):
+        more = left >= np.uint64(1) << np.uint64(7 * k)
+        if not more.any():
+            break
+        size += more
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=1))):
+        has = np.flatnonzero(size > k)
+        out[start[has] + k] = ((left[has] >> np.uint64(7 * k)) & np.uint64(0x7F)) | ((size[has] > k + 1).astype(np.uint64) << np.uint64(7))
+    return out, size
+
+
+def from_varints(data: np.ndarray) -> np.ndarray:
+    """The values of `varints`."""
+    last = np.flatnonzero(data < 0x80)
+    start = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    size = last - start + 1
+    out = np.zeros(len(last), np.int64)
+    for k in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > k)
+        out[has] |= (data[start[has] + k] & 0x7F).astype(np.int64) << (7 * k)
+    return out
+
+
+def blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary array of the bytes between consecutive bounds, which begin at 0."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class Lexicon:
+    """Numbers from 0 on for the different byte strings of one shard or block, none of them forgotten, and the strings by number."""
+
+    LEAST = 1 << 20
+
+    def __init__(self):
+        self.inner = Interner(self.LEAST)
+        self.words: list[bytes] = []
+
+    def fits(self, size: int) -> bool:
+        """Whether the strings of a chunk of so many bytes surely have room."""
+        return len(self.inner) + size // 2 <= self.inner.most
+
+    def clear(self, size: int) -> None:
+        """Forget all, and make room for a chunk of so many bytes."""
+        self.words = []
+        self.inner.most = max(self.LEAST, size // 2 + 1)
+        self.inner.clear()
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        index, new = self.inner.index(data, starts, ends)
+        self.words += strings(data, starts[new], ends[new])
+        self.inner.commit(new)
+        return index.astype(np.int32)

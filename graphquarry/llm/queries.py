@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import byte_bpe, classifier, line_dedup, media, mixing, ngram_join, packing, rules, substring_dedup, token_counts, url_filter
+from graphquarry.llm import byte_bpe, classifier, lexical, line_dedup, media, mixing, ngram_join, packing, rules, substring_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_search": op11_search,
     "op13_mixing": op13_mixing,
 }
 
-ORACLE: dict[str, str] = {"op4_rules": rules.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op8_url_filter": url_filter.oracle(), "op10_line_dedup": line_dedup.oracle(), "op13_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {"op4_rules": rules.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op8_url_filter": url_filter.oracle(), "op10_line_dedup": line_dedup.oracle(), "op11_search": lexical.oracle(), "op13_mixing": mixing.oracle()}
