@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphquarry.llm import byte_bpe, classifier, lexical, line_dedup, media, mixing, ngram_join, packing, rules, substring_dedup, token_counts, url_filter
+from graphquarry.llm import alignment, byte_bpe, classifier, lexical, line_dedup, media, mixing, ngram_join, packing, rules, substring_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_search": op11_search,
+    "op12_alignment": op12_alignment,
     "op13_mixing": op13_mixing,
 }
 
