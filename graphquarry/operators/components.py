@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -54,11 +55,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """What `written` leaves within goes at the end. For work whose results are stored by then: lazy ones could not be read any more."""
-    before = len(_folders)
-    yield
-    remove(spark, *_folders[before:])
-    del _folders[before:]
+    """What `written` leaves within goes at the end. For work whose results are stored by then: lazy ones could not be read any more.
+
+    Gives a function that keeps one such table. Shuffle files of what was written go too, as far as nothing refers to them:
+    Spark deletes them when the driver's JVM collects its garbage, which is asked for here.
+    """
+    before, kept = len(_folders), []
+
+    def keep(rows: DataFrame) -> DataFrame:
+        kept.append(_folders[-1])
+        return rows
+
+    yield keep
+    remove(spark, *(x for x in _folders[before:] if x not in kept))
+    _folders[before:] = kept
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -105,11 +106,18 @@ def inverted_index(entities: DataFrame) -> DataFrame:
     return rows.join(length, "id").select("term", "id", "tf", "length")
 
 
-def bm25(index: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of entities that have every term of the query, better ones higher."""
-    import re
+#: Constants of BM25.
+K1, B = 1.2, 0.75
+
+
+def query_terms(text: str) -> list[str]:
+    """The different stems of a text, in order."""
+    return sorted({stem(w) for w in re.findall(r"[^\W_]+", text.lower())})
 
-    terms = sorted({stem(w) for w in re.findall(r"[^\W_]+", query.lower())})
+
+def bm25(index: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(id, score) of entities that have every term of the query, better ones higher."""
+    terms = query_terms(query)
     if not terms:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     docs = index.groupBy("id").agg(F.max("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
@@ -140,12 +148,16 @@ def merged(entities: DataFrame, index: DataFrame | None, text: str) -> DataFrame
     return best.select("id", "b.src", (-F.col("b.s")).alias("score"))
 
 
-def find(entities: DataFrame, index: DataFrame | None, text: str, kind: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Ranked hits first, then those that only contain the text; each once, in pages. Offsets over MOST_OFFSET are refused; `merged` has all hits."""
+def checked_page(text: str, offset: int) -> None:
     if not text.strip():
         raise ValueError("an empty pattern")
     if offset > MOST_OFFSET:
         raise ValueError("the offset is too large")
+
+
+def find(entities: DataFrame, index: DataFrame | None, text: str, kind: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """Ranked hits first, then those that only contain the text; each once, in pages. Offsets over MOST_OFFSET are refused; `merged` has all hits."""
+    checked_page(text, offset)
     rows = merged(entities, index, text).join(entities.select("id", "kind", "name"), "id")
     rows = rows if kind is None else rows.where(F.col("kind") == kind)
     return rows.orderBy("src", F.col("score").desc(), "id").offset(offset).limit(limit).select("id", "kind", "name")
