@@ -29,6 +29,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphquarry.llm import batches as B
-from graphquarry.operators.components import written
+from graphquarry.operators.components import scratch, written
 
-BLOCK_BYTES, HOT, BATCH_ROWS = 32 << 20, 1 << 16, 20_000
+BLOCK_BYTES, HOT, BATCH_ROWS, SLICE = 32 << 20, 1 << 16, 20_000, 256
 BLANK, STOPS = " \n", ".,;:!?"
 MARK = "▁"
 MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
-UNIT = "unit string, times long, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>"
+UNIT = "unit string, times long, a array<int>, a_n array<int>, b array<int>, b_n array<int>"
 
 
 class Pair:
@@ -55,31 +56,43 @@ class Pair:
     """
 
     def __init__(self, a: str, b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2 as proto
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
-        self.a.encode_special_tokens = True
-        sizes = self.a.get_vocab(with_added_tokens=True)
-        self.size_a = np.zeros(max(sizes.values()) + 1, np.int64)
-        for entry, i in sizes.items():
-            self.size_a[i] = len(entry)  # a character for each byte
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.size_b = np.array([1 if self.b.is_byte(i) else len(x.replace(MARK, " ").encode()) for i, x in enumerate(pieces)], np.int64)
+        self.paths = a, b
         with open(a, encoding="utf-8") as f:
             spec = json.load(f)
+        shape = spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and shape.get("type") == "ByteLevel" and shape.get("use_regex", True) and not shape.get("add_prefix_space", True)
+        entries = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
+        self.size_a = np.zeros(max(entries.values()) + 1, np.int64)
+        for entry, i in entries.items():
+            self.size_a[i] = len(entry)  # a character for each byte
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
         model = proto.ModelProto()
         with open(b, "rb") as f:
             model.ParseFromString(f.read())
-        shape, rule = spec.get("pre_tokenizer") or {}, model.normalizer_spec
-        plain = spec.get("normalizer") is None and shape.get("type") == "ByteLevel" and shape.get("use_regex", True) and not shape.get("add_prefix_space", True)
+        rule, kinds = model.normalizer_spec, proto.ModelProto.SentencePiece
+        self.bytes_b = [bytes([int(x.piece[3:5], 16)]) if x.type == kinds.BYTE else x.piece.replace(MARK, " ").encode() for x in model.pieces]
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         same = not rule.precompiled_charsmap and not rule.remove_extra_whitespaces and rule.add_dummy_prefix and rule.escape_whitespaces
-        same = same and model.trainer_spec.byte_fallback and model.trainer_spec.model_type == model.trainer_spec.BPE and not any(x.type == x.USER_DEFINED for x in model.pieces)
-        own = [x for i, x in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        same = same and model.trainer_spec.byte_fallback and model.trainer_spec.model_type == model.trainer_spec.BPE and not any(x.type == kinds.USER_DEFINED for x in model.pieces)
+        own = [x.piece for x in model.pieces if x.type not in (kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN)]
         self.cuts = bool(plain and same) and not any(crossed(x[i - 1], x[i]) for x in own for i in range(1, len(x)))
 
+    @cached_property
+    def a(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.paths[0])
+        made.encode_special_tokens = True
+        return made
+
+    @cached_property
+    def b(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.paths[1])
+
     def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides of units of a text that has its space before it."""
         a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
@@ -95,12 +108,10 @@ class Pair:
             good = np.ones(len(off) - 1, bool)
             good[np.searchsorted(off, at, "right") - 1] = False
             return good
-        raw, texts = data.tobytes(), []
-        for x, y in zip(off.tolist(), off[1:].tolist(), strict=False):
-            texts.append(raw[x:y].decode())
-        back = lambda ids: b"".join(bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in ids)
+        raw = data.tobytes()
+        texts = [raw[x:y].decode() for x, y in zip(off.tolist(), off[1:].tolist(), strict=False)]
         a, b = self.tokens(texts)
-        return np.array([self.a.decode(x) == t and back(y) == t.encode() for t, x, y in zip(texts, a, b, strict=True)], bool)
+        return np.array([self.a.decode(x) == t and b"".join(self.bytes_b[i] for i in y) == t.encode() for t, x, y in zip(texts, a, b, strict=True)], bool)
 
     def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of units, and for each text the index of its first one."""
@@ -162,22 +173,24 @@ class Block:
         """Rows of documents, then of units; frequent units have small numbers."""
         if not self.rows:
             return
-        rows, numbers, counts = pa.concat_arrays(self.rows), np.concatenate(self.numbers), np.concatenate(self.counts)
-        times = np.bincount(numbers, minlength=len(self.lexicon.words))
+        times = np.zeros(len(self.lexicon.words), np.int64)
+        for numbers in self.numbers:
+            times += np.bincount(numbers, minlength=len(times))
         order = np.argsort(-times, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        data, size = B.varints(place[numbers])
-        bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         none = lambda kind, n: pa.nulls(n, kind)
-        for a in range(0, len(rows), 1000):
-            n, cut = len(rows[a : a + 1000]), bounds[a : a + 1001]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), rows[a : a + n], B.blobs(data[cut[0] : cut[-1]], cut - cut[0]), none(pa.string(), n), none(pa.int32(), n), none(pa.int64(), n)], self.names)
+        for rows, numbers, counts in zip(self.rows, self.numbers, self.counts, strict=True):
+            data, size = B.varints(place[numbers])
+            bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), rows, B.blobs(data, bounds), none(pa.string(), n), none(pa.int32(), n), none(pa.int64(), n)], self.names)
+        kind = self.rows[0].type
         words = [self.lexicon.words[i].decode() for i in order]
         for a in range(0, len(words), BATCH_ROWS):
             part = words[a : a + BATCH_ROWS]
             n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), none(rows.type, n), none(pa.binary(), n), pa.array(part, pa.string()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(times[order[a : a + n]])], self.names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), none(kind, n), none(pa.binary(), n), pa.array(part, pa.string()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(times[order[a : a + n]])], self.names)
 
 
 def in_blocks(docs: DataFrame, a: str, b: str, text: str, keep: list[str]) -> DataFrame:
@@ -203,12 +216,12 @@ def in_blocks(docs: DataFrame, a: str, b: str, text: str, keep: list[str]) -> Da
 def tokenized(units: DataFrame, a: str, b: str) -> DataFrame:
     """(unit, times, a, b): ids and byte lengths of the tokens of both sides."""
 
-    def side(ids: list[list[int]], size: np.ndarray, least: np.ndarray) -> pa.Array:
+    def side(ids: list[list[int]], size: np.ndarray, least: np.ndarray) -> list[pa.Array]:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         flat = np.fromiter((i for x in ids for i in x), np.int32, int(bounds[-1]))
         if not np.array_equal(B.sums(size[flat], bounds), least):
             raise ValueError("tokens that do not cover their text")
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(flat), pa.array(size[flat].astype(np.int32))], ["id", "n"]))
+        return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (flat, size[flat])]
 
     def run(parts):
         own = pair(a, b)
@@ -218,16 +231,17 @@ def tokenized(units: DataFrame, a: str, b: str) -> DataFrame:
                 texts = rows.column(0).to_pylist()
                 size = np.array([len(x.encode()) for x in texts], np.int64)
                 left, right = own.tokens(texts)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), side(left, own.size_a, size), side(right, own.size_b, size)], ["unit", "times", "a", "b"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *side(left, own.size_a, size), *side(right, own.size_b, size)], ["unit", "times", "a", "a_n", "b", "b_n"])
         B.trim()
 
     return B.ship(units.select("unit", "times")).mapInArrow(run, UNIT)
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """(unit, times, n_a, n_b, n_groups, groups, links): groups as text, links as an array of (a, b)."""
+    """(unit, times, groups, links): groups as text, links as an array of (a, b)."""
     ids = lambda rows, side: F.array_join(F.transform(F.filter(rows, lambda x: x[side].isNotNull()), lambda x: x[side].cast("string")), ",")
-    dealt = tokens.repartition("unit").select("unit", "times", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("t")), F.struct(F.lit("b").alias("side"), F.col("b").alias("t")))).alias("s"))
+    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.arrays_zip(F.col(x).alias("id"), F.col(f"{x}_n").alias("n")).alias("t")) for x in ("a", "b")))
+    dealt = tokens.repartition("unit").select("unit", "times", F.explode(sides).alias("s"))
     placed = dealt.select("unit", "times", "s.side", F.posexplode("s.t").alias("pos", "t"))
     ends = placed.select("unit", "times", "side", F.col("t.id").alias("id"), F.sum("t.n").over(Window.partitionBy("unit", "side").orderBy("pos")).alias("end"))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("id"))).alias(f"own_{side}")
@@ -235,10 +249,10 @@ def aligned(tokens: DataFrame) -> DataFrame:
     back = Window.partitionBy("unit").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (F.col("own_a").isNotNull() & F.col("own_b").isNotNull()).cast("int")
     links = met.select("*", F.last("own_a", ignorenulls=True).over(back).alias("a"), F.last("own_b", ignorenulls=True).over(back).alias("b"), F.sum(cut).over(back).alias("group"))  # cuts from here on: groups are numbered from the last
-    groups = links.groupBy("unit", "group").agg(F.max("times").alias("times"), F.count("own_a").alias("n_a"), F.count("own_b").alias("n_b"), F.sort_array(F.collect_list(F.struct("end", "own_a", "own_b", "a", "b"))).alias("l"))
+    groups = links.groupBy("unit", "group").agg(F.max("times").alias("times"), F.sort_array(F.collect_list(F.struct("end", "own_a", "own_b", "a", "b"))).alias("l"))
     whole = F.struct((-F.col("group")).alias("at"), F.concat(ids(F.col("l"), "own_a"), F.lit("|"), ids(F.col("l"), "own_b")).alias("text"), F.transform("l", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("links"))
-    units = groups.groupBy("unit").agg(F.max("times").alias("times"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sort_array(F.collect_list(whole)).alias("g"))
-    return units.select("unit", "times", "n_a", "n_b", "n_groups", F.array_join(F.col("g.text"), ";").alias("groups"), F.flatten("g.links").alias("links"))
+    units = groups.groupBy("unit").agg(F.max("times").alias("times"), F.sort_array(F.collect_list(whole)).alias("g"))
+    return units.select("unit", "times", F.array_join(F.col("g.text"), ";").alias("groups"), F.flatten("g.links").alias("links"))
 
 
 def pair_counts(units: DataFrame) -> DataFrame:
@@ -266,9 +280,10 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[str,
     passed = [c for c in keep if c not in MADE and c != "groups"]
     blocks = in_blocks(docs, a, b, text, passed)
     found = blocks.where("unit is not null").select("block", "unit", "number", "times")
-    units = written(aligned(tokenized(found.groupBy("unit").agg(F.sum("times").alias("times")), a, b)))
-    pairs = written(pair_counts(units))
-    whole = written(units.select("unit", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups").join(unit_sums(units, pairs), "unit"))
+    with scratch(docs.sparkSession) as kept:
+        units = written(aligned(tokenized(found.groupBy("unit").agg(F.sum("times").alias("times")), a, b)))
+        pairs = written(pair_counts(units))
+        whole = kept(written(units.select("unit", "groups").join(unit_sums(units, pairs), "unit")))
     rows = found.select(F.col("block").alias("of"), "unit", "number").join(whole, "unit").drop("unit")
     texts = blocks.where("unit is null").select("block", B.ROW, "units")
     sums = list(MADE[:-1])
@@ -279,16 +294,22 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[str,
         by_number = np.empty(len(number), np.int64)
         by_number[number] = np.arange(len(number))
         shown = np.array(rows.column("groups").to_pylist(), object)[by_number].tolist()
-        docs = docs.combine_chunks()
-        data, off = B.buffers(docs.column("units"))
-        seq = B.from_varints(data)
-        first = np.concatenate([[0], np.cumsum(data < 0x80)])[off]
-        made = [docs.column(B.ROW), *(pa.array(B.sums(np.asarray(rows.column(c), np.int64)[by_number][seq], first)) for c in sums)]
-        texts = [";".join([shown[i] for i in seq[x:y].tolist()]) for x, y in zip(first.tolist(), first[1:].tolist(), strict=False)]
-        made.append(pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts], pa.string()))
-        made += [pa.array(texts, pa.string())] if groups else []
+        n_groups = np.fromiter((x.count(";") + 1 for x in shown), np.int64, len(shown))
+        commas = [np.fromiter((sum(y[k].count(",") for y in (g.split("|") for g in x.split(";"))) for x in shown), np.int64, len(shown)) for k in (0, 1)]
+        of_unit = [n_groups + commas[0], n_groups + commas[1], n_groups, n_groups + commas[0] + commas[1]]
+        of_unit += [np.asarray(rows.column(c), np.int64)[by_number] for c in ("n_best", "count_sum")]
+        docs, made = docs.combine_chunks(), []
+        for at in range(0, len(docs), SLICE):
+            part = docs.slice(at, SLICE)
+            data, off = B.buffers(part.column("units"))
+            seq = B.from_varints(data)
+            first = np.concatenate([[0], np.cumsum(data < 0x80)])[off]
+            texts = [";".join([shown[i] for i in seq[x:y].tolist()]) for x, y in zip(first.tolist(), first[1:].tolist(), strict=False)]
+            columns = [part.column(B.ROW), *(pa.array(B.sums(x[seq], first)) for x in of_unit)]
+            columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts], pa.string()))
+            made.append(pa.table([*columns, *([pa.array(texts, pa.string())] if groups else [])], names=schema.names))
         B.trim()
-        return pa.table(made, names=schema.names)
+        return pa.concat_tables(made)
 
     out = B.ship(texts).groupBy("block").cogroup(rows.groupBy("of")).applyInArrow(run, schema)
     own = [*MADE, *(["groups"] if groups else [])]
