@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from graphquarry.llm import batches as B
 from graphquarry.operators.components import written
 
-SHARD_BYTES, SHARD_DOCS, BLOCK_BYTES, BATCH_ROWS = 32 << 20, 1 << 22, 8 << 20, 20_000
+SHARD_BYTES, SHARD_DOCS, BLOCK_BYTES, BATCH_ROWS = 16 << 20, 1 << 22, 8 << 20, 20_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes that no term has; every byte from 0x80 on belongs to one.
 NO_TERM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -50,8 +50,8 @@ PART_BITS = 40
 class Shard:
     """Terms of documents, gathered until they are written."""
 
-    def __init__(self):
-        self.terms = B.Lexicon()
+    def __init__(self, most: int):
+        self.most, self.terms = most, B.Lexicon()
         self.clear(0)
 
     def clear(self, size: int) -> None:
@@ -60,7 +60,7 @@ class Shard:
         self.terms.clear(size)
 
     def fits(self, docs: int, size: int) -> bool:
-        return self.terms.fits(size) and self.bytes + size <= SHARD_BYTES and self.docs + docs <= SHARD_DOCS
+        return self.terms.fits(size) and self.bytes + size <= self.most and self.docs + docs <= SHARD_DOCS
 
     def add(self, ids: np.ndarray, known: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
         data = LOWER[data]
@@ -107,12 +107,12 @@ class Shard:
             yield rows.slice(at, BATCH_ROWS)
 
 
-def build(docs: DataFrame, text: str = "text") -> DataFrame:
+def build(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The index of the documents, written to the checkpoint folder: (shard, term, docs, total, ids, counts)."""
     source = docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), B.text_or_empty(text).alias("text"))
 
     def run(parts):
-        shard, number = Shard(), TaskContext.get().partitionId() << 32
+        shard, number = Shard(shard_bytes), TaskContext.get().partitionId() << 32
         for part in parts:
             known = np.asarray(part.column(0).is_valid())
             ids = np.asarray(part.column(0).fill_null(0), np.int64)
