@@ -28,6 +28,14 @@ def mixed_texts(n, seed):
     return [(100 + k, "".join(rng.choices(LETTERS, k=rng.randint(1, 60)))) for k in range(n)]
 
 
+@pytest.fixture()
+def small_batches(spark):
+    """A chunk is a batch at most, so that small tables have several shards and blocks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_varints():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**35, 2**62], np.int64)
     data, size = batches.varints(values)
@@ -55,13 +63,12 @@ def ranked(docs, items, k=50):
 
 
 @pytest.mark.parametrize("size", [lexical.SHARD_BYTES, 3000])
-def test_search_against_brute_force(spark, monkeypatch, size):
-    monkeypatch.setattr(lexical, "SHARD_BYTES", size)
+def test_search_against_brute_force(spark, monkeypatch, small_batches, size):
     monkeypatch.setattr(lexical, "BLOCK_BYTES", 200)  # several blocks of queries
     docs = [*ODD, *mixed_texts(200, 1)]
     frame = spark.createDataFrame(docs, SCHEMA).select("*", *(F.lit(n).alias(n) for n in NAMES)).repartition(3)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    index = lexical.build(frame)
+    index = lexical.build(frame, shard_bytes=size)
     for k in (3, 50):
         assert Counter(map(tuple, lexical.search(index, items, k).collect())) == ranked(docs, ITEMS, k)
     shards = index.where("term is null").count()
@@ -122,12 +129,11 @@ def aligned(docs):
 
 
 @pytest.mark.parametrize("size,hot", [(alignment.BLOCK_BYTES, alignment.HOT), (2000, 5)])
-def test_alignment_against_brute_force(spark, monkeypatch, size, hot):
-    monkeypatch.setattr(alignment, "BLOCK_BYTES", size)
+def test_alignment_against_brute_force(spark, monkeypatch, small_batches, size, hot):
     monkeypatch.setattr(alignment, "HOT", hot)
     docs = [*ODD, *mixed_texts(300, 2), (7, "▁ mark"), (8, ".start"), (9, "\nline"), (9, "x" * 500)]
     frame = spark.createDataFrame(docs, SCHEMA).select("*", *(F.lit(n).alias(n) for n in NAMES)).repartition(3)
-    rows = alignment.align(frame, A, B, keep=("doc_id", *NAMES), groups=True).collect()
+    rows = alignment.align(frame, A, B, keep=("doc_id", *NAMES), groups=True, block_bytes=size).collect()
     assert Counter((r.doc_id, *(r[c] for c in (*alignment.MADE, "groups"))) for r in rows) == aligned(docs)
     assert all(r[n] == n for r in rows for n in NAMES)
 
