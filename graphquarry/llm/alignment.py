@@ -34,7 +34,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +43,8 @@ from graphquarry.operators.components import scratch, written
 
 BLOCK_BYTES, HOT, BATCH_ROWS, SLICE = 32 << 20, 1 << 16, 20_000, 256
 BLANK, STOPS = " \n", ".,;:!?"
-MARK = "▁"
+MARK, MARKS = "▁", ",|;"
+SHOWN = str.maketrans("abc", MARKS)
 MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 UNIT = "unit string, times long, a array<int>, a_n array<int>, b array<int>, b_n array<int>"
 
@@ -96,9 +97,10 @@ class Pair:
     def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides of units of a text that has its space before it."""
         a = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        if not self.cuts:
+            return a, self.b.encode([x[1:] for x in units], num_threads=1)
         first = len(self.b.encode("x"))
-        b = self.b.encode([x[1:] if x[:1] == " " else "x" + x for x in units], num_threads=1)
-        return a, [y if x[:1] == " " else y[first:] for x, y in zip(units, b, strict=True)]
+        return a, [x[first:] for x in self.b.encode(["x" + x for x in units], num_threads=1)]  # a text is cut behind this letter before any unit
 
     def faithful(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Which texts both sides give back byte by byte."""
@@ -119,7 +121,7 @@ class Pair:
         if self.cuts and len(data) > 1:
             before = data[:-1]
             solid = (before > 0x20) & (before < 0x7F)
-            lead = [np.concatenate([np.zeros(k, np.uint8), data[: len(before) - k]]) for k in (1, 2, 3)]  # bytes before the one before
+            lead = [np.concatenate([np.zeros(k, np.uint8), before])[: len(before)] for k in (1, 2, 3)]  # bytes before the one before
             solid |= (before >= 0x80) & ((lead[0] >= 0xC3) | ((lead[0] < 0xC0) & ((lead[1] >= 0xE4) | ((lead[1] < 0xC0) & (lead[2] >= 0xF0)))))  # white space beyond ASCII begins with C2 and E1 to E3
             begin[1:] = (IS_BLANK[data[1:]] & solid) | (IS_STOP[data[1:]] & IS_ALNUM[before])
         begin[off[:-1][np.diff(off) > 0]] = True
@@ -144,8 +146,8 @@ def pair(a: str, b: str) -> Pair:
 class Block:
     """Documents as numbers of units, gathered until they are written."""
 
-    def __init__(self, schema: T.StructType):
-        self.names, self.lexicon = schema.names, B.Lexicon()
+    def __init__(self, schema: T.StructType, most: int):
+        self.names, self.most, self.lexicon = schema.names, most, B.Lexicon()
         self.clear(0)
 
     def clear(self, size: int) -> None:
@@ -153,7 +155,7 @@ class Block:
         self.lexicon.clear(size)
 
     def fits(self, size: int) -> bool:
-        return self.lexicon.fits(size) and self.bytes + size <= BLOCK_BYTES
+        return self.lexicon.fits(size) and self.bytes + size <= self.most
 
     def add(self, own: Pair, rows: pa.Array, data: np.ndarray, off: np.ndarray) -> None:
         full = np.flatnonzero(np.diff(off))
@@ -193,13 +195,13 @@ class Block:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), none(kind, n), none(pa.binary(), n), pa.array(part, pa.string()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(times[order[a : a + n]])], self.names)
 
 
-def in_blocks(docs: DataFrame, a: str, b: str, text: str, keep: list[str]) -> DataFrame:
+def in_blocks(docs: DataFrame, a: str, b: str, text: str, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, row, units, unit, number, times): for each document row and units, for each unit of a block unit, number and times."""
     source = docs.select(B.packed(docs, keep), B.text_or_empty(text).alias("text"))
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField(B.ROW, source.schema[0].dataType), T.StructField("units", T.BinaryType()), T.StructField("unit", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField("times", T.LongType())])
 
     def run(parts):
-        own, block, number = pair(a, b), Block(schema), TaskContext.get().partitionId() << 32
+        own, block, number = pair(a, b), Block(schema, block_bytes), TaskContext.get().partitionId() << 32
         for part in parts:
             for x, z, data, off in B.chunks(*B.buffers(part.column(1))):
                 if not block.fits(len(data) + z - x):
@@ -238,7 +240,7 @@ def tokenized(units: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """(unit, times, groups, links): groups as text, links as an array of (a, b)."""
+    """(unit, times, groups, links): groups packed, links as an array of (a, b)."""
     ids = lambda rows, side: F.array_join(F.transform(F.filter(rows, lambda x: x[side].isNotNull()), lambda x: x[side].cast("string")), ",")
     sides = F.array(*(F.struct(F.lit(x).alias("side"), F.arrays_zip(F.col(x).alias("id"), F.col(f"{x}_n").alias("n")).alias("t")) for x in ("a", "b")))
     dealt = tokens.repartition("unit").select("unit", "times", F.explode(sides).alias("s"))
@@ -252,7 +254,17 @@ def aligned(tokens: DataFrame) -> DataFrame:
     groups = links.groupBy("unit", "group").agg(F.max("times").alias("times"), F.sort_array(F.collect_list(F.struct("end", "own_a", "own_b", "a", "b"))).alias("l"))
     whole = F.struct((-F.col("group")).alias("at"), F.concat(ids(F.col("l"), "own_a"), F.lit("|"), ids(F.col("l"), "own_b")).alias("text"), F.transform("l", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("links"))
     units = groups.groupBy("unit").agg(F.max("times").alias("times"), F.sort_array(F.collect_list(whole)).alias("g"))
-    return units.select("unit", "times", F.array_join(F.col("g.text"), ";").alias("groups"), F.flatten("g.links").alias("links"))
+    return units.select("unit", "times", packed_groups(F.array_join(F.col("g.text"), ";")).alias("groups"), F.flatten("g.links").alias("links"))
+
+
+def packed_groups(text: Column) -> Column:
+    """Text of digits and three marks as half as many bytes: the marks become the hexadecimal digits a to c, and f fills up."""
+    digits = F.translate(text, MARKS, "abc")
+    return F.unhex(F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("f"))).otherwise(digits))
+
+
+def unpacked_groups(data: bytes) -> str:
+    return data.hex().rstrip("f").translate(SHOWN)
 
 
 def pair_counts(units: DataFrame) -> DataFrame:
@@ -271,14 +283,14 @@ def unit_sums(units: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.groupBy("unit").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
 
 
-def align(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), groups: bool = False) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), groups: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document the columns of `keep`, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for, groups.
 
     groups: `a1,a2|b1;a3|b2,b3`, ids of both sides in order. count_sum adds up, over the links, how many links of the corpus
     have that id pair; n_best counts those links whose pair is its b's most frequent.
     """
     passed = [c for c in keep if c not in MADE and c != "groups"]
-    blocks = in_blocks(docs, a, b, text, passed)
+    blocks = in_blocks(docs, a, b, text, passed, block_bytes)
     found = blocks.where("unit is not null").select("block", "unit", "number", "times")
     with scratch(docs.sparkSession) as kept:
         units = written(aligned(tokenized(found.groupBy("unit").agg(F.sum("times").alias("times")), a, b)))
@@ -293,7 +305,7 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", keep: tuple[str,
         number = np.asarray(rows.column("number"), np.int64)
         by_number = np.empty(len(number), np.int64)
         by_number[number] = np.arange(len(number))
-        shown = np.array(rows.column("groups").to_pylist(), object)[by_number].tolist()
+        shown = np.array([unpacked_groups(x) for x in rows.column("groups").to_pylist()] or [""], object)[by_number].tolist()
         n_groups = np.fromiter((x.count(";") + 1 for x in shown), np.int64, len(shown))
         commas = [np.fromiter((sum(y[k].count(",") for y in (g.split("|") for g in x.split(";"))) for x in shown), np.int64, len(shown)) for k in (0, 1)]
         of_unit = [n_groups + commas[0], n_groups + commas[1], n_groups, n_groups + commas[0] + commas[1]]
