@@ -61,9 +61,9 @@ def candidates(properties: Column) -> Column:
 
 
 def callee_leaf(callee: Column) -> Column:
-    """The last name of a call's text, after `.` or `:`; null if that is no identifier."""
-    leaf = F.regexp_extract(callee, "([^.:]*)$", 1)
-    return F.when(leaf.rlike(r"^[\p{L}\p{N}_]+$"), leaf)
+    """The last name of a call's text, after `.` or `:`, without white space around it; null if that is no identifier."""
+    leaf = F.regexp_replace(F.regexp_extract(callee, "([^.:]*)$", 1), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    return F.when(leaf.rlike(r"^[\p{IsAlphabetic}\p{N}_]+$"), leaf)
 
 
 def unresolved_why(callee: Column) -> Column:

@@ -28,15 +28,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def written(rows: DataFrame, *by: str) -> DataFrame:
     """The rows, written as Parquet (in a folder for each value of `by`) below the checkpoint folder and read again: smaller there than a checkpoint."""
     spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
-    rows.write.partitionBy(*by).parquet(path)
+    path = new_folder(spark, "rows")
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
     _folders.append(path)
-    at, files = file_system(spark, path)
-    files.deleteOnExit(at)  # with the session, where nothing deletes it before
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A path below the checkpoint folder; what is written there goes with the session, where nothing deletes it before."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+    at, files = file_system(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 _folders: list[str] = []
 
 

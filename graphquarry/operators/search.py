@@ -139,11 +139,15 @@ def ranked_text(text: Column) -> Column:
     return text.rlike(r"^[\p{L}\p{N}_\s]*$")
 
 
-def merged(entities: DataFrame, index: DataFrame | None, text: str) -> DataFrame:
-    """(id, src, score): ranked hits (src 0), and those that only contain the text (src 1); each id once."""
+def merged(entities: DataFrame, index, text: str) -> DataFrame:
+    """(id, src, score): ranked hits (src 0), and those that only contain the text (src 1); each id once.
+
+    index: rows of `inverted_index`, a stored `ranked.Index`, or None for no ranked hits.
+    """
     hits = containing(entities, text).select("id", F.lit(1).alias("src"), F.lit(0.0).alias("score"))
     if index is not None and is_ranked_text(text):
-        hits = bm25(index, text).select("id", F.lit(0).alias("src"), "score").unionByName(hits)
+        ranked = bm25(index, text) if isinstance(index, DataFrame) else index.ranked(text)
+        hits = ranked.select("id", F.lit(0).alias("src"), "score").unionByName(hits)
     best = hits.groupBy("id").agg(F.min(F.struct("src", (-F.col("score")).alias("s"))).alias("b"))
     return best.select("id", "b.src", (-F.col("b.s")).alias("score"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,8 +46,13 @@ BASELINE_TYPES = {
     "Anthropic API Key": "AnthropicApiKey", "OpenAI API Key": "OpenAiApiKey", "Stripe API Key": "StripeApiKey", "Slack Token": "SlackToken", "JWT Token": "JwtToken", "Private Key": "PrivateKeyHeader",
     "Keyword Detector": "ContextualCredential", "Base64 High Entropy String": "HighEntropyBase64", "Hex High Entropy String": "HighEntropyHex",
 }
-#: Texts without any of these cannot hold a secret, so they do not leave the JVM.
-SIEVE = r"[A-Za-z0-9+/=]{20,}|xox[baprs]-|ghp_|(?i:password|passwd|secret|token|api[_-]?key)|-----BEGIN |eyJ|sk-|[sprk]k_(?:live|test)_|(?:AKIA|ASIA)"
+#: What a text must have for each rule to find anything; texts with none of these do not leave the JVM.
+NEEDED = {
+    "AwsAccessKeyId": "AKIA|ASIA", "AwsSecretAccessKey": "[A-Za-z0-9/+=]{40}", "GitHubPat": "ghp_", "GitHubFineGrainedPat": "github_pat_", "GitHubOAuth": "gh[ousr]_",
+    "AnthropicApiKey": "sk-ant-", "OpenAiApiKey": "sk-", "StripeApiKey": "[spr]k_(?:live|test)_", "SlackToken": "xox[baprs]-", "JwtToken": "eyJ", "PrivateKeyHeader": "-----BEGIN ",
+    "ContextualCredential": "(?i:password|passwd|secret|token|api[_-]?key)", "HighEntropyBase64": "[A-Za-z0-9+/]{20}", "HighEntropyHex": "[a-fA-F0-9]{40}",
+}
+SIEVE = "|".join(dict.fromkeys(NEEDED.values()))
 SCHEMA = "path string, rule_id string, byte_offset long, length long, line long, secret_hash string"
 
 
@@ -63,12 +70,14 @@ def detect(data: bytes) -> list[tuple[str, int, int]]:
             if rule == CONTEXTUAL and line.lstrip().startswith(b"#"):
                 continue
             found.append((rule, *m.span(group)))
-    named = [(a, b) for _, a, b in found]
+    named = sorted((a, b) for _, a, b in found)
+    starts, reach = [a for a, _ in named], list(accumulate((b for _, b in named), max))  # how far the hits up to each one reach
     for rule, pattern, least in RANDOM_COMPILED:
         for m in pattern.finditer(data):
             a, b = m.span()
+            before = bisect_left(starts, b)
             touched = rule == "HighEntropyBase64" and any(x in BASE64_BYTES for x in data[max(0, a - 1) : a] + data[b : b + 1])
-            if not touched and bits(data[a:b]) >= least and not any(a < y and b > x for x, y in named):
+            if not touched and not (before and reach[before - 1] > a) and bits(data[a:b]) >= least:
                 found.append((rule, a, b))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
@@ -86,7 +95,10 @@ def scan(files: DataFrame, path: str = "path", content: str = "content") -> Data
             rows = []
             for p, text in zip(part["path"], part["content"], strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                rows += [(p, r, a, b - a, data.count(b"\n", 0, a) + 1, sha1(data[a:b]).hexdigest()) for r, a, b in detect(data)]
+                line, at = 1, 0
+                for r, a, b in detect(data):  # in order of start, so newlines are counted once
+                    line, at = line + data.count(b"\n", at, a), a
+                    rows.append((p, r, a, b - a, line, sha1(data[a:b]).hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "rule_id", "byte_offset", "length", "line", "secret_hash"])
 
     rows = files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).where(F.col("content").rlike(SIEVE))

@@ -196,7 +196,7 @@ def _(t):
     return G.unresolved_counts(t.sites, t.entities, t.entities)
 
 
-@query("jon06_shielded", "WITH l AS (" + LIVE + ") SELECT id FROM {entities} WHERE short_name IN (SELECT regexp_extract(callee_expr, '([^.:]*)$', 1) FROM l)")
+@query("jon06_shielded", "WITH l AS (" + LIVE + ") SELECT id FROM {entities} WHERE short_name IN (SELECT trim(regexp_extract(callee_expr, '([^.:]*)$', 1)) FROM l)")
 def _(t):
     return G.targeted_by_sites(t.sites, t.entities)
 
@@ -497,7 +497,7 @@ def _(t):
     return V.reachable(V.live_links(t.edges), start)
 
 
-@query("grf20_dead_code", REACH + ", live AS (" + LIVE + f") SELECT id, plugin_id, CASE WHEN short_name IN (SELECT regexp_extract(callee_expr, '([^.:]*)$', 1) FROM live) THEN 'shielded' WHEN {BLOCK} IS NOT NULL THEN 'blocked' ELSE 'dead' END AS outcome FROM {{entities}} e WHERE kind NOT IN ('file', 'project', 'subsystem', 'guidance', 'module', 'impl') AND id NOT IN (SELECT id FROM reach) AND id NOT IN (SELECT entity_id FROM {{tags}} WHERE tag IN ('framework-handler', 'plugin-hook'))")
+@query("grf20_dead_code", REACH + ", live AS (" + LIVE + f") SELECT id, plugin_id, CASE WHEN short_name IN (SELECT trim(regexp_extract(callee_expr, '([^.:]*)$', 1)) FROM live) THEN 'shielded' WHEN {BLOCK} IS NOT NULL THEN 'blocked' ELSE 'dead' END AS outcome FROM {{entities}} e WHERE kind NOT IN ('file', 'project', 'subsystem', 'guidance', 'module', 'impl') AND id NOT IN (SELECT id FROM reach) AND id NOT IN (SELECT entity_id FROM {{tags}} WHERE tag IN ('framework-handler', 'plugin-hook'))")
 def _(t):
     return V.dead_code(t.entities, t.edges, t.tags, G.targeted_by_sites(t.sites, t.entities))
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphquarry.operators.components import ensure_checkpoint_dir, written
+from graphquarry.operators.components import new_folder, written
 from graphquarry.plans.catalog import query
 from graphquarry.sources import python_code as P
 from graphquarry.sources import rust_code as R
@@ -20,8 +20,7 @@ TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "
 
 def folder_of(t) -> str:
     """A new folder below the checkpoint folder, which every machine reads."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/query-{uuid.uuid4().hex}"
+    return new_folder(t.spark, "query")
 
 
 # --- trees and logs ----------------------------------------------------------------------------------
@@ -177,11 +176,16 @@ def drained(t, stream: DataFrame) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{root}/log")
 
 
-@query("str05_breaker", "WITH e AS (SELECT event_type AS key, CAST(epoch(CAST(ts AS TIMESTAMP)) AS BIGINT) AS s FROM {events}), w AS (SELECT key, s // 21600 * 21600 - k * 21600 AS start FROM e, (VALUES (0), (1), (2), (3)) v(k)), m AS (SELECT max(s) AS m FROM e) SELECT key, start, count(*) AS n FROM w, m WHERE start + 86400 <= m - 3600 GROUP BY key, start HAVING count(*) > 3")
+@query("str05_breaker", "WITH e AS (SELECT event_type AS key, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM {events}), n AS (SELECT key, us, count(*) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)::INTEGER AS n FROM e) SELECT DISTINCT key, us, n FROM n WHERE n > 3 AND us <= (SELECT max(us) FROM e) - 3600000000")
 def _(t):
     crashes = event_stream(t).select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    out = drained(t, feeds.breaker(crashes, 3, "1 day", "6 hours", "1 hour"))
-    return out.select("key", F.col("window.start").cast("long").alias("start"), "n")
+    return drained(t, feeds.breaker(crashes, 3, 86400, "1 hour")).select("key", F.unix_micros("ts").alias("us"), "n")
+
+
+@query("str05_tripped", "WITH e AS (SELECT event_type AS key, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM {events}), n AS (SELECT key, us, count(*) OVER (PARTITION BY key ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)::INTEGER AS n FROM e) SELECT DISTINCT key, us, n FROM n WHERE n > 3")
+def _(t):
+    crashes = t.events.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return feeds.tripped(crashes, 3, 3600).select("key", F.unix_micros("ts").alias("us"), "n")
 
 
 @query("str04_changed_files", "SELECT 'u' || CAST(event_id AS VARCHAR) AS path FROM {events} WHERE event_id % 3 <> 0")

@@ -9,10 +9,12 @@ from graphquarry.operators import graph as G
 from graphquarry.operators import identity as I
 from graphquarry.operators import lifecycle as C
 from graphquarry.operators import lookup as L
+from graphquarry.operators import ranked as R
 from graphquarry.operators import search as S
 from graphquarry.operators import secrets as K
 from graphquarry.operators import traverse as V
 from graphquarry.plans.catalog import BLOCK, LATEST, LIVE, REACH, query
+from graphquarry.schema import ANCHORED_KINDS
 
 def counts_sql() -> str:
     """Counts of the named patterns in DuckDB, from the same expressions."""
@@ -29,14 +31,15 @@ def _(t):
     old = t.entities.select("id", "content_hash", "summary")
     new = old.where("id like 'lib:function:p%7'").select("id", F.lit("new").alias("content_hash"), F.lit("x").alias("summary"), F.lit(1).alias("seq"))
     new = new.unionByName(new.withColumn("content_hash", F.lit("older")).withColumn("seq", F.lit(0))).unionByName(t.spark.createDataFrame([("lib:function:fresh", "new", None, 1)], "id string, content_hash string, summary string, seq int"))
-    out = C.upsert(old, new.withColumn("summary", F.lit(None).cast("string")), ["id"], ("summary",), "seq")
-    return out.select("id", "content_hash", "summary")
+    table = t.table(old, ["id"], ["id"])
+    return table.upsert(new.withColumn("summary", F.lit(None).cast("string")), ("summary",), "seq").read()
 
 
 @query("snk02_upsert_edges", "SELECT kind, from_id, to_id, CASE WHEN kind = 'imports' THEN 'ambiguous' ELSE confidence END AS confidence FROM {edges}")
 def _(t):
     old = t.edges.select("kind", "from_id", "to_id", "confidence")
-    return C.upsert(old, old.where("kind = 'imports'").withColumn("confidence", F.lit("ambiguous")), ["kind", "from_id", "to_id"])
+    table = t.table(old, ["kind", "from_id", "to_id"], ["from_id"])
+    return table.upsert(old.where("kind = 'imports'").withColumn("confidence", F.lit("ambiguous"))).read()
 
 
 @query("snk03_upsert_findings", "SELECT id, 'run9' AS run_id, status, issue_id, created_at FROM {findings} UNION ALL SELECT 'new', 'run9', 'open', 'NEW', '2030'")
@@ -48,6 +51,14 @@ def _(t):
 
 
 @query("snk04_replace_file_edges", "SELECT kind, from_id, to_id FROM {edges} WHERE NOT (kind IN ('calls', 'references', 'decorates') AND from_id LIKE 'lib:%') UNION ALL SELECT 'calls', 'lib:function:p1', 'lib:function:p2'")
+def _(t):
+    table = t.table(t.edges.select("kind", "from_id", "to_id"), ["kind", "from_id", "to_id"], ["from_id"])
+    new = t.spark.createDataFrame([("calls", "lib:function:p1", "lib:function:p2")], "kind string, from_id string, to_id string")
+    owners = t.entities.where("source_file_path = 'lib/parts.rs'").select(F.col("id").alias("from_id"))
+    return table.replace(new, owners, F.col("kind").isin(*ANCHORED_KINDS)).compact().read()
+
+
+@query("snk04_replace_in_files", "SELECT kind, from_id, to_id FROM {edges} WHERE NOT (kind IN ('calls', 'references', 'decorates') AND from_id LIKE 'lib:%') UNION ALL SELECT 'calls', 'lib:function:p1', 'lib:function:p2'")
 def _(t):
     path = F.when(F.col("from_id").startswith("lib:"), "lib/parts.rs").otherwise("other")
     old = t.edges.select("kind", "from_id", "to_id", path.alias("source_file_id"))
@@ -58,7 +69,8 @@ def _(t):
 @query("snk05_replace_sites", "SELECT site_key FROM {sites} WHERE caller_entity_id NOT IN (SELECT entity_id FROM {tags} WHERE tag = 'test')")
 def _(t):
     touched = t.tags.where("tag = 'test'").select(F.col("entity_id").alias("caller_entity_id"))
-    return C.replace_for(t.sites, t.sites.limit(0), "caller_entity_id", touched).select("site_key")
+    table = t.table(t.sites.select("caller_entity_id", "site_key"), ["caller_entity_id", "site_key"], ["caller_entity_id"])
+    return table.replace(table.read().limit(0), touched).read().select("site_key")
 
 
 @query("snk06_reconcile_blocks", f"SELECT id, {BLOCK} AS reason FROM (SELECT id, CASE WHEN source_file_path = 'lib/parts.rs' THEN '{{{{\"briefing_blocked\":\"secret_present\"}}}}' ELSE properties END AS properties FROM {{entities}})")
@@ -279,9 +291,12 @@ def _(t):
 # --- scalar functions --------------------------------------------------------------------------------
 
 
-@query("sca04_callee_leaf", "SELECT site_key, regexp_extract(callee_expr, '([^.:]*)$', 1) AS leaf FROM {sites}")
+@query("sca04_callee_leaf", "WITH s AS (SELECT site_key, callee_expr AS text FROM {sites} UNION ALL SELECT site_key, ' ' || replace(callee_expr, '.', ' .  ') || ' ' FROM {sites} UNION ALL SELECT site_key, callee_expr || ' x' FROM {sites}), l AS (SELECT site_key, text, trim(regexp_extract(text, '([^.:]*)$', 1)) AS leaf FROM s) SELECT site_key, text, CASE WHEN regexp_matches(leaf, '^[A-Za-z0-9_]+$') THEN leaf END AS leaf FROM l")
 def _(t):
-    return t.sites.select("site_key", X.callee_leaf(F.col("callee_expr")).alias("leaf"))
+    text = F.col("callee_expr")
+    spaced = F.concat(F.lit(" "), F.replace(text, F.lit("."), F.lit(" .  ")), F.lit(" "))
+    rows = t.sites.select("site_key", F.explode(F.array(text, spaced, F.concat(text, F.lit(" x")))).alias("text"))
+    return rows.select("site_key", "text", X.callee_leaf(F.col("text")).alias("leaf"))
 
 
 @query("sca06_qualname", "SELECT id, split_part(id, ':', 3) AS qualname FROM {entities}")
@@ -357,9 +372,9 @@ def _(t):
     return S.containing(t.entities, "Handles O1")
 
 
-@query("sch03_find", "SELECT id, kind, name FROM {entities} WHERE kind = 'class' AND " + FIND.replace("{0}", "customer") + " ORDER BY id LIMIT 20")
+@query("sch03_find_containing", "SELECT id, kind, name FROM {entities} WHERE kind = 'class' AND " + FIND.replace("{0}", "customer#") + " ORDER BY id LIMIT 20")
 def _(t):
-    return S.find(t.entities, None, "customer", "class", 20)
+    return R.find(t.entities, t.index, "Customer#", "class", 20)
 
 
 @query("sch04_semantic", "WITH q AS (SELECT embedding AS q FROM {embeddings} WHERE vec_id = 0), s AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM {embeddings}, q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 20")

@@ -13,9 +13,11 @@ from graphquarry.operators import identity as I
 from graphquarry.operators import lifecycle as C
 from graphquarry.operators import lookup as L
 from graphquarry.operators import orientation as O
+from graphquarry.operators import ranked as R
 from graphquarry.operators import search as S
 from graphquarry.operators import store as T
 from graphquarry.operators import traverse as V
+from graphquarry.operators.components import new_folder
 from graphquarry.plans.catalog import ALL_CALLS, ANCESTORS, BLOCK, LIVE, RELATIONS, module_graph, query
 
 # --- context of lines --------------------------------------------------------------------------------
@@ -376,19 +378,38 @@ s AS (SELECT f.id, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf +
 
 @query("sch01_bm25", BM25 + " SELECT id, round(score, 6) AS score FROM s WHERE k = 2")
 def _(t):
-    return S.bm25(S.inverted_index(t.entities), "summaries o7").select("id", F.round("score", 6).alias("score"))
+    return t.index.ranked("summaries o7").select("id", F.round("score", 6).alias("score"))
 
 
 @query("set01_find_ranked", BM25.replace("'summari', 'o7'", "'summari', 'of'") + ", r AS (SELECT id, 0 AS src FROM s WHERE k = 2 UNION ALL SELECT id, 1 FROM {entities} WHERE contains(lower(coalesce(summary, '')), 'summary of')) SELECT id, min(src) AS src FROM r GROUP BY id")
 def _(t):
-    return S.merged(t.entities, S.inverted_index(t.entities), "summary of").select("id", "src")
+    return S.merged(t.entities, t.index, "summary of").select("id", "src")
 
 
 @query("jon02_find_page", BM25.replace("'summari', 'o7'", "'summari', 'of'") + ", r AS (SELECT s.id, round(score, 6) AS score FROM s JOIN {entities} e ON e.id = s.id WHERE s.k = 2 AND kind = 'function') SELECT count(*) AS n, max(score) AS best FROM (SELECT * FROM r ORDER BY score DESC, id LIMIT 20)")
 def _(t):
-    index = S.inverted_index(t.entities)
-    page = S.find(t.entities, index, "summary of", "function", 20)
-    return page.join(S.bm25(index, "summary of"), "id").agg(F.count("*").alias("n"), F.max(F.round("score", 6)).alias("best"))
+    page = R.find(t.entities, t.index, "summary of", "function", 20)
+    return page.join(t.index.ranked("summary of"), "id").agg(F.count("*").alias("n"), F.max(F.round("score", 6)).alias("best"))
+
+
+#: Ranked hits of `customer`, the best first, then what only contains it. Its stem is `custom`, which no other word of the tables has.
+FOUND = BM25.replace("word = 'summary' THEN 'summari'", "word = 'customer' THEN 'custom'").replace("'summari', 'o7'", "'custom'") + ", x AS (SELECT e.id, kind, name, 0 AS src, -round(score, 9) AS score FROM s JOIN {entities} e ON e.id = s.id UNION ALL SELECT id, kind, name, 1, 0 FROM {entities} WHERE id NOT IN (SELECT id FROM s) AND (contains(lower(id), 'customer') OR contains(lower(name), 'customer') OR contains(lower(short_name), 'customer') OR contains(lower(coalesce(summary, '')), 'customer')))"
+
+
+@query("sch03_find", FOUND + " SELECT id, kind, name FROM (SELECT * FROM x WHERE kind = 'class' ORDER BY src, score, id LIMIT 50 OFFSET 25)")
+def _(t):
+    return R.find(t.entities, t.index, "customer", "class", 50, 25)
+
+
+@query("sch03_after_changes", FOUND.replace("FROM {entities})", "FROM {entities} WHERE source_file_path NOT LIKE 'src/r1/%' UNION ALL SELECT 'new:class:a', 'customer customer')", 1).replace("lower(concat_ws(' ', name, short_name, summary))", "lower(CASE WHEN source_file_path LIKE 'src/r2/%' THEN concat_ws(' ', name, 'moved') ELSE concat_ws(' ', name, short_name, summary) END)") + " SELECT id, round(score, 6) AS score FROM (SELECT id, round(score, 9) AS score FROM s) r ORDER BY r.score DESC, id LIMIT 40")
+def _(t):
+    e = t.entities
+    moved = e.where("source_file_path like 'src/r2/%'").withColumns({"short_name": F.lit("moved"), "summary": F.lit(None).cast("string")})
+    new = t.spark.createDataFrame([("new:class:a", "class", "customer", "customer")], "id string, kind string, name string, short_name string")
+    gone = e.where("source_file_path like 'src/r1/%'").select("id")
+    index = R.Index.create(e, new_folder(t.spark)).replace(moved.unionByName(new, allowMissingColumns=True), gone)
+    rows = index.top("customer", 40)
+    return t.spark.createDataFrame(rows, "id string, score double").select("id", F.round("score", 6).alias("score"))
 
 
 @query("sca17_semantic_text", "SELECT id, short_name || chr(10) || coalesce(json_extract_string(CASE WHEN json_valid(properties) THEN properties END, '$.docstring'), name) AS text FROM {entities} WHERE " + BLOCK + " IS NULL")
@@ -467,10 +488,9 @@ def _(t):
     return t.sites.select("callee_expr").distinct().select("callee_expr", S.ranked_text(F.col("callee_expr")).alias("ranked"))
 
 
-@query("sca03_terms", "WITH e AS (SELECT id, lower(concat_ws(' ', name, short_name, summary)) AS text FROM {entities}), w AS (SELECT id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM e), t AS (SELECT id, CASE WHEN word = 'summary' THEN 'summari' ELSE word END AS term FROM w) SELECT term, count(DISTINCT id) AS docs, count(*) AS n FROM t WHERE term IN ('summari', 'of') OR regexp_matches(term, '[0-9]') GROUP BY term")
+@query("sca03_terms", "WITH e AS (SELECT id, lower(concat_ws(' ', name, short_name, summary)) AS text FROM {entities}), w AS (SELECT id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM e), t AS (SELECT id, CASE word WHEN 'summary' THEN 'summari' WHEN 'customer' THEN 'custom' WHEN 'europe' THEN 'europ' WHEN 'middle' THEN 'middl' ELSE word END AS term FROM w) SELECT term, count(DISTINCT id) AS docs, count(*) AS n FROM t GROUP BY term")
 def _(t):
-    index = S.inverted_index(t.entities).where("term in ('summari', 'of') or term rlike '[0-9]'")
-    return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
+    return S.inverted_index(t.entities).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
 
 
 @query("sca08_scope_ranks", "SELECT id, kind AS scope_level, CAST(CASE kind WHEN 'module' THEN 4 WHEN 'class' THEN 5 WHEN 'function' THEN 6 END AS INTEGER) AS scope_rank, kind = 'class' AS pinned FROM {entities}")

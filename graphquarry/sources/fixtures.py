@@ -10,7 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphquarry.operators.components import written
+from graphquarry.operators.components import new_folder, written
+from graphquarry.operators.ranked import Index
+from graphquarry.operators.versions import Stored
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations", "benchmark")
 
@@ -140,6 +142,18 @@ class Tables:
             self.made[name] = self.stored(name, rows) if name in STORED else rows
         return self.made[name]
 
+    @property
+    def index(self) -> Index:
+        """The entities' stored inverted index, made once for a session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, "index")
+        if key not in _stored:
+            _stored[key] = Index.create(self.entities, new_folder(self.spark))
+        return _stored[key]
+
+    def table(self, rows: DataFrame, keys: list[str], by: list[str]) -> Stored:
+        """A stored table of the rows, for a query to change."""
+        return Stored.create(rows, new_folder(self.spark), keys, by, 16)
+
     def stored(self, name: str, rows: DataFrame) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _stored:

@@ -7,14 +7,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from graphquarry.shipping import ship
 
-def breaker(crashes: DataFrame, most: int = 3, width: str = "60 seconds", step: str = "10 seconds", late: str = "1 minute") -> DataFrame:
-    """(key, window, n): windows in which a key (column key, time ts) failed more than `most` times."""
-    counts = crashes.withWatermark("ts", late).groupBy(F.window("ts", width, step), "key").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > most).select("key", "window", "n")
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Rolling(StatefulProcessor):
+    """For each key, failures that wait until the watermark has passed them, and those of the last `width` microseconds.
+
+    A timer behind the first that waits hands on all that the watermark has passed, in the order of time, however it came in, and
+    sets the next. One state for each key; it holds the failures of one width and of the time that rows may be late.
+    """
+
+    def __init__(self, most: int, width: int):
+        self.most, self.width = most, width
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting, self.recent = (handle.getListState(n, "at long") for n in ("waiting", "recent"))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = sorted(row["at"] for row in rows)
+        self.waiting.appendList([(x,) for x in new])
+        self.handle.registerTimer(new[0] // 1000 + 1)  # in milliseconds, behind the failure
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        waiting = sorted(x[0] for x in self.waiting.get())
+        if not waiting or waiting[0] >= due:
+            return iter(())
+        recent, out = [x[0] for x in self.recent.get()], []
+        for n, at in enumerate(waiting):
+            if at >= due:
+                break
+            recent = [x for x in recent if at - x < self.width] + [at]
+            if len(recent) > self.most and waiting[n + 1 : n + 2] != [at]:
+                out.append(Row(key=key[0], at=at, n=len(recent)))
+        later = [x for x in waiting if x >= due]
+        self.recent.put([(x,) for x in recent])
+        self.waiting.clear()
+        if later:
+            self.waiting.put([(x,) for x in later])
+            self.handle.registerTimer(later[0] // 1000 + 1)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def breaker(crashes: DataFrame, most: int = 3, width: float = 60, late: str = "1 minute") -> DataFrame:
+    """(key, ts, n): failures (columns key, ts) after which a key has had more than `most` of them in the last `width` seconds, itself included.
+
+    The window rolls: a failure counts until it is `width` old. Failures of one time give one row with all of them. Rows come
+    once the watermark has passed them; failures that are later than `late` are lost. Null keys and times are left out.
+    """
+    spark = crashes.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that keeps lists and timers
+    rows = ship(crashes).where("key is not null and ts is not null").withWatermark("ts", late).select("key", "ts", F.unix_micros("ts").alias("at"))
+    found = rows.groupBy("key").transformWithState(Rolling(most, round(width * 1_000_000)), f"key {rows.schema['key'].dataType.simpleString()}, at long, n int", "Append", "EventTime")
+    return found.select("key", F.timestamp_micros("at").alias("ts"), "n")
+
+
+def tripped(crashes: DataFrame, most: int = 3, width: float = 60) -> DataFrame:
+    """The same of a table that is complete."""
+    rows = crashes.where("key is not null and ts is not null").select("key", "ts", F.unix_micros("ts").alias("at"))
+    last = Window.partitionBy("key").orderBy("at").rangeBetween(1 - round(width * 1_000_000), 0)
+    return rows.select("key", "ts", F.count("*").over(last).cast("int").alias("n")).where(F.col("n") > most).distinct()
 
 
 def last_heartbeats(beats: DataFrame, late: str = "1 hour") -> DataFrame:

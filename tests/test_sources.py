@@ -1,6 +1,7 @@
 """Extraction from Python files, SARIF, snapshots, and streams."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -88,14 +89,31 @@ def test_sarif(spark, tmp_path):
     assert (got["R1"].severity, got["R1"].path, got["R1"].line_start, got["R1"].fingerprint) == ("high", "x.py", 3, "1") and (got["R2"].severity, got["R2"].path) == ("medium", None)
 
 
+def trips(crashes, most, width):
+    """Every failure held against all others."""
+    return {(k, t, n) for k, t in crashes if (n := sum(a == k and 0 <= t - b < width for a, b in crashes)) > most}
+
+
 def test_breaker_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    rows = spark.createDataFrame([("p", f"2024-01-01 00:00:{s:02d}") for s in (1, 5, 9, 14)] + [("q", "2024-01-01 00:00:03"), ("p", "2024-01-01 02:00:00")], "key string, t string")
-    rows.select("key", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(str(source))
-    stream = feeds.breaker(spark.readStream.schema("key string, ts timestamp").parquet(str(source)))
-    feeds.appended(stream.select("key", "n"), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert got and {(r.key, r.n) for r in got} == {("p", 4)}
+    """Random times, dealt to files out of order, over several batches."""
+    rng, micros = random.Random(2), 1_000_000
+    crashes = [(rng.choice("pqr"), rng.choice([rng.randrange(0, 900 * micros), rng.randrange(0, 900) * micros])) for _ in range(240)]
+    crashes += [("burst", s * micros) for s in (5, 20, 40, 64)] + [("edge", s * micros) for s in (0, 1, 2, 60)] + [("near", s * micros) for s in (0, 1, 2, 59)]
+    want = {(k, t + 1_700_000_000 * micros, n) for k, t, n in trips(crashes, 3, 60 * micros)}
+    assert {k for k, *_ in want} >= {"burst", "near"} and "edge" not in {k for k, *_ in want}
+    crashes = sorted(((k, t + 1_700_000_000 * micros) for k, t in crashes), key=lambda x: x[1])
+    for n in range(4):  # each file holds a quarter, in any order, and the next one goes back by up to a minute
+        part = crashes[n * len(crashes) // 4 : (n + 1) * len(crashes) // 4] + [("end", 1_700_010_000 * micros)] * (n == 3)
+        rng.shuffle(part)
+        spark.createDataFrame(part, "key string, us long").select("key", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = feeds.breaker(source, late="20 minutes").select("key", F.unix_micros("ts").alias("us"), "n")
+    feeds.appended(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(set(got))
+    assert sorted(set(got) - want) == sorted(want - set(got)) == []
+    whole = spark.createDataFrame(crashes, "key string, us long").select("key", F.timestamp_micros("us").alias("ts"))
+    assert {(r.key, r.us, r.n) for r in feeds.tripped(whole).select("key", F.unix_micros("ts").alias("us"), "n").collect()} == want
 
 
 def test_changed_files(spark):
