@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
+from graphquarry.operators.lines import positions
 from graphquarry.schema import RELATION_KINDS
 
 
@@ -183,26 +184,9 @@ def site_candidates(sites: DataFrame, entities: DataFrame, limit: int | None = N
     return live.join(found, "callee_expr").select("site_key", "id").distinct()
 
 
-def line_starts(files: DataFrame) -> DataFrame:
-    """(path, starts, size): the byte offsets at which the lines of a file (path, content) begin, and its size in bytes."""
-    raw = F.decode(F.encode("content", "utf-8"), "iso-8859-1")  # one character for each byte
-    sizes = F.transform(F.split(raw, "\n", -1), lambda line: F.length(line) + 1)
-    lines = files.select("path", F.length(raw).alias("size"), F.posexplode(sizes).alias("line", "n"))
-    starts = lines.withColumn("start", F.sum("n").over(Window.partitionBy("path").orderBy("line")) - F.col("n"))
-    return starts.groupBy("path", "size").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-
-
 def byte_positions(sites: DataFrame, files: DataFrame) -> DataFrame:
-    """Sites with the 1-based line and the 0-based byte column of their offset in files (path, content).
-
-    A file's lines are found once; a site then takes the last line that begins at or before it. Offsets
-    beyond the end of the file have neither.
-    """
-    rows = sites.join(line_starts(files), "path")
-    at = F.col("source_byte_start")
-    line = F.size(F.filter("starts", lambda x: x <= at))
-    known = (at >= 0) & (at <= F.col("size"))
-    return rows.select(*sites.columns, F.when(known, line.cast("long")).alias("line"), F.when(known, at - F.element_at("starts", F.greatest(line, F.lit(1)))).cast("long").alias("column"))
+    """Sites with the 1-based line and the 0-based byte column of their offset in files (path, content), or in a table of lines. Offsets beyond the file have neither."""
+    return positions(sites, files)
 
 
 def test_callers(edges: DataFrame, tags: DataFrame) -> DataFrame:

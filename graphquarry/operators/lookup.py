@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
+from graphquarry.operators.lines import excerpts
 
 NONE: list[str] = []
 
@@ -176,12 +177,10 @@ def at_line(entities: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def source_lines(files: DataFrame, entities: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
-    """id, first line and text of each entity with lines around it, from files (source_file_path, content)."""
-    lines = F.split("content", "\n", -1)
-    start = F.greatest(F.lit(1), F.col("source_line_start") - before)
-    end = F.least(F.size(lines).cast("long"), F.col("source_line_end") + after)
-    rows = entities.where(X.block_reason(F.col("properties")).isNull()).join(files, "source_file_path").where(start <= F.size(lines))
-    return rows.select("id", start.alias("first_line"), F.array_join(F.slice(lines, start.cast("int"), F.greatest(F.lit(0), end - start + 1).cast("int")), "\n").alias("text"))
+    """id, first line and text of each open entity with lines around it, from files (source_file_path, content) or a table of lines (path, line, start, size, text)."""
+    files = files if "start" in files.columns else files.select(F.col("source_file_path").alias("path"), "content")
+    first, last = F.col("source_line_start") - before, F.col("source_line_end") + after
+    return excerpts(entities.where(X.block_reason(F.col("properties")).isNull()).select("id", F.col("source_file_path").alias("path"), first.alias("first"), last.alias("last")), files)
 
 
 def ranked(rows: DataFrame, bucket: str, order: list[Column], limit: int) -> DataFrame:
