@@ -7,6 +7,8 @@ double keep the number of rounds to the logarithm of a chain's or a tree's depth
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from graphquarry.functions import expr as X
 from graphquarry.operators.components import connected_components, written
 from graphquarry.operators.graph import runtime_links
 from graphquarry.schema import BARRIER_TAGS, CONTAINER_KINDS, EXCLUDED_TAGS, NON_CODE_KINDS, ROOT_TAGS
+from graphquarry.shipping import ship
+
+#: Nodes of a block of a walk, and edges of a graph that one task takes whole.
+BLOCK, SMALL = 1 << 16, 1 << 20
 
 
 def closure(start: DataFrame, steps: DataFrame, most: int) -> DataFrame:
@@ -137,7 +143,49 @@ def trimmed(rest: DataFrame) -> DataFrame:
     return written(rest.join(alive.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(alive.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
 
 
-def cycles(pairs: DataFrame) -> DataFrame:
+def cycles_of(edges: pd.DataFrame) -> pd.DataFrame:
+    """`cycles` of a small graph (from_id, to_id) by one walk in depth (R. Tarjan, Depth-first search and linear graph algorithms, 1972)."""
+    codes, ids = pd.factorize(pd.concat([edges["from_id"], edges["to_id"]], ignore_index=True), sort=True)
+    at, to = codes[: len(edges)], codes[len(edges) :]
+    order = np.argsort(at, kind="stable")
+    first, to = np.searchsorted(at[order], np.arange(len(ids) + 1)).tolist(), to[order].tolist()
+    number, low, comp, stack, count = [-1] * len(ids), [0] * len(ids), [-1] * len(ids), [], 0
+    for root in range(len(ids)):
+        if number[root] >= 0:
+            continue
+        path = [(root, first[root])]
+        while path:
+            v, k = path.pop()
+            if number[v] < 0:
+                number[v] = low[v] = count
+                count += 1
+                stack.append(v)
+            elif k > first[v] and comp[to[k - 1]] < 0:
+                low[v] = min(low[v], low[to[k - 1]])
+            while k < first[v + 1] and number[to[k]] >= 0:
+                if comp[to[k]] < 0:
+                    low[v] = min(low[v], number[to[k]])
+                k += 1
+            if k < first[v + 1]:
+                path += [(v, k + 1), (to[k], first[to[k]])]
+            elif low[v] == number[v]:
+                while comp[v] < 0:
+                    comp[stack.pop()] = v
+    out = pd.DataFrame({"id": ids, "c": comp})
+    loops = set(edges["from_id"][edges["from_id"] == edges["to_id"]])
+    size, least = out.groupby("c")["id"].transform("size"), out.groupby("c")["id"].transform("min")
+    return pd.DataFrame({"component": least, "id": out["id"]})[(size > 1) | out["id"].isin(loops)]
+
+
+def cycles(pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """`cycles_by_joins`; a graph of at most `small` edges goes to one task, with the same result."""
+    every = written(pairs.select("from_id", "to_id").where("from_id is not null and to_id is not null").distinct())
+    if every.limit(small + 1).count() <= small:
+        return ship(every).groupBy(F.lit(0).alias("all")).applyInPandas(cycles_of, "component string, id string")
+    return cycles_by_joins(every)
+
+
+def cycles_by_joins(pairs: DataFrame) -> DataFrame:
     """(component, id) of strongly connected components with more than one node, or with a self-loop.
 
     pairs: (from_id, to_id). A component is named by its least node. Each round trims nodes without
@@ -206,20 +254,73 @@ def circular_imports(edges: DataFrame, scope: DataFrame | None = None) -> DataFr
     return cycles(rows).groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
 
 
-def reachable(pairs: DataFrame, roots: DataFrame, rounds: int = 12) -> DataFrame:
+def blocks_of(steps: DataFrame, size: int) -> DataFrame:
+    """(id, block) of all nodes of steps (at, next): ranges of ids of about `size` nodes. Names that begin alike lie together, as their code does."""
+    nodes = steps.select(F.col("at").alias("id")).unionByName(steps.select(F.col("next").alias("id"))).distinct()
+    many = -(-nodes.count() // size)
+    return written(nodes.withColumn("block", F.lit(0)) if many <= 1 else nodes.repartitionByRange(many, "id").withColumn("block", F.spark_partition_id()))
+
+
+def closed(edges: pd.DataFrame, start: pd.Series, known: pd.Series) -> np.ndarray:
+    """Of one block the ids that `start` reaches along (at, next) without what is known, `start` included."""
+    codes, ids = pd.factorize(pd.concat([edges["at"], edges["next"], start, known], ignore_index=True))
+    at, to = codes[: len(edges)], codes[len(edges) : 2 * len(edges)]
+    order = np.argsort(at, kind="stable")
+    to, first = to[order], np.searchsorted(at[order], np.arange(len(ids) + 1))
+    seen = np.zeros(len(ids), bool)
+    seen[codes[2 * len(edges) + len(start) :]] = True
+    front = np.unique(codes[2 * len(edges) : 2 * len(edges) + len(start)])
+    front, found = front[~seen[front]], []
+    while len(front):
+        seen[front] = True
+        found.append(front)
+        n = first[front + 1] - first[front]
+        reached = np.unique(to[np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        front = reached[~seen[reached]]
+    return np.asarray(ids)[np.concatenate(found)] if found else np.array([], object)
+
+
+def walked(inner: DataFrame, home: DataFrame, front: DataFrame, seen: DataFrame) -> DataFrame:
+    """(at): what a frontier reaches within its blocks, itself included; a task has the edges of a block. Other blocks' edges stay where they are."""
+    asked = front.join(home.withColumnRenamed("id", "at"), "at").select("at", "block", F.lit(True).alias("new"))
+    touched = asked.select(F.col("block").alias("of")).distinct()
+    known = seen.join(home.withColumnRenamed("id", "at"), "at").join(touched, F.col("block") == F.col("of"), "left_semi").select("at", "block", F.lit(False).alias("new"))
+
+    def run(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": closed(edges, rows["at"][rows["new"]], rows["at"][~rows["new"]])})
+
+    rows = ship(asked.unionByName(known)).select(F.col("block").alias("b"), "at", "new")
+    return rows.groupBy("b").cogroup(inner.join(touched, "of", "left_semi").groupBy("of")).applyInPandas(run, "at string")
+
+
+def reachable(pairs: DataFrame, roots: DataFrame, rounds: int = 12, block: int = BLOCK) -> DataFrame:
     """(id): what can be reached from the roots (column id) along (from_id, to_id), the roots too.
 
-    Steps are written once; a round joins its frontier alone. Where `rounds` of them have not reached the end,
-    the graph that is left is contracted: a node with one predecessor is reached if that is, so it follows its
-    predecessors by pointers that double to the first one that is reached already or has several; walking
-    then goes on between those alone. Chains and trees thus take as many rounds as the logarithm of their depth.
+    Nodes lie in blocks of about `block`. In a round a frontier walks on within its blocks as far as it gets, and then one
+    step between blocks, so that rounds follow the number of times a path leaves a block and not its length; a graph of one block
+    takes one round. Steps are written once, and a round reads those of its frontier's blocks.
+
+    Where `rounds` of them have not reached the end, the graph that is left is contracted: a node with one predecessor
+    is reached if that is, so it follows its predecessors by pointers that double to the first one that is reached
+    already or has several; walking then goes on between those alone. Chains and trees thus take as many rounds as
+    the logarithm of their depth, however they lie.
     """
     steps = written(pairs.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).where("from_id <> to_id").distinct())
-    seen = frontier = written(roots.select(F.col("id").alias("at")).distinct())
+    seen = frontier = written(roots.select(F.col("id").alias("at")).where("at is not null").distinct())
+    across = steps
+    if block > 1:
+        home = blocks_of(steps, block)
+        a, b = home.select(F.col("id").alias("at"), "block"), home.select(F.col("id").alias("next"), F.col("block").alias("to"))
+        placed = written(steps.join(a, "at").join(b, "next").select("at", "next", "block", "to"))
+        inner, across = placed.where("block = to").select(F.col("block").alias("of"), "at", "next"), placed.where("block <> to").select("at", "next")
+        seen = written(seen.unionByName(walked(inner, home, frontier, seen.limit(0))).distinct())
+        frontier = seen
     for _ in range(rounds):
-        frontier = written(frontier.join(steps, "at").select(F.col("next").alias("at")).distinct().join(seen, "at", "left_anti"))
+        frontier = written(frontier.join(across, "at").select(F.col("next").alias("at")).distinct().join(seen, "at", "left_anti"))
         if frontier.isEmpty():
             return seen.withColumnRenamed("at", "id")
+        if block > 1:
+            frontier = written(walked(inner, home, frontier, seen))
         seen = written(seen.unionByName(frontier))
     known = seen.select(F.col("at").alias("next"))
     left = written(steps.join(known, "next", "left_anti").select("at", "next"))
@@ -235,7 +336,7 @@ def reachable(pairs: DataFrame, roots: DataFrame, rounds: int = 12) -> DataFrame
     top = written(top)
     several = left.join(up.select(F.col("node").alias("next")), "next", "left_anti")
     short = several.join(top.select(F.col("node").alias("at"), F.col("up").alias("__up")), "at", "left").select(F.coalesce("__up", "at").alias("from_id"), F.col("next").alias("to_id"))
-    heads = reachable(short, seen.withColumnRenamed("at", "id"), rounds)
+    heads = reachable(short, seen.withColumnRenamed("at", "id"), rounds, block)
     below = top.join(heads.select(F.col("id").alias("up")), "up", "left_semi").select(F.col("node").alias("id"))
     return written(heads.unionByName(below).distinct())
 
