@@ -13,6 +13,7 @@ from graphquarry.operators import ranked as R
 from graphquarry.operators import search as S
 from graphquarry.operators import secrets as K
 from graphquarry.operators import traverse as V
+from graphquarry.operators import vectors as W
 from graphquarry.plans.catalog import BLOCK, LATEST, LIVE, REACH, query
 from graphquarry.schema import ANCHORED_KINDS
 
@@ -383,6 +384,21 @@ def _(t):
     return S.semantic(vectors, vectors.where("entity_id = '0'"), "m1").select("id", F.round("score", 6).alias("score"))
 
 
+NEAREST = "WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM {embeddings} WHERE vec_id % 20 = 0), s AS (SELECT query, CAST(vec_id AS VARCHAR) AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 12) AS score FROM {embeddings}, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, id, rank::INTEGER AS rank FROM r WHERE rank <= 20"
+
+
+@query("sch04_nearest", NEAREST)
+def _(t):
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
+    return W.nearest(t.embeddings, asked, 20, "vec_id", "embedding").select("query", "id", "rank")
+
+
+@query("sch04_indexed")  # no SQL, as a few neighbours may be missed; tests hold its recall against the exact scan
+def _(t):
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
+    return W.VectorIndex.build(t.embeddings, "vec_id", "embedding").search(asked, 20).select("query", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("sch05_embedding_candidates", f"SELECT id, content_hash FROM {{entities}} WHERE {BLOCK} IS NULL AND NOT (plugin_id = 'lib')")
 def _(t):
     have = t.entities.where("plugin_id = 'lib'").select(F.col("id").alias("entity_id"), "content_hash", F.lit("m1").alias("model_id"))
