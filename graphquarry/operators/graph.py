@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
+from graphquarry.operators.components import written
 from graphquarry.operators.lines import positions
 from graphquarry.schema import RELATION_KINDS
 
@@ -154,6 +155,35 @@ def unresolved_callers(sites: DataFrame, entities: DataFrame, targets: DataFrame
     return rows.select("to_id", "site_key", "caller_entity_id", "callee_expr", same.alias("same_file"), X.unresolved_why(F.col("callee_expr")).alias("why")).distinct()
 
 
+def unresolved_pages(sites: DataFrame, entities: DataFrame, targets: DataFrame, limit: int = 50) -> DataFrame:
+    """(to_id, total, rank, site_key, caller_entity_id, callee_expr, same_file, why): how many live sites may call a target, and the first of them by caller and site.
+
+    No target's whole list is made, and no hot name's sites meet its targets. Each text keeps its number of sites and its
+    first page, cut before the shuffle; texts are put together for each short name, not for each target that has it; targets then
+    take the page of their short name, and the few texts that are their whole name. What is sent on is pages.
+    """
+    live = live_sites(sites, entities).select("site_key", "caller_entity_id", "callee_expr", "caller_path").distinct()
+    order = [F.col("caller_entity_id"), F.col("site_key")]
+    page = lambda rows, key: rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= limit).drop("rank")
+    counts = live.groupBy("callee_expr").agg(F.count("*").alias("n"))
+    first = written(page(live, "callee_expr").join(counts, "callee_expr"))  # limit rows of each text
+    named = targets.select(F.col("id").alias("to_id"), "name", "short_name", F.col("source_file_path").alias("to_path"))
+    shorts = named.select(F.col("short_name").alias("id"), F.col("short_name").alias("name"), "short_name", F.lit(None).cast("string").alias("source_file_path")).where("id is not null").distinct()
+    texts = written(texts_of_targets(counts, shorts).select("callee_expr", F.col("to_id").alias("short_name")))
+    total = texts.join(counts, "callee_expr").groupBy("short_name").agg(F.sum("n").alias("total"))
+    of_short = page(first.drop("n").join(texts, "callee_expr"), "short_name")
+    own = named.join(texts.select(F.col("callee_expr").alias("name"), "short_name"), ["name", "short_name"], "left_anti").select("to_id", F.col("name").alias("callee_expr"))
+    of_name = first.join(own, "callee_expr")  # a text that is a target's name and not its short name
+    rows = named.join(of_short, "short_name").select("to_id", "site_key", "caller_entity_id", "callee_expr", "caller_path")
+    rows = rows.unionByName(of_name.select("to_id", "site_key", "caller_entity_id", "callee_expr", "caller_path"))
+    both = named.select("to_id", "short_name", "name").join(total, "short_name", "left").join(own.join(counts, "callee_expr").select("to_id", "n"), "to_id", "left")
+    sums = both.select("to_id", (F.coalesce("total", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("total"))
+    best = Window.partitionBy("to_id").orderBy(*order)
+    kept = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    same = F.coalesce(F.col("caller_path") == F.col("to_path"), F.lit(False)).alias("same_file")
+    return kept.join(sums, "to_id").join(named.select("to_id", "to_path"), "to_id").select("to_id", "total", "rank", "site_key", "caller_entity_id", "callee_expr", same, X.unresolved_why(F.col("callee_expr")).alias("why"))
+
+
 def unresolved_counts(sites: DataFrame, entities: DataFrame, targets: DataFrame) -> DataFrame:
     """(to_id, n): how many live sites may call each target. Sites are counted by text before they meet targets."""
     counts = live_sites(sites, entities).select("site_key", "caller_entity_id", "callee_expr").distinct().groupBy("callee_expr").agg(F.count("*").alias("n"))

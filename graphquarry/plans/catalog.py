@@ -191,6 +191,11 @@ def _(t):
     return G.unresolved_callers(t.sites, t.entities, t.entities)
 
 
+@query("jon04_unresolved_pages", "WITH l AS (" + LIVE + "), r AS (SELECT g.id AS to_id, count(*) OVER (PARTITION BY g.id) AS total, row_number() OVER (PARTITION BY g.id ORDER BY caller_entity_id, site_key)::INTEGER AS rank, site_key, caller_entity_id, callee_expr, coalesce(caller_path = g.source_file_path, false) AS same_file, CASE WHEN contains(callee_expr, '.') THEN 'attribute-receiver' ELSE 'dynamic' END AS why FROM l JOIN {entities} g ON g.short_name = regexp_extract(callee_expr, '([^.:]*)$', 1)) SELECT * FROM r WHERE rank <= 5")
+def _(t):
+    return G.unresolved_pages(t.sites, t.entities, t.entities, 5)
+
+
 @query("jon05_unresolved_counts", "WITH l AS (" + LIVE + ") SELECT g.id AS to_id, count(*) AS n FROM l JOIN {entities} g ON g.short_name = regexp_extract(callee_expr, '([^.:]*)$', 1) GROUP BY g.id")
 def _(t):
     return G.unresolved_counts(t.sites, t.entities, t.entities)
