@@ -106,6 +106,31 @@ def execution_paths(calls: DataFrame, roots: DataFrame, depth: int = 3, edge_cap
     return out
 
 
+def budgeted_paths(calls: DataFrame, roots: DataFrame, depth: int = 3, edge_cap: int = 500) -> DataFrame:
+    """(root, path, truncated): the simple call paths that a walk in depth from each root sees with its first `edge_cap` calls.
+
+    Calls of a node are followed in order of their targets; a call back into the path counts, but is no path. truncated
+    says of a root that there would have been more calls. A call's place in the walk is its sequence of ranks. Levels are
+    added one by one, and after each one only the first calls in that order are kept: deeper levels put calls in between and
+    never take any away, so what is behind the cap stays there. A root thus has `edge_cap` + 1 rows at most after each level.
+    """
+    most = edge_cap + 1
+    pairs = calls.select(F.col("from_id").alias("__at"), F.col("to_id").alias("__next")).distinct()
+    pairs = written(pairs.withColumn("__n", F.row_number().over(Window.partitionBy("__at").orderBy("__next"))).where(F.col("__n") <= most))  # the first of a node, cut before the shuffle
+    first = Window.partitionBy("root").orderBy("place")
+    level = roots.where("id is not null").select(F.col("id").alias("root"), F.array("id").alias("path"), F.array().cast("array<int>").alias("place")).distinct()
+    kept = level.limit(0).select("root", "path", "place", F.lit(0).alias("depth"), F.lit(True).alias("simple"))
+    for d in range(1, max(1, min(depth, 8)) + 1):
+        new = level.withColumn("__at", F.element_at("path", -1)).join(pairs, "__at")
+        new = new.select("root", F.array_append("path", F.col("__next")).alias("path"), F.array_append("place", F.col("__n")).alias("place"), F.lit(d).alias("depth"), (~F.array_contains("path", F.col("__next"))).alias("simple"))
+        both = kept.unionByName(new).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
+        kept = written(both.select("root", "path", "place", "depth", "simple", "n"))
+        level = kept.where((F.col("depth") == d) & F.col("simple")).select("root", "path", "place")
+        kept = kept.drop("n") if d < max(1, min(depth, 8)) else kept
+    over = kept.where(F.col("n") > edge_cap).select("root", F.lit(True).alias("truncated")).distinct()
+    return kept.where((F.col("n") <= edge_cap) & F.col("simple")).join(over, "root", "left").select("root", "path", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def first_paths(paths: DataFrame, cap: int = 200) -> DataFrame:
     """The longest paths first, then in order of their nodes."""
     return paths.orderBy(F.size("path").desc(), "path").limit(cap)

@@ -480,6 +480,15 @@ def _(t):
     return V.execution_paths(G.expanded_calls(t.edges), roots, 4).select("root", F.array_join("path", " > ").alias("path"))
 
 
+VISITS = "WITH RECURSIVE c AS (SELECT DISTINCT from_id, to_id FROM (" + AMBIGUOUS_CALLS + ")), n AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS k FROM c), v(root, path, place, simple) AS (SELECT id, [id], CAST([] AS BIGINT[]), true FROM {entities} WHERE kind = 'function' UNION ALL SELECT root, list_append(path, to_id), list_append(place, k), NOT list_contains(path, to_id) FROM v JOIN n ON from_id = path[-1] WHERE simple AND len(path) <= 4), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) AS i, count(*) OVER (PARTITION BY root) AS total FROM v WHERE len(path) > 1) "
+
+
+@query("grf13_budgeted_paths", VISITS + "SELECT root, array_to_string(path, ' > ') AS path, total > 6 AS truncated FROM r WHERE i <= 6 AND simple")
+def _(t):
+    roots = t.entities.where("kind = 'function'").select("id")
+    return V.budgeted_paths(G.expanded_calls(t.edges, "ambiguous"), roots, 4, 6).select("root", F.array_join("path", " > ").alias("path"), "truncated")
+
+
 @query("grf13_longest_paths", PATHS + "SELECT root, array_to_string(path, ' > ') AS path FROM p WHERE len(path) > 1 ORDER BY len(path) DESC, path LIMIT 200")
 def _(t):
     roots = t.tags.where("tag = 'http-route'").select(F.col("entity_id").alias("id")).distinct()

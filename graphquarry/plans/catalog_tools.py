@@ -92,13 +92,13 @@ def _(t):
     return G.byte_positions(spots, files).select("site_key", "line", "column")
 
 
-INFERRED = "WITH RECURSIVE c AS (SELECT DISTINCT from_id, to_id FROM (" + ALL_CALLS + ")), n AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS k FROM c), p(root, path) AS (SELECT DISTINCT entity_id, [entity_id] FROM {tags} WHERE tag = 'http-route' UNION ALL SELECT root, list_append(path, to_id) FROM p JOIN n ON from_id = path[-1] AND k <= 4 WHERE len(path) <= 3 AND NOT list_contains(path, to_id)) SELECT root, array_to_string(path, ' > ') AS path FROM p WHERE len(path) > 1"
+INFERRED = "WITH RECURSIVE c AS (SELECT DISTINCT from_id, to_id FROM (" + ALL_CALLS + ")), n AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS k FROM c), p(root, path) AS (SELECT DISTINCT entity_id, [entity_id] FROM {tags} WHERE tag = 'http-route' UNION ALL SELECT root, list_append(path, to_id) FROM p JOIN n ON from_id = path[-1] WHERE len(path) <= 3 AND NOT list_contains(path, to_id)) SELECT root, array_to_string(path, ' > ') AS path FROM p WHERE len(path) > 1"
 
 
 @query("grf14_inferred_paths", INFERRED)
 def _(t):
     roots = t.tags.where("tag = 'http-route'").select(F.col("entity_id").alias("id")).distinct()
-    return V.execution_paths(G.expanded_calls(t.edges, "inferred"), roots, 3, edge_cap=4).select("root", F.array_join("path", " > ").alias("path"))
+    return V.execution_paths(G.expanded_calls(t.edges, "inferred"), roots, 3).select("root", F.array_join("path", " > ").alias("path"))
 
 
 PACK = f"""WITH RECURSIVE a AS (SELECT id FROM {{entities}} WHERE plugin_id = 'lib' AND kind = 'function' AND {BLOCK} IS NULL), c AS ({RESOLVED}),
