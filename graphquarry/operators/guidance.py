@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphquarry.functions import expr as X
+from graphquarry.operators.components import written
 from graphquarry.schema import SCOPE_RANKS
 
 RULES = "array<struct<type:string,pattern:string,value:string,id:string>>"
@@ -34,11 +35,51 @@ def expired_as_text(expires: Column, now: Column) -> Column:
     return F.coalesce(expires < now, F.lit(False))
 
 
+def glob_trie(globs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, seg, child, regex), (node, sheet)): the steps of all patterns (sheet, pattern) as one trie of segments, and where sheets end.
+
+    A node is what stands before it, from `^` on. regex is null for literal segments and for `**`, which is written once where it stands several times in a row.
+    """
+    segs = F.split("pattern", "/", -1)
+    segs = F.filter(segs, lambda x, i: ~((x == "**") & (i > 0) & (F.get(segs, i - 1) == "**")))
+    rows = globs.select("sheet", segs.alias("s")).select("sheet", "s", F.posexplode("s").alias("i", "seg"))
+    name = lambda n: F.concat_ws("/", F.lit("^"), F.slice("s", 1, n))
+    literal = F.regexp_replace("seg", r"([.+^$(){}|\[\]\\])", r"\\$1")
+    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(literal, r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
+    steps = rows.select(name(F.col("i")).alias("node"), "seg", name(F.col("i") + 1).alias("child"), F.when((F.col("seg") != "**") & F.col("seg").rlike(r"[*?]"), regex).alias("regex")).distinct()
+    return written(steps), written(rows.select(F.concat_ws("/", F.lit("^"), "s").alias("node"), "sheet").distinct())
+
+
+def glob_hits(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """(path, sheet): paths that a pattern (sheet, pattern) fits; `*` and `?` stay within a segment, `**` is any number of whole ones.
+
+    Paths walk down the trie of all patterns, a segment in each round: literal segments are an equi-join on node and segment, and only
+    the wildcards that stand at a path's own node are tried on it. So ten thousand patterns of one shape, as `**/name.py`, cost
+    a path no more than one, and no path meets all patterns. As many rounds as the longest path has segments.
+    """
+    steps, ends = glob_trie(globs)
+    exact, wild = steps.where("regex is null and seg <> '**'").select("node", "seg", "child"), steps.where("regex is not null").select("node", "regex", "child")
+    anys = steps.where("seg = '**'").select("node", "child")
+    opened = lambda rows: rows.unionByName(rows.join(anys, "node").select("path", "s", F.col("child").alias("node"))).distinct()
+    at = written(opened(paths.select("path", F.split("path", "/", -1).alias("s"), F.lit("^").alias("node"))))
+    found, n = None, 0
+    while True:
+        done = at.where(F.size("s") == n).join(ends, "node").select("path", "sheet")
+        found, left = done if found is None else found.unionByName(done), at.where(F.size("s") > n)
+        if left.isEmpty():
+            return found.distinct()
+        here = left.select("path", "s", "node", F.get("s", F.lit(n)).alias("seg"))
+        new = here.join(exact, ["node", "seg"]).select("path", "s", F.col("child").alias("node"))
+        new = new.unionByName(here.join(wild, "node").where(F.expr("rlike(seg, regex)")).select("path", "s", F.col("child").alias("node")))
+        stay = here.where(F.col("node").endswith("/**")).select("path", "s", "node")
+        at, n = written(opened(new.unionByName(stay))), n + 1
+
+
 def matching(sheets: DataFrame, facts: DataFrame, guides: DataFrame, now: str) -> DataFrame:
     """(entity_id, sheet, matched_by): sheets that guide an entity by an edge or by a rule, expired ones left out.
 
     facts: (entity_id, kind, path, tags, subsystem); guides: (sheet, entity_id). Rules by tag, kind,
-    subsystem and entity are equi-joins; each path glob becomes one regular expression.
+    subsystem and entity are equi-joins; path globs are those of `glob_hits`.
     """
     live = sheets.where(~expired(F.col("expires"), F.lit(now)))
     rules = live.select(F.col("id").alias("sheet"), F.explode("match_rules").alias("r")).select("sheet", "r.*")
@@ -47,15 +88,9 @@ def matching(sheets: DataFrame, facts: DataFrame, guides: DataFrame, now: str) -
     for name, key, want in (("kind", F.col("kind"), "value"), ("subsystem", F.col("subsystem"), "id"), ("entity", F.col("entity_id"), "id"), ("tag", F.explode_outer("tags"), "value")):
         left = facts.select("entity_id", key.alias("__key"))
         parts.append(left.join(rules.where(F.col("type") == name).select("sheet", F.col(want).alias("__key")), "__key").select("entity_id", "sheet", F.lit(name).alias("by")))
-    segment = F.regexp_replace(F.regexp_replace(F.regexp_replace("pattern", r"([.+^$(){}|\[\]\\])", r"\\$1"), r"(?<!\*)\*(?!\*)", "[^/]*"), r"\?", "[^/]")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.concat(F.lit("/"), segment), r"/\*\*(?=/|$)", "(?:/[^/]*)*"), F.lit("$"))
-    paths = facts.where("path is not null").select(F.concat(F.lit("/"), "path").alias("path")).distinct()  # a file once, however much is in it
-    globs = rules.where("type = 'path'").select("sheet", regex.alias("regex"), F.regexp_extract("pattern", "^([^*?/]*)/", 1).alias("__head"))
-    # rules with a literal first folder meet only paths below it; the others, all paths
-    headed = paths.withColumn("__head", F.get(F.split("path", "/"), F.lit(1))).join(globs.where("__head <> ''"), "__head")
-    free = paths.join(globs.where("__head = ''").drop("__head"), F.expr("rlike(path, regex)"))
-    hit = headed.where(F.expr("rlike(path, regex)")).select("path", "sheet").unionByName(free.select("path", "sheet")).distinct()
-    of_path = facts.where("path is not null").select("entity_id", F.concat(F.lit("/"), "path").alias("path"))
+    paths = facts.where("path is not null").select("path").distinct()  # a file once, however much is in it
+    hit = glob_hits(paths, rules.where("type = 'path' and pattern is not null").select("sheet", "pattern"))
+    of_path = facts.where("path is not null").select("entity_id", "path")
     parts.append(of_path.join(hit, "path").select("entity_id", "sheet", F.lit("path").alias("by")))
     out = parts[0]
     for p in parts[1:]:
