@@ -103,16 +103,40 @@ def module_dependencies(edges: DataFrame, ancestors: DataFrame, kinds: tuple[str
     ancestors: (id, module). Inferred edges do not count, ambiguous calls count for each candidate, and
     edges within a module are left out. Edges are summed before the second join.
     """
-    rows = edges.where(F.col("kind").isin(*kinds) & (F.col("confidence") != "inferred"))
-    targets = F.when((F.col("kind") == "calls") & (F.col("confidence") == "ambiguous"), F.array_distinct(F.concat(F.array("to_id"), X.candidates(F.col("properties"))))).otherwise(F.array("to_id"))
-    flat = rows.select("kind", "from_id", F.explode(targets).alias("to_id"))
+    flat = references(edges, kinds)
     a = ancestors.select(F.col("id").alias("from_id"), F.col("module").alias("from_module"))
     b = ancestors.select(F.col("id").alias("to_id"), F.col("module").alias("to_module"))
     near = flat.join(a, "from_id").groupBy("kind", "from_module", "to_id").agg(F.count("*").alias("n"))
-    up = near.join(b, "to_id").where(F.col("from_module") != F.col("to_module"))
+    return between_modules(near.join(b, "to_id"))
+
+
+def references(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(kind, from_id, to_id) of edges that are not inferred, a row for each candidate of ambiguous calls."""
+    rows = edges.where(F.col("kind").isin(*kinds) & (F.col("confidence") != "inferred"))
+    targets = F.when((F.col("kind") == "calls") & (F.col("confidence") == "ambiguous"), F.array_distinct(F.concat(F.array("to_id"), X.candidates(F.col("properties"))))).otherwise(F.array("to_id"))
+    return rows.select("kind", "from_id", F.explode(targets).alias("to_id"))
+
+
+def between_modules(rows: DataFrame) -> DataFrame:
+    up = rows.where(F.col("from_module") != F.col("to_module"))
     return up.groupBy("from_module", "to_module").agg(F.sum("n").alias("reference_count"), F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def module_dependencies_by_home(edges: DataFrame, homes: DataFrame, ancestors, kinds: tuple[str, ...] = ("calls", "references", "imports")) -> DataFrame:
+    """The same from (id, home), where `ancestors` makes (id, module) of containers (column id).
+
+    References are summed by the containers of both ends before any module is looked up, and only these containers' modules are.
+    """
+    home = written(homes)
+    of = lambda end: home.select(F.col("id").alias(f"{end}_id"), F.col("home").alias(f"{end}_home"))
+    pairs = references(edges, kinds).join(of("from"), "from_id").groupBy("kind", "from_home", "to_id").agg(F.count("*").alias("n"))
+    pairs = written(pairs.join(of("to"), "to_id").groupBy("kind", "from_home", "to_home").agg(F.sum("n").alias("n")))
+    up = written(ancestors(pairs.select(F.explode(F.array("from_home", "to_home")).alias("id")).distinct()).select("id", "module"))
+    a, b = (up.select(F.col("id").alias(f"{end}_home"), F.col("module").alias(f"{end}_module")) for end in ("from", "to"))
+    near = pairs.join(a, "from_home").groupBy("kind", "from_module", "to_home").agg(F.sum("n").alias("n"))
+    return between_modules(near.join(b, "to_home"))
+
+
 def module_rollup(edges: DataFrame, inside: DataFrame, direction: str = "out") -> DataFrame:
     """References between a module's contents (column id) and what lies outside them: (inner, outer, source_byte_start)."""
     one, other = ("from_id", "to_id") if direction == "out" else ("to_id", "from_id")

@@ -52,7 +52,9 @@ def ancestors(edges: DataFrame, of: DataFrame, most: int = 64) -> DataFrame:
     """
     own = of.select("id").distinct()
     held = own.join(parents(edges), own["id"] == F.col("at")).select("id", F.col("next").alias("parent"))
-    up = closure(held.select(F.col("parent").alias("id"), F.col("parent").alias("at")), parents(edges), most - 1)
+    steps = parents(edges)
+    steps = steps.join(steps.select(F.col("next").alias("at")).distinct(), "at", "left_semi")  # containers' own
+    up = closure(held.select(F.col("parent").alias("id"), F.col("parent").alias("at")), steps, most - 1)
     above = held.join(up.select(F.col("id").alias("parent"), F.col("at").alias("ancestor"), (F.col("depth") + 1).alias("depth")), "parent").select("id", "ancestor", "depth")
     every = own.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(above)
     return every.groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
@@ -70,6 +72,13 @@ def module_ancestors(edges: DataFrame, entities: DataFrame, most: int = 32, of:
     return every.groupBy("id", "module").agg(F.min("depth").alias("depth")).select("id", "module", "depth")
 
 
+def homes(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, home): the container that has all modules which an entity lies in: itself for a module and for what has no or several containers, else its only one."""
+    inside = parents(edges).groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n"), F.min("next").alias("parent"))
+    only = F.when((F.col("kind") != "module") & (F.col("n") == 1), F.col("parent"))
+    return entities.select("id", "kind").join(inside, "id", "left").select("id", F.coalesce(only, "id").alias("home"))
+
+
 def containing_module(edges: DataFrame, entities: DataFrame, most: int = 32) -> DataFrame:
     """(id, module): the nearest one."""
     rows = module_ancestors(edges, entities, most)

@@ -334,8 +334,8 @@ def _(t):
 
 @query("agg05_module_dependencies", "WITH RECURSIVE " + ANCESTORS + ", m AS (SELECT anc.id, module FROM anc JOIN {entities} e ON e.id = module AND e.kind = 'module'), f AS (SELECT kind, from_id, unnest(CASE WHEN kind = 'calls' AND confidence = 'ambiguous' THEN list_distinct(list_concat([to_id], " + CANDIDATES + ")) ELSE [to_id] END) AS to_id FROM {edges} WHERE kind IN ('calls', 'references', 'imports') AND confidence <> 'inferred') SELECT a.module AS from_module, b.module AS to_module, count(*) AS reference_count, array_to_string(list_sort(list(DISTINCT f.kind)), ',') AS kinds FROM f JOIN m a ON a.id = f.from_id JOIN m b ON b.id = f.to_id WHERE a.module <> b.module GROUP BY 1, 2")
 def _(t):
-    up = V.module_ancestors(t.edges, t.entities, of=G.dependency_ends(t.edges)).select("id", "module")
-    return G.module_dependencies(t.edges, up).select("from_module", "to_module", "reference_count", F.array_join("kinds", ",").alias("kinds"))
+    found = G.module_dependencies_by_home(t.edges, V.homes(t.edges, t.entities), lambda of: V.module_ancestors(t.edges, t.entities, of=of))
+    return found.select("from_module", "to_module", "reference_count", F.array_join("kinds", ",").alias("kinds"))
 
 
 @query("agg06_linkages", f"WITH c AS ({ALL_CALLS}) SELECT to_id AS id, from_id AS neighbour, count(*) AS call_site_count, CASE min(CASE confidence WHEN 'resolved' THEN 0 WHEN 'ambiguous' THEN 1 ELSE 2 END) WHEN 0 THEN 'resolved' WHEN 1 THEN 'ambiguous' ELSE 'inferred' END AS confidence FROM c WHERE from_id IN (SELECT id FROM {{entities}} WHERE {BLOCK} IS NULL) GROUP BY to_id, from_id")
