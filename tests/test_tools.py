@@ -223,3 +223,13 @@ def test_sites_are_counted_by_text(spark):
     assert {r.to_id: r.n for r in graph.unresolved_counts(sites, e, e).collect()} == {"py:function:m.f1": 4, "py:function:m.f2": 1}
     assert graph.unresolved_callers(sites, e, e).count() == 5
     assert graph.sites_of(sites, e, "py:function:m.g").count() == 6 and graph.sites_of(sites, e, "py:function:m.g", 2).count() == 2
+
+
+def test_equal_sites_count_each(spark):
+    e = entities(spark, *((f"py:function:m.{x}", "function", None, 1, 2, "{}") for x in ("f1", "g")))
+    rows = 3 * [("py:function:m.g", "h", "k", 0, "x.f1", 0)] + [("py:function:m.g", "h", "l", 1, "f1", 1)]
+    sites = spark.createDataFrame(rows, "caller_entity_id string, caller_content_hash string, site_key string, site_ordinal long, callee_expr string, source_byte_start long")
+    assert [tuple(r) for r in graph.unresolved_counts(sites, e, e).collect()] == [("py:function:m.f1", 4)]
+    assert graph.unresolved_callers(sites, e, e).count() == 4
+    pages = sorted((r["rank"], r.site_key, r.total) for r in graph.unresolved_pages(sites, e, e, 3).collect())
+    assert pages == [(1, "k", 4), (2, "k", 4), (3, "k", 4)]
