@@ -112,8 +112,9 @@ def bounded_files(spark: SparkSession, path: str, schema, most: int = 100) -> Da
 def stale(beats: DataFrame, now: DataFrame, status_seconds: int = 30, store_seconds: int = 24 * 3600) -> DataFrame:
     """(run_id, heartbeat_at, stale_for_status, stale_for_store) of heartbeats (run_id, ts) against a time (now: one row).
 
-    What shows a run's state gives up after half a minute, what fails it after a day.
+    What shows a run's state gives up after half a minute, what fails it after a day. Times count in whole seconds, each to the nearest.
     """
     last = beats.groupBy("run_id").agg(F.max("ts").alias("heartbeat_at")).crossJoin(F.broadcast(now))  # one row
-    age = F.col("now").cast("long") - F.col("heartbeat_at").cast("long")
+    seconds = lambda ts: F.rint(F.unix_micros(ts) / 1e6).cast("long")
+    age = seconds(F.col("now")) - seconds(F.col("heartbeat_at"))
     return last.select("run_id", "heartbeat_at", (age > status_seconds).alias("stale_for_status"), (age > store_seconds).alias("stale_for_store"))

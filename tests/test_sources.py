@@ -120,3 +120,12 @@ def test_changed_files(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "path string, hash string")
     prior = spark.createDataFrame([("a", "1"), ("b", "0"), ("c", None)], "path string, hash string")
     assert sorted(r.path for r in feeds.changed_files(files, prior).collect()) == ["b", "c"]
+
+
+def test_stale_counts_in_nearest_seconds(spark):
+    rows = spark.sql("SELECT id AS run_id, timestamp_micros(us) AS ts FROM VALUES ('a', 100600000L), ('b', 131400000L), ('c', 101400000L) AS t(id, us)")
+    now = rows.selectExpr("max(ts) AS now")
+    found = {r.run_id: r.stale_for_status for r in feeds.stale(rows, now).collect()}
+    assert found == {"a": False, "b": False, "c": False}
+    late = spark.sql("SELECT 'a' AS run_id, timestamp_micros(100400000L) AS ts")
+    assert [r.stale_for_status for r in feeds.stale(late, spark.sql("SELECT timestamp_micros(130600000L) AS now")).collect()] == [True]
