@@ -5,6 +5,7 @@ The graph operators are batch; these feed their tables.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -21,7 +22,8 @@ class Rolling(StatefulProcessor):
     """For each key, failures that wait until the watermark has passed them, and those of the last `width` microseconds.
 
     A timer behind the first that waits hands on all that the watermark has passed, in the order of time, however it came in, and
-    sets the next. One state for each key; it holds the failures of one width and of the time that rows may be late.
+    sets the next. The window's first failure moves on with its last, so that each is met twice, however many a window holds.
+    One state for each key; it holds the failures of one width and of the time that rows may be late.
     """
 
     def __init__(self, most: int, width: int):
@@ -42,15 +44,17 @@ class Rolling(StatefulProcessor):
         waiting = sorted(x[0] for x in self.waiting.get())
         if not waiting or waiting[0] >= due:
             return iter(())
-        recent, out = [x[0] for x in self.recent.get()], []
-        for n, at in enumerate(waiting):
-            if at >= due:
-                break
-            recent = [x for x in recent if at - x < self.width] + [at]
-            if len(recent) > self.most and waiting[n + 1 : n + 2] != [at]:
-                out.append(Row(key=key[0], at=at, n=len(recent)))
-        later = [x for x in waiting if x >= due]
-        self.recent.put([(x,) for x in recent])
+        passed = bisect_left(waiting, due)
+        recent, later, out = [x[0] for x in self.recent.get()], waiting[passed:], []
+        times, first = recent + waiting[:passed], 0
+        for last in range(len(recent), len(times)):
+            at = times[last]
+            while at - times[first] >= self.width:
+                first += 1
+            n = last - first + 1
+            if n > self.most and times[last + 1 : last + 2] != [at]:
+                out.append(Row(key=key[0], at=at, n=n))
+        self.recent.put([(x,) for x in times[first:]])
         self.waiting.clear()
         if later:
             self.waiting.put([(x,) for x in later])

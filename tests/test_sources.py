@@ -122,6 +122,45 @@ def test_changed_files(spark):
     assert sorted(r.path for r in feeds.changed_files(files, prior).collect()) == ["b", "c"]
 
 
+class Lists:
+    """The lists of a state, and its timers, in memory."""
+
+    def __init__(self):
+        self.lists, self.timers = {}, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        held = self.lists.setdefault(name, [])
+
+        class State:
+            get = staticmethod(lambda: iter(list(held)))
+            appendList = staticmethod(held.extend)  # noqa: N815
+            clear = staticmethod(held.clear)
+            put = staticmethod(lambda rows: held.__setitem__(slice(None), rows))
+
+        return State
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+def test_breaker_of_a_full_window(spark):
+    import time
+    from types import SimpleNamespace
+
+    handle, n = Lists(), 60_000
+    state = feeds.Rolling(3, 10**9)
+    state.init(handle)
+    at = [i * 1000 + i % 2 * 1000 for i in range(n)]
+    began = time.perf_counter()
+    state.handleInputRows(("k",), [{"at": x} for x in reversed(at)], None)
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: n - 2, getExpiryTimeInMs=lambda: 1)
+    out = list(state.handleExpiredTimer(("k",), clock, clock))
+    assert time.perf_counter() - began < 15  # each failure once against all of the window takes minutes
+    for r in (out[0], out[7000], out[-1]):
+        assert r.n == sum(x <= r.at for x in at)
+    assert len(out) == len({x for x in at if x < (n - 2) * 1000 and sum(y <= x for y in at[:8]) > 3})
+
+
 def test_stale_counts_in_nearest_seconds(spark):
     rows = spark.sql("SELECT id AS run_id, timestamp_micros(us) AS ts FROM VALUES ('a', 100600000L), ('b', 131400000L), ('c', 101400000L) AS t(id, us)")
     now = rows.selectExpr("max(ts) AS now")
