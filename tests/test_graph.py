@@ -224,3 +224,15 @@ def test_catalogue_equals_duckdb(spark, data, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_edges_filtered_away_are_not_made(spark, data):
+    from graphquarry.sources.fixtures import VIEWS, Tables
+
+    t = Tables(spark, data)
+    for kinds in ("kind = 'calls'", "kind in ('contains', 'imports')"):
+        plan = t.edges.where(kinds)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Union" not in plan
+    whole = t.bound(VIEWS["edges"])
+    assert t.edges.columns == whole.columns and t.edges.where("kind = 'inherits_from'").count() > 0
+    assert t.edges.exceptAll(whole).isEmpty() and whole.exceptAll(t.edges).isEmpty()
