@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import inspect
+import random
 import re
 import struct
 import zlib
@@ -423,3 +424,39 @@ def test_variable_words():
     for line in ("a b2 c", "x@y z", "see http://q.r now", "a:b c::d e:/f", "1", "no fields", "::// x", "é9 ü"):
         want = " ".join("<*>" if re.search("[0-9@]|://", w) else w for w in line.split(" "))
         assert java.sub("<*>", line) == want
+
+
+def test_line_dedup_groups_of_large_leaves(spark):
+    rng = random.Random(4)
+    # one leaf of many templates, another of a few, and lines that are like no other
+    body = [" ".join(["a b c", *(rng.choice("xy") for _ in range(5)), rng.choice("uvw")]) for _ in range(300)] + ["a b d x", "a b d y", "a b d x"] * 5
+    body += [f"a b c {''.join(rng.choices('ghij', k=4))} {''.join(rng.choices('ghij', k=4))} p q r {i % 7}z" for i in range(40)]
+    rows = [(k % 90, k % 90, k % 3 + len(t.split()), t) for k, t in enumerate(body)]
+    rows = sorted({(d % 90, d % 90, len(t.split()), t) for d, _, _, t in rows})
+    by_doc = spark.createDataFrame(rows, "__k1 long, __k2 long, __l1 long, __template string").withColumn("__l2", F.lit(0).cast("long")).withColumn("__id", F.col("__k1"))
+    want, near = {}, lambda a, b: 10 * sum(x == y for x, y in zip(a.split(), b.split(), strict=True)) >= 7 * len(a.split())
+    docs = {}
+    for d, _, leaf, t in rows:
+        docs.setdefault((leaf, t), set()).add(d)
+    leads: dict = {}
+    for leaf, t in sorted(docs, key=lambda x: (len(docs[x]), x[1]), reverse=True):
+        lead = next((y for y in leads.setdefault(leaf, []) if near(t, y)), None)
+        if lead is None:
+            leads[leaf].append(lead := t)
+        want.setdefault((leaf, lead), set()).add(t)
+    large = {k: v for k, v in want.items() if len(set().union(*(docs[k[0], t] for t in v))) >= 10}
+    for head in (512, 3):
+        got: dict = {}
+        for r in line_dedup.groups(by_doc, 0.7, 10, head).collect():
+            got.setdefault((r["__l1"], r["__group"]), set()).add(r["__template"])
+        assert len(large) > 3 and {k: v for k, v in got.items() if k in large} == large
+        assert sum(map(len, got.values())) == len({(leaf, t) for leaf, t in docs if any(leaf == k[0] and t in v for k, v in got.items())})
+
+
+def test_line_dedup_takes_one_round_for_many_groups(spark, monkeypatch):
+    lines = [f"s s s {chr(97 + i % 26)}{chr(97 + i // 26)} {chr(98 + i % 20)}{chr(97 + i % 23)} t{chr(97 + i % 19)}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    calls, plain = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda *a: calls.append(1) or plain(*a))
+    assert line_dedup.drop_lines(docs).where("n_dropped > 0").isEmpty()
+    assert len(calls) < 8
