@@ -13,9 +13,12 @@ a run (about 22 windows), and equal windows always have equal keys. So
    (found again by a second sieve of that size) are cut into blocks of about `CUT` windows where the
    windows' own hashes say so, and blocks are compared like runs;
 4. of each block the first document remains, and only of these blocks are windows told apart one by
-   one: counted by (key, hash), and compared with the least doc_id of each.
+   one: counted by (key, hash), with the least doc_id of each;
+5. a third sieve cuts these blocks to the stretches of windows that occur again (what else passes by chance changes
+   nothing). Where a passage begins or ends within a block, its stretch is the same in all documents that have it, so
+   stretches are compared like runs. Of each the first document remains, whose windows are compared with the least doc_id of each.
 
-As the first document stands for all with the same run or block, the least doc_id of every window is exact.
+As the first document stands for all with the same run, block or stretch, the least doc_id of every window is exact.
 Removed windows merge into maximal intervals by a difference array over the document's words.
 
 Every group is aggregated before its shuffle and joined back by an equi-join that adaptive execution
@@ -176,6 +179,32 @@ def block_rows(docs: DataFrame, width: int, unsure: Sieve) -> DataFrame:
     return docs.select(*KEY, "__text").mapInArrow(go, BLOCKS)
 
 
+def stretch_rows(blocks: DataFrame, repeated: Sieve) -> DataFrame:
+    """Blocks cut to the stretches whose windows pass; the others are in no second document."""
+
+    def go(parts):
+        for part in parts:
+            lists = part.column(4)
+            own, bounds = np.asarray(lists.flatten(), np.int64).view(np.uint64), np.asarray(lists.offsets, np.int64)
+            keys, *meta = (np.asarray(part.column(i), np.int64) for i in range(4))
+            owner = np.repeat(np.arange(len(part)), np.diff(bounds))
+            hit = np.concatenate([[False], repeated.passes(keys.view(np.uint64)[owner] ^ own), [False]])
+            turn = np.concatenate([[True], owner[1:] != owner[:-1], [True]])[: len(own) + 1]
+            start, end = np.flatnonzero(hit[1:] & (turn | ~hit[:-1])), np.flatnonzero(hit[:-1] & (turn | ~hit[1:]))
+            n, row = end - start, owner[start]
+            first, hashes = np.cumsum(n) - n, own[B.ragged(start, n)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(hashes)).astype(np.int32)), long(hashes))
+            at = meta[2][row] + start - (bounds[row] - bounds[0])
+            yield pa.RecordBatch.from_arrays([long(keys[row]), long(run_hashes(hashes, first, n)), *(long(m[row]) for m in meta[:2]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), lists], _names(BLOCKS))
+
+    return blocks.select("__key", *KEY, "__at", "__windows").mapInArrow(go, BLOCKS)
+
+
+def exploded(blocks: DataFrame) -> DataFrame:
+    """A row for each window of the blocks."""
+    return blocks.select("__key", *KEY, F.posexplode("__windows").alias("i", "__hash"), "__at").select("__key", "__hash", *KEY, (F.col("__at") + F.col("i")).alias("__at"))
+
+
 def removed(docs: DataFrame, width: int) -> DataFrame:
     """For documents with repeats: __id, __k1 and `__spans`, an array of (first window, number of windows)."""
     several_docs = key_rows(docs, width).groupBy("__key").agg(F.min("__id").alias("a"), F.max("__id").alias("b")).where("a < b")
@@ -193,10 +222,15 @@ def removed(docs: DataFrame, width: int) -> DataFrame:
     sieve.release()
     mine = blocks.join(written(blocks.groupBy(*pair).agg(F.min("__id").alias("__first"))), pair)
     again = mine.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
-    single = mine.where(F.col("__id") == F.col("__first")).select("__key", *KEY, F.posexplode("__windows").alias("i", "__hash"), "__at").select("__key", "__hash", *KEY, (F.col("__at") + F.col("i")).alias("__at"))
-    single = written(single)
-    least = single.groupBy("__key", "__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__most")).where(F.col("__first") < F.col("__most"))
-    single = single.join(written(least), ["__key", "__hash"]).where(F.col("__id") > F.col("__first")).select(*KEY, "__at", F.lit(1).alias("__n"))
+    alone = written(mine.where(F.col("__id") == F.col("__first")).select("__key", *KEY, "__at", "__windows"))
+    least = written(exploded(alone).groupBy("__key", "__hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__most")).where(F.col("__first") < F.col("__most")).drop("__most"))
+    sieve = Sieve(least.select(F.col("__key").bitwiseXOR(F.col("__hash")).alias("__slot")), "__slot")
+    stretches = written(stretch_rows(alone, sieve))
+    sieve.release()
+    mine = stretches.join(written(stretches.groupBy(*pair).agg(F.min("__id").alias("__first"))), pair)
+    passages = mine.where(F.col("__id") > F.col("__first")).select(*KEY, "__at", "__n")
+    rest = written(exploded(mine.where(F.col("__id") == F.col("__first"))))  # of each stretch the first document's
+    single = rest.join(least, ["__key", "__hash"]).where(F.col("__id") > F.col("__first")).select(*KEY, "__at", F.lit(1).alias("__n")).unionByName(passages)
     spans = whole.unionByName(again).unionByName(single).distinct()  # rows equal in doc_id and text have the same ones
     return spans.groupBy(*KEY).agg(F.collect_list(F.struct("__at", "__n")).alias("__spans"))
 

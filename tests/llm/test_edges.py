@@ -165,3 +165,22 @@ def test_resampled_and_feature(spark):
 def test_batches_are_bounded_by_bytes(spark, clash):
     batches.ship(clash)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+
+
+def test_windows_of_a_common_passage_are_told_apart_in_its_first_document(spark, monkeypatch):
+    passage, rows, kept = [f"p{i}" for i in range(60)], {}, []
+    for many in (20, 60):
+        rows[many] = [(d, " ".join([*(f"a{d}x{i}" for i in range(40 + d % 7)), *passage, *(f"b{d}x{i}" for i in range(45))])) for d in range(many)]
+
+    def spy(frame, *by):
+        out = written(frame, *by)
+        kept[-1] += out.count() if {"__hash", "__at"} <= set(out.columns) else 0
+        return out
+
+    written = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", spy)
+    for many, of in rows.items():
+        kept.append(0)
+        got = substring_dedup.remove_repeats(spark.createDataFrame(of, "doc_id long, text string"), 50, digests=True).collect()
+        assert {r.doc_id: r.n_removed for r in got} == {d: 60 if d else 0 for d in range(many)}
+    assert kept[0] == kept[1] <= 11  # the passage has eleven windows
