@@ -233,3 +233,15 @@ def test_equal_sites_count_each(spark):
     assert graph.unresolved_callers(sites, e, e).count() == 4
     pages = sorted((r["rank"], r.site_key, r.total) for r in graph.unresolved_pages(sites, e, e, 3).collect())
     assert pages == [(1, "k", 4), (2, "k", 4), (3, "k", 4)]
+
+
+def test_first_edges_read_no_further_kinds(spark, monkeypatch):
+    rows = [(k, f"n{i % 7}", f"m{i}", c, p) for i, (k, c, p) in enumerate((k, c, p) for k in ("zz", "calls", "contains", "between", "inherits_from", None) for c in ("resolved", "ambiguous") for p in (None, 3, 1))]
+    edges = spark.createDataFrame(rows, "kind string, from_id string, to_id string, confidence string, source_byte_start long")
+    plain = lambda n: edges.orderBy("kind", "from_id", "to_id", "confidence", F.coalesce("source_byte_start", F.lit(-1))).limit(n).collect()
+    read = []
+    monkeypatch.setattr(graph, "written", lambda x: read.append(x) or x)
+    for n in (1, 7, 20, 36, 50):
+        assert graph.first_edges(edges, n).collect() == plain(n)
+    read.clear()
+    assert graph.first_edges(edges, 14).count() == 14 and len(read) == 1  # null, between and calls come before any other span
