@@ -245,3 +245,16 @@ def test_first_edges_read_no_further_kinds(spark, monkeypatch):
         assert graph.first_edges(edges, n).collect() == plain(n)
     read.clear()
     assert graph.first_edges(edges, 14).count() == 14 and len(read) == 1  # null, between and calls come before any other span
+
+
+
+def test_edges_are_not_sent_to_their_ends(spark):
+    known = [("a",), ("b",), ("c",)]
+    rows = [("calls", "a", "b"), ("calls", "a", "x"), ("calls", "x", "b"), ("calls", None, "b"), ("calls", "a", None), ("uses", "x", "y"), ("calls", "c", "c")]
+    edges, entities = spark.createDataFrame(rows, "kind string, from_id string, to_id string"), spark.createDataFrame(known, "id string")
+    ready, waiting = (lifecycle.ready_edges(edges, entities, x) for x in (True, False))
+    names = {x for x, in known}
+    assert sorted(map(tuple, ready.collect())) == sorted(r for r in rows if {*r[1:]} <= names)
+    assert sorted(map(repr, map(tuple, waiting.collect()))) == sorted(repr(r) for r in rows if not {*r[1:]} <= names)
+    for out in (ready, waiting):  # no shuffle and no sort of the edges where few ends are lost
+        assert not {"Exchange hashpartitioning", "SortMergeJoin"} & {x for x in ("Exchange hashpartitioning", "SortMergeJoin") if x in out._jdf.queryExecution().executedPlan().toString()}
