@@ -31,7 +31,7 @@ def sheets(t):
 def facts(t):
     e = t.entities.select(F.col("id").alias("entity_id"), "kind", F.col("source_file_path").alias("path"))
     tags = L.tags_of(t.tags)
-    sub = V.subsystem_of(t.edges, t.entities).select(F.col("id").alias("entity_id"), "subsystem")
+    sub = V.subsystem_of(t.edges_of("contains", "in_subsystem"), t.entities).select(F.col("id").alias("entity_id"), "subsystem")
     return e.join(tags, "entity_id", "left").join(sub, "entity_id", "left")
 
 
@@ -72,7 +72,7 @@ def _(t):
 def _(t):
     made = F.when(F.col("source_line_start") % 4 == 0, "2023-01-01T00:00:00Z").otherwise("2024-05-30T00:00:00Z")
     cache = t.entities.select(F.col("id").alias("entity_id"), made.alias("created_at"), F.lit(20).alias("caller_count"))
-    callers = G.expanded_calls(t.edges).groupBy(F.col("to_id").alias("entity_id")).agg(F.count_distinct("from_id").alias("callers"))
+    callers = G.expanded_calls(t.edges_of("calls")).groupBy(F.col("to_id").alias("entity_id")).agg(F.count_distinct("from_id").alias("callers"))
     return S.summary_state(cache, "2024-06-01", 30, callers)
 
 

@@ -236,3 +236,18 @@ def test_edges_filtered_away_are_not_made(spark, data):
     whole = t.bound(VIEWS["edges"])
     assert t.edges.columns == whole.columns and t.edges.where("kind = 'inherits_from'").count() > 0
     assert t.edges.exceptAll(whole).isEmpty() and whole.exceptAll(t.edges).isEmpty()
+
+
+def test_only_the_kinds_that_are_read_are_stored(spark, tmp_path):
+    """A query over imports, containment or calls stores none of the other kinds."""
+    import shutil
+
+    from graphquarry.plans import catalog, catalog_store  # noqa: F401  the latter adds to the catalogue
+    from graphquarry.sources import fixtures
+
+    folder = str(tmp_path / "copy")
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    kinds = lambda: {k[2][6:] for k in fixtures._folders if k[1] == folder and k[2].startswith("edges/")}
+    for name, want in (("flt17_runtime_imports", {"imports"}), ("flt13_scope_membership", {"imports", "contains"}), ("jon19_test_callers", {"imports", "contains", "calls"})):
+        catalog.QUERIES[name](spark, folder).count()
+        assert kinds() == want, name
