@@ -251,3 +251,22 @@ def test_only_the_kinds_that_are_read_are_stored(spark, tmp_path):
     for name, want in (("flt17_runtime_imports", {"imports"}), ("flt13_scope_membership", {"imports", "contains"}), ("jon19_test_callers", {"imports", "contains", "calls"})):
         catalog.QUERIES[name](spark, folder).count()
         assert kinds() == want, name
+
+
+def test_relations_read_edges_once(spark):
+    rows = [("inherits_from", "a", "b", "ambiguous", '{"candidates":["b","c"]}'), ("inherits_from", "a", "c", "ambiguous", None), ("decorates", "d", "e", "ambiguous", '{"candidates":["f"]}'), ("derives", "a", "b", "resolved", '{"candidates":["z"]}')]
+    e = edges(spark, *rows, *rows[:1])
+    found = graph.relations(e)
+    got = sorted((r.id, r.neighbour, r.kind, r.direction, r.confidence) for r in found.collect())
+    pairs = [("a", "b", "inherits_from", "ambiguous"), ("a", "c", "inherits_from", "ambiguous"), ("d", "e", "decorates", "ambiguous"), ("f", "e", "decorates", "ambiguous"), ("a", "b", "derives", "resolved")]
+    assert got == sorted([(a, b, k, "out", c) for a, b, k, c in pairs] + [(b, a, k, "in", c) for a, b, k, c in pairs])
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_looked_up_in_sizes_that_spans_have(spark):
+    from graphquarry.operators import lookup
+
+    e = spark.createDataFrame([("f", "a", "function", 10, 18), ("f", "m", "module", 1, 100000)], "source_file_path string, id string, kind string, source_line_start long, source_line_end long")
+    met = lookup.meeting(e, spark.range(1, 50).select(F.lit("f").alias("source_file_path"), F.col("id").alias("line")))
+    assert "LeftSemi" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.line for r in met.where("id = 'm'").collect()} == set(range(1, 50)) and {r.line for r in met.where("id = 'a'").collect()} >= set(range(10, 19))
