@@ -270,3 +270,16 @@ def test_lines_are_looked_up_in_sizes_that_spans_have(spark):
     met = lookup.meeting(e, spark.range(1, 50).select(F.lit("f").alias("source_file_path"), F.col("id").alias("line")))
     assert "LeftSemi" in met._jdf.queryExecution().optimizedPlan().toString()
     assert {r.line for r in met.where("id = 'm'").collect()} == set(range(1, 50)) and {r.line for r in met.where("id = 'a'").collect()} >= set(range(10, 19))
+
+
+def test_edges_to_no_module_end_at_the_first_join(spark, monkeypatch):
+    e = edges(spark, ("contains", "r", "m", "resolved", None), ("contains", "r", "n", "resolved", None), ("contains", "m", "f", "resolved", None), ("contains", "n", "g", "resolved", None), ("calls", "f", "lib", "resolved", None), ("calls", "f", "g", "ambiguous", '{"candidates":["lib","n"]}'), ("references", "g", "f", "resolved", None), ("calls", "f", "g", "inferred", None))
+    ids = spark.createDataFrame([("r", "module"), ("m", "module"), ("n", "module"), ("f", "function"), ("g", "function"), ("lib", "function")], "id string, kind string")
+    kept, original = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda rows: kept.append(original(rows)) or kept[-1])
+    found = graph.module_dependencies_by_home(e, traverse.homes(e, ids), lambda of: traverse.module_ancestors(e, ids, of=of))
+    got = sorted((r.from_module, r.to_module, r.reference_count, r.kinds) for r in found.collect())
+    plain = graph.module_dependencies(e, traverse.module_ancestors(e, ids))
+    assert got == sorted((r.from_module, r.to_module, r.reference_count, r.kinds) for r in plain.collect()) and ("m", "n", 2, ["calls"]) in got
+    ends = [r[c] for rows in kept for c in rows.columns if c.startswith("to_") for r in rows.collect()]
+    assert ends and "lib" not in ends
