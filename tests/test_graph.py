@@ -283,3 +283,18 @@ def test_edges_to_no_module_end_at_the_first_join(spark, monkeypatch):
     assert got == sorted((r.from_module, r.to_module, r.reference_count, r.kinds) for r in plain.collect()) and ("m", "n", 2, ["calls"]) in got
     ends = [r[c] for rows in kept for c in rows.columns if c.startswith("to_") for r in rows.collect()]
     assert ends and "lib" not in ends
+
+
+def test_grouped_edges_are_not_dealt_again(spark, data):
+    """Calls and references are grouped where their join on the order's key has them."""
+    from graphquarry.sources.fixtures import Tables, branches
+
+    t = Tables(spark, data)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        for kind in ("calls", "references"):
+            parts = [s for s in branches("edges") if s.startswith(f"SELECT '{kind}', oid")]
+            plan = t.kind_of(kind, parts)._jdf.queryExecution().sparkPlan().toString() + t.kind_of(kind, parts)._jdf.queryExecution().executedPlan().toString()
+            assert len(parts) == 1 and "hashpartitioning(ok" in plan.replace("l_orderkey", "ok") and "hashpartitioning(oid" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
