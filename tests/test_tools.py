@@ -258,3 +258,16 @@ def test_edges_are_not_sent_to_their_ends(spark):
     assert sorted(map(repr, map(tuple, waiting.collect()))) == sorted(repr(r) for r in rows if not {*r[1:]} <= names)
     for out in (ready, waiting):  # no shuffle and no sort of the edges where few ends are lost
         assert not {"Exchange hashpartitioning", "SortMergeJoin"} & {x for x in ("Exchange hashpartitioning", "SortMergeJoin") if x in out._jdf.queryExecution().executedPlan().toString()}
+
+
+def test_buckets_that_are_not_asked_for_leave_relations_unread(spark, data):
+    from graphquarry.operators import orientation
+    from graphquarry.sources.fixtures import Tables
+
+    t = Tables(spark, data)
+    lib = t.entities.where("plugin_id = 'lib'")
+    near = orientation.neighbourhood(t.edges, t.entities, lib, 10)
+    callers = orientation.neighbourhood(t.edges, t.entities, lib, 10, buckets=("callers",))
+    assert sorted(callers.collect()) == sorted(near.where("bucket = 'callers'").collect())
+    assert "decorates" not in callers._jdf.queryExecution().optimizedPlan().toString()
+    assert not callers.isEmpty() and {r.bucket for r in near.select("bucket").distinct().collect()} >= {"relations_in", "relations_out"}
