@@ -271,3 +271,13 @@ def test_buckets_that_are_not_asked_for_leave_relations_unread(spark, data):
     assert sorted(callers.collect()) == sorted(near.where("bucket = 'callers'").collect())
     assert "decorates" not in callers._jdf.queryExecution().optimizedPlan().toString()
     assert not callers.isEmpty() and {r.bucket for r in near.select("bucket").distinct().collect()} >= {"relations_in", "relations_out"}
+
+
+def test_edges_stay_where_they_are_when_few_files_are_replaced(spark, tmp_path):
+    from graphquarry.operators import lifecycle
+
+    spark.range(1000).selectExpr("'calls' as kind", "cast(id as string) as from_id", "cast(id % 3 as string) as source_file_id").write.parquet(str(tmp_path / "e"))
+    old = spark.read.parquet(str(tmp_path / "e"))
+    new = spark.createDataFrame([("calls", "n", "0")], old.schema)
+    out = lifecycle.replace_anchored_edges(old, new, new.select("source_file_id"))
+    assert out.count() == 667 and "hashpartitioning(source_file_id" not in out._jdf.queryExecution().executedPlan().toString()
