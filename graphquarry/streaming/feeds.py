@@ -23,7 +23,8 @@ class Rolling(StatefulProcessor):
 
     A timer behind the first that waits hands on all that the watermark has passed, in the order of time, however it came in, and
     sets the next. The window's first failure moves on with its last, so that each is met twice, however many a window holds.
-    One state for each key; it holds the failures of one width and of the time that rows may be late.
+    One state for each key; it holds the failures of one width and of the time that rows may be late. A key may come in slices of one
+    width (key, number): what lies before the slice only counts, and the state goes when the watermark has passed the slice's end.
     """
 
     def __init__(self, most: int, width: int):
@@ -42,7 +43,10 @@ class Rolling(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         waiting = sorted(x[0] for x in self.waiting.get())
+        start, end = (key[1] * self.width, (key[1] + 1) * self.width) if len(key) > 1 else (float("-inf"), float("inf"))
         if not waiting or waiting[0] >= due:
+            if due >= end:
+                self.recent.clear()
             return iter(())
         passed = bisect_left(waiting, due)
         recent, later, out = [x[0] for x in self.recent.get()], waiting[passed:], []
@@ -52,9 +56,14 @@ class Rolling(StatefulProcessor):
             while at - times[first] >= self.width:
                 first += 1
             n = last - first + 1
-            if n > self.most and times[last + 1 : last + 2] != [at]:
+            if n > self.most and at >= start and times[last + 1 : last + 2] != [at]:
                 out.append(Row(key=key[0], at=at, n=n))
-        self.recent.put([(x,) for x in times[first:]])
+        if due >= end:
+            self.recent.clear()
+        else:
+            self.recent.put([(x,) for x in times[first:]])
+            if len(key) > 1:
+                self.handle.registerTimer(end // 1000 + 1)
         self.waiting.clear()
         if later:
             self.waiting.put([(x,) for x in later])
@@ -69,13 +78,17 @@ def breaker(crashes: DataFrame, most: int = 3, width: float = 60, late: str = "1
     """(key, ts, n): failures (columns key, ts) after which a key has had more than `most` of them in the last `width` seconds, itself included.
 
     The window rolls: a failure counts until it is `width` old. Failures of one time give one row with all of them. Rows come
-    once the watermark has passed them; failures that are later than `late` are lost. Null keys and times are left out.
+    once the watermark has passed them; failures that are later than `late` are lost. Null keys and times are left out. A key is dealt by
+    slices of one width, each failure to its own and, as one that only counts, to the next: a task holds two slices of a key, however long the stream.
     """
     spark = crashes.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKS:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that keeps lists and timers
     rows = ship(crashes).where("key is not null and ts is not null").withWatermark("ts", late).select("key", "ts", F.unix_micros("ts").alias("at"))
-    found = rows.groupBy("key").transformWithState(Rolling(most, round(width * 1_000_000)), f"key {rows.schema['key'].dataType.simpleString()}, at long, n int", "Append", "EventTime")
+    span = round(width * 1_000_000)
+    own = F.expr(f"(at - pmod(at, {span})) div {span}")
+    rows = rows.withColumn("slice", F.explode(F.array(own, own + 1)))
+    found = rows.groupBy("key", "slice").transformWithState(Rolling(most, span), f"key {rows.schema['key'].dataType.simpleString()}, at long, n int", "Append", "EventTime")
     return found.select("key", F.timestamp_micros("at").alias("ts"), "n")
 
 

@@ -161,6 +161,27 @@ def test_breaker_of_a_full_window(spark):
     assert len(out) == len({x for x in at if x < (n - 2) * 1000 and sum(y <= x for y in at[:8]) > 3})
 
 
+def test_breaker_keeps_two_slices_of_a_key():
+    from types import SimpleNamespace
+
+    width, found, most = 1_000_000, [], 0
+    at = [i * 1000 for i in range(-5000, 5000)]
+    for part in range(-6, 7):
+        handle = Lists()
+        state = feeds.Rolling(3, width)
+        state.init(handle)
+        rows = [{"at": x} for x in at if x // width in (part - 1, part)]
+        if rows:
+            state.handleInputRows(("k", part), rows, None)
+            most = max(most, len(handle.lists["waiting"]))
+            for ms in (part * 1000 + 500, (part + 2) * 1000):
+                clock = SimpleNamespace(getCurrentWatermarkInMs=lambda ms=ms: ms, getExpiryTimeInMs=lambda ms=ms: ms)
+                found += [("k", r.at, r.n) for r in state.handleExpiredTimer(("k", part), clock, clock)]
+            assert not any(handle.lists.values())  # the slice's end has passed
+    want = {("k", x, min(1000, i + 1)) for i, x in enumerate(at) if i >= 3}
+    assert most == 2000 and len(found) == len(want) and set(found) == want
+
+
 def test_stale_counts_in_nearest_seconds(spark):
     rows = spark.sql("SELECT id AS run_id, timestamp_micros(us) AS ts FROM VALUES ('a', 100600000L), ('b', 131400000L), ('c', 101400000L) AS t(id, us)")
     now = rows.selectExpr("max(ts) AS now")
