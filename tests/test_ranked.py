@@ -119,3 +119,25 @@ def test_find_pages(spark, index, rows):
     for bad in ({"text": " "}, {"text": "x", "offset": search.MOST_OFFSET + 1}):
         with pytest.raises(ValueError):
             ids(**bad)
+
+
+def test_words_are_counted_where_entities_lie(spark, rows):
+    entities = spark.createDataFrame([*rows.values(), ("none", "class", "", None, None, "{}"), ("odd", "class", "Été x2 ies sses 日本 x2", "A", "½ caresses", "{}")], SCHEMA)
+    got = ranked.counted(entities)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = search.inverted_index(entities).groupBy("id").agg(F.max("length").alias("length"), F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
+    assert {r.id: (r.length, r.terms) for r in got.collect()} == {r.id: (r.length, r.terms) for r in want.collect()}
+
+
+def test_hits_are_dealt_in_passes(spark, rows, index, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranked, "DOCS", 1000)
+    monkeypatch.setattr(ranked, "RANGE", 40)
+    made = ranked.Index.create(spark.createDataFrame(list(rows.values()), SCHEMA), f"{tmp_path}/i", 8)
+    assert made.top("load store", 10) == index.top("load store", 10)
+    a, b = (i.read(i.segments[0], "postings").selectExpr("term", "range", "n", "most", "hits.id as ids", "bucket") for i in (made, index))
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_a_text_that_is_not_of_words_makes_no_index(spark, rows):
+    entities = spark.createDataFrame(list(rows.values()), SCHEMA)
+    assert ranked.find(entities, lambda: pytest.fail("an index was made"), "pkg.load", None, 5).count() == 5
